@@ -102,3 +102,17 @@ def spark_arrow(spark: SparkSession, schema: str) -> pa.Schema:
     from pyspark.sql.types import StructType
 
     return to_arrow_schema(StructType.fromDDL(schema))
+
+
+def sampled(docs: DataFrame, labels: DataFrame, label: str, sample: int, modulus: int, left_out: int) -> DataFrame:
+    """(text, y) of at most ``sample`` labelled rows for each label value, by a hash of the id.
+
+    The ids are a bounded number of longs, so their join is a broadcast of proven size.
+    """
+    known = labels.filter(F.col("doc_id").isNotNull() & F.col(label).isNotNull() & (remainder("doc_id", modulus) != left_out)).groupBy("doc_id").agg(F.max(label).alias("y"))
+    order = F.xxhash64(F.col("doc_id"), F.lit(20))
+    ids = None
+    for value in (0, 1):
+        part = known.filter(F.col("y") == value).orderBy(order, "doc_id").limit(sample)
+        ids = part if ids is None else ids.unionByName(part)
+    return docs.select("doc_id", "text").join(F.broadcast(ids), "doc_id").select(F.col("doc_id").cast("long").alias("doc_id"), "text", F.col("y").cast("int").alias("y"))
