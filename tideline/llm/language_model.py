@@ -4,17 +4,17 @@ Tokens are the lower-cased words of a text and one end. A frequent token is
 predicted from the two tokens before it: the context's embeddings, each scaled
 by a learned vector of its place, add up to a predicted embedding, whose
 products with the output embeddings plus biases are the logits of a softmax over
-the ``SHORTLIST`` most frequent tokens and one class for all others. A token of
-that class then gets its share of the class: a mixture of its smoothed count and
-of its spelling, which a second log-bilinear network over bytes predicts from
-the four bytes before. Both networks are normalised, so token probabilities add
-up to one over all words and the end.
-
-Both are trained in numpy with noise-contrastive estimation on all training
-documents: a start is fitted on one bounded batch, then every task refines its
-own copy on all its training documents and the copies are averaged by tokens.
-Scoring finds the different contexts of a chunk and normalises them by batched
-matrix products.
+the ``SHORTLIST`` most frequent tokens and ``ENDINGS`` classes that all other
+words are dealt to by their last bytes. Such a word then gets its share of its
+class, (c + 1) / (n + v + 1) for its count c and the class's tokens n and words
+v in training; all unseen words of a class are one. So the probabilities add up
+to one over the words seen and the unseen word of each class.
+
+The network is trained in numpy with noise-contrastive estimation on all
+training documents: a start is fitted on one bounded batch, then every task
+refines its own copy on all its training documents and the copies are averaged
+by tokens. Scoring finds the different contexts of a chunk and normalises them
+by batched matrix products.
 
 Documents meet counts by chunks: texts are dealt into chunks by a hash of the
 row, each chunk's different words are counted over the corpus and come back as
@@ -22,13 +22,14 @@ the chunk's lexicon. No vocabulary is broadcast, and no step holds all of it.
 
 Defined results: a null text counts as empty, whose only token is the end;
 repeated rows are separate documents; without training documents counts are
-zero and the networks are at their start; an empty table gives an empty table;
+zero and the network is at its start; an empty table gives an empty table;
 a null id counts as the empty text in the fold; further columns are ignored.
 """
 
 from __future__ import annotations
 
 import pickle
+import zlib
 from collections import Counter
 from collections.abc import Iterator
 
@@ -39,15 +40,12 @@ from pyspark.sql import functions as F
 
 from tideline.llm.common import Scratch, free_shuffles, remainder, spark_arrow, words
 
-#: Tokens of the softmax besides the class of others; embedding sizes; noise samples.
-SHORTLIST, DIM, BYTE_DIM, NOISE = 511, 16, 16, 64
+#: Frequent tokens and classes of other words in the softmax; embedding size; noise samples of a batch.
+SHORTLIST, ENDINGS, DIM, NOISE = 511, 128, 16, 64
 #: Positions of a training batch, positions of the start's fit, learning rate.
-BATCH, START, RATE, SEED = 4096, 600_000, 0.5, 3
+BATCH, START, RATE, SEED = 2048, 600_000, 0.1, 3
 #: Bytes of text in a chunk, about, and the end token, which no word equals.
 CHUNK_BYTES, END = 4_000_000, b"\n"
-#: Bytes before a byte that its network sees, and its codes: 0-255 bytes, 256 word's start or end.
-PLACES, EDGE = 4, 256
-
 
 class LogBilinear:
     """p(w | h) is proportional to exp(q_w . sum_i c_i * r_{h_i} + b_w)."""
@@ -58,6 +56,7 @@ class LogBilinear:
         self.q = r.normal(0, 0.1, (classes, dim)).astype(np.float32)
         self.c = np.ones((places, dim), np.float32)
         self.b = np.zeros(classes, np.float32)
+        self.squares = [np.full_like(x, 1e-2) for x in (self.r, self.q, self.c, self.b)]
 
     def start(self, counts: np.ndarray) -> None:
         """Sets the noise distribution, and the biases to its logarithms."""
@@ -74,33 +73,24 @@ class LogBilinear:
         log_noise = np.log(self.noise * NOISE).astype(np.float32)
         for lo in range(0, len(targets), BATCH):
             h, w = contexts[lo : lo + BATCH], targets[lo : lo + BATCH]
-            n = len(w)
             drawn = rng.choice(len(self.noise), NOISE, p=self.noise)
             parts = [self.r[h[:, i]] for i in range(h.shape[1])]
             pred = sum(self.c[i] * parts[i] for i in range(h.shape[1]))
             qw, qn = self.q[w], self.q[drawn]
-            up = 1 / (1 + np.exp((pred * qw).sum(1) + self.b[w] - log_noise[w]))  # 1 - P(data | w)
-            down = -1 / (1 + np.exp(log_noise[drawn] - self.b[drawn] - pred @ qn.T))  # -P(data | noise)
+            up = 1 / (1 + np.exp(np.clip((pred * qw).sum(1) + self.b[w] - log_noise[w], -30, 30)))  # 1 - P(data | w)
+            down = -1 / (1 + np.exp(np.clip(log_noise[drawn] - self.b[drawn] - pred @ qn.T, -30, 30)))  # -P(data | noise)
             back = up[:, None] * qw + down @ qn
-            gq, gb, gr = np.zeros_like(self.q), np.zeros_like(self.b), np.zeros_like(self.r)
-            classes = len(self.b)
-            gb += np.bincount(w, up, classes).astype(np.float32)
+            gq, gr = np.zeros_like(self.q), np.zeros_like(self.r)
+            gb = np.bincount(w, up, len(self.b)).astype(np.float32)
             np.add.at(gb, drawn, down.sum(0))
             _scatter(gq, w, up[:, None] * pred)
             np.add.at(gq, drawn, down.T @ pred)
             gc = np.stack([(back * parts[i]).sum(0) for i in range(h.shape[1])])
             for i in range(h.shape[1]):
                 _scatter(gr, h[:, i], back * self.c[i])
-            # Steps per class are divided by the root of what fell on it, so that rare ones move as well.
-            self._step(self.q, gq, np.bincount(w, minlength=classes) + np.bincount(drawn, minlength=classes), rate)
-            self._step(self.r, gr, sum(np.bincount(h[:, i], minlength=classes) for i in range(h.shape[1])), rate)
-            self.b += (rate * gb / np.sqrt(1 + n * self.noise + np.bincount(w, minlength=classes)) / 8).astype(np.float32)
-            self.c += np.float32(rate / n) * gc
-
-    @staticmethod
-    def _step(x: np.ndarray, g: np.ndarray, hits: np.ndarray, rate: float) -> None:
-        step = (rate / (8 + hits))[:, None] * g
-        x += np.clip(step, -0.2, 0.2).astype(np.float32)
+            for k, (x, g) in enumerate(((self.r, gr), (self.q, gq), (self.c, gc), (self.b, gb))):
+                self.squares[k] += g * g  # Adagrad
+                x += np.float32(rate) * g / np.sqrt(self.squares[k])
 
     def log_normalisers(self, contexts: np.ndarray) -> np.ndarray:
         out = np.empty(len(contexts), np.float32)
@@ -142,25 +132,22 @@ def _scatter(out: np.ndarray, rows: np.ndarray, values: np.ndarray) -> None:
 
 
 class Model:
-    """The word network, the byte network, and what the class of other words needs."""
+    """The network, the classes of words, and what a class's shares need."""
 
-    def __init__(self, shortlist: list[bytes], counts: np.ndarray, byte_counts: np.ndarray, total: int, distinct: int):
+    def __init__(self, shortlist: list[bytes], counts: np.ndarray, class_tokens: np.ndarray, class_words: np.ndarray):
         self.index = {w: k for k, w in enumerate(shortlist)}
-        self.other = len(shortlist)
-        self.words = LogBilinear(self.other + 1, 2, DIM)
-        self.words.start(counts)
-        self.bytes = LogBilinear(EDGE + 1, PLACES, BYTE_DIM)
-        self.bytes.start(byte_counts)
-        self.other_total = float(counts[self.other])
-        self.total, self.distinct = total, distinct
-
-    def ids(self, tokens: list[bytes]) -> np.ndarray:
-        get, other = self.index.get, self.other
-        return np.fromiter((get(w, other) for w in tokens), np.int32, len(tokens))
+        self.size = len(shortlist) + ENDINGS
+        self.words = LogBilinear(self.size, 2, DIM)
+        self.words.start(np.concatenate([counts, class_tokens]))
+        self.whole = np.concatenate([np.zeros(len(shortlist)), class_tokens + class_words + 1])
+
+    def class_of(self, word: bytes) -> int:
+        k = self.index.get(word)
+        return len(self.index) + zlib.crc32(word[-3:]) % ENDINGS if k is None else k
 
     def contexts(self, ids: list[np.ndarray]) -> tuple[np.ndarray, np.ndarray]:
         """Contexts and targets of documents, each with its end already in place; ends stand before a document's start."""
-        end = self.index.get(END, self.other)
+        end = self.class_of(END)
         flat = np.concatenate([np.concatenate([[end, end], x]) for x in ids]).astype(np.int32)
         keep = np.ones(len(flat), bool)
         starts = np.cumsum([0] + [len(x) + 2 for x in ids[:-1]])
@@ -168,33 +155,10 @@ class Model:
         at = np.flatnonzero(keep)
         return np.stack([flat[at - 1], flat[at - 2]], 1), flat[at]
 
-    def spelling(self, own: list[bytes]) -> np.ndarray:
-        """log10 probabilities of words under the byte network."""
-        if not own:
-            return np.zeros(0)
-        h, w, lengths = byte_contexts(own)
-        return np.add.reduceat(self.bytes.log10(h, w), np.cumsum(lengths) - lengths)
-
-    def share(self, own: list[bytes], counts: np.ndarray) -> np.ndarray:
-        """log10 of the share of each word in the class of others."""
-        spelled = 10.0 ** np.maximum(self.spelling(own), -300)
-        n = self.other_total
-        trust = n / (n + 2.0 * max(self.distinct, 1))  # what counts are worth against spelling
-        return np.log10(trust * counts / max(n, 1.0) + (1 - trust) * spelled)
-
-
-def byte_contexts(own: list[bytes]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Contexts and targets of all bytes of words and their ends, and the targets per word."""
-    sizes = np.fromiter(map(len, own), np.int64, len(own))
-    lengths = sizes + 1
-    pad = sizes + PLACES + 1  # edges before, bytes, one edge behind
-    flat = np.full(int(pad.sum()), EDGE, np.int32)
-    begins = np.cumsum(pad) - pad
-    data = np.frombuffer(b"".join(own), np.uint8)
-    into = np.repeat(begins + PLACES, sizes) + np.arange(len(data)) - np.repeat(np.cumsum(sizes) - sizes, sizes)
-    flat[into] = data
-    at = np.repeat(begins + PLACES, lengths) + np.arange(int(lengths.sum())) - np.repeat(np.cumsum(lengths) - lengths, lengths)
-    return np.stack([flat[at - k] for k in range(1, PLACES + 1)], 1), flat[at], lengths
+    def share(self, classes: np.ndarray, counts: np.ndarray) -> np.ndarray:
+        """log10 of each word's share of its class; a frequent token is its class alone."""
+        whole = self.whole[classes]
+        return np.where(whole > 0, np.log10((counts + 1) / np.maximum(whole, 1)), 0.0)
 
 
 def _tokens(text: str | None) -> list[bytes]:
@@ -243,43 +207,27 @@ def _lexicon_rows(dealt: DataFrame) -> DataFrame:
 
 
 def _fit(model: Model, batches: Iterator[pa.RecordBatch], limit: int | None, passes: int = 1) -> int:
-    """Trains both networks on training documents; returns the positions seen. ``limit``: positions to stop after."""
+    """Trains on documents; returns the positions seen. ``limit``: positions to stop after."""
     seen, k = 0, 0
+    known: dict[bytes, int] = {}
     for b in batches:
-        held: list[np.ndarray] = []
-        fresh: set[bytes] = set()
-        n = 0
-
-        def step() -> None:
-            nonlocal k
+        texts = b.column("text").to_pylist()
+        at = 0
+        while at < len(texts):
+            held, n = [], 0
+            while at < len(texts) and n < 200_000:
+                tokens = _tokens(texts[at])
+                for w in set(tokens).difference(known):
+                    known[w] = model.class_of(w)
+                held.append(np.fromiter(map(known.__getitem__, tokens), np.int32, len(tokens)))
+                n, at = n + len(tokens), at + 1
+                if len(known) > 300_000:
+                    known.clear()
             h, w = model.contexts(held)
             order = np.random.default_rng([SEED, k]).permutation(len(w))
-            rate = RATE / (1 + seen / 4e6) if limit is None else RATE
             for p in range(passes):
-                model.words.train(h[order], w[order], rate, SEED + k + p)
-            own = sorted(x for x in fresh if x not in model.index and x != END)
-            if own:
-                h, w, _ = byte_contexts(own)
-                order = np.random.default_rng([SEED, k]).permutation(len(w))
-                for p in range(passes):
-                    model.bytes.train(h[order], w[order], rate, SEED + k + p)
-            k += 1
-
-        for text in b.column("text").to_pylist():
-            tokens = _tokens(text)
-            held.append(model.ids(tokens))
-            fresh.update(tokens)
-            n += len(tokens)
-            if n > 200_000:
-                step()
-                seen, n = seen + n, 0
-                held.clear()
-                fresh.clear()
-                if limit is not None and seen >= limit:
-                    return seen
-        if held:
-            step()
-            seen += n
+                model.words.train(h[order], w[order], RATE, SEED + k + p)
+            seen, k = seen + n, k + 1
             if limit is not None and seen >= limit:
                 return seen
     return seen
@@ -303,7 +251,7 @@ def train(dealt: DataFrame, model: Model) -> Model:
         own: Model = pickle.loads(started.value)
         n = _fit(own, batches, None)
         if n:
-            flat = np.concatenate([own.words.weights(), own.bytes.weights()]).astype(np.float64) * n
+            flat = own.words.weights().astype(np.float64) * n
             yield pa.RecordBatch.from_arrays([pa.array([n], pa.int64()), pa.array([flat.astype(np.float32).tobytes()], pa.binary())], names=["n", "flat"])
 
     def average(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -322,10 +270,7 @@ def train(dealt: DataFrame, model: Model) -> Model:
     found = parts.first()
     out: Model = pickle.loads(started.value)
     if found is not None:
-        flat = np.frombuffer(bytes(found["flat"]), np.float32) / found["n"]
-        size = out.words.weights().size
-        out.words.load(flat[:size])
-        out.bytes.load(flat[size:])
+        out.words.load(np.frombuffer(bytes(found["flat"]), np.float32) / found["n"])
     return out
 
 
@@ -343,13 +288,14 @@ def score(docs: DataFrame, modulus: int = 7, left_out: int = 2, chunk_bytes: int
     total, distinct = known.agg(F.coalesce(F.sum("c"), F.lit(0)), F.count(F.lit(1))).first()
     top = known.orderBy(F.desc("c"), "word").limit(SHORTLIST).collect()
     short = [bytes(r["word"]) for r in top]
-    byte_counts = np.zeros(EDGE + 1)
-    byte_counts[32:127] = 1
-    byte_counts[97:123] = 50
-    byte_counts[128:256] = 2
-    byte_counts[EDGE] = 300
-    listed = sum(r["c"] for r in top)
-    model = Model(short, np.array([r["c"] for r in top] + [total - listed], float), byte_counts, total, distinct - len(top))
+    class_tokens, class_words = np.zeros(ENDINGS), np.zeros(ENDINGS)
+    for r in known.groupBy((F.crc32(F.substring("word", -3, 3)) % ENDINGS).alias("k")).agg(F.sum("c").alias("c"), F.count(F.lit(1)).alias("v")).collect():
+        class_tokens[r["k"]], class_words[r["k"]] = r["c"], r["v"]
+    for r in top:
+        k = zlib.crc32(bytes(r["word"])[-3:]) % ENDINGS
+        class_tokens[k] -= r["c"]
+        class_words[k] -= 1
+    model = Model(short, np.array([r["c"] for r in top], float), class_tokens, class_words)
     shared = spark.sparkContext.broadcast(pickle.dumps(train(dealt, model)))  # under a megabyte, whatever the input's size
 
     # Words that many chunks share meet their count in a join that Spark can split by chunk.
@@ -362,15 +308,8 @@ def score(docs: DataFrame, modulus: int = 7, left_out: int = 2, chunk_bytes: int
         lex = dict(zip(right.column("word").to_pylist(), range(len(right)), strict=True))
         seen = right.column("c").to_numpy().astype(float)
         base = np.log10((seen + 1) / (total + distinct + 1))
-        others = [w for w in lex if w not in own.index]
-        share = np.zeros(len(lex))
-        if others:
-            rows = np.fromiter((lex[w] for w in others), np.int64, len(others))
-            share[rows] = own.share(others, seen[rows])
-        short_of = np.full(len(lex), own.other, np.int32)
-        for w, k in own.index.items():
-            if w in lex:
-                short_of[lex[w]] = k
+        classes = np.fromiter(map(own.class_of, lex), np.int32, len(lex))
+        share = own.share(classes, seen)
         out: dict[str, list] = {c: [] for c in ("n_tokens", "n_known", "base_score", "score")}
         texts = left.column("text").to_pylist()
         at = 0
@@ -381,8 +320,8 @@ def score(docs: DataFrame, modulus: int = 7, left_out: int = 2, chunk_bytes: int
                 held.append(np.fromiter(map(lex.__getitem__, tokens), np.int64, len(tokens)))
                 n, at = n + len(tokens), at + 1
             flat = np.concatenate(held)
-            h, w = own.contexts([short_of[x] for x in held])
-            p = own.words.log10(h, w) + np.where(w == own.other, share[flat], 0)
+            h, w = own.contexts([classes[x] for x in held])
+            p = own.words.log10(h, w) + share[flat]
             starts = np.cumsum([0] + [len(x) for x in held[:-1]])
             out["n_tokens"] += [len(x) for x in held]
             out["n_known"] += np.add.reduceat((seen[flat] > 0).astype(np.int64), starts).tolist()

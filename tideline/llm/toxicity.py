@@ -38,7 +38,7 @@ from tideline.llm.common import map_rows, remainder, sampled
 SAMPLE = 2500
 TERMS, NEIGHBOURS, BLOCK = 512, 15, 64
 #: Least documents that a term of the vocabulary occurs in, and its least chi-squared (a chance of 1 in 1000).
-LEAST, CHI = 5, 10.83
+LEAST, CHI = 3, 10.83
 
 _find = re.compile(r"\w+").findall
 
