@@ -1,0 +1 @@
+"""Association findings from sparse daily series, and corpus preparation, on Spark."""
