@@ -1,6 +1,8 @@
 """The analysis: candidates, nulls, p-values, correction, findings.
 
 Everything is keyed by subject and test; nothing is collected on the driver.
+A test's days are gathered once and persisted, since effects, nulls and
+intervals all read them.
 Each family is one subject's candidates. Intervals come from a bootstrap that
 runs for surviving tests only.
 """
@@ -11,13 +13,14 @@ from dataclasses import dataclass
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.storagelevel import StorageLevel
 
-from tideline.functions.stats import fisher_z, inverse_fisher_z, p_against_null, standardised_difference
+from tideline.functions.stats import fisher_z, inverse_fisher_z, p_against_null
 from tideline.functions.text import direction, lag_phrase, pair_of, rank_score, sentence, strength, two_places
 from tideline.operators.association import GROUP, PAIR, correlation_kind, correlation_rows, group_effects, reverse_checks, spearman, tag_rows, weekday_rows
 from tideline.operators.multiplicity import bh_threshold, strongest, tiers
-from tideline.operators.resample import block_bootstrap, block_null, gathered, rotation_null
-from tideline.operators.windows import average_rank
+from tideline.operators.nulls import block_null, bootstrap_error, rotation_null
+from tideline.operators.resample import gathered
 from tideline.schema import THRESHOLDS, WEEKDAYS, Thresholds
 
 #: 97.5 % point of the normal distribution, for intervals at the display level.
@@ -38,16 +41,17 @@ def correlation_tests(outcomes: DataFrame, predictors: DataFrame, t: Thresholds
     """(candidates, gathered days) of the lagged rank correlations."""
     rows = correlation_rows(outcomes, predictors, t)
     keys = [*PAIR, "test_id"]
-    packed = gathered(rows, keys, ["weekend", "x", "rx", "ry"])
-    tests = spearman(rows, keys).join(rotation_null(packed, keys, t), keys).withColumn("kind", correlation_kind(F.col("predictor"), F.col("lag")))
+    packed = gathered(rows, keys, ["weekend", "x", "rx", "ry"]).persist(StorageLevel.MEMORY_AND_DISK)
+    effects = spearman(packed.select(*keys, F.inline("rows")), keys)
+    tests = effects.join(rotation_null(packed, keys, t), keys).withColumn("kind", correlation_kind(F.col("predictor"), F.col("lag")))
     return tests.withColumns({"grp": F.lit(None).cast("string"), "raw_difference": F.lit(None).cast("double")}).select(*COMMON), packed
 
 
 def group_tests(rows: DataFrame, kind: str, t: Thresholds = THRESHOLDS) -> tuple[DataFrame, DataFrame]:
     """(candidates, gathered days) of group comparisons."""
     keys = [*GROUP, "test_id"]
-    packed = gathered(rows, keys, ["ry", "inside"])
-    tests = group_effects(rows).join(block_null(packed, keys, t), keys)
+    packed = gathered(rows, keys, ["ry", "y", "inside"]).persist(StorageLevel.MEMORY_AND_DISK)
+    tests = group_effects(packed.select(*keys, F.inline("rows"))).join(block_null(packed, keys, t), keys)
     return tests.withColumns({"kind": F.lit(kind), "predictor": F.lit(None).cast("string"), "lag": F.lit(None).cast("int")}).select(*COMMON), packed
 
 
@@ -62,15 +66,7 @@ def intervals(survivors: DataFrame, correlations: DataFrame, groups: DataFrame,
     """(subject_id, test_id, ci_low, ci_high) of surviving tests, by the bootstrap's standard error."""
     keep = survivors.select("subject_id", "test_id")
     keys = ["subject_id", "test_id"]
-    by = [*keys, "rep"]
-    c = block_bootstrap(correlations.join(keep, keys, "left_semi"), keys, "rx", "ry", t.replicates, t.seed)
-    c = c.withColumns({"qa": average_rank("a", by), "qb": average_rank("b", by)})
-    from tideline.functions.stats import pearson
-
-    c = c.groupBy(*by).agg(fisher_z(pearson(F.col("qa"), F.col("qb"))).alias("s"))
-    g = block_bootstrap(groups.join(keep, keys, "left_semi"), keys, "ry", "inside", t.replicates, t.seed)
-    g = g.groupBy(*by).agg(standardised_difference(F.col("a"), F.col("b") == 1).alias("s"))
-    stats = c.unionByName(g).groupBy(*keys).agg(F.count("s").alias("valid"), F.stddev_samp("s").alias("se")).filter((F.col("valid") >= t.replicates // 2) & (F.col("se") > 1e-12))
+    stats = bootstrap_error(correlations.join(keep, keys, "left_semi"), keys, False, t).unionByName(bootstrap_error(groups.join(keep, keys, "left_semi"), keys, True, t))
     found = survivors.join(stats, keys)
     correlation = F.col("grp").isNull()
     centre = F.when(correlation, fisher_z(F.col("effect"))).otherwise(F.col("effect"))
@@ -135,7 +131,7 @@ def candidates(outcomes: DataFrame, predictors: DataFrame, tags: DataFrame, t: T
 def analyse(outcomes: DataFrame, predictors: DataFrame, tags: DataFrame, labels: DataFrame, t: Thresholds = THRESHOLDS) -> Report:
     """The whole analysis of every subject."""
     found, corr_rows, group_rows = candidates(outcomes, predictors, tags, t)
-    tests = scored(found, t)
+    tests = scored(found, t).persist(StorageLevel.MEMORY_AND_DISK)
     kept = tests.filter("confidence IS NOT NULL AND strength IS NOT NULL")
     kept = kept.join(intervals(kept, corr_rows, group_rows, t), ["subject_id", "test_id"])
     kept = kept.join(reverse_checks(outcomes, predictors, t), ["subject_id", "outcome", "predictor", "lag"], "left")
