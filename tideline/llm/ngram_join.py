@@ -9,15 +9,18 @@ fixed size over all documents, so common passages fall behind the prefix.
 
 Small sets enumerate the pairs (``k = 2``) of their prefix; equal pairs make
 candidates. Large sets and the small ones that may link with them enter the
-tokens of their prefix (``k = 1``) into inverted lists, which are scanned. The
+tokens of their prefix (``k = 4``) into inverted lists, which are scanned; a set
+that meets others under fewer than ``k`` of its tokens has no link and goes. The
 boundary between small and large is the size that makes the estimated cost of
 both, rows plus candidates, least; it comes from a histogram by size.
 
-Candidates are checked exactly on whole sets, in two steps that lose no link
-and never emit all pairs of a group: first every member of a list against the
-smallest one in it; then, after components of the links found are known, those
-pairs of a list that are still in different components. Copies and near copies
-fall together in the first step, so the second is left with little.
+Lists are cut into segments of compatible sizes, and segments that begin with
+the same set are one group, so a set meets its mates once however many keys they
+share. A group's whole sets come together in blocks of bounded size, and every
+pair of blocks is checked exactly. Inside, a set that already belongs to the
+group's largest component is not compared again, and only links that join two
+components are returned: no link between components is lost, and neither pairs
+nor links of a group are all emitted.
 
 Defined results: a null or empty text, or one of white space, has an empty set
 and is linked with nothing; a text of one to four words is one shingle; equal
@@ -42,6 +45,8 @@ from tideline.llm.common import Scratch, free_shuffles, map_rows, spark_arrow, w
 from tideline.llm.components import components
 
 SHINGLE = 5
+#: Tokens that linked sets share in the prefixes of inverted lists.
+SHARED = 4
 #: Jaccard threshold as a fraction.
 NUM, DEN = 3, 4
 #: log2 of the sketch's counters; its slices.
@@ -50,6 +55,8 @@ SKETCH, SLICES = 20, 32
 SHORT = 64
 #: What a candidate costs against a signature row, and the list length from which a list is dealt to several tasks.
 CANDIDATE_COST, LONG_LIST = 4.0, 4096
+#: Shingles in a block, about.
+BLOCK_ITEMS = 250_000
 #: Share of a shingle's list that a pair's list is taken to have.
 PAIR_SHARE = 0.02
 _ODD = [np.uint64(x | 1) for x in (0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9, 0x27D4EB2F165667C5, 0xD6E8FEB86659FD93)]
@@ -160,17 +167,18 @@ class _Signer:
 
     def lists(self, s: np.ndarray, c: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
         n = len(s)
-        p = n - needed(n) + 1
-        return s[:p], np.arange(p) < n - needed_up(n) + 1, c[:p]
+        k = min(SHARED, needed(n))
+        p = n - needed(n) + k
+        return s[:p], (np.arange(p) < n - needed_up(n) + k).astype(np.int8), c[:p]
 
     def subsets(self, s: np.ndarray, c: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
         n = len(s)
         i, j = np.triu_indices(n - needed(n) + 2, 1)
         low, high = np.minimum(s[i], s[j]), np.maximum(s[i], s[j])
-        return _mix(low * _ODD[1] + high * _ODD[2]), j < n - needed_up(n) + 2, np.minimum(c[i], c[j])
+        return _mix(low * _ODD[1] + high * _ODD[2]), (2 + (j < n - needed_up(n) + 2)).astype(np.int8), np.minimum(c[i], c[j])
 
     def rows(self, s: np.ndarray) -> list[tuple[np.ndarray, np.ndarray, np.ndarray]]:
-        """(keys, whether the set may be the smaller one there, counts)."""
+        """(keys, flags, counts); flags: 1 where the set may be the smaller one of a pair, 2 for keys of pairs."""
         n = len(s)
         if n < DEN - 1:  # such a set links with equal sets only
             return []
@@ -212,8 +220,8 @@ def _boundary(scanned: DataFrame, sketch) -> int:  # type: ignore[no-untyped-def
 
 
 def _signatures(docs: DataFrame, sketch, boundary: int) -> DataFrame:  # type: ignore[no-untyped-def]
-    """key, deal, node, size, first: the signature rows of each different set, once per task."""
-    schema = "key long, deal int, node long, size int, first boolean"
+    """key, deal, node, size, flags: the signature rows of each different set, once per task."""
+    schema = "key long, deal int, node long, size int, flags byte"
     target = spark_arrow(docs.sparkSession, schema)
 
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -263,33 +271,58 @@ def _runs(batches: Iterator[pa.RecordBatch], columns: list[str]) -> Iterator[lis
         yield rest
 
 
-def _lists(signatures: DataFrame) -> DataFrame:
-    """Rows of keys that two or more sets have; ``leader``: the smallest set of the key that each may link with."""
-    schema = "key long, node long, size int, first boolean, leader long"
+def _groups(signatures: DataFrame, scratch: Scratch) -> DataFrame:
+    """Different (leader, node, size): the sets that share a key and a segment of sizes with ``leader``, it included.
+
+    A segment holds two neighbouring classes of sizes, each a third wider than its start, so two sets that may link are in
+    one segment; it is skipped where the one before holds all of it. A key that was dealt to several tasks has a leader in
+    each; those groups are made one.
+    """
+    schema = "leader long, node long, size int, subset boolean, dealt long"
     target = spark_arrow(signatures.sparkSession, schema)
 
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for key, deal, node, size, first in _runs(batches, ["key", "deal", "node", "size", "first"]):
+        for key, deal, node, size, flags in _runs(batches, ["key", "deal", "node", "size", "flags"]):
             new = np.concatenate([[True], (key[1:] != key[:-1]) | (deal[1:] != deal[:-1])])
             same = np.concatenate([[False], (node[1:] == node[:-1])]) & ~new
-            key, deal, node, size, first, new = (x[~same] for x in (key, deal, node, size, first, new))
-            starts = np.flatnonzero(new)
-            run = np.cumsum(new) - 1
-            counts = np.diff([*starts, len(key)])
-            lead = np.minimum.reduceat(np.where(first, np.arange(len(key)), len(key)), starts)[run]
-            there = lead < len(key)
-            lead = np.where(there, lead, 0)
-            fits = there & (np.arange(len(key)) != lead) & (NUM * size <= DEN * size[lead]) & (size >= size[lead])
-            rows = np.flatnonzero((counts[run] > 1) | (deal > 0))
-            if len(rows):
-                leaders = pa.array(node[lead[rows]], mask=~fits[rows])
-                yield pa.RecordBatch.from_arrays([pa.array(key[rows]), pa.array(node[rows]), pa.array(size[rows].astype(np.int32)), pa.array(first[rows].astype(bool)), leaders], schema=target)
-
-    dealt = signatures.repartition("key", "deal").sortWithinPartitions("key", "deal", "size", "node")
-    return dealt.mapInArrow(work, schema)
-
-
-def _sets(docs: DataFrame, wanted: DataFrame, scratch: Scratch, name: str) -> DataFrame:
+            key, deal, node, size, flags, new = (x[~same] for x in (key, deal, node, size, flags, new))
+            level = np.floor(np.log(size) / np.log(DEN / NUM) + 1e-9).astype(np.int64)
+            slot = (np.cumsum(new) - 1) * 4096 + level  # rows are sorted by size within a run, so slots ascend
+            there = np.unique(slot)
+            has = lambda x: there[np.minimum(np.searchsorted(there, x), len(there) - 1)] == x
+            own = ~has(slot - 1) | has(slot + 1) | (deal > 0)  # else the segment that starts at the row's level is inside the one before
+            before = has(slot - 1) | (deal > 0)
+            rows = np.concatenate([np.flatnonzero(own), np.flatnonzero(before)])
+            segment = np.concatenate([slot[own], slot[before] - 1])
+            order = np.lexsort((rows, segment))
+            rows, segment = rows[order], segment[order]
+            starts = np.flatnonzero(np.concatenate([[True], segment[1:] != segment[:-1]]))
+            counts = np.diff([*starts, len(rows)])
+            useful = (counts > 1) & (np.maximum.reduceat(flags[rows] & 1, starts) > 0) | (deal[rows[starts]] > 0)
+            take = np.repeat(useful, counts)
+            if take.any():
+                leader = np.repeat(node[rows[starts]], counts)[take]
+                at = rows[take]
+                cut = _mix(key[at].view(np.uint64) + (segment[take] % 4096).astype(np.uint64)).view(np.int64)
+                dealt = pa.array(cut, mask=(deal[at] == 0) | (node[at] != leader))
+                yield pa.RecordBatch.from_arrays([pa.array(leader), pa.array(node[at]), pa.array(size[at].astype(np.int32)), pa.array(flags[at] > 1), dealt], schema=target)
+
+    sorted_rows = signatures.repartition("key", "deal").sortWithinPartitions("key", "deal", "size", "node").mapInArrow(work, schema)
+    met = scratch.save(sorted_rows.groupBy("leader", "node", "size", "subset", "dealt").agg(F.count(F.lit(1)).alias("keys")), "met")
+    # What a set's prefix shares with others: a pair key is enough, of single tokens it takes SHARED.
+    least = F.least(F.lit(SHARED), F.ceil(F.col("size") * NUM / DEN))
+    stay = met.groupBy("node").agg(F.max("subset").alias("subset"), F.sum(F.when(~F.col("subset"), F.col("keys"))).alias("keys"), F.max("size").alias("size"))
+    stay = stay.filter(F.col("subset") | (F.col("keys") >= least)).select("node")
+    groups = met.select("leader", "node", "size").distinct().join(stay, "node")
+    parts = met.filter("dealt IS NOT NULL")
+    if not parts.isEmpty():
+        heads = parts.groupBy("dealt").agg(F.min("leader").alias("v"))
+        one = components(parts.join(heads, "dealt").select(F.col("leader").alias("u"), "v"), scratch, "dealt")
+        groups = groups.join(one.select(F.col("node").alias("leader"), "label"), "leader", "left").select(F.coalesce("label", "leader").alias("leader"), "node", "size").distinct()
+    return groups
+
+
+def _sets(docs: DataFrame, wanted: DataFrame) -> DataFrame:
     """(node, items) of the sets whose nodes are in ``wanted``, and of some others.
 
     Which texts to read again is told by a bitmap of 2 ** 23 bits, so no other set is shuffled while few are wanted.
@@ -317,53 +350,76 @@ def _sets(docs: DataFrame, wanted: DataFrame, scratch: Scratch, name: str) -> Da
                     items.append(_signed(s))
             yield {"node": nodes, "items": items}
 
-    return scratch.save(map_rows(docs.select("text"), "node long, items array<long>", work).dropDuplicates(["node"]), name)
-
-
-def _checked(pairs: DataFrame, docs: DataFrame, scratch: Scratch, name: str) -> DataFrame:
-    """The pairs (u, v) whose sets are similar enough, checked on whole sets."""
-    sets = _sets(docs, pairs.select(F.col("u").alias("node")).union(pairs.select("v")), scratch, f"{name}-sets")
-    a, b = sets.select(F.col("node").alias("u"), F.col("items").alias("a")), sets.select(F.col("node").alias("v"), F.col("items").alias("b"))
-    both = F.size(F.array_intersect("a", "b"))
-    similar = DEN * both >= NUM * (F.size("a") + F.size("b") - both)
-    out = scratch.save(pairs.join(b, "v").join(a, "u").filter(similar).select("u", "v"), f"{name}-links")
-    scratch.drop(f"{name}-sets")
-    return out
-
-
-def _across(lists: DataFrame, labels: DataFrame) -> DataFrame:
-    """Pairs (u, v) of sets of one list that may link and are in different components."""
-    known = lists.select("key", "node", "size", "first").join(labels, "node", "left").withColumn("label", F.coalesce("label", "node"))
-    mixed = known.groupBy("key").agg(F.min("label").alias("low"), F.max("label").alias("high")).filter("low <> high").select("key")
-    rows = known.join(mixed, "key").select("key", F.lit(0).alias("deal"), "node", "size", "first", "label")
+    return map_rows(docs.select("text"), "node long, items array<long>", work).dropDuplicates(["node"])
+
+
+def _matched(nodes: np.ndarray, items: list[np.ndarray]) -> tuple[list[int], list[int]]:
+    """Links between sets that join them into components; all links between final components have been looked for."""
+    m, us, vs = len(nodes), [], []
+    sizes = np.fromiter(map(len, items), np.int64, m)
+    flat = np.concatenate(items)
+    codes = np.unique(flat, return_inverse=True)[1].astype(np.int32)
+    starts = np.cumsum(sizes) - sizes
+    mark = np.zeros(int(codes.max()) + 1, np.int64)
+    label, fresh, i = np.arange(m), np.ones(m, bool), 0
+    while True:
+        fresh[i] = False
+        own = codes[starts[i] : starts[i] + sizes[i]]
+        mark[own] = 1
+        both = np.add.reduceat(mark[codes], starts)
+        mark[own] = 0
+        for j in np.flatnonzero((DEN * both >= NUM * (sizes + sizes[i] - both)) & (label != label[i])):
+            if label[j] != label[i]:
+                us.append(int(nodes[i]))
+                vs.append(int(nodes[j]))
+                label[label == label[j]] = label[i]
+        left = np.flatnonzero(fresh & (label != np.bincount(label).argmax()))
+        if not len(left):
+            return us, vs
+        i = int(left[0])
+
+
+def _links(groups: DataFrame, docs: DataFrame) -> DataFrame:
+    """Links (u, v) that join the sets of each group into components."""
+    sets = _sets(docs, groups.select("node"))
+    groups = groups.join(groups.groupBy("leader").count().filter("count > 1").select("leader"), "leader")
+    large = groups.groupBy("leader").agg(F.sum("size").alias("items")).filter(F.col("items") > BLOCK_ITEMS).select("leader", F.ceil(F.col("items") / BLOCK_ITEMS).cast("int").alias("blocks"))
+    rows = groups.join(large, "leader", "left").withColumn("blocks", F.coalesce("blocks", F.lit(1)))
+    own = F.pmod(F.xxhash64("leader", "node"), F.col("blocks")).cast("int")
+    rows = rows.withColumn("own", own).withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
+    rows = rows.select("leader", F.least("own", "other").alias("b1"), F.greatest("own", "other").alias("b2"), "node").join(sets, "node")
     schema = "u long, v long"
-    target = spark_arrow(lists.sparkSession, schema)
+    target = spark_arrow(docs.sparkSession, schema)
 
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for key, _, node, size, first, label in _runs(batches, ["key", "deal", "node", "size", "first", "label"]):
-            us, vs, held = [], [], 0
-            starts = [*np.flatnonzero(np.concatenate([[True], key[1:] != key[:-1]])), len(key)]
-            for lo, hi in zip(starts[:-1], starts[1:], strict=True):
-                s, f, x, own = size[lo:hi], first[lo:hi], label[lo:hi], node[lo:hi]
-                names, counts = np.unique(x, return_counts=True)
-                main = names[counts.argmax()]
-                # The sets outside the commonest component meet all others; those inside it need no pairs among themselves.
-                for i in np.flatnonzero(x != main):
-                    ok = (x != x[i]) & ((x == main) | (np.arange(hi - lo) > i))
-                    low, high = np.minimum(s, s[i]), np.maximum(s, s[i])
-                    ok &= NUM * high <= DEN * low
-                    ok &= np.where(s < s[i], f, np.where(s > s[i], f[i], f & f[i]))
-                    j = np.flatnonzero(ok)
-                    us.append(np.minimum(own[j], own[i]))
-                    vs.append(np.maximum(own[j], own[i]))
-                    held += len(j)
-                    if held > 200_000:
-                        yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(us)), pa.array(np.concatenate(vs))], schema=target)
-                        us, vs, held = [], [], 0
-            if held:
-                yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(us)), pa.array(np.concatenate(vs))], schema=target)
-
-    return rows.repartition("key").sortWithinPartitions("key", "size", "node").mapInArrow(work, schema).distinct()
+        group, nodes, items, us, vs = None, [], [], [], []
+
+        def close() -> None:
+            if len(nodes) > 1:
+                found = _matched(np.array(nodes, np.int64), items)
+                us.extend(found[0])
+                vs.extend(found[1])
+            nodes.clear()
+            items.clear()
+
+        for b in batches:
+            lists = b.column("items")
+            flat, ends = lists.values.to_numpy(), lists.offsets.to_numpy()
+            for k, (leader, b1, b2, node) in enumerate(zip(*(b.column(c).to_pylist() for c in ("leader", "b1", "b2", "node")), strict=True)):
+                if (leader, b1, b2) != group:
+                    close()
+                    group = (leader, b1, b2)
+                if not nodes or nodes[-1] != node:
+                    nodes.append(node)
+                    items.append(flat[ends[k] : ends[k + 1]].copy())
+            if us:
+                yield pa.RecordBatch.from_arrays([pa.array(us, pa.int64()), pa.array(vs, pa.int64())], schema=target)
+                us, vs = [], []
+        close()
+        yield pa.RecordBatch.from_arrays([pa.array(us, pa.int64()), pa.array(vs, pa.int64())], schema=target)
+
+    dealt = rows.repartition("leader", "b1", "b2").sortWithinPartitions("leader", "b1", "b2", F.size("items"), "node")
+    return dealt.mapInArrow(work, schema)
 
 
 def classes(docs: DataFrame, scratch: Scratch) -> DataFrame:
@@ -374,18 +430,11 @@ def classes(docs: DataFrame, scratch: Scratch) -> DataFrame:
     rows = scanned.filter("part = 0").select("doc_id", "n", "node")
     sketch = spark.sparkContext.broadcast(_sketch(scanned))
     boundary = _boundary(scanned, sketch)
-    lists = scratch.save(_lists(_signatures(docs, sketch, boundary)), "lists")
+    groups = scratch.save(_groups(_signatures(docs, sketch, boundary), scratch), "groups")
     free_shuffles(spark)
-    pairs = scratch.save(lists.filter(F.col("leader").isNotNull()).select(F.least("leader", "node").alias("u"), F.greatest("leader", "node").alias("v")).distinct(), "pairs-1")
-    links = _checked(pairs, docs, scratch, "first")
-    labels = scratch.save(components(links, scratch, "stars-1"), "labels-1")
+    labels = scratch.save(components(_links(groups, docs), scratch, "stars"), "labels")
     free_shuffles(spark)
-    more = scratch.save(_across(lists, labels), "pairs-2")
-    if not more.isEmpty():
-        extra = _checked(more.join(pairs, ["u", "v"], "left_anti"), docs, scratch, "second")
-        known = labels.select(F.col("node").alias("u"), F.col("label").alias("v"))
-        labels = scratch.save(components(known.union(extra), scratch, "stars-2"), "labels-2")
-    scratch.drop("lists", "pairs-1", "pairs-2")
+    scratch.drop("groups", "met")
     return rows.join(labels, "node", "left").select("doc_id", "n", "node", F.coalesce("label", "node").alias("label"))
 
 
