@@ -139,7 +139,7 @@ def _sql(shards: int = 8) -> str:
     body = ",\n".join(steps)
     return f"""
 WITH {crc_table},
-d AS (SELECT row_number() OVER () AS rid, doc_id, coalesce(text, '') AS t, coalesce(lang, '') AS l, coalesce(source, '') AS s FROM documents),
+d AS (SELECT row_number() OVER () AS rid, doc_id, coalesce(text, '') AS t, coalesce(lang, '') AS l, coalesce(source, '') AS s, tab FROM documents, crcs),
 m AS MATERIALIZED (SELECT doc_id, CAST(strlen(t) + 1 AS BIGINT) AS size, {crc("t")} AS text_crc32, {crc("l")} AS crc_lang, {crc("s")} AS crc_source,
       {crc("coalesce(CAST(doc_id AS VARCHAR), '')")} AS spread FROM d),
 {body},
@@ -158,5 +158,5 @@ crcs AS MATERIALIZED (SELECT list(v ORDER BY b) AS tab FROM bits)"""
 
 def crc_sql(text: str) -> str:
     data = f"list_transform(range(strlen({text})), lambda k: CAST('0x' || substr(hex(encode({text})), 2 * k + 1, 2) AS BIGINT))"
-    return f"xor(list_reduce(list_prepend(4294967295::BIGINT, {data}), lambda c, x: xor(c >> 8, (SELECT tab FROM crcs)[(xor(c, x) & 255) + 1])), 4294967295)"
+    return f"xor(list_reduce(list_prepend(4294967295::BIGINT, {data}), lambda c, x: xor(c >> 8, tab[(xor(c, x) & 255) + 1])), 4294967295)"
 ORACLE_SQL = _sql()
