@@ -59,7 +59,9 @@ THRESHOLDS = Thresholds()
 class Settings:
     """Preferences with their defaults."""
 
-    reminder_hour: int = 20
+    reminder_enabled: bool = True
+    reminder_hour: int = 21
     reminder_minute: int = 0
-    reminder_enabled: bool = False
+    midday_reminder_enabled: bool = False
+    midday_reminder_hour: int = 13
     late_night_hour: int = 23
