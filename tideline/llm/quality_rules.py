@@ -115,9 +115,7 @@ def _judged(df: DataFrame, rules: tuple[Rule, ...]) -> DataFrame:
     for rule in rules:
         verdict = verdict & rule.passed()
     failed = F.filter(F.array(*[F.when(~r.passed(), F.lit(r.name)) for r in rules]), lambda x: x.isNotNull())
-    # The last condition always holds. As it is not deterministic, a filter on the verdict stays above the projections
-    # instead of being pushed through them, which would write the steps into one another and repeat them for each element.
-    kept = ~base & verdict & (F.rand(0) >= 0)
+    kept = ~base & verdict
     return df.select("*", base.alias("base_failed"), kept.alias("kept"), failed.alias("failed_rules"))
 
 
@@ -130,7 +128,10 @@ def measure(docs: DataFrame, text: str = "text", keys: tuple[str, ...] = ("doc_i
 def keep_documents(docs: DataFrame, text: str = "text", rules: tuple[Rule, ...] = RULES) -> DataFrame:
     """The documents that pass, with all their columns."""
     packed = docs.select(F.struct("*").alias("__row"), F.col(text).alias("__text"))
-    return _judged(_measured(packed), rules).filter("kept").select("__row.*")
+    judged = _judged(_measured(packed), rules).select(F.struct("__row", "kept").alias("__judged"))
+    # A filter is not pushed through a generator. Without one it would go through the projections, which would write
+    # their steps into one another and repeat them for each element of an array.
+    return judged.select(F.explode(F.array("__judged")).alias("__judged")).filter("__judged.kept").select("__judged.__row.*")
 
 
 _OUT = ("n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept", "n_lines", "n_capitals", "n_exclamations", "n_stop_words", "failed_rules")
