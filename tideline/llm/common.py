@@ -86,12 +86,19 @@ def partitions(spark: SparkSession) -> int:
     return int(spark.conf.get("spark.sql.shuffle.partitions"))
 
 
+def slices(batches: Iterator[pa.RecordBatch], rows: int = 1000) -> Iterator[pa.RecordBatch]:
+    """Batches of at most ``rows`` rows, so that few texts at a time become Python objects."""
+    for b in batches:
+        for at in range(0, len(b), rows):
+            yield b.slice(at, rows)
+
+
 def map_rows(df: DataFrame, schema: str, work: Callable[[Iterator[dict[str, list]]], Iterator[dict[str, list]]]) -> DataFrame:
     """``mapInArrow`` over dictionaries of column lists. ``work`` yields dictionaries of lists or Arrow arrays."""
     target = spark_arrow(df.sparkSession, schema)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for out in work({n: b.column(i).to_pylist() for i, n in enumerate(b.schema.names)} for b in batches):
+        for out in work({n: b.column(i).to_pylist() for i, n in enumerate(b.schema.names)} for b in slices(batches)):
             yield pa.RecordBatch.from_arrays([out[f.name] if isinstance(out[f.name], pa.Array) else pa.array(out[f.name], f.type) for f in target], schema=target)
 
     return df.mapInArrow(run, schema)

@@ -18,7 +18,9 @@ table; very long texts are cut into many pieces; further columns are ignored.
 
 from __future__ import annotations
 
+import unicodedata
 import zlib
+from array import array
 from collections.abc import Iterator
 
 import numpy as np
@@ -32,31 +34,74 @@ from tideline.llm.sharding import hilbert_table
 LENGTH, END = 4096, 2
 HASHED, DIMENSIONS, BITS, SEED = 512, 3, 4, 11
 #: Parts that a worker remembers.
-CACHE = 400_000
+CACHE = 500_000
+
+
+def _byte_letters() -> dict[int, str]:
+    """The letters that byte-level vocabularies write bytes with: printable ones as themselves, the others from 256 on."""
+    shown = [*range(33, 127), *range(161, 173), *range(174, 256)]
+    hidden = [b for b in range(256) if b not in shown]
+    return {b: chr(b) for b in shown} | {b: chr(256 + k) for k, b in enumerate(hidden)}
 
 
 class Tokens:
     """Ids of texts, by the tokenizer file in ``path``; one per worker process."""
 
     def __init__(self, path: str):
+        import os
+
+        os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")
+        os.environ.setdefault("RAYON_NUM_THREADS", "1")
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_file(path)
         self.tokenizer.encode_special_tokens = True
+        self.model, self.letters = self.tokenizer.model, _byte_letters()
         self.cache: dict[bytes, bytes] = {}
 
+    def _whole(self, part: bytes) -> bytes | None:
+        """Ids of a single lower-case word of Latin letters, which the vocabulary's rules leave whole; None for others."""
+        if not part.isalpha():  # that is, ASCII letters only
+            word = part.decode("utf-8", "replace")
+            if not word.isalpha() or max(word) > "\u017f" or "\u0130" in word or not unicodedata.is_normalized("NFC", word):
+                return None
+            part = word.lower().encode()
+        return array("H", [t.id for t in self.model.tokenize(part.decode("latin-1").translate(self.letters))]).tobytes()
+
+    def _learn(self, fresh: list[bytes]) -> None:
+        """White space parts words, and so does the step from a letter to punctuation."""
+        known, rest = self.cache, []
+        for p in fresh:
+            core = p.rstrip(b".,!?;:")
+            tail = p[len(core) :]
+            if core and tail and (97 <= core[-1] <= 122):
+                ids = known.get(core) or self._whole(core)
+                end = known.get(tail)
+                if ids is not None:
+                    known[core] = ids
+                    if end is None:
+                        end = known[tail] = array("H", self.tokenizer.encode(tail.decode(), add_special_tokens=False).ids).tobytes()
+                    known[p] = ids + end
+                    continue
+            ids = self._whole(p)
+            if ids is None:
+                rest.append(p)
+            else:
+                known[p] = ids
+        for at in range(0, len(rest), 1000):
+            part = rest[at : at + 1000]
+            for p, e in zip(part, self.tokenizer.encode_batch_fast([p.decode("utf-8", "replace") for p in part], add_special_tokens=False), strict=True):
+                known[p] = array("H", e.ids).tobytes()
+
     def encode(self, texts: list[str | None]) -> list[np.ndarray]:
-        cut = [(t or "").encode("utf-8", "surrogatepass").split() for t in texts]
+        cut = [(t or "").encode("utf-8", "surrogatepass").lower().split() for t in texts]  # the vocabulary is of lower case
         known = self.cache
         fresh = list({p for parts in cut for p in parts if p not in known})
-        if len(known) + len(fresh) > CACHE:
+        if len(known) + 2 * len(fresh) > CACHE:
             known.clear()
             fresh = list({p for parts in cut for p in parts})
-        for at in range(0, len(fresh), 10_000):
-            part = fresh[at : at + 10_000]
-            for p, e in zip(part, self.tokenizer.encode_batch_fast([p.decode("utf-8", "replace") for p in part], add_special_tokens=False), strict=True):
-                known[p] = np.array(e.ids, "<u2").tobytes()
-        return [np.frombuffer(b"".join(map(known.__getitem__, parts)), "<u2") for parts in cut]
+        self._learn(fresh)
+        return [np.frombuffer(b"".join(map(known.__getitem__, parts)), np.uint16) for parts in cut]
 
 
 _tokens: dict[str, Tokens] = {}
@@ -118,6 +163,7 @@ def _cut(docs: DataFrame, path: str | None, length: int, end: int, sub_rows: int
                 raw = [x.tobytes() for x in ids]
                 yield {"doc_id": b["doc_id"][at:stop], "hilbert": [curve_cell(x) for x in ids], "n": [len(x) + 1 for x in ids], "spread": [zlib.crc32(x) for x in raw], "ids": raw}
                 at = stop
+        own.cache.clear()  # the worker process goes on to steps that need the memory
 
     rows = scratch.save(map_rows(docs.select("doc_id", "text"), f"doc_id {kind}, hilbert int, n long, spread long, ids binary", encode), "ids")
     # Equal texts share a hash of their ids, so large cells are cut by one that takes the document's id in.
