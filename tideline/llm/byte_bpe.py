@@ -16,6 +16,7 @@ from __future__ import annotations
 
 import base64
 import hashlib
+import re
 from collections.abc import Iterator
 
 import numpy as np
@@ -24,26 +25,26 @@ from pyspark.sql import DataFrame, SparkSession
 
 from tideline.llm.common import map_rows
 
-#: Pieces that a worker remembers, and pieces that go into one recursive query.
-CACHE, BATCH = 400_000, 20_000
+#: Pieces and parts that a worker remembers, and pieces that go into one recursive query.
+CACHE, PARTS, BATCH = 1_200_000, 400_000, 20_000
 #: Ids that go into one decoding query.
 SLICE = 1_000_000
 
+#: The state is kept by (piece, position): a contraction gives the left position the merged token and the right one -1.
+#: A step goes on with the pieces that were contracted in the step before.
 ENCODE = """
-WITH RECURSIVE run(w, i, tok, step) AS (
-    SELECT w, i, tok, 0 FROM positions
+WITH RECURSIVE run(w, i, tok) USING KEY (w, i) AS (
+    SELECT w, i, tok FROM positions
   UNION ALL
     (WITH pairs AS (
-        SELECT w, i, tok, step, lead(tok) OVER s AS nxt, lag(tok) OVER s AS prv, row_number() OVER s AS k
-        FROM run WINDOW s AS (PARTITION BY w ORDER BY i)),
+        SELECT w, i, tok, lead(tok) OVER s AS nxt, lead(i) OVER s AS gone FROM run WHERE tok >= 0 WINDOW s AS (PARTITION BY w ORDER BY i)),
      ranked AS (
-        SELECT p.w, p.i, p.tok, p.step, p.k, m.id AS merged FROM pairs p LEFT JOIN merges m ON p.tok = m.a AND p.nxt = m.b),
+        SELECT p.w, (m.id::BIGINT << 32) + p.i AS place, p.gone FROM pairs p JOIN merges m ON p.tok = m.a AND p.nxt = m.b WHERE p.nxt IS NOT NULL),
      best AS (
-        SELECT w, arg_min(k, merged::BIGINT << 32 | k) AS k FROM ranked WHERE merged IS NOT NULL GROUP BY w)
-     SELECT r.w, r.i, CASE WHEN r.k = b.k THEN r.merged ELSE r.tok END, r.step + 1
-     FROM ranked r JOIN best b ON r.w = b.w WHERE r.k <> b.k + 1))
-SELECT w, list(tok ORDER BY i) AS ids
-FROM (SELECT *, max(step) OVER (PARTITION BY w) AS last FROM run) WHERE step = last GROUP BY w
+        SELECT w, min(place) AS place, arg_min(gone, place) AS gone FROM ranked GROUP BY w)
+     SELECT p.w, p.i, CASE WHEN p.i = b.place & 4294967295 THEN (b.place >> 32)::INTEGER WHEN p.i = b.gone THEN -1 ELSE p.tok END
+     FROM pairs p JOIN best b ON p.w = b.w))
+SELECT w, list(tok ORDER BY i) AS ids FROM run WHERE tok >= 0 GROUP BY w
 """
 
 DECODE = """
@@ -51,6 +52,21 @@ SELECT t.doc, string_agg(v.hex, '' ORDER BY t.pos) AS hex FROM tokens t JOIN voc
 """
 
 
+_beside = re.compile(r" \s|\s ").search
+
+
+def _parts(text: str) -> list[str]:
+    """Cuts a text before each space, where no match of the pattern can reach over.
+
+    That holds where a single space parts other characters, since a match has a space at its start
+    or is white space throughout; texts with other white space beside a space stay whole.
+    """
+    if _beside(text):
+        return [text]
+    first, *rest = text.split(" ")
+    return [first, *[" " + p for p in rest]] if first else [" " + p for p in rest]
+
+
 class Codec:
     """Encodes and decodes with the ranks in ``path``; one per worker process."""
 
@@ -61,7 +77,8 @@ class Codec:
         with open(path, "rb") as f:
             self.ranks = {base64.b64decode(a): int(b) for a, b in (line.split() for line in f if line.strip())}
         self.find = regex.compile(pattern).findall
-        self.cache: dict[str, bytes] = {}
+        self.cache: dict[str, bytes] = {}  # of the pattern's matches
+        self.parts: dict[str, bytes] = {}  # of runs of matches, see _parts
         self.db = duckdb.connect(config={"threads": 1, "memory_limit": "400MB"})
         merges = [(self.ranks[t[:k]], self.ranks[t[k:]], r) for t, r in self.ranks.items() for k in range(1, len(t)) if t[:k] in self.ranks and t[k:] in self.ranks]
         a, b, r = (pa.array(x, pa.int32()) for x in zip(*merges, strict=True))
@@ -87,7 +104,7 @@ class Codec:
             data = np.frombuffer(b"".join(r for _, r in part), np.uint8)
             starts = np.cumsum(sizes) - sizes
             positions = pa.table({"w": np.repeat(np.arange(len(part), dtype=np.int32), sizes), "i": (np.arange(len(data)) - np.repeat(starts, sizes)).astype(np.int32), "tok": self.byte_ids[data]})  # noqa: F841
-            out = self.db.execute(ENCODE).to_arrow_table()
+            out = self.db.sql(ENCODE).to_arrow_table()
             ids = out.column("ids").combine_chunks()
             flat, ends = ids.values.to_numpy().astype("<u4").tobytes(), ids.offsets.to_numpy()
             for w, lo, hi in zip(out.column("w").to_pylist(), ends[:-1].tolist(), ends[1:].tolist(), strict=True):
@@ -101,19 +118,29 @@ class Codec:
             cut: list[list[str]] = []
             held = 0
             while at < len(texts) and (not cut or held < 400_000):
-                cut.append(self.find(texts[at] or ""))
+                cut.append(_parts(texts[at] or ""))
                 held += len(cut[-1])
                 at += 1
-            known = self.cache
-            fresh = list({p for pieces in cut for p in pieces if p not in known})
-            if len(known) + len(fresh) > CACHE:
+            known = self.parts
+            fresh = list({p for parts in cut for p in parts if p not in known})
+            if len(known) + len(fresh) > PARTS:
                 known.clear()
-                fresh = list({p for pieces in cut for p in pieces})
-            if fresh:
-                self.learn(fresh)
-            out += [b"".join(map(known.__getitem__, pieces)) for pieces in cut]
+                fresh = list({p for parts in cut for p in parts})
+            self._learn_parts(fresh)
+            out += [b"".join(map(known.__getitem__, parts)) for parts in cut]
         return out
 
+    def _learn_parts(self, fresh: list[str]) -> None:
+        pieces, found = self.cache, [self.find(p) for p in fresh]
+        new = list({x for xs in found for x in xs if x not in pieces})
+        if len(pieces) + len(new) > CACHE:
+            pieces.clear()
+            new = list({x for xs in found for x in xs})
+        if new:
+            self.learn(new)
+        for p, xs in zip(fresh, found, strict=True):
+            self.parts[p] = pieces[xs[0]] if len(xs) == 1 else b"".join(map(pieces.__getitem__, xs))
+
     def decode(self, ids: list[bytes]) -> list[bytes]:
         out = [b""] * len(ids)
         at = 0

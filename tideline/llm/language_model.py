@@ -16,9 +16,12 @@ refines its own copy on all its training documents and the copies are averaged
 by tokens. Scoring finds the different contexts of a chunk and normalises them
 by batched matrix products.
 
-Documents meet counts by chunks: texts are dealt into chunks by a hash of the
-row, each chunk's different words are counted over the corpus and come back as
-the chunk's lexicon. No vocabulary is broadcast, and no step holds all of it.
+Documents meet counts by chunks: each task cuts its texts into chunks and writes
+each as one row of token numbers and the chunk's own lexicon, so texts are read
+and cut into words once. The lexicons' words are counted over the corpus and the
+counts come back to each chunk in the lexicon's order. No vocabulary is
+broadcast, and no step holds all of it. Words are told apart by 64-bit hashes
+where they are counted.
 
 Defined results: a null text counts as empty, whose only token is the end;
 repeated rows are separate documents; without training documents counts are
@@ -30,20 +33,22 @@ from __future__ import annotations
 
 import pickle
 import zlib
-from collections import Counter
 from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession
+import xxhash
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from tideline.llm.common import Scratch, free_shuffles, remainder, spark_arrow, words
+from tideline.llm.common import Scratch, free_shuffles, remainder, slices, spark_arrow, words
 
 #: Frequent tokens and classes of other words in the softmax; embedding size; noise samples of a batch.
-SHORTLIST, ENDINGS, DIM, NOISE = 511, 128, 16, 64
+SHORTLIST, ENDINGS, DIM, NOISE = 511, 128, 16, 32
 #: Positions of a training batch, positions of the start's fit, learning rate.
-BATCH, START, RATE, SEED = 2048, 600_000, 0.1, 3
+BATCH, START, RATE, SEED = 1024, 600_000, 0.1, 3
+#: Positions that the start's fit goes over in all, and its most passes.
+START_ALL, PASSES = 3_000_000, 10
 #: Bytes of text in a chunk, about, and the end token, which no word equals.
 CHUNK_BYTES, END = 4_000_000, b"\n"
 
@@ -125,7 +130,7 @@ class LogBilinear:
 
 def _scatter(out: np.ndarray, rows: np.ndarray, values: np.ndarray) -> None:
     """Adds rows of values, by one sort of the row numbers."""
-    order = np.argsort(rows, kind="stable")
+    order = np.argsort(rows.astype(np.uint16), kind="stable")  # a radix sort at this width
     own = rows[order]
     starts = np.flatnonzero(np.concatenate([[True], own[1:] != own[:-1]]))
     out[own[starts]] += np.add.reduceat(values[order], starts, 0)
@@ -145,15 +150,16 @@ class Model:
         k = self.index.get(word)
         return len(self.index) + zlib.crc32(word[-3:]) % ENDINGS if k is None else k
 
-    def contexts(self, ids: list[np.ndarray]) -> tuple[np.ndarray, np.ndarray]:
-        """Contexts and targets of documents, each with its end already in place; ends stand before a document's start."""
+    def contexts(self, flat: np.ndarray, sizes: np.ndarray) -> np.ndarray:
+        """The classes before each token; before a document stand two ends."""
         end = self.class_of(END)
-        flat = np.concatenate([np.concatenate([[end, end], x]) for x in ids]).astype(np.int32)
-        keep = np.ones(len(flat), bool)
-        starts = np.cumsum([0] + [len(x) + 2 for x in ids[:-1]])
-        keep[starts] = keep[starts + 1] = False
-        at = np.flatnonzero(keep)
-        return np.stack([flat[at - 1], flat[at - 2]], 1), flat[at]
+        out = np.empty((len(flat), 2), np.int32)
+        out[1:, 0], out[2:, 1] = flat[:-1], flat[:-2]
+        starts = np.cumsum(sizes) - sizes
+        out[starts] = end
+        second = starts[sizes > 1] + 1
+        out[second, 1] = end
+        return out
 
     def share(self, classes: np.ndarray, counts: np.ndarray) -> np.ndarray:
         """log10 of each word's share of its class; a frequent token is its class alone."""
@@ -165,87 +171,168 @@ def _tokens(text: str | None) -> list[bytes]:
     return [*words(text), END]
 
 
-def _dealt(docs: DataFrame, scratch: Scratch, chunks: int, modulus: int, left_out: int) -> DataFrame:
-    """row, doc_id, text, held_out, chunk, dealt out by chunk and written to the shared folder."""
-    rows = docs.select(
-        "doc_id", "text", (remainder("doc_id", modulus) == left_out).alias("held_out"), F.pmod(F.xxhash64("doc_id", "text"), F.lit(chunks)).cast("int").alias("chunk")
-    )
-    return scratch.save(rows.repartition("chunk"), "dealt")
+def _chunks(docs: DataFrame, modulus: int, left_out: int, chunk_bytes: int) -> DataFrame:
+    """One row per chunk: its documents' ids, folds and token counts, their tokens as numbers, and the lexicon of those numbers."""
+    kind = docs.schema["doc_id"].dataType.simpleString()
+    schema = f"chunk long, doc_ids array<{kind}>, held array<boolean>, sizes array<int>, tokens binary, words binary, counts binary"
+    target = spark_arrow(docs.sparkSession, schema)
+    rows = docs.select("doc_id", "text", (remainder("doc_id", modulus) == left_out).alias("held"))
+
+    def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        from pyspark import TaskContext
+
+        chunk, size = TaskContext.get().partitionId() << 32, 0
+        ids, folds, sizes, parts, lexicon = [], [], [], [], _Lexicon()
+
+        def row() -> pa.RecordBatch:
+            flat = np.concatenate(parts)
+            train = np.repeat(~np.array(folds, bool), sizes)
+            counts = np.bincount(flat[train], minlength=len(lexicon)).astype("<i8")
+            values = [[chunk], [ids], [folds], [sizes], [flat.astype("<u4").tobytes()], [b" ".join(lexicon)], [counts.tobytes()]]
+            return pa.RecordBatch.from_arrays([pa.array(v, f.type) for v, f in zip(values, target, strict=True)], schema=target)
+
+        for b in slices(batches):
+            for doc, text, held in zip(*(b.column(c).to_pylist() for c in ("doc_id", "text", "held")), strict=True):
+                tokens = _tokens(text)
+                own = np.fromiter(map(lexicon.__getitem__, tokens), np.uint32, len(tokens))
+                ids.append(doc)
+                folds.append(held)
+                sizes.append(len(own))
+                parts.append(own)
+                size += len(text or "") + 1
+                if size > chunk_bytes:
+                    yield row()
+                    chunk, size = chunk + 1, 0
+                    ids, folds, sizes, parts, lexicon = [], [], [], [], _Lexicon()
+        if ids:
+            yield row()
+
+    return rows.mapInArrow(work, schema)
+
+
+class _Lexicon(dict):
+    """Numbers words in the order of their first use."""
+
+    def __missing__(self, word: bytes) -> int:
+        self[word] = n = len(self)
+        return n
+
+
+def _words(raw: bytes) -> list[bytes]:
+    """A lexicon's words; no word holds a space, and the end token is one of them."""
+    return raw.split(b" ")
+
+
+def _counted(chunks: DataFrame) -> DataFrame:
+    """chunk, place, hash, ending, c, head: the corpus count of each word of each lexicon; ``head`` marks one row per word."""
+    schema = "chunk long, place int, hash long, ending short, n long"
+    target = spark_arrow(chunks.sparkSession, schema)
+
+    def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        digest, crc = xxhash.xxh3_64_intdigest, zlib.crc32
+        for b in batches:
+            for chunk, raw, counts in zip(*(b.column(c).to_pylist() for c in ("chunk", "words", "counts")), strict=True):
+                own = _words(raw)
+                n = np.frombuffer(counts, "<i8")
+                for at in range(0, len(own), 50_000):
+                    part = own[at : at + 50_000]
+                    h = np.fromiter(map(digest, part), np.uint64, len(part)).view(np.int64)
+                    e = np.fromiter((crc(w[-3:]) % ENDINGS for w in part), np.int16, len(part))
+                    place = np.arange(at, at + len(part), dtype=np.int32)
+                    yield pa.RecordBatch.from_arrays([pa.array(np.full(len(part), chunk)), pa.array(place), pa.array(h), pa.array(e), pa.array(n[at : at + len(part)])], schema=target)
+
+    w = Window.partitionBy("hash")
+    rows = chunks.select("chunk", "words", "counts").mapInArrow(work, schema)
+    return rows.withColumns({"head": F.row_number().over(w.orderBy("chunk")) == 1, "c": F.sum("n").over(w)}).drop("n")
+
+
+def _spelled(chunks: DataFrame, hashes: list[int]) -> dict[int, bytes]:
+    """The words of a bounded number of hashes."""
+    wanted = set(hashes)
+
+    def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        found = {}
+        for b in batches:
+            for raw in b.column("words").to_pylist():
+                for w in _words(raw):
+                    h = int(np.uint64(xxhash.xxh3_64_intdigest(w)).view(np.int64))
+                    if h in wanted and h not in found:
+                        found[h] = w
+                if len(found) == len(wanted):
+                    break
+            if len(found) == len(wanted):
+                break
+        yield pa.RecordBatch.from_arrays([pa.array(list(found), pa.int64()), pa.array(list(found.values()), pa.binary())], names=["hash", "word"])
 
+    rows = chunks.select("words").mapInArrow(work, "hash long, word binary").groupBy("hash").agg(F.min("word").alias("word")).collect()  # len(hashes) rows at most
+    return {r["hash"]: bytes(r["word"]) for r in rows}
 
-def _lexicon_rows(dealt: DataFrame) -> DataFrame:
-    """chunk, word, n: the different words of each chunk, and how often training documents of the chunk have them."""
-    schema = "chunk int, word binary, n long"
-    target = spark_arrow(dealt.sparkSession, schema)
+
+def _chunk_counts(counted: DataFrame) -> DataFrame:
+    """chunk, c: the counts of each chunk's lexicon, in its order."""
+    target = spark_arrow(counted.sparkSession, "chunk long, c binary")
 
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        def out() -> Iterator[pa.RecordBatch]:
-            for chunk in sorted(seen):
-                own = seen[chunk]
-                keys = list(own)
-                for at in range(0, len(keys), 50_000):
-                    part = keys[at : at + 50_000]
-                    yield pa.RecordBatch.from_arrays([pa.array([chunk] * len(part), pa.int32()), pa.array(part, pa.binary()), pa.array([own[w] for w in part], pa.int64())], schema=target)
-            seen.clear()
-
-        seen: dict[int, Counter] = {}
+        now, parts = None, []
+
+        def out() -> pa.RecordBatch:
+            return pa.RecordBatch.from_arrays([pa.array([now]), pa.array([np.concatenate(parts).astype("<i8").tobytes()])], schema=target)
+
         for b in batches:
-            for text, held, chunk in zip(*(b.column(c).to_pylist() for c in ("text", "held_out", "chunk")), strict=True):
-                own = seen.setdefault(chunk, Counter())
-                if held:
-                    for w in _tokens(text):
-                        own.setdefault(w, 0)
-                else:
-                    own.update(_tokens(text))
-                if len(own) > 400_000 or len(seen) > 64:
-                    yield from out()
-            if sum(map(len, seen.values())) > 1_000_000:
-                yield from out()
-        yield from out()
-
-    return dealt.select("text", "held_out", "chunk").mapInArrow(work, schema).groupBy("chunk", "word").agg(F.sum("n").alias("n"))
+            chunk, c = b.column("chunk").to_numpy(), b.column("c").to_numpy()
+            cuts = [0, *(np.flatnonzero(chunk[1:] != chunk[:-1]) + 1), len(chunk)]
+            for lo, hi in zip(cuts[:-1], cuts[1:], strict=True):
+                if lo == hi:
+                    continue
+                if now is not None and chunk[lo] != now:
+                    yield out()
+                    parts = []
+                now = int(chunk[lo])
+                parts.append(c[lo:hi].copy())
+        if now is not None:
+            yield out()
+
+    return counted.select("chunk", "place", "c").repartition("chunk").sortWithinPartitions("chunk", "place").mapInArrow(work, "chunk long, c binary")
 
 
 def _fit(model: Model, batches: Iterator[pa.RecordBatch], limit: int | None, passes: int = 1) -> int:
-    """Trains on documents; returns the positions seen. ``limit``: positions to stop after."""
+    """Trains on the training documents of chunks; returns the positions seen. ``limit``: positions to stop after."""
     seen, k = 0, 0
-    known: dict[bytes, int] = {}
     for b in batches:
-        texts = b.column("text").to_pylist()
-        at = 0
-        while at < len(texts):
-            held, n = [], 0
-            while at < len(texts) and n < 200_000:
-                tokens = _tokens(texts[at])
-                for w in set(tokens).difference(known):
-                    known[w] = model.class_of(w)
-                held.append(np.fromiter(map(known.__getitem__, tokens), np.int32, len(tokens)))
-                n, at = n + len(tokens), at + 1
-                if len(known) > 300_000:
-                    known.clear()
-            h, w = model.contexts(held)
-            order = np.random.default_rng([SEED, k]).permutation(len(w))
+        for held, sizes, tokens, words_ in zip(*(b.column(c).to_pylist() for c in ("held", "sizes", "tokens", "words")), strict=True):
+            own = _words(words_)
+            classes = np.fromiter(map(model.class_of, own), np.int32, len(own))
+            keep = ~np.array(held, bool)
+            sizes = np.array(sizes)
+            flat = classes[np.frombuffer(tokens, "<u4")[np.repeat(keep, sizes)]]
+            if not len(flat):
+                continue
+            h = model.contexts(flat, sizes[keep])
+            order = np.random.default_rng([SEED, k]).permutation(len(flat))
+            if limit is not None:
+                order = order[: limit - seen]
             for p in range(passes):
-                model.words.train(h[order], w[order], RATE, SEED + k + p)
-            seen, k = seen + n, k + 1
+                model.words.train(h[order], flat[order], RATE, SEED + k + p)
+            seen, k = seen + len(order), k + 1
             if limit is not None and seen >= limit:
                 return seen
     return seen
 
 
-def train(dealt: DataFrame, model: Model) -> Model:
+def train(chunks: DataFrame, model: Model, total: int) -> Model:
     """Fits the start on a bounded batch, then averages what every task makes of it on all its training documents."""
-    spark = dealt.sparkSession
-    rows = dealt.filter(~F.col("held_out")).select("text")
+    spark = chunks.sparkSession
+    rows = chunks.select("held", "sizes", "tokens", "words")
     raw = pickle.dumps(model)
+    passes = max(1, min(PASSES, START_ALL // max(1, min(START, total))))
 
     def begin(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         own: Model = pickle.loads(raw)
-        _fit(own, batches, START, passes=4)
+        _fit(own, batches, START, passes=passes)
         yield pa.RecordBatch.from_arrays([pa.array([pickle.dumps(own)], pa.binary())], names=["model"])
 
-    found = rows.filter(F.length(F.trim("text")) > 0).limit(4000).repartition(1).mapInArrow(begin, "model binary").first()
-    started = spark.sparkContext.broadcast(bytes(found[0]))  # under a megabyte, whatever the input's size
+    found = rows.limit(2).coalesce(1).mapInArrow(begin, "model binary").first()
+    started = spark.sparkContext.broadcast(raw if found is None else bytes(found[0]))  # under a megabyte, whatever the input's size
 
     def refine(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         own: Model = pickle.loads(started.value)
@@ -279,58 +366,46 @@ def score(docs: DataFrame, modulus: int = 7, left_out: int = 2, chunk_bytes: int
     spark = docs.sparkSession
     scratch = Scratch(spark, "language-model")
     kind = docs.schema["doc_id"].dataType.simpleString()
-    size = docs.agg(F.sum(F.octet_length(F.coalesce("text", F.lit(""))).cast("long"))).first()[0] or 0
-    dealt = _dealt(docs, scratch, int(size // chunk_bytes) + 1, modulus, left_out)
+    schema = f"doc_id {kind}, held_out boolean, n_tokens long, n_known long, train_tokens long, base_score double, score double"
+    chunks = scratch.save(_chunks(docs, modulus, left_out, chunk_bytes), "chunks")
+    counted = scratch.save(_counted(chunks), "counted")
     free_shuffles(spark)
-    lexicon = scratch.save(_lexicon_rows(dealt), "lexicon")
-    counts = scratch.save(lexicon.groupBy("word").agg(F.sum("n").alias("c")), "counts")
-    known = counts.filter("c > 0")
+    known = counted.filter("head AND c > 0")
     total, distinct = known.agg(F.coalesce(F.sum("c"), F.lit(0)), F.count(F.lit(1))).first()
-    top = known.orderBy(F.desc("c"), "word").limit(SHORTLIST).collect()
-    short = [bytes(r["word"]) for r in top]
+    top = known.select("hash", "c").orderBy(F.desc("c"), "hash").limit(SHORTLIST).collect()
+    spelled = _spelled(chunks, [r["hash"] for r in top])
+    short = [spelled[r["hash"]] for r in top]
     class_tokens, class_words = np.zeros(ENDINGS), np.zeros(ENDINGS)
-    for r in known.groupBy((F.crc32(F.substring("word", -3, 3)) % ENDINGS).alias("k")).agg(F.sum("c").alias("c"), F.count(F.lit(1)).alias("v")).collect():
-        class_tokens[r["k"]], class_words[r["k"]] = r["c"], r["v"]
-    for r in top:
-        k = zlib.crc32(bytes(r["word"])[-3:]) % ENDINGS
+    for r in known.groupBy("ending").agg(F.sum("c").alias("c"), F.count(F.lit(1)).alias("v")).collect():
+        class_tokens[r["ending"]], class_words[r["ending"]] = r["c"], r["v"]
+    for w, r in zip(short, top, strict=True):
+        k = zlib.crc32(w[-3:]) % ENDINGS
         class_tokens[k] -= r["c"]
         class_words[k] -= 1
     model = Model(short, np.array([r["c"] for r in top], float), class_tokens, class_words)
-    shared = spark.sparkContext.broadcast(pickle.dumps(train(dealt, model)))  # under a megabyte, whatever the input's size
-
-    # Words that many chunks share meet their count in a join that Spark can split by chunk.
-    lexicon = lexicon.select("chunk", "word").join(counts, "word").select("chunk", "word", "c")
-    schema = f"doc_id {kind}, held_out boolean, n_tokens long, n_known long, base_score double, score double"
+    shared = spark.sparkContext.broadcast(pickle.dumps(train(chunks, model, total)))  # under a megabyte, whatever the input's size
+    counts = scratch.save(_chunk_counts(counted), "counts")
+    scratch.drop("counted")
+    free_shuffles(spark)
     target = spark_arrow(spark, schema)
 
-    def rate(left: pa.Table, right: pa.Table) -> pa.Table:
+    def rate(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         own: Model = pickle.loads(shared.value)
-        lex = dict(zip(right.column("word").to_pylist(), range(len(right)), strict=True))
-        seen = right.column("c").to_numpy().astype(float)
-        base = np.log10((seen + 1) / (total + distinct + 1))
-        classes = np.fromiter(map(own.class_of, lex), np.int32, len(lex))
-        share = own.share(classes, seen)
-        out: dict[str, list] = {c: [] for c in ("n_tokens", "n_known", "base_score", "score")}
-        texts = left.column("text").to_pylist()
-        at = 0
-        while at < len(texts):
-            held, n = [], 0
-            while at < len(texts) and (not held or n < 200_000):
-                tokens = _tokens(texts[at])
-                held.append(np.fromiter(map(lex.__getitem__, tokens), np.int64, len(tokens)))
-                n, at = n + len(tokens), at + 1
-            flat = np.concatenate(held)
-            h, w = own.contexts([classes[x] for x in held])
-            p = own.words.log10(h, w) + share[flat]
-            starts = np.cumsum([0] + [len(x) for x in held[:-1]])
-            out["n_tokens"] += [len(x) for x in held]
-            out["n_known"] += np.add.reduceat((seen[flat] > 0).astype(np.int64), starts).tolist()
-            out["base_score"] += np.add.reduceat(base[flat], starts).tolist()
-            out["score"] += np.add.reduceat(p, starts).tolist()
-        return pa.Table.from_arrays([left.column("doc_id").combine_chunks().cast(target.field(0).type), left.column("held_out").combine_chunks(), *(pa.array(out[c], target.field(c).type) for c in out)], schema=target)
-
-    found = dealt.select("chunk", "doc_id", "held_out", "text").groupBy("chunk").cogroup(lexicon.groupBy("chunk")).applyInArrow(rate, schema)
-    return found.select("doc_id", "held_out", "n_tokens", "n_known", F.lit(total).cast("long").alias("train_tokens"), "base_score", "score")
+        for b in batches:
+            for ids, held, sizes, tokens, lexicon, c in zip(*(b.column(x).to_pylist() for x in ("doc_ids", "held", "sizes", "tokens", "words", "c")), strict=True):
+                seen, flat, sizes = np.frombuffer(c, "<i8"), np.frombuffer(tokens, "<u4"), np.array(sizes)
+                lex = _words(lexicon)
+                classes = np.fromiter(map(own.class_of, lex), np.int32, len(lex))
+                base = np.log10((seen + 1) / (total + distinct + 1))
+                share = own.share(classes, seen)
+                w = classes[flat]
+                p = own.words.log10(own.contexts(w, sizes), w) + share[flat]
+                starts = np.cumsum(sizes) - sizes
+                out = [ids, held, sizes, np.add.reduceat((seen > 0)[flat].astype(np.int64), starts), [total] * len(ids), np.add.reduceat(base[flat], starts), np.add.reduceat(p, starts)]
+                yield pa.RecordBatch.from_arrays([pa.array(v, f.type) for v, f in zip(out, target, strict=True)], schema=target)
+
+    rows = chunks.select("chunk", "doc_ids", "held", "sizes", "tokens", "words").join(counts, "chunk")
+    return rows.drop("chunk").mapInArrow(rate, schema)
 
 
 def op3_language_model(spark: SparkSession, sf_dir: str) -> DataFrame:
