@@ -122,16 +122,22 @@ def _judged(df: DataFrame, rules: tuple[Rule, ...]) -> DataFrame:
 def measure(docs: DataFrame, text: str = "text", keys: tuple[str, ...] = ("doc_id",), rules: tuple[Rule, ...] = RULES) -> DataFrame:
     """One row per document: its keys, the counts, ``base_failed``, ``kept`` and the names of the rules it fails."""
     packed = docs.select(F.struct(*keys).alias("__row"), F.col(text).alias("__text"))
-    return _judged(_measured(packed), rules).select("__row.*", *[F.col(c) for c in _OUT])
+    return _held(_judged(_measured(packed), rules)).select("__judged.__row.*", *[F.col(f"__judged.{c}") for c in _OUT])
 
 
 def keep_documents(docs: DataFrame, text: str = "text", rules: tuple[Rule, ...] = RULES) -> DataFrame:
     """The documents that pass, with all their columns."""
     packed = docs.select(F.struct("*").alias("__row"), F.col(text).alias("__text"))
-    judged = _judged(_measured(packed), rules).select(F.struct("__row", "kept").alias("__judged"))
-    # A filter is not pushed through a generator. Without one it would go through the projections, which would write
-    # their steps into one another and repeat them for each element of an array.
-    return judged.select(F.explode(F.array("__judged")).alias("__judged")).filter("__judged.kept").select("__judged.__row.*")
+    return _held(_judged(_measured(packed), rules)).filter("__judged.kept").select("__judged.__row.*")
+
+
+def _held(judged: DataFrame) -> DataFrame:
+    """The rows as a struct ``__judged`` that filters stay above.
+
+    A filter is not pushed through a generator. Without one it would go through the projections, which would write
+    their steps into one another and repeat them for each element of an array.
+    """
+    return judged.select(F.explode(F.array(F.struct("*"))).alias("__judged"))
 
 
 _OUT = ("n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept", "n_lines", "n_capitals", "n_exclamations", "n_stop_words", "failed_rules")
