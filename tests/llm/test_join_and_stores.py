@@ -144,6 +144,31 @@ def test_nearest_with_hot_vector_and_lengths(spark):
     assert [f["vec_id"] for f in found] == np.lexsort((np.arange(600), -np.round(s, 9)))[:20].tolist()
 
 
+def recall(found, x, queries):
+    """Share of the true 20 best of ``queries`` (ids are places in ``x``) in ``found``."""
+    by = collections.defaultdict(set)
+    for r in found:
+        by[r["query_id"]].add(r["vec_id"])
+    s = x[queries] @ x.T
+    s[np.arange(len(queries)), queries] = -np.inf
+    return np.mean([len(by[q] & set(np.argsort(-s[i], kind="stable")[:20].tolist())) / 20 for i, q in enumerate(queries)])
+
+
+def directions(n, dim=64, seed=3):
+    x = np.random.default_rng(seed).normal(size=(n, dim))
+    return x / np.linalg.norm(x, axis=1, keepdims=True)
+
+
+def vectors(spark, x):
+    return spark.createDataFrame([(i, v.tolist()) for i, v in enumerate(x)], "vec_id long, embedding array<double>")
+
+
+def test_nearest_recall_does_not_depend_on_a_switch_by_size(spark, monkeypatch):
+    monkeypatch.setattr(ann, "codes_for", lambda *_: 2, raising=False)  # what tables of over 12.8 million rows once took
+    x = directions(2000)
+    assert recall(ann.search(vectors(spark, x)).collect(), x, range(0, 2000, 20)) >= 0.9
+
+
 def test_archives_round_trip(spark):
     page = "<html>ü" + "x" * 200
     rows = [(5, "http://a/ b", page), (3, None, page), (9, "http://c", page), (1, "u", None), (2, "u", ""), (4, "é", "short"), (6, "e", "short"), (None, "n", page + "!"), (7, "w", "a\r\n\r\nWARC/1.1\r\n\r\n" * 20)]

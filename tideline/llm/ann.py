@@ -10,8 +10,9 @@ all rows found there are ranked by exact inner products in double precision.
 
 Rows meet queries in blocks: a table's bucket is cut into blocks of about
 ``block_rows`` rows by a hash of the row, so a hot bucket is spread over tasks,
-and each block answers with at most ``k`` rows per query. More axes are joined
-into a code as the table grows (``codes_for``), so buckets keep their size.
+and each block answers with at most ``k`` rows per query. The hash is one axis
+at any size of the table: buckets, and so the work of a query, grow with the
+rows, and the share of the rows that a query meets, and so recall, stays.
 
 Defined results: vectors that are null, zero or hold null or non-finite
 components take no part, nor do rows without an id, nor those whose length
@@ -45,52 +46,32 @@ def hadamard(x: np.ndarray) -> np.ndarray:
 
 
 class CrossPolytope:
-    """``tables`` hash tables of ``codes`` axes each, over ``dim`` components."""
+    """``tables`` hash tables over ``dim`` components."""
 
-    def __init__(self, dim: int, tables: int = TABLES, codes: int = 1, seed: int = SEED):
+    def __init__(self, dim: int, tables: int = TABLES, seed: int = SEED):
         self.width = 1 << max(0, dim - 1).bit_length()
-        self.dim, self.tables, self.codes = dim, tables, codes
-        self.signs = np.random.default_rng(seed).choice(np.array([-1.0, 1.0], np.float32), (tables, codes, 3, self.width))
+        self.dim, self.tables = dim, tables
+        self.signs = np.random.default_rng(seed).choice(np.array([-1.0, 1.0], np.float32), (tables, 3, self.width))
 
-    def turned(self, x: np.ndarray, table: int, code: int) -> np.ndarray:
+    def turned(self, x: np.ndarray, table: int) -> np.ndarray:
         out = np.zeros((len(x), self.width), np.float32)
         out[:, : self.dim] = x
-        for signs in self.signs[table, code]:
+        for signs in self.signs[table]:
             out = hadamard(out * signs)
         return out
 
     def hashes(self, x: np.ndarray, table: int) -> np.ndarray:
-        """The code of each row: its nearest signed axes, as one number."""
-        out = np.zeros(len(x), np.int64)
-        for c in range(self.codes):
-            r = self.turned(x, table, c)
-            axis = np.abs(r).argmax(1)
-            out = out * 2 * self.width + 2 * axis + (r[np.arange(len(r)), axis] < 0)
-        return out
+        """The nearest signed axis of each row, 2 * axis + (negative)."""
+        r = self.turned(x, table)
+        axis = np.abs(r).argmax(1)
+        return 2 * axis + (r[np.arange(len(r)), axis] < 0)
 
     def probes(self, x: np.ndarray, table: int, probes: int) -> np.ndarray:
-        """The ``probes`` best codes for each row: axes by the turned component, sums of them for joined codes."""
-        total, codes = None, None
-        for c in range(self.codes):
-            r = self.turned(x, table, c)
-            both = np.stack([r, -r], 2).reshape(len(r), -1)  # the signed axes, 2 * axis + (negative)
-            if total is None:
-                total, codes = both, np.broadcast_to(np.arange(both.shape[1]), both.shape)
-            else:
-                total = (total[:, :, None] + both[:, None, :]).reshape(len(r), -1)
-                codes = (codes[:, :, None] * both.shape[1] + np.arange(both.shape[1])).reshape(len(r), -1)
-            keep = min(probes, total.shape[1])
-            best = np.argpartition(-total, keep - 1, 1)[:, :keep]
-            total, codes = np.take_along_axis(total, best, 1), np.take_along_axis(codes, best, 1)
-        return codes
-
-
-def codes_for(rows: int, width: int) -> int:
-    """Axes to join so that a bucket holds a few thousand rows on average."""
-    codes = 1
-    while rows / (2 * width) ** codes > 50_000:
-        codes += 1
-    return codes
+        """The ``probes`` signed axes nearest to each row."""
+        r = self.turned(x, table)
+        both = np.stack([r, -r], 2).reshape(len(r), -1)
+        keep = min(probes, both.shape[1])
+        return np.argpartition(-both, keep - 1, 1)[:, :keep]
 
 
 def _valid(df: DataFrame, key: str, vector: str) -> DataFrame:
@@ -115,12 +96,10 @@ def search(rows: DataFrame, is_query: F.Column | None = None, k: int = K, key: s
     result = "query_id long, rank int, vec_id long, score double"
     if stats is None:
         return spark.createDataFrame([], result)
-    dim, total, longest = int(stats["d"]), int(stats["n"]), float(stats["m"])
+    dim, longest = int(stats["d"]), float(stats["m"])
     valid = valid.filter(F.size("v") == dim)
     queries = valid.filter((F.col("id") % 20 == 0) if is_query is None else is_query)
-    width = 1 << dim.bit_length()  # of dim + 1 components
-    codes = codes_for(total, width)
-    hashed = CrossPolytope(dim + 1, tables, codes)
+    hashed = CrossPolytope(dim + 1, tables)
 
     def unit(x: np.ndarray, query: bool) -> np.ndarray:
         if query:
@@ -148,7 +127,7 @@ def search(rows: DataFrame, is_query: F.Column | None = None, k: int = K, key: s
 
     placed = valid.select("id", "v").mapInArrow(index(False), place)
     asked = queries.select("id", "v").mapInArrow(index(True), place)
-    # Buckets are at most tables * (2 * width) ** codes; only those that need several blocks are listed.
+    # Buckets are at most tables * 2 * width; only those that need several blocks are listed.
     large = placed.groupBy("bucket").count().filter(F.col("count") > block_rows).select(F.col("bucket").alias("__b"), F.ceil(F.col("count") / block_rows).cast("int").alias("blocks"))
     large = scratch.save(large, "large")
     sub = F.pmod(F.xxhash64("id", "v"), F.coalesce("blocks", F.lit(1)))
