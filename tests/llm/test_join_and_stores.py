@@ -169,6 +169,15 @@ def test_nearest_recall_does_not_depend_on_a_switch_by_size(spark, monkeypatch):
     assert recall(ann.search(vectors(spark, x)).collect(), x, range(0, 2000, 20)) >= 0.9
 
 
+@pytest.mark.parametrize("spread", [False, True])
+def test_nearest_recall_with_spread_lengths(spark, spread):
+    x = directions(2001)
+    x = x * np.exp(np.random.default_rng(4).normal(size=(2001, 1))) if spread else x * np.where(np.arange(2001) == 2000, 20.0, 1.0)[:, None]
+    found = ann.search(vectors(spark, x), F.col("id").between(0, 99)).collect()
+    assert len(found) == 100 * 20
+    assert recall(found, x, range(100)) >= 0.95
+
+
 def test_archives_round_trip(spark):
     page = "<html>ü" + "x" * 200
     rows = [(5, "http://a/ b", page), (3, None, page), (9, "http://c", page), (1, "u", None), (2, "u", ""), (4, "é", "short"), (6, "e", "short"), (None, "n", page + "!"), (7, "w", "a\r\n\r\nWARC/1.1\r\n\r\n" * 20)]

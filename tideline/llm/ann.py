@@ -2,11 +2,12 @@
 
 Vectors are turned by fast Hadamard pseudo-rotations (three rounds of random
 signs and a Walsh-Hadamard transform); a hash is the signed axis nearest to the
-turned vector. Lengths are handled by the usual reduction of inner products to
-angles: vectors are scaled by the greatest length and get one more component
-that makes them unit vectors, queries get a zero there. Each table sorts the
-rows by their axes; a query probes the axes nearest to it in each table, and
-all rows found there are ranked by exact inner products in double precision.
+turned vector. Rows are hashed by direction, so that no row's length moves
+another one's bucket; rows whose length stands out (``LONGER`` times that which
+a sixteenth of the rows exceeds) may score high at any angle and are met by
+every query. Each table sorts the rows by their axes; a query probes the axes
+nearest to it in each table, and all rows met are ranked by exact inner products
+in double precision.
 
 Rows meet queries in blocks: a table's bucket is cut into blocks of about
 ``block_rows`` rows by a hash of the row, so a hot bucket is spread over tasks,
@@ -33,6 +34,8 @@ from pyspark.sql import functions as F
 from tideline.llm.common import Scratch, spark_arrow
 
 TABLES, PROBES, SEED, K, BLOCK = 10, 24, 7, 20, 2048
+#: Rows longer than LONGER times the length at this quantile are met by every query.
+LONGER, QUANTILE = 1.1, 15 / 16
 
 
 def hadamard(x: np.ndarray) -> np.ndarray:
@@ -92,20 +95,17 @@ def search(rows: DataFrame, is_query: F.Column | None = None, k: int = K, key: s
     spark = rows.sparkSession
     scratch = Scratch(spark, "ann")
     valid = scratch.save(_valid(rows, key, vector), "valid")
-    stats = valid.groupBy(F.size("v").alias("d")).agg(F.count(F.lit(1)).alias("n"), F.max("norm").alias("m")).orderBy(F.desc("n"), "d").first()
+    stats = valid.groupBy(F.size("v").alias("d")).agg(F.count(F.lit(1)).alias("n"), F.percentile_approx("norm", QUANTILE).alias("m")).orderBy(F.desc("n"), "d").first()
     result = "query_id long, rank int, vec_id long, score double"
     if stats is None:
         return spark.createDataFrame([], result)
-    dim, longest = int(stats["d"]), float(stats["m"])
+    dim, cut = int(stats["d"]), LONGER * float(stats["m"])
     valid = valid.filter(F.size("v") == dim)
     queries = valid.filter((F.col("id") % 20 == 0) if is_query is None else is_query)
     hashed = CrossPolytope(dim + 1, tables)
 
-    def unit(x: np.ndarray, query: bool) -> np.ndarray:
-        if query:
-            return np.concatenate([x / np.linalg.norm(x, axis=1, keepdims=True), np.zeros((len(x), 1))], 1)
-        x = x / longest
-        return np.concatenate([x, np.sqrt(np.maximum(0, 1 - (x * x).sum(1, keepdims=True)))], 1)
+    def unit(x: np.ndarray) -> np.ndarray:
+        return np.concatenate([x / np.linalg.norm(x, axis=1, keepdims=True), np.zeros((len(x), 1))], 1)
 
     place = "bucket long, id long, v array<double>"
     target = spark_arrow(spark, place)
@@ -115,7 +115,7 @@ def search(rows: DataFrame, is_query: F.Column | None = None, k: int = K, key: s
             for b in batches:
                 for at in range(0, len(b), 1024):
                     part = b.slice(at, 1024)
-                    x = unit(_matrix(part.column("v")), query)
+                    x = unit(_matrix(part.column("v")))
                     for t in range(tables):
                         own = hashed.probes(x, t, probes) if query else hashed.hashes(x, t)[:, None]
                         n = own.shape[1]
@@ -125,7 +125,7 @@ def search(rows: DataFrame, is_query: F.Column | None = None, k: int = K, key: s
 
         return work
 
-    placed = valid.select("id", "v").mapInArrow(index(False), place)
+    placed = valid.filter(F.col("norm") <= cut).select("id", "v").mapInArrow(index(False), place)
     asked = queries.select("id", "v").mapInArrow(index(True), place)
     # Buckets are at most tables * 2 * width; only those that need several blocks are listed.
     large = placed.groupBy("bucket").count().filter(F.col("count") > block_rows).select(F.col("bucket").alias("__b"), F.ceil(F.col("count") / block_rows).cast("int").alias("blocks"))
@@ -160,7 +160,21 @@ def search(rows: DataFrame, is_query: F.Column | None = None, k: int = K, key: s
                 out[2].append(exact(y[at : at + 256][rows_[keep]], x[cols[keep]]))
         return pa.Table.from_arrays([pa.array(np.concatenate(v) if v else [], f.type) for v, f in zip(out, found_arrow, strict=True)], schema=found_arrow)
 
-    found = placed.groupBy("bucket", "block").cogroup(asked.groupBy("bucket", "block")).applyInArrow(rank, found_schema)
+    def met(placed: DataFrame, asked: DataFrame) -> DataFrame:
+        return placed.groupBy("bucket", "block").cogroup(asked.groupBy("bucket", "block")).applyInArrow(rank, found_schema)
+
+    def all_met(placed: DataFrame, asked: DataFrame) -> DataFrame:
+        """Every row of ``placed`` by every query of ``asked``, in blocks of both."""
+        blocks, parts = max(1, -(-placed.count() // block_rows)), max(1, -(-asked.count() // (8 * block_rows)))
+        own = F.xxhash64("id", "v")
+        placed = placed.select(F.explode(F.sequence(F.lit(0), F.lit(parts - 1))).alias("bucket"), F.pmod(own, F.lit(blocks)).cast("int").alias("block"), "id", "v")
+        asked = asked.select(F.pmod(own, F.lit(parts)).cast("int").alias("bucket"), F.explode(F.sequence(F.lit(0), F.lit(blocks - 1))).alias("block"), "id", "v")
+        return met(placed, asked)
+
+    found = met(placed, asked)
+    long_rows = valid.filter(F.col("norm") > cut)
+    if not long_rows.isEmpty():
+        found = found.unionByName(all_met(long_rows, queries))
     found = found.groupBy("query_id", "vec_id").agg(F.max("score").alias("score"))
     best = F.slice(F.array_sort(F.collect_list(F.struct((-F.col("score")).alias("s"), F.col("vec_id").alias("i")))), 1, k)
     # A query has at most 2 * k rows from each of its tables * probes blocks and the blocks of large buckets; they are thinned before they meet.
