@@ -178,6 +178,13 @@ def test_nearest_recall_with_spread_lengths(spark, spread):
     assert recall(found, x, range(100)) >= 0.95
 
 
+def test_nearest_finds_all_of_few_rows(spark):
+    x = directions(15)
+    found = ann.search(vectors(spark, x), F.lit(True)).collect()
+    assert sorted((r["query_id"], r["vec_id"]) for r in found) == [(a, b) for a in range(15) for b in range(15) if a != b]
+    assert ann.search(vectors(spark, x[:1])).count() == 0
+
+
 def test_archives_round_trip(spark):
     page = "<html>ü" + "x" * 200
     rows = [(5, "http://a/ b", page), (3, None, page), (9, "http://c", page), (1, "u", None), (2, "u", ""), (4, "é", "short"), (6, "e", "short"), (None, "n", page + "!"), (7, "w", "a\r\n\r\nWARC/1.1\r\n\r\n" * 20)]

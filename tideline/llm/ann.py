@@ -19,7 +19,8 @@ Defined results: vectors that are null, zero or hold null or non-finite
 components take no part, nor do rows without an id, nor those whose length
 differs from the commonest; repeated ids are separate candidates, but each
 (query, id) is answered once with its best score; ties go to the smaller id; an
-empty table gives an empty table; further columns are ignored.
+empty table gives an empty table; further columns are ignored. A query whose
+probes meet fewer rows than ``k``, or than there are, is answered from all rows.
 """
 
 from __future__ import annotations
@@ -175,11 +176,21 @@ def search(rows: DataFrame, is_query: F.Column | None = None, k: int = K, key: s
     long_rows = valid.filter(F.col("norm") > cut)
     if not long_rows.isEmpty():
         found = found.unionByName(all_met(long_rows, queries))
-    found = found.groupBy("query_id", "vec_id").agg(F.max("score").alias("score"))
-    best = F.slice(F.array_sort(F.collect_list(F.struct((-F.col("score")).alias("s"), F.col("vec_id").alias("i")))), 1, k)
-    # A query has at most 2 * k rows from each of its tables * probes blocks and the blocks of large buckets; they are thinned before they meet.
-    thin = found.groupBy("query_id", F.pmod(F.xxhash64("vec_id"), F.lit(16)).alias("part")).agg(best.alias("b")).select("query_id", F.explode("b").alias("b"))
-    ranked = thin.groupBy("query_id").agg(F.slice(F.array_sort(F.collect_list("b")), 1, k).alias("b"))
+
+    def best(found: DataFrame) -> DataFrame:
+        found = found.groupBy("query_id", "vec_id").agg(F.max("score").alias("score"))
+        first = F.slice(F.array_sort(F.collect_list(F.struct((-F.col("score")).alias("s"), F.col("vec_id").alias("i")))), 1, k)
+        # A query has at most 2 * k rows from each of its tables * probes blocks and the blocks of large buckets; they are thinned before they meet.
+        thin = found.groupBy("query_id", F.pmod(F.xxhash64("vec_id"), F.lit(16)).alias("part")).agg(first.alias("b")).select("query_id", F.explode("b").alias("b"))
+        return thin.groupBy("query_id").agg(F.slice(F.array_sort(F.collect_list("b")), 1, k).alias("b"))
+
+    ranked = scratch.save(best(found), "ranked")
+    others = valid.select("id").distinct().limit(k + 1).count() - 1
+    full = ranked.filter(F.size("b") >= min(k, others)).select(F.col("query_id").alias("__q"))
+    short = queries.join(full, F.col("id") == F.col("__q"), "left_anti") if others else queries.limit(0)
+    if not short.isEmpty():
+        short = scratch.save(short, "short")
+        ranked = ranked.join(short.select(F.col("id").alias("query_id")).distinct(), "query_id", "left_anti").unionByName(best(all_met(valid, short)))
     return ranked.select("query_id", F.posexplode("b").alias("pos", "b")).select("query_id", (F.col("pos") + 1).cast("int").alias("rank"), F.col("b.i").alias("vec_id"), (-F.col("b.s")).alias("score"))
 
 
