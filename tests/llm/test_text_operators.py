@@ -174,3 +174,12 @@ def test_toxicity_on_tables(spark, odd, docs):
     assert toxicity.score(docs, labels).count() == docs.count()
     assert toxicity.score(odd, labels).count() == odd.count()
     assert {r["score"] for r in toxicity.score(odd, labels.limit(0)).collect()} == {0.0}
+
+
+def test_toxicity_copies_are_near_and_of_one_label():
+    r = np.random.default_rng(5)
+    shared = [f"s{k}" for k in range(60)]
+    mixed = [shared + [f"o{i}x{k}" for k in range(20)] for i in range(30)]  # they share most shingles, at a similarity of about 0.58
+    assert not toxicity._copies(mixed, np.arange(30) % 2).any()
+    same = [[f"w{k}" for k in r.integers(0, 99, 200)]] * 3
+    assert toxicity._copies(same, np.array([0, 1, 0])).tolist() == [False, False, True]

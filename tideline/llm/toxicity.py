@@ -1,7 +1,7 @@
 """Toxicity by nearest labelled examples under exact TF-IDF cosine.
 
 The example set is a bounded sample of labelled rows, ``SAMPLE`` per label
-value, chosen by a hash of the id and thinned of near copies. Its vocabulary is
+value, chosen by a hash of the id and thinned of near copies of the same label. Its vocabulary is
 the terms whose document frequency differs between the labels (chi-squared, at
 most ``TERMS``); a vector is (1 + ln tf) * idf over it, of unit length. The
 index is inverted in blocks of ``BLOCK`` examples: for each term the greatest
@@ -40,6 +40,9 @@ TERMS, NEIGHBOURS, BLOCK = 512, 15, 64
 #: Least documents that a term of the vocabulary occurs in, and its least chi-squared (a chance of 1 in 1000).
 LEAST, CHI = 3, 10.83
 
+#: Jaccard similarity from which examples of one label are copies.
+SIMILAR = 0.75
+
 _find = re.compile(r"\w+").findall
 
 
@@ -47,18 +50,30 @@ def terms(text: str | None) -> list[str]:
     return _find((text or "").lower())
 
 
-def _copies(token_lists: list[list[str]], hashes: int = 4) -> np.ndarray:
-    """Marks texts that share a min-hash of their five-word shingles with an earlier one."""
+def _copies(token_lists: list[list[str]], labels: np.ndarray) -> np.ndarray:
+    """Marks texts with a Jaccard similarity of ``SIMILAR`` to an earlier one that stays and has their label.
+
+    Compared, over whole sets of five-word shingles, are those that share one of four min-hashes.
+    """
     import xxhash
 
-    seen: list[set[int]] = [set() for _ in range(hashes)]
+    seen: list[dict[tuple[int, int], list[int]]] = [{} for _ in range(4)]
+    sets: dict[int, np.ndarray] = {}
     out = np.zeros(len(token_lists), bool)
-    for i, tokens in enumerate(token_lists):
-        shingles = {xxhash.xxh3_64_intdigest(" ".join(tokens[j : j + 5])) for j in range(max(1, len(tokens) - 4))}
-        keys = [min((s * m + 0x9E3779B97F4A7C15) % (1 << 64) for s in shingles) for m in (0xD6E8FEB86659FD93, 0xA0761D6478BD642F, 0xE7037ED1A0B428DB, 0x8EBC6AF09C88C6E3)[:hashes]]
-        out[i] = any(k in s for k, s in zip(keys, seen, strict=True))
-        for k, s in zip(keys, seen, strict=True):
-            s.add(k)
+    for i, (tokens, label) in enumerate(zip(token_lists, labels, strict=True)):
+        own = np.unique(np.array([xxhash.xxh3_64_intdigest(" ".join(tokens[j : j + 5])) for j in range(max(1, len(tokens) - 4))], np.uint64))
+        keys = [(int(label), int((own * np.uint64(m) + np.uint64(0x9E3779B97F4A7C15)).min())) for m in (0xD6E8FEB86659FD93, 0xA0761D6478BD642F, 0xE7037ED1A0B428DB, 0x8EBC6AF09C88C6E3)]
+        for j in sorted({j for k, s in zip(keys, seen, strict=True) for j in s.get(k, ())}):
+            if min(len(own), len(sets[j])) < SIMILAR * max(len(own), len(sets[j])):
+                continue
+            both = len(np.intersect1d(own, sets[j], assume_unique=True))
+            if both >= SIMILAR * (len(own) + len(sets[j]) - both):
+                out[i] = True
+                break
+        if not out[i]:
+            sets[i] = own
+            for k, s in zip(keys, seen, strict=True):
+                s.setdefault(k, []).append(i)
     return out
 
 
@@ -86,7 +101,7 @@ class Index:
         if len(set(labels)) < 2:
             return own
         tokens = [terms(t) for t in texts]
-        keep = ~_copies(tokens)
+        keep = ~_copies(tokens, y)
         ids_, y, w = np.asarray(ids)[keep], y[keep], w[keep]
         counts = [Counter(t) for t, k in zip(tokens, keep, strict=True) if k]
         df = [Counter(t for c, v in zip(counts, y, strict=True) if v == label for t in c) for label in (0, 1)]
