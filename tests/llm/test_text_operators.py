@@ -183,3 +183,11 @@ def test_toxicity_copies_are_near_and_of_one_label():
     assert not toxicity._copies(mixed, np.arange(30) % 2).any()
     same = [[f"w{k}" for k in r.integers(0, 99, 200)]] * 3
     assert toxicity._copies(same, np.array([0, 1, 0])).tolist() == [False, False, True]
+
+
+def test_toxicity_keeps_all_terms_and_examples():
+    texts = [f"own{k} plain words {'bad worse' if k % 4 == 0 else 'fine'}" for k in range(40)] + ["only seen once", "another lone text"]
+    own = toxicity.Index.fit(list(range(42)), texts, [int(k % 4 == 0) for k in range(40)] + [1, 0], np.ones(42))
+    assert sorted(own.ids) == list(range(42))
+    _, ids, cosines = own.score(["only seen once", "own7 unheard"])
+    assert ids[0][0] == 40 and cosines[0][0] == pytest.approx(1, abs=1e-5) and ids[1] == [7]

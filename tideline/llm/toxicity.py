@@ -1,19 +1,19 @@
-"""Toxicity by nearest labelled examples under exact TF-IDF cosine.
+"""Toxicity by nearest labelled examples under exact cosine of weighted TF-IDF.
 
 The example set is a bounded sample of labelled rows, ``SAMPLE`` per label
-value, chosen by a hash of the id and thinned of near copies of the same label. Its vocabulary is
-the terms whose document frequency differs between the labels (chi-squared, at
-most ``TERMS``); a vector is (1 + ln tf) * idf over it, of unit length. The
-index is inverted in blocks of ``BLOCK`` examples: for each term the greatest
-weight in each block, and the block's postings. A query's upper bounds per
-block come from one product with the maxima; only blocks whose bound reaches
-the k-th best score so far are scored, so the neighbours are exact. They vote
-with weights that fall with distance, and a logistic curve fitted on the
-examples' own left-one-out votes turns the vote into a probability. The
-neighbours are the evidence.
-
-Defined results: a null text counts as empty; a text without any vocabulary
-term gets the rate of toxic texts among such examples; repeated rows get equal
+value, chosen by a hash of the id and thinned of near copies of the same label.
+Its vocabulary is every term of the examples. A vector is (1 + ln tf) * idf *
+weight, of unit length: idf is taken over all documents, and the weight is what
+the square root of the term's chi-squared between the labels exceeds chance by,
+plus ``FLOOR``, so terms that tell the labels apart lead and no term is left
+out. The index is inverted: a query adds up the postings of its terms in full,
+so the neighbours are exact. They vote with weights that fall with distance,
+and a logistic curve fitted on the examples' own left-one-out votes turns the
+vote into a probability. The neighbours are the evidence.
+
+Defined results: a null text counts as empty; a text without any term
+of the examples gets the rate of toxic texts among examples without terms; terms
+that no example holds take no part in the cosine; repeated rows get equal
 scores; an empty table gives an empty table; without labels of both values
 every score is their rate, or 0 without any label; labels with null ids or
 values are not learnt from; further columns are ignored. Texts are read whole.
@@ -32,14 +32,13 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tideline.llm.common import map_rows, remainder, sampled
+from tideline.llm.common import Scratch, map_rows, remainder, sampled, slices, spark_arrow
 
 #: Labelled rows that serve as examples, for each label value.
 SAMPLE = 2500
-TERMS, NEIGHBOURS, BLOCK = 512, 15, 64
-#: Least documents that a term of the vocabulary occurs in, and its least chi-squared (a chance of 1 in 1000).
-LEAST, CHI = 3, 10.83
-
+NEIGHBOURS = 15
+#: Chi-squared that counts as chance (1 in 1000), and the weight of terms within it.
+CHI, FLOOR = 10.83, 0.01
 #: Jaccard similarity from which examples of one label are copies.
 SIMILAR = 0.75
 
@@ -79,22 +78,24 @@ def _copies(token_lists: list[list[str]], labels: np.ndarray) -> np.ndarray:
 
 @dataclass
 class Index:
-    """Block-max inverted index over the examples, and the calibration of their votes."""
+    """Inverted index over all terms of the examples, and the calibration of their votes."""
 
     rate: float = 0.0
     blank: float = 0.0
     vocabulary: dict[str, int] = field(default_factory=dict)
-    idf: np.ndarray | None = None
+    idf: np.ndarray | None = None  # idf times weight
     ids: np.ndarray | None = None
     labels: np.ndarray | None = None
     weights: np.ndarray | None = None
-    blocks: np.ndarray | None = None  # block x example x term
-    maxima: np.ndarray | None = None  # term x block
+    starts: np.ndarray | None = None  # of each term's postings, and their end
+    places: np.ndarray | None = None
+    values: np.ndarray | None = None
     slope: float = 1.0
     shift: float = 0.0
 
     @classmethod
-    def fit(cls, ids: list[int], texts: list[str | None], labels: list[int], weights: np.ndarray) -> Index:
+    def fit(cls, ids: list[int], texts: list[str | None], labels: list[int], weights: np.ndarray, known: dict[str, int] | None = None, frequency: np.ndarray | None = None, total: int = 0) -> Index:
+        """``known`` and ``frequency``: the examples' terms and in how many of all ``total`` documents they are; without them the examples count."""
         y, w = np.asarray(labels), np.asarray(weights, float)
         own = cls(rate=float((y * w).sum() / w.sum()) if len(y) else 0.0)
         own.blank = own.rate
@@ -104,71 +105,62 @@ class Index:
         keep = ~_copies(tokens, y)
         ids_, y, w = np.asarray(ids)[keep], y[keep], w[keep]
         counts = [Counter(t) for t, k in zip(tokens, keep, strict=True) if k]
-        df = [Counter(t for c, v in zip(counts, y, strict=True) if v == label for t in c) for label in (0, 1)]
+        own.vocabulary = known or {t: k for k, t in enumerate(sorted(set().union(*counts)))}
+        df = np.zeros((2, len(own.vocabulary)))
+        for c, v in zip(counts, y, strict=True):
+            df[v, [own.vocabulary[t] for t in c]] += 1
         n = np.bincount(y, minlength=2).astype(float)
-        scored = []
-        for t in df[0].keys() | df[1].keys():
-            a, b = df[1][t], df[0][t]
-            if a + b < LEAST or a + b == n.sum():
-                continue
-            c, d = n[1] - a, n[0] - b
-            chi = n.sum() * (a * d - b * c) ** 2 / ((a + b) * (c + d) * n[1] * n[0])
-            if chi >= CHI:
-                scored.append((-chi, t, a + b))
-        scored = sorted(scored)[:TERMS]
-        own.vocabulary = {t: k for k, (_, t, _) in enumerate(scored)}
-        own.idf = np.log((1 + n.sum()) / (1 + np.array([f for _, _, f in scored], float))) + 1
-        vectors = own._vectors(counts)
-        blank = ~vectors.any(1)
+        a, b, c, d = df[1], df[0], n[1] - df[1], n[0] - df[0]
+        chi = n.sum() * (a * d - b * c) ** 2 / np.maximum((a + b) * (c + d) * n[1] * n[0], 1)
+        if frequency is None:
+            frequency, total = df.sum(0), len(counts)
+        own.idf = (np.log((1 + total) / (1 + frequency)) + 1) * (FLOOR + np.maximum(0, np.sqrt(chi) - np.sqrt(CHI)))
+        blank = np.array([not c for c in counts])
         if blank.any():
             own.blank = float(((y * w)[blank].sum() + own.rate) / (w[blank].sum() + 1))
-        vectors, ids_, y, w = vectors[~blank], ids_[~blank], y[~blank], w[~blank]
-        order = np.lexsort((ids_, -vectors.max(1, initial=0), vectors.argmax(1) if vectors.shape[1] else ids_))
-        vectors, own.ids, own.labels, own.weights = vectors[order], ids_[order], y[order], w[order]
-        full = -(-len(vectors) // BLOCK) * BLOCK
-        own.blocks = np.concatenate([vectors, np.zeros((full - len(vectors), vectors.shape[1]), np.float32)]).reshape(-1, BLOCK, vectors.shape[1])
-        own.maxima = own.blocks.max(1).T.copy() if len(own.blocks) else np.zeros((vectors.shape[1], 0), np.float32)
-        if len(vectors):
+        vectors = own._vectors([c for c in counts if c])
+        own.ids, own.labels, own.weights = ids_[~blank], y[~blank], w[~blank]
+        flat = np.concatenate([t for t, _ in vectors]) if vectors else np.zeros(0, np.int64)
+        order = np.argsort(flat, kind="stable")
+        own.starts = np.concatenate([[0], np.cumsum(np.bincount(flat, minlength=len(own.vocabulary)))]).astype(np.int64)
+        own.places = np.repeat(np.arange(len(vectors), dtype=np.int32), [len(t) for t, _ in vectors])[order]
+        own.values = np.concatenate([v for _, v in vectors])[order].astype(np.float32) if vectors else np.zeros(0, np.float32)
+        if vectors:
             votes = own._votes(*own.nearest(vectors, NEIGHBOURS, np.arange(len(vectors))))
             own.slope, own.shift = _platt(votes, own.labels, own.weights)
         return own
 
-    def _vectors(self, counts: list[Counter]) -> np.ndarray:
-        out = np.zeros((len(counts), len(self.vocabulary)), np.float32)
-        known = self.vocabulary
-        for i, c in enumerate(counts):
-            for t in c.keys() & known.keys():
-                out[i, known[t]] = (1 + np.log(c[t])) * self.idf[known[t]]
-        norm = np.linalg.norm(out, axis=1, keepdims=True)
-        return out / np.where(norm > 0, norm, 1)
-
-    def nearest(self, q: np.ndarray, k: int, without: np.ndarray | None = None) -> tuple[np.ndarray, np.ndarray]:
+    def _vectors(self, counts: list[Counter]) -> list[tuple[np.ndarray, np.ndarray]]:
+        """(terms, values) of each text, over the vocabulary."""
+        out = []
+        for c in counts:
+            t, f = np.array([(self.vocabulary[t], n) for t, n in c.items() if t in self.vocabulary], np.int64).reshape(-1, 2).T
+            v = (1 + np.log(f)) * self.idf[t]
+            out.append((t, v / (np.linalg.norm(v) or 1)))
+        return out
+
+    @property
+    def blocks(self) -> np.ndarray:
+        """The examples' vectors in full, as one block; for small indexes only."""
+        out = np.zeros((1, len(self.ids), len(self.vocabulary)), np.float32)
+        out[0, self.places, np.repeat(np.arange(len(self.vocabulary)), np.diff(self.starts))] = self.values
+        return out
+
+    def nearest(self, q: np.ndarray | list[tuple[np.ndarray, np.ndarray]], k: int, without: np.ndarray | None = None) -> tuple[np.ndarray, np.ndarray]:
         """(places, cosines) of the k nearest examples of each row, exactly; ``without``: a place to leave out."""
         n = len(self.ids)
         k = min(k, n)
         places, cosines = np.zeros((len(q), k), np.int64), np.zeros((len(q), k), np.float32)
-        for at in range(0, len(q), 256):
-            own = q[at : at + 256]
-            bounds = own @ self.maxima + 1e-5
-            found = np.full((len(own), len(self.blocks) * BLOCK), -1, np.float32)
-            done = np.zeros(bounds.shape, bool)
-            best = np.full(len(own), -1, np.float32)
-            pick = np.argsort(-bounds, 1, kind="stable")
-            ahead = -(-k // BLOCK) + 1
-            todo = np.zeros(bounds.shape, bool)
-            np.put_along_axis(todo, pick[:, :ahead], True, 1)
-            while todo.any():
-                for b in np.flatnonzero(todo.any(0)):
-                    rows = np.flatnonzero(todo[:, b])
-                    found[rows, b * BLOCK : (b + 1) * BLOCK] = own[rows] @ self.blocks[b].T
-                found[:, n:] = -1
-                if without is not None:
-                    found[np.arange(len(own)), without[at : at + 256]] = -1
-                done |= todo
-                best = np.partition(found, found.shape[1] - k, 1)[:, found.shape[1] - k]
-                todo = ~done & (bounds >= best[:, None])
-            order = np.argsort(-found, 1, kind="stable")[:, :k]
-            places[at : at + 256], cosines[at : at + 256] = order, np.take_along_axis(found, order, 1)
+        for i, row in enumerate(q):
+            t, v = (np.flatnonzero(row), row[np.flatnonzero(row)]) if isinstance(q, np.ndarray) else row
+            sizes = self.starts[t + 1] - self.starts[t]
+            at = np.repeat(self.starts[t] - np.cumsum(sizes) + sizes, sizes) + np.arange(sizes.sum())
+            found = np.bincount(self.places[at], np.repeat(v, sizes) * self.values[at], n)
+            if without is not None:
+                found[without[i]] = -1
+            near = np.flatnonzero(found >= np.partition(found, n - k)[n - k])
+            near = near[np.argsort(-found[near], kind="stable")[:k]]
+            places[i], cosines[i] = near, found[near]
         return places, cosines
 
     def _votes(self, places: np.ndarray, cosines: np.ndarray) -> np.ndarray:
@@ -180,7 +172,7 @@ class Index:
         """Probabilities, and the ids and cosines of the examples that speak for them."""
         p, ids, cosines = np.full(len(texts), self.blank), [[] for _ in texts], [[] for _ in texts]
         known = self.vocabulary
-        if known and len(self.ids):
+        if known and self.ids is not None and len(self.ids):
             counts = [Counter(filter(known.__contains__, terms(t))) for t in texts]
             rows = np.array([i for i, c in enumerate(counts) if c], int)
             if len(rows):
@@ -208,17 +200,44 @@ def _platt(x: np.ndarray, y: np.ndarray, w: np.ndarray, rounds: int = 50) -> tup
 
 
 def train(docs: DataFrame, labels: DataFrame, label: str = "toxic", sample: int = SAMPLE, modulus: int = 4, left_out: int = 2) -> bytes:
-    """The pickled index, built in one task on an executor; its size is bounded by ``sample`` and ``TERMS``."""
+    """The pickled index, built in one task on an executor; its size is bounded by the texts of the sample."""
     totals = {r["v"]: r["n"] for r in labels.filter(F.col(label).isin(0, 1) & F.col("doc_id").isNotNull() & (remainder("doc_id", modulus) != left_out)).groupBy(F.col(label).cast("int").alias("v")).agg(F.count(F.lit(1)).alias("n")).collect()}
 
+    spark = docs.sparkSession
+    scratch = Scratch(spark, "toxicity")
+    examples = scratch.save(sampled(docs, labels, label, sample, modulus, left_out), "examples")
+
+    def lexicon(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        found = sorted({t for b in slices(batches) for text in b.column("text").to_pylist() for t in terms(text)})
+        yield pa.RecordBatch.from_arrays([pa.array([pickle.dumps({t: k for k, t in enumerate(found)})], pa.binary())], names=["model"])
+
+    known = spark.sparkContext.broadcast(bytes(examples.repartition(1).mapInArrow(lexicon, "model binary").first()[0]))
+    target = spark_arrow(spark, "term long, n long")
+
+    def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        """In how many documents each term is; at the end the documents."""
+        own = pickle.loads(known.value)
+        n = np.zeros(len(own) + 1, np.int64)
+        for b in slices(batches):
+            for text in b.column("text").to_pylist():
+                n[[own[t] for t in set(terms(text)) & own.keys()]] += 1
+            n[-1] += len(b)
+        at = np.flatnonzero(n)
+        yield pa.RecordBatch.from_arrays([pa.array(at), pa.array(n[at])], schema=target)
+
+    size = len(pickle.loads(known.value))
+    frequency = np.zeros(size + 1, np.int64)
+    counted = docs.select("text").mapInArrow(count, "term long, n long").groupBy("term").agg(F.sum("n").alias("n")).toArrow()
+    frequency[counted.column("term").to_numpy()] = counted.column("n").to_numpy()
+
     def fit(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         rows = sorted({(i, y, t or "") for b in batches for i, t, y in zip(*(b.column(n).to_pylist() for n in ("doc_id", "text", "y")), strict=True)})
         counts = Counter(y for _, y, _ in rows)
         weights = np.array([max(1.0, totals.get(y, 1) / counts[y]) for _, y, _ in rows])
-        own = Index.fit([i for i, _, _ in rows], [t for _, _, t in rows], [y for _, y, _ in rows], weights)
+        own = Index.fit([i for i, _, _ in rows], [t for _, _, t in rows], [y for _, y, _ in rows], weights, pickle.loads(known.value), frequency[:-1], int(frequency[-1]))
         yield pa.RecordBatch.from_arrays([pa.array([pickle.dumps(own)], pa.binary())], names=["model"])
 
-    return bytes(sampled(docs, labels, label, sample, modulus, left_out).repartition(1).mapInArrow(fit, "model binary").first()[0])
+    return bytes(examples.repartition(1).mapInArrow(fit, "model binary").first()[0])
 
 
 def score(docs: DataFrame, labels: DataFrame, threshold: float = 0.3, modulus: int = 4, left_out: int = 2) -> DataFrame:
