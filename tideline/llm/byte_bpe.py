@@ -6,10 +6,22 @@ neighbouring positions with the merge table and contracts each piece's leftmost
 pair of least rank until no pair is left. Decoding joins the ids with the
 vocabulary and puts the bytes together by an ordered aggregation.
 
+The merge table has one pair per token: a token comes about only where no merge
+crosses its ends, so its last merge is always the one that ends its own
+encoding; other ways to split it never fire.
+
+Pieces of more than ``SHORT`` bytes would take a step per contraction, so a
+second query contracts, in one step, every pair that is certain to come: all
+pairs of the piece's least rank, from left to right without overlap, and each
+pair whose rank is below that of any merge that its two tokens could enter with
+the bytes beside them. Both need that a token's later merges all have higher
+ranks than its own; tokens without that property are contracted one at a time.
+
 Defined results: a null text counts as empty and has no ids; an empty text
 likewise; repeated rows are encoded row by row; an empty table gives an empty
 table; very long texts are encoded whole, in slices of the id sequence for
-decoding; further columns are ignored.
+decoding, and a single piece of any length takes steps by its depth of merges;
+further columns are ignored, whatever their names.
 """
 
 from __future__ import annotations
@@ -30,21 +42,49 @@ CACHE, PARTS, BATCH = 1_200_000, 400_000, 20_000
 #: Ids that go into one decoding query.
 SLICE = 1_000_000
 
-#: The state is kept by (piece, position): a contraction gives the left position the merged token and the right one -1.
-#: A step goes on with the pieces that were contracted in the step before.
+#: Bytes of a piece from which on all certain pairs are contracted in one step.
+SHORT = 48
+
+#: Each step writes the positions of the pieces that it contracted; a piece's last step is its encoding.
 ENCODE = """
-WITH RECURSIVE run(w, i, tok) USING KEY (w, i) AS (
-    SELECT w, i, tok FROM positions
+WITH RECURSIVE run(step, w, i, tok) AS (
+    SELECT 0, w, i, tok FROM positions
   UNION ALL
     (WITH pairs AS (
-        SELECT w, i, tok, lead(tok) OVER s AS nxt, lead(i) OVER s AS gone FROM run WHERE tok >= 0 WINDOW s AS (PARTITION BY w ORDER BY i)),
+        SELECT step, w, i, tok, lead(tok) OVER s AS nxt, lead(i) OVER s AS gone, lead(w) OVER s AS next_w FROM run WINDOW s AS (ORDER BY w, i)),
      ranked AS (
-        SELECT p.w, (m.id::BIGINT << 32) + p.i AS place, p.gone FROM pairs p JOIN merges m ON p.tok = m.a AND p.nxt = m.b WHERE p.nxt IS NOT NULL),
+        SELECT p.w, (m.id::BIGINT << 32) + p.i AS place, p.gone FROM pairs p JOIN merges m ON p.tok = m.a AND p.nxt = m.b WHERE p.next_w = p.w),
      best AS (
         SELECT w, min(place) AS place, arg_min(gone, place) AS gone FROM ranked GROUP BY w)
-     SELECT p.w, p.i, CASE WHEN p.i = b.place & 4294967295 THEN (b.place >> 32)::INTEGER WHEN p.i = b.gone THEN -1 ELSE p.tok END
-     FROM pairs p JOIN best b ON p.w = b.w))
-SELECT w, list(tok ORDER BY i) AS ids FROM run WHERE tok >= 0 GROUP BY w
+     SELECT p.step + 1, p.w, p.i, CASE WHEN p.i = b.place & 4294967295 THEN (b.place >> 32)::INTEGER ELSE p.tok END
+     FROM pairs p JOIN best b ON p.w = b.w WHERE p.i <> b.gone))
+SELECT r.w, r.tok FROM run r JOIN (SELECT w, max(step) AS step FROM run GROUP BY w) l ON r.w = l.w AND r.step = l.step ORDER BY r.w, r.i
+"""
+
+#: ``before`` and ``first`` are the bytes before and at a position. ``lefts`` has the least rank of a merge of a token with one that
+#: ends in a byte, ``rights`` with one that starts with it. An island is a run of pairs of the piece's least rank that overlap.
+ENCODE_LONG = """
+WITH RECURSIVE run(step, w, i, tok, before, first) AS (
+    SELECT 0, w, i, tok, before, first FROM positions
+  UNION ALL
+    (WITH pairs AS (
+        SELECT step, w, i, tok, before, first, lead(tok) OVER s AS nxt, lead(i) OVER s AS gone, lead(first, 2) OVER s AS after FROM run WINDOW s AS (PARTITION BY w ORDER BY i)),
+     ranked AS (
+        SELECT p.w, p.i, p.gone, m.id, m.safe, m.safe AND m.id < coalesce(l.least, 2147483647) AND m.id <= coalesce(g.least, 2147483647) AS sure
+        FROM pairs p JOIN merges m ON p.tok = m.a AND p.nxt = m.b LEFT JOIN lefts l ON l.byte = p.before AND l.tok = p.tok LEFT JOIN rights g ON g.tok = p.nxt AND g.byte = p.after),
+     best AS (
+        SELECT w, min((id::BIGINT << 32) + i) AS place FROM ranked GROUP BY w),
+     least AS (
+        SELECT r.w, r.i, r.gone, r.id, r.i - (r.gone - r.i) * row_number() OVER (PARTITION BY r.w ORDER BY r.i) AS island
+        FROM ranked r JOIN best b ON r.w = b.w WHERE r.safe AND r.id = b.place >> 32),
+     chosen AS (
+        SELECT w, i, gone, id FROM (SELECT *, row_number() OVER (PARTITION BY w, island ORDER BY i) AS n FROM least) WHERE n % 2 = 1
+      UNION
+        SELECT r.w, r.i, r.gone, r.id FROM ranked r JOIN best b ON r.w = b.w WHERE r.sure OR (r.id::BIGINT << 32) + r.i = b.place)
+     SELECT p.step + 1, p.w, p.i, coalesce(c.id, p.tok), p.before, p.first
+     FROM pairs p JOIN best b ON p.w = b.w LEFT JOIN chosen c ON c.w = p.w AND c.i = p.i
+     WHERE NOT EXISTS (SELECT 1 FROM chosen d WHERE d.w = p.w AND d.gone = p.i)))
+SELECT r.w, r.tok FROM run r JOIN (SELECT w, max(step) AS step FROM run GROUP BY w) l ON r.w = l.w AND r.step = l.step ORDER BY r.w, r.i
 """
 
 DECODE = """
@@ -52,11 +92,25 @@ SELECT t.doc, string_agg(v.hex, '' ORDER BY t.pos) AS hex FROM tokens t JOIN voc
 """
 
 
+#: The pattern that ``_parts`` holds for; texts are given whole to any other.
+SPACED = r"""'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"""
+
 _beside = re.compile(r" \s|\s ").search
 
 
+def _last_pair(token: bytes, ranks: dict[bytes, int]) -> tuple[bytes, bytes] | None:
+    """The two tokens that a token's own encoding merges last; None where it does not come to them."""
+    parts = [token[k : k + 1] for k in range(len(token))]
+    while len(parts) > 2:
+        rank, k = min((ranks.get(parts[k] + parts[k + 1], 2**31), k) for k in range(len(parts) - 1))
+        if rank == 2**31:
+            return None
+        parts[k : k + 2] = [parts[k] + parts[k + 1]]
+    return parts[0], parts[1]
+
+
 def _parts(text: str) -> list[str]:
-    """Cuts a text before each space, where no match of the pattern can reach over.
+    """Cuts a text before each space, where no match of ``SPACED`` can reach over.
 
     That holds where a single space parts other characters, since a match has a space at its start
     or is white space throughout; texts with other white space beside a space stay whole.
@@ -77,38 +131,66 @@ class Codec:
         with open(path, "rb") as f:
             self.ranks = {base64.b64decode(a): int(b) for a, b in (line.split() for line in f if line.strip())}
         self.find = regex.compile(pattern).findall
+        self.cut = _parts if pattern == SPACED else lambda text: [text] if text else []
         self.cache: dict[str, bytes] = {}  # of the pattern's matches
         self.parts: dict[str, bytes] = {}  # of runs of matches, see _parts
         self.db = duckdb.connect(config={"threads": 1, "memory_limit": "400MB"})
-        merges = [(self.ranks[t[:k]], self.ranks[t[k:]], r) for t, r in self.ranks.items() for k in range(1, len(t)) if t[:k] in self.ranks and t[k:] in self.ranks]
-        a, b, r = (pa.array(x, pa.int32()) for x in zip(*merges, strict=True))
-        found = pa.table({"a": a, "b": b, "id": r})
-        self.db.execute("CREATE TABLE merges AS SELECT * FROM found")
+        self._merges()
         found = pa.table({"id": pa.array(self.ranks.values(), pa.int32()), "hex": [t.hex() for t in self.ranks]})
         self.db.execute("CREATE TABLE vocabulary AS SELECT * FROM found")
         self.byte_ids = np.array([self.ranks[bytes([b])] for b in range(256)], np.int32)
 
+    def _merges(self) -> None:
+        """The tables of merges and of the bounds beside a pair."""
+        rank, spelled = self.ranks, {r: t for t, r in self.ranks.items()}
+        rows = [(rank[x], rank[y], r) for t, r in rank.items() if len(t) > 1 and (found := _last_pair(t, rank)) for x, y in (found,)]
+        a, b, r = (np.array(x, np.int64) for x in zip(*rows, strict=True))
+        later = np.full(max(rank.values()) + 1, 2**31 - 1)  # the least rank of a merge that a token enters
+        np.minimum.at(later, a, r)
+        np.minimum.at(later, b, r)
+        last = np.array([spelled[x][-1] for x in a.tolist()])
+        first = np.array([spelled[x][0] for x in b.tolist()])
+        merges = pa.table({"a": pa.array(a, pa.int32()), "b": pa.array(b, pa.int32()), "id": pa.array(r, pa.int32()), "safe": later[r] > r})  # noqa: F841
+        found = pa.table({"left": last, "a": a, "b": b, "right": first, "r": r})  # noqa: F841
+        self.db.execute("CREATE TABLE merges AS SELECT * FROM merges")
+        self.db.execute('CREATE TABLE lefts AS SELECT "left"::INTEGER AS byte, b::INTEGER AS tok, min(r)::INTEGER AS least FROM found GROUP BY ALL')
+        self.db.execute('CREATE TABLE rights AS SELECT a::INTEGER AS tok, "right"::INTEGER AS byte, min(r)::INTEGER AS least FROM found GROUP BY ALL')
+
     def learn(self, pieces: list[str]) -> None:
         """Encodes pieces that are not remembered yet."""
-        rest = []
+        rest, long = [], []
         for piece in pieces:
             raw = piece.encode("utf-8", "surrogatepass")
             rank = self.ranks.get(raw)
             if rank is None:
-                rest.append((piece, raw))
+                (rest if len(raw) <= SHORT else long).append((piece, raw))
             else:
                 self.cache[piece] = rank.to_bytes(4, "little")
         for at in range(0, len(rest), BATCH):
-            part = rest[at : at + BATCH]
-            sizes = np.fromiter((len(r) for _, r in part), np.int64, len(part))
-            data = np.frombuffer(b"".join(r for _, r in part), np.uint8)
-            starts = np.cumsum(sizes) - sizes
-            positions = pa.table({"w": np.repeat(np.arange(len(part), dtype=np.int32), sizes), "i": (np.arange(len(data)) - np.repeat(starts, sizes)).astype(np.int32), "tok": self.byte_ids[data]})  # noqa: F841
-            out = self.db.sql(ENCODE).to_arrow_table()
-            ids = out.column("ids").combine_chunks()
-            flat, ends = ids.values.to_numpy().astype("<u4").tobytes(), ids.offsets.to_numpy()
-            for w, lo, hi in zip(out.column("w").to_pylist(), ends[:-1].tolist(), ends[1:].tolist(), strict=True):
-                self.cache[part[w][0]] = flat[4 * lo : 4 * hi]
+            self._contract(rest[at : at + BATCH], ENCODE)
+        at = 0
+        while at < len(long):  # some megabytes of long pieces, or one
+            stop, held = at, 0
+            while stop < len(long) and (stop == at or held + len(long[stop][1]) <= SLICE):
+                held += len(long[stop][1])
+                stop += 1
+            self._contract(long[at:stop], ENCODE_LONG)
+            at = stop
+
+    def _contract(self, part: list[tuple[str, bytes]], query: str) -> None:
+        sizes = np.fromiter((len(r) for _, r in part), np.int64, len(part))
+        data = np.frombuffer(b"".join(r for _, r in part), np.uint8)
+        starts = np.cumsum(sizes) - sizes
+        before = np.concatenate([[-1], data[:-1].astype(np.int32)]).astype(np.int32)
+        before[starts] = -1
+        positions = pa.table({"w": np.repeat(np.arange(len(part), dtype=np.int32), sizes), "i": (np.arange(len(data)) - np.repeat(starts, sizes)).astype(np.int32), "tok": self.byte_ids[data], "before": before, "first": data.astype(np.int32)})  # noqa: F841
+        out = self.db.sql(query).to_arrow_table()
+        flat = out.column("tok").to_numpy().astype("<u4").tobytes()
+        ends = 4 * np.cumsum(np.bincount(out.column("w").to_numpy(), minlength=len(part)))
+        lo = 0
+        for (piece, _), hi in zip(part, ends.tolist(), strict=True):
+            self.cache[piece] = flat[lo:hi]
+            lo = hi
 
     def encode(self, texts: list[str | None]) -> list[bytes]:
         """The ids of each text as little-endian 32-bit integers."""
@@ -118,7 +200,7 @@ class Codec:
             cut: list[list[str]] = []
             held = 0
             while at < len(texts) and (not cut or held < 400_000):
-                cut.append(_parts(texts[at] or ""))
+                cut.append(self.cut(texts[at] or ""))
                 held += len(cut[-1])
                 at += 1
             known = self.parts
