@@ -7,13 +7,15 @@ maximum over its chunks, combined by one logistic unit into a probability.
 
 The network is fitted in one task on a bounded sample of labelled rows,
 ``SAMPLE`` per label value, chosen by a hash of the id; every document is
-scored whole. Only the text goes into a score.
+scored whole, a bounded number of chunks at a time, so memory does not grow with
+the length of a text. Only the text goes into a score.
 
 Defined results: a null text counts as empty, and the empty text has a score of
 its own (that of a chunk of padding); repeated rows get equal scores; an empty
 table gives an empty table; without labels of both values every score is 0.5;
 a row of labels without a value, or with a null id, is not learnt from; where a
-document has several labels the largest holds; further columns are kept by
+document has several labels the largest holds; a score equal to the threshold
+counts as good; further columns, whatever their names, are kept by
 ``keep_documents`` and ignored by ``score``.
 """
 
@@ -33,6 +35,8 @@ SAMPLE = 600
 EMBED, FILTERS, WIDTH, STRIDE = 8, 24, 8, 4
 #: Positions of the filters in a chunk, and those that it shares with the next one.
 CHUNK, OVERLAP = 128, 16
+#: Chunks of one text, and positions of several, that are worked on together.
+TOGETHER, POSITIONS = 800, 100_000
 EPOCHS, RATE, SEED = 14, 0.01, 20
 
 
@@ -65,53 +69,92 @@ class Network:
             "last": np.zeros(1, np.float32),
         }
 
-    def pooled(self, windows: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-        """Maxima of the filters over each chunk of one text, the positions that have them, and the inputs."""
-        p = self.p
-        inputs = p["embed"][windows].reshape(len(windows), -1)
-        act = inputs @ p["filters"] + p["bias"]
-        np.maximum(act, 0, out=act)
-        starts = _chunk_starts(len(act))
+    def pooled(self, windows: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Maxima of the filters over each chunk of one text, and the positions that have them."""
+        p, starts = self.p, _chunk_starts(len(windows))
         best, where = np.empty((len(starts), FILTERS), np.float32), np.empty((len(starts), FILTERS), np.int64)
-        for k, s in enumerate(starts):
-            own = act[s : s + CHUNK]
-            where[k] = own.argmax(0) + s
-            best[k] = act[where[k], np.arange(FILTERS)]
-        return best, where, inputs
+        for first in range(0, len(starts), TOGETHER):
+            own = starts[first : first + TOGETHER]
+            act = p["embed"][windows[own[0] : own[-1] + CHUNK]].reshape(-1, WIDTH * EMBED) @ p["filters"] + p["bias"]
+            for k, s in enumerate(own - own[0]):
+                at = act[s : s + CHUNK].argmax(0) + s
+                best[first + k], where[first + k] = np.maximum(act[at, np.arange(FILTERS)], 0), at + own[0]
+        return best, where
 
     def score(self, texts: list[str | None]) -> list[float]:
-        """Probabilities; several texts share one matrix product."""
-        p, out, at = self.p, [], 0
+        """Probabilities; several texts share one matrix product, and a long one is worked through in parts."""
+        out, at = np.empty((len(texts), 2 * FILTERS), np.float32), 0
         while at < len(texts):
-            own, held = [], 0
-            while at < len(texts) and (not own or held < 100_000):
-                own.append(_windows(_padded(texts[at])))
-                held += len(own[-1])
+            own, held, first = [], 0, at
+            while at < len(texts):
+                windows = _windows(_padded(texts[at]))
+                if own and held + len(windows) > POSITIONS:
+                    break
+                own.append(windows)
+                held += len(windows)
                 at += 1
-            act = p["embed"][np.concatenate(own) if len(own) > 1 else own[0]].reshape(held, -1) @ p["filters"]
-            starts, ends, firsts = [], [], []
-            base = n = 0
-            for w in own:
-                s = _chunk_starts(len(w)) + base
-                firsts.append(n)
-                n += len(s)
-                starts.append(s)
-                base += len(w)
-                ends.append(np.minimum(s + CHUNK, base))
-            pairs = np.stack([np.concatenate(starts), np.concatenate(ends)], 1).ravel()
-            act = np.concatenate([act, np.zeros((1, FILTERS), act.dtype)])  # reduceat wants each end inside
-            best = np.maximum(np.maximum.reduceat(act, pairs, 0)[::2] + p["bias"], 0)
-            counts = np.diff([*firsts, n])[:, None]
-            means, tops = np.add.reduceat(best, firsts, 0) / counts, np.maximum.reduceat(best, firsts, 0)
-            z = np.concatenate([means, tops], 1) @ p["out"] + p["last"]
-            out += (1 / (1 + np.exp(-z.astype(np.float64)))).tolist()
-        return out
+            if len(own) == 1:
+                out[first] = self._long(own[0])
+            else:
+                best, firsts = self._maxima(own)
+                counts = np.diff([*firsts, len(best)])[:, None]
+                out[first:at] = np.concatenate([np.add.reduceat(best, firsts, 0) / counts, np.maximum.reduceat(best, firsts, 0)], 1)
+        z = out @ self.p["out"] + self.p["last"]
+        return (1 / (1 + np.exp(-z.astype(np.float64)))).tolist()
+
+    def _maxima(self, own: list[np.ndarray]) -> tuple[np.ndarray, list[int]]:
+        """Maxima of the filters over the chunks of several texts, and each text's first chunk."""
+        act = self.p["embed"][np.concatenate(own)].reshape(-1, WIDTH * EMBED) @ self.p["filters"]
+        starts, ends, firsts = [], [], []
+        base = n = 0
+        for w in own:
+            s = _chunk_starts(len(w)) + base
+            firsts.append(n)
+            n += len(s)
+            starts.append(s)
+            base += len(w)
+            ends.append(np.minimum(s + CHUNK, base))
+        pairs = np.stack([np.concatenate(starts), np.concatenate(ends)], 1).ravel()
+        act = np.concatenate([act, np.zeros((1, FILTERS), act.dtype)])  # reduceat wants each end inside
+        return np.maximum(np.maximum.reduceat(act, pairs, 0)[::2] + self.p["bias"], 0), firsts
+
+    def _long(self, windows: np.ndarray) -> np.ndarray:
+        starts = _chunk_starts(len(windows))
+        total, top = np.zeros(FILTERS), np.zeros(FILTERS, np.float32)
+        for first in range(0, len(starts), TOGETHER):
+            s = starts[first : first + TOGETHER]
+            best = self._maxima([windows[s[0] : s[-1] + CHUNK]])[0][: len(s)]
+            total += best.sum(0)
+            top = np.maximum(top, best.max(0))
+        return np.concatenate([total / len(starts), top])
+
+    def gradient(self, windows: np.ndarray, label: float, weight: float) -> dict[str, np.ndarray]:
+        """Gradient of the weighted cross-entropy of one text."""
+        p, grad = self.p, {k: np.zeros_like(x) for k, x in self.p.items()}
+        best, where = self.pooled(windows)
+        vector = np.concatenate([best.mean(0), best.max(0)])
+        error = weight * (1 / (1 + np.exp(-(vector @ p["out"] + p["last"][0]))) - label)
+        grad["out"] += error * vector
+        grad["last"] += error
+        d = np.broadcast_to(error * p["out"][:FILTERS] / len(best), best.shape).copy()
+        d[best.argmax(0), np.arange(FILTERS)] += error * p["out"][FILTERS:]
+        d *= best > 0
+        grad["bias"] += d.sum(0)
+        for first in range(0, len(best), TOGETHER):
+            own, share = windows[where[first : first + TOGETHER]], d[first : first + TOGETHER]  # (chunk, filter, byte)
+            seen = p["embed"][own].reshape(*share.shape, -1)
+            grad["filters"] += np.einsum("cf,cfd->df", share, seen)
+            back = (share[:, :, None] * p["filters"].T).reshape(-1, EMBED)
+            codes = own.ravel()
+            for e in range(EMBED):
+                grad["embed"][:, e] += np.bincount(codes, back[:, e], len(grad["embed"]))
+        return grad
 
     def fit(self, texts: list[str | None], labels: list[int], weights: np.ndarray, epochs: int = EPOCHS, batch: int = 16) -> None:
         """Adam on the weighted cross-entropy."""
         r, p = np.random.default_rng(SEED), self.p
         own = [_windows(_padded(t)) for t in texts]
-        y, n = np.asarray(labels, np.float32), len(texts)
+        n = len(texts)
         m, v, t = {k: np.zeros_like(x) for k, x in p.items()}, {k: np.zeros_like(x) for k, x in p.items()}, 0
         for epoch in range(epochs):
             rate = RATE * 0.5 * (1 + np.cos(np.pi * epoch / epochs))
@@ -119,24 +162,8 @@ class Network:
             for lo in range(0, n, batch):
                 grad = {k: np.zeros_like(x) for k, x in p.items()}
                 for i in order[lo : lo + batch]:
-                    best, where, inputs = self.pooled(own[i])
-                    top = best.argmax(0)
-                    vector = np.concatenate([best.mean(0), best.max(0)])
-                    error = weights[i] * (1 / (1 + np.exp(-(vector @ p["out"] + p["last"][0]))) - y[i]) / batch
-                    grad["out"] += error * vector
-                    grad["last"] += error
-                    d = np.broadcast_to(error * p["out"][:FILTERS] / len(best), best.shape).copy()
-                    d[top, np.arange(FILTERS)] += error * p["out"][FILTERS:]
-                    d *= best > 0
-                    rows = where.ravel()
-                    cols = np.tile(np.arange(FILTERS), len(best))
-                    flat = d.ravel()
-                    grad["bias"] += d.sum(0)
-                    seen = inputs[rows]
-                    for f in range(FILTERS):
-                        grad["filters"][:, f] += flat[f::FILTERS] @ seen[f::FILTERS]
-                    back = (flat[:, None] * p["filters"].T[cols]).reshape(-1, WIDTH, EMBED)
-                    np.add.at(grad["embed"], own[i][rows], back)
+                    for k, g in self.gradient(own[i], float(labels[i]), weights[i] / batch).items():
+                        grad[k] += g
                 t += 1
                 for k in p:
                     m[k] = 0.9 * m[k] + 0.1 * grad[k]
@@ -172,7 +199,8 @@ def train(docs: DataFrame, labels: DataFrame, label: str = "quality", sample: in
         yield pa.RecordBatch.from_arrays([pa.array([raw], pa.binary())], names=["model"])
 
     rows = sampled(docs, labels, label, sample, modulus, left_out)
-    return bytes(rows.repartition(1).mapInArrow(fit, "model binary").first()[0])
+    found = rows.repartition(1).mapInArrow(fit, "model binary").first()
+    return b"" if found is None else bytes(found[0])  # no partition, no row
 
 
 def score(docs: DataFrame, labels: DataFrame, label: str = "quality", threshold: float = 0.5, modulus: int = 3, left_out: int = 1) -> DataFrame:
