@@ -54,6 +54,7 @@ def test_join_matches_all_pairs(spark):
 @pytest.mark.parametrize("deal", [4096, 3])
 def test_join_of_planted_groups(spark, monkeypatch, deal):
     monkeypatch.setattr(ngram_join, "LONG_LIST", deal)
+    monkeypatch.setattr(ngram_join, "HOT_ROWS", deal)
     monkeypatch.setattr(ngram_join, "BLOCK_ITEMS", 200)
     r = random.Random(4)
     vocabulary = [f"w{k}" for k in range(60)]
@@ -69,9 +70,40 @@ def test_join_of_planted_groups(spark, monkeypatch, deal):
     assert got(df) == plain_join(rows)
     kept = ngram_join.keep_one(df)
     assert kept.columns == df.columns
+    assert sorted((r["doc_id"], r["text"]) for r in kept.collect() if r["doc_id"] not in (None, 1, 2, 3, 7)) == sorted((i, t) for (i, t) in rows if i is not None and i not in (1, 2, 3, 7) and (i, i) in {(a, c) for a, _, c in plain_join(rows)})
     assert ngram_join.join(df.limit(0)).count() == 0
 
 
+def test_one_row_of_each_component_stays(spark):
+    same = "one two three four five six seven"
+    rows = [(2, same, "x"), (1, same, "b"), (1, same, "a"), (1, same, "a"), (None, same, "a"), (9, "other words stand in this text here", None), (9, "third text with its own seven words", "c"), (None, "no id but words of its own too", "d"), (None, "no id but words of its own too", "d"), (4, None, "e"), (4, None, "e"), (None, " ", "f"), (1, "quite another text under the same id", "g")]
+    df = spark.createDataFrame(rows, "doc_id long, text string, __id string").withColumns({"label": F.lit(1), "__node": F.lit("n"), "__row": F.array(F.lit(1))})
+    kept = ngram_join.keep_one(df)
+    assert kept.columns == df.columns and kept.dtypes == df.dtypes
+    want = [rows[2], *rows[5:8], rows[9], rows[10], rows[11], rows[12]]
+    assert sorted(map(str, ((r["doc_id"], r["text"], r["__id"]) for r in kept.collect()))) == sorted(map(str, want))
+    assert ngram_join.keep_one(df.limit(0)).count() == 0
+    assert sorted(map(str, ((a, c) for a, _, c in got(df.filter("doc_id IS NULL OR doc_id < 3"))))) == sorted(map(str, [(1, 1), (1, 1), (1, 1), (2, 1), (None, 1), (None, None), (None, None), (None, None), (1, 1)]))
+
+
+def test_a_full_sketch_tells_no_long_lists(spark, monkeypatch):
+    """Counters that all hold many shingles deal nothing, so sets without a mate do not reach the exact check."""
+    docs = spark.read.parquet(f"{DIR}/documents.parquet").union(spark.read.parquet("/root/testdata/sf0.01/documents.parquet")).dropDuplicates(["doc_id"])
+    want = got(docs)
+    checked, plain = [], ngram_join._sets
+
+    def counted(docs, wanted, number):
+        checked.append(wanted.distinct().count())
+        return plain(docs, wanted, number)
+
+    monkeypatch.setattr(ngram_join, "_sets", counted)
+    assert got(docs) == want
+    monkeypatch.setattr(ngram_join, "SKETCH", 7)  # 128 counters for some 300,000 shingles
+    monkeypatch.setattr(ngram_join, "LONG_LIST", 16)  # every counter holds over a thousand
+    assert got(docs) == want
+    assert checked[0] < 0.1 * len(want) and checked[1] < 0.25 * len(want)  # dealt by the counters themselves: over nine tenths
+
+
 def test_components(spark):
     r = random.Random(1)
     edges = [(r.randrange(300), r.randrange(300)) for _ in range(200)] + [(1000 + i, 1001 + i) for i in range(40)] + [(5, 5)]

@@ -5,7 +5,9 @@ sets are one class. Two classes link when their Jaccard similarity is 0.75 or
 more, which needs an overlap of ``o = ceil(3 s / 4)`` for a set of ``s``. Under
 any total order of shingles, sets with overlap ``o`` or more share ``k`` of the
 first ``s - o + k``. The order puts rare shingles first, by a count sketch of
-fixed size over all documents, so common passages fall behind the prefix.
+fixed size over all documents, so common passages fall behind the prefix. On
+large inputs every counter holds many shingles; what counts as a long list is
+therefore what a counter holds beyond the usual one and its spread.
 
 Small sets enumerate the pairs (``k = 2``) of their prefix; equal pairs make
 candidates. Large sets and the small ones that may link with them enter the
@@ -27,8 +29,11 @@ and is linked with nothing; a text of one to four words is one shingle; equal
 texts with different ids, and equal ids with different texts, are separate
 rows; a row without an id gets the component of its class's ids, or null; an
 empty table gives an empty table; very long texts are read whole; further
-columns are ignored by ``join`` and kept by ``keep_one``. Shingles, sets and
-classes are told apart by 64-bit hashes.
+columns are ignored by ``join`` and kept by ``keep_one``, whatever their names.
+``keep_one`` leaves one row of each component, of the least id, then the least
+text and the least of the other columns as JSON; rows without an id come last,
+and rows that are equal in every column are one. Rows without shingles all
+stay. Shingles, sets and classes are told apart by 64-bit hashes.
 """
 
 from __future__ import annotations
@@ -40,8 +45,9 @@ import pyarrow as pa
 import xxhash
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.types import BooleanType, LongType, StructField, StructType
 
-from tideline.llm.common import Scratch, free_shuffles, map_rows, spark_arrow, words
+from tideline.llm.common import Scratch, free_shuffles, map_rows, slices, spark_arrow, words
 from tideline.llm.components import components
 
 SHINGLE = 5
@@ -57,6 +63,10 @@ SHORT = 64
 CANDIDATE_COST, LONG_LIST = 4.0, 4096
 #: Shingles in a block, about.
 BLOCK_ITEMS = 250_000
+#: Rows from which a group is hot, and how many hot groups there may be at most: with more rows the limit is raised.
+HOT_ROWS, HOT_GROUPS = 4096, 50_000
+#: log2 of the bits that tell the wanted sets, at least and at most; between them 16 bits for each.
+LEAST_BITS, MOST_BITS = 23, 28
 #: Share of a shingle's list that a pair's list is taken to have.
 PAIR_SHARE = 0.02
 _ODD = [np.uint64(x | 1) for x in (0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9, 0x27D4EB2F165667C5, 0xD6E8FEB86659FD93)]
@@ -156,12 +166,19 @@ def _sketch(scanned: DataFrame) -> np.ndarray:
 class _Signer:
     """Signature rows of sets, given the sketch and the boundary."""
 
-    def __init__(self, sketch: np.ndarray, boundary: int):
-        self.sketch, self.boundary = sketch, boundary
+    def __init__(self, sketch: np.ndarray, boundary: int, long_list: int):
+        self.sketch, self.boundary, self.long_list = sketch, boundary, long_list
+        self.shift = np.uint64(64 - (len(sketch).bit_length() - 1))
+        middle, high = np.percentile(sketch, (50, 84))
+        self.usual = middle + 4 * max(1.0, high - middle)  # what other shingles of a counter come to
+
+    def ways(self, counts: np.ndarray) -> np.ndarray:
+        """Parts that the list of a shingle is dealt to; one where its counter tells nothing beyond the usual."""
+        return 1 + np.maximum(0, counts - self.usual).astype(np.int64) // self.long_list
 
     def ordered(self, s: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """The set in its order, rare shingles first, and the counts."""
-        c = self.sketch[(s >> np.uint64(64 - SKETCH)).view(np.int64)]
+        c = self.sketch[(s >> self.shift).view(np.int64)]
         order = np.argsort(c, kind="stable")
         return s[order], c[order]
 
@@ -199,7 +216,7 @@ def _boundary(scanned: DataFrame, sketch) -> int:  # type: ignore[no-untyped-def
 
     def cost(batches: Iterator[dict[str, list]]) -> Iterator[dict[str, list]]:
         subset, scan = np.zeros(SHORT + 1), np.zeros(SHORT + 1)
-        own, mean = _Signer(sketch.value, 0), float(sketch.value.mean())
+        own, mean = _Signer(sketch.value, 0, LONG_LIST), float(sketch.value.mean())
         for b in batches:
             for raw in b["data"]:
                 s, c = own.ordered(np.frombuffer(raw, np.uint64))
@@ -225,14 +242,14 @@ def _signatures(docs: DataFrame, sketch, boundary: int) -> DataFrame:  # type: i
     target = spark_arrow(docs.sparkSession, schema)
 
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        own, seen = _Signer(sketch.value, boundary), set()
+        own, seen = _Signer(sketch.value, boundary, LONG_LIST), set()
 
         def flush(held: list[tuple[np.ndarray, int, int, np.ndarray, np.ndarray]]) -> pa.RecordBatch:
             sizes = [len(k) for k, *_ in held]
             keys = np.concatenate([k for k, *_ in held])
             nodes = np.repeat(np.array([x for _, x, *_ in held], np.int64), sizes)
             counts = np.concatenate([c for *_, c in held]).astype(np.int64)
-            ways = 1 + counts // LONG_LIST  # a long list is dealt anew for each key, so that its parts meet through other keys
+            ways = own.ways(counts)  # a long list is dealt anew for each key, so that its parts meet through other keys
             deal = np.where(ways > 1, 1 + (_mix(nodes.view(np.uint64) ^ keys) % ways.astype(np.uint64)).astype(np.int64), 0).astype(np.int32)
             return pa.RecordBatch.from_arrays([pa.array(_signed(keys)), pa.array(deal), pa.array(nodes), pa.array(np.repeat(np.array([s for _, _, s, *_ in held], np.int32), sizes)), pa.array(np.concatenate([f for *_, f, _ in held]))], schema=target)
 
@@ -322,29 +339,40 @@ def _groups(signatures: DataFrame, scratch: Scratch) -> DataFrame:
     return groups
 
 
-def _sets(docs: DataFrame, wanted: DataFrame) -> DataFrame:
-    """(node, items) of the sets whose nodes are in ``wanted``, and of some others.
+def _bitmap(nodes: DataFrame, column: str, number: int):  # type: ignore[no-untyped-def]
+    """(broadcast bits, log2 of their number): which values of a hash are among ``nodes``, and some others.
 
-    Which texts to read again is told by a bitmap of 2 ** 23 bits, so no other set is shuffled while few are wanted.
+    ``number``: how many nodes there are, about. The bits are 32 MB at most, whatever the number.
     """
-    bits = 23
-    slot = F.pmod("node", F.lit(1 << bits)) + 1  # the bitmap functions count from 1
-    # 256 rows of 4096 bytes at most, whatever the number of nodes
-    rows = wanted.select(slot.alias("s")).groupBy(F.bitmap_bucket_number("s").alias("b")).agg(F.bitmap_construct_agg(F.bitmap_bit_position("s")).alias("m")).collect()
+    bits = int(min(MOST_BITS, max(LEAST_BITS, np.ceil(np.log2(16 * max(1, number))))))
+    slot = F.pmod(column, F.lit(1 << bits)) + 1  # the bitmap functions count from 1
+    rows = nodes.select(slot.alias("s")).groupBy(F.bitmap_bucket_number("s").alias("b")).agg(F.bitmap_construct_agg(F.bitmap_bit_position("s")).alias("m")).collect()
     packed = np.zeros((1 << bits) // 8, np.uint8)
     for r in rows:
         packed[(r["b"] - 1) * 4096 : r["b"] * 4096] = np.frombuffer(bytes(r["m"]), np.uint8)
-    shared = docs.sparkSession.sparkContext.broadcast(packed)
+    return nodes.sparkSession.sparkContext.broadcast(packed), bits
+
+
+def _is_set(packed: np.ndarray, bits: int, node: int) -> bool:
+    slot = node % (1 << bits)
+    return bool(packed[slot >> 3] >> (slot & 7) & 1)
+
+
+def _sets(docs: DataFrame, wanted: DataFrame, number: int) -> DataFrame:
+    """(node, items) of the sets whose nodes are in ``wanted``, and of some others.
+
+    Which texts to read again is told by a bitmap, so no other set is shuffled while few are wanted.
+    """
+    shared, bits = _bitmap(wanted, "node", number)
 
     def work(batches: Iterator[dict[str, list]]) -> Iterator[dict[str, list]]:
         seen: set[int] = set()
-        table = np.unpackbits(shared.value, bitorder="little")
         for b in batches:
             nodes, items = [], []
             for text in b["text"]:
                 s = shingles(text)
                 node = _node(s)
-                if node is not None and node not in seen and table[node % (1 << bits)]:
+                if node is not None and node not in seen and _is_set(shared.value, bits, node):
                     seen.add(node)
                     nodes.append(node)
                     items.append(_signed(s))
@@ -379,12 +407,17 @@ def _matched(nodes: np.ndarray, items: list[np.ndarray]) -> tuple[list[int], lis
         i = int(left[0])
 
 
-def _links(groups: DataFrame, docs: DataFrame) -> DataFrame:
+def _links(groups: DataFrame, docs: DataFrame, scratch: Scratch) -> DataFrame:
     """Links (u, v) that join the sets of each group into components."""
-    sets = _sets(docs, groups.select("node"))
-    groups = groups.join(groups.groupBy("leader").count().filter("count > 1").select("leader"), "leader")
-    large = groups.groupBy("leader").agg(F.sum("size").alias("items")).filter(F.col("items") > BLOCK_ITEMS).select("leader", F.ceil(F.col("items") / BLOCK_ITEMS).cast("int").alias("blocks"))
-    rows = groups.join(large, "leader", "left").withColumn("blocks", F.coalesce("blocks", F.lit(1)))
+    total = groups.count()
+    hot = max(HOT_ROWS, total // HOT_GROUPS)
+    sizes = groups.groupBy("leader").agg(F.count(F.lit(1)).alias("rows"), F.sum("size").alias("items")).filter("rows > 1")
+    sizes = scratch.save(sizes.select("leader", "rows", F.greatest(F.lit(1), F.ceil(F.col("items") / BLOCK_ITEMS)).cast("int").alias("blocks")), "sizes")
+    # At most HOT_GROUPS hot groups: their rows stay where they are, only those of the others meet by leader.
+    marked = groups.join(F.broadcast(sizes.filter(F.col("rows") > hot).select("leader", F.col("blocks").alias("__hot"))), "leader", "left")
+    cold = marked.filter("__hot IS NULL").drop("__hot").join(sizes.filter(F.col("rows") <= hot).select("leader", "blocks"), "leader")
+    rows = scratch.save(marked.filter("__hot IS NOT NULL").withColumnRenamed("__hot", "blocks").unionByName(cold), "rows")
+    sets = _sets(docs, rows.select("node"), min(total, rows.count()))
     own = F.pmod(F.xxhash64("leader", "node"), F.col("blocks")).cast("int")
     rows = rows.withColumn("own", own).withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
     rows = rows.select("leader", F.least("own", "other").alias("b1"), F.greatest("own", "other").alias("b2"), "node").join(sets, "node")
@@ -432,9 +465,9 @@ def classes(docs: DataFrame, scratch: Scratch) -> DataFrame:
     boundary = _boundary(scanned, sketch)
     groups = scratch.save(_groups(_signatures(docs, sketch, boundary), scratch), "groups")
     free_shuffles(spark)
-    labels = scratch.save(components(_links(groups, docs), scratch, "stars"), "labels")
+    labels = scratch.save(components(_links(groups, docs, scratch), scratch, "stars"), "labels")
     free_shuffles(spark)
-    scratch.drop("groups", "met")
+    scratch.drop("groups", "met", "rows", "sizes")
     return rows.join(labels, "node", "left").select("doc_id", "n", "node", F.coalesce("label", "node").alias("label"))
 
 
@@ -447,11 +480,45 @@ def join(docs: DataFrame) -> DataFrame:
 
 
 def keep_one(docs: DataFrame) -> DataFrame:
-    """One document of each component, with all its columns: that with the least doc_id; documents without shingles all stay."""
-    found = join(docs)
-    stay = found.filter((F.col("doc_id") == F.col("component_id")) | F.col("doc_id").isNull()).select(F.col("doc_id").alias("__id")).distinct()
-    return docs.join(stay, docs["doc_id"].eqNullSafe(F.col("__id")), "left_semi")
+    """One document of each component, with all its columns; documents without shingles all stay.
+
+    Only rows whose set is in several rows or linked are shuffled: a bitmap tells them, and some others.
+    """
+    scratch = Scratch(docs.sparkSession, "keep-one")
+    found = scratch.save(classes(docs, scratch).filter("n > 0").groupBy("node", "label").agg(F.count(F.lit(1)).alias("rows")), "found")
+    several = found.groupBy("label").agg(F.sum("rows").alias("all")).filter("all > 1").select("label")
+    linked = scratch.save(found.join(several, "label").select("node", "label"), "linked")
+    shared, bits = _bitmap(linked, "node", linked.count())
+    packed = docs.select(F.struct("*").alias("__row"), F.col("text").alias("__text"), F.col("doc_id").alias("__id"))
+    names = StructType([*packed.schema.fields, StructField("__node", LongType()), StructField("__in", BooleanType())])
+
+    def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in slices(batches):
+            nodes = [_node(shingles(t)) for t in b.column("__text").to_pylist()]
+            marks = [n is not None and _is_set(shared.value, bits, n) for n in nodes]
+            yield pa.RecordBatch.from_arrays([*b.columns, pa.array(nodes, pa.int64()), pa.array(marks)], names=[*b.schema.names, "__node", "__in"])
+
+    rows = scratch.save(packed.mapInArrow(work, names), "kept")  # both branches below read it
+    grouped = rows.filter("__in").join(linked.select(F.col("node").alias("__n"), "label"), F.col("__node") == F.col("__n"), "left")
+    others = [F.col("__row").getField(c).alias(c) for c in docs.columns if c not in ("doc_id", "text")]
+    order = F.struct(F.col("__id").isNull(), "__id", "__text", F.to_json(F.struct(*others)) if others else F.lit(""))
+    kept = grouped.groupBy(F.coalesce("label", "__node").alias("__key")).agg(F.min_by("__row", order).alias("__row"))
+    return rows.filter("NOT __in").select("__row.*").unionByName(kept.select("__row.*"))
 
 
 def op1_ngram_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     return join(spark.read.parquet(f"{sf_dir}/documents.parquet"))
+
+
+#: All pairs that share a shingle, and the least id that links reach. It has no set for a null text and none for white space.
+ORACLE_SQL = r"""
+WITH RECURSIVE d AS (SELECT row_number() OVER () AS r, doc_id,
+  regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x20\x09-\x0D]+') AS w FROM documents),
+g AS MATERIALIZED (SELECT DISTINCT r, unnest(CASE WHEN len(w) = 0 THEN [] WHEN len(w) < 5 THEN [array_to_string(w, ' ')]
+  ELSE list_transform(range(1, len(w) - 3), lambda k: array_to_string(w[k:k + 4], ' ')) END) AS shingle FROM d),
+n AS MATERIALIZED (SELECT r, count(*) AS n FROM g GROUP BY r),
+links AS MATERIALIZED (SELECT p.a, p.b FROM (SELECT x.r AS a, y.r AS b, count(*) AS both FROM g x JOIN g y ON x.shingle = y.shingle AND x.r <> y.r GROUP BY ALL) p
+  JOIN n na ON p.a = na.r JOIN n nb ON p.b = nb.r WHERE 100 * both >= 75 * (na.n + nb.n - both)),
+reach(a, b) AS (SELECT a, b FROM links UNION SELECT reach.a, links.b FROM reach JOIN links ON reach.b = links.a)
+SELECT d.doc_id, CAST(coalesce(n.n, 0) AS BIGINT) AS n_shingles, least(d.doc_id, min(o.doc_id)) AS component_id
+FROM d LEFT JOIN n ON d.r = n.r LEFT JOIN reach ON d.r = reach.a LEFT JOIN d o ON reach.b = o.r GROUP BY d.r, d.doc_id, n.n"""

@@ -25,4 +25,4 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op5_warc": warc.ORACLE_SQL, "op6_hilbert_sharding": sharding.ORACLE_SQL, "op8_quality_rules": quality_rules.ORACLE_SQL}
+    return {"op1_ngram_join": ngram_join.ORACLE_SQL, "op5_warc": warc.ORACLE_SQL, "op6_hilbert_sharding": sharding.ORACLE_SQL, "op8_quality_rules": quality_rules.ORACLE_SQL}
