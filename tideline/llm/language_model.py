@@ -11,22 +11,27 @@ v in training; all unseen words of a class are one. So the probabilities add up
 to one over the words seen and the unseen word of each class.
 
 The network is trained in numpy with noise-contrastive estimation on all
-training documents: a start is fitted on one bounded batch, then every task
-refines its own copy on all its training documents and the copies are averaged
-by tokens. Scoring finds the different contexts of a chunk and normalises them
-by batched matrix products.
+training documents: a start is fitted on a bounded batch of documents, the first
+by a hash of their ids, then every task refines its own copy on all its training
+documents and the copies are averaged by tokens. Scoring finds the different
+contexts of a chunk and normalises them by batched matrix products.
 
 Documents meet counts by chunks: each task cuts its texts into chunks and writes
 each as one row of token numbers and the chunk's own lexicon, so texts are read
-and cut into words once. The lexicons' words are counted over the corpus and the
-counts come back to each chunk in the lexicon's order. No vocabulary is
-broadcast, and no step holds all of it. Words are told apart by 64-bit hashes
-where they are counted.
+and cut into words once. Lexicons are counted in buckets of word hashes: a chunk
+sends each bucket one array of its words, and gets one array of counts back, so
+a word costs some bytes and no row. Words that many chunks have among their most
+frequent, at most ``COMMON``, do not travel: every task adds them up, and their
+counts are broadcast. No step holds the whole vocabulary, and no task a word of
+every chunk. Words are told apart by 64-bit hashes where they are counted.
 
 Defined results: a null text counts as empty, whose only token is the end;
 repeated rows are separate documents; without training documents counts are
 zero and the network is at its start; an empty table gives an empty table;
-a null id counts as the empty text in the fold; further columns are ignored.
+a null id counts as the empty text in the fold; words of equal counts enter the
+shortlist by hash; a very long text is one chunk; further columns are ignored,
+whatever their names. The network depends in its last digits on how rows are
+dealt to tasks, counts and base do not.
 """
 
 from __future__ import annotations
@@ -38,19 +43,22 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tideline.llm.common import Scratch, free_shuffles, remainder, slices, spark_arrow, words
+from tideline.llm.common import Scratch, free_shuffles, partitions, remainder, slices, spark_arrow, words
 
 #: Frequent tokens and classes of other words in the softmax; embedding size; noise samples of a batch.
 SHORTLIST, ENDINGS, DIM, NOISE = 511, 128, 16, 32
 #: Positions of a training batch, positions of the start's fit, learning rate.
 BATCH, START, RATE, SEED = 1024, 600_000, 0.1, 3
-#: Positions that the start's fit goes over in all, and its most passes.
-START_ALL, PASSES = 3_000_000, 10
+#: Documents that the start's fit reads at most, and its passes over them.
+START_DOCS, PASSES = 4000, 5
 #: Bytes of text in a chunk, about, and the end token, which no word equals.
 CHUNK_BYTES, END = 4_000_000, b"\n"
+#: Common words at most, words that a chunk proposes for them, and words of a bucket, about.
+COMMON, PROPOSED, BUCKET_WORDS = 1 << 16, 4096, 1_000_000
+
 
 class LogBilinear:
     """p(w | h) is proportional to exp(q_w . sum_i c_i * r_{h_i} + b_w)."""
@@ -174,7 +182,7 @@ def _tokens(text: str | None) -> list[bytes]:
 def _chunks(docs: DataFrame, modulus: int, left_out: int, chunk_bytes: int) -> DataFrame:
     """One row per chunk: its documents' ids, folds and token counts, their tokens as numbers, and the lexicon of those numbers."""
     kind = docs.schema["doc_id"].dataType.simpleString()
-    schema = f"chunk long, doc_ids array<{kind}>, held array<boolean>, sizes array<int>, tokens binary, words binary, counts binary"
+    schema = f"chunk long, doc_ids array<{kind}>, held array<boolean>, sizes array<int>, tokens binary, n_words long, words binary, counts binary"
     target = spark_arrow(docs.sparkSession, schema)
     rows = docs.select("doc_id", "text", (remainder("doc_id", modulus) == left_out).alias("held"))
 
@@ -188,7 +196,7 @@ def _chunks(docs: DataFrame, modulus: int, left_out: int, chunk_bytes: int) -> D
             flat = np.concatenate(parts)
             train = np.repeat(~np.array(folds, bool), sizes)
             counts = np.bincount(flat[train], minlength=len(lexicon)).astype("<i8")
-            values = [[chunk], [ids], [folds], [sizes], [flat.astype("<u4").tobytes()], [b" ".join(lexicon)], [counts.tobytes()]]
+            values = [[chunk], [ids], [folds], [sizes], [flat.astype("<u4").tobytes()], [len(lexicon)], [b" ".join(lexicon)], [counts.tobytes()]]
             return pa.RecordBatch.from_arrays([pa.array(v, f.type) for v, f in zip(values, target, strict=True)], schema=target)
 
         for b in slices(batches):
@@ -223,27 +231,145 @@ def _words(raw: bytes) -> list[bytes]:
     return raw.split(b" ")
 
 
-def _counted(chunks: DataFrame) -> DataFrame:
-    """chunk, place, hash, ending, c, head: the corpus count of each word of each lexicon; ``head`` marks one row per word."""
-    schema = "chunk long, place int, hash long, ending short, n long"
+def _hashes(own: list[bytes]) -> np.ndarray:
+    return np.fromiter(map(xxhash.xxh3_64_intdigest, own), np.uint64, len(own))
+
+
+def _endings(own: list[bytes]) -> np.ndarray:
+    return np.fromiter((zlib.crc32(w[-3:]) % ENDINGS for w in own), np.uint8, len(own))
+
+
+class _Common:
+    """Sorted hashes of the common words."""
+
+    def __init__(self, hashes: np.ndarray):
+        self.hashes = np.sort(hashes)
+
+    def places(self, h: np.ndarray) -> np.ndarray:
+        """Place of each hash, or -1."""
+        if not len(self.hashes):
+            return np.full(len(h), -1)
+        at = np.minimum(np.searchsorted(self.hashes, h), len(self.hashes) - 1)
+        return np.where(self.hashes[at] == h, at, -1)
+
+
+def _common(chunks: DataFrame) -> _Common:
+    """Words that most chunks have among their ``PROPOSED`` most frequent. The choice moves work, never a result."""
+
+    def propose(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            for raw, counts in zip(*(b.column(c).to_pylist() for c in ("words", "counts")), strict=True):
+                own, n = _words(raw), np.frombuffer(counts, "<i8")
+                top = np.argpartition(-n, PROPOSED)[:PROPOSED] if len(n) > PROPOSED else np.arange(len(n))
+                yield pa.RecordBatch.from_arrays([pa.array(_hashes([own[k] for k in top]).view(np.int64))], names=["hash"])
+
+    rows = chunks.select("words", "counts").mapInArrow(propose, "hash long").groupBy("hash").count().orderBy(F.desc("count"), "hash").limit(COMMON)
+    return _Common(rows.select("hash").toArrow().column("hash").to_numpy().view(np.uint64))  # half a megabyte at most
+
+
+def _common_counts(chunks: DataFrame, common) -> tuple[np.ndarray, np.ndarray]:  # type: ignore[no-untyped-def]
+    """Corpus counts of the common words and their endings, in their order, added up by slices."""
+    schema, slices_ = "slice int, counts binary, endings binary", 64
+
+    def local(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        own: _Common = common.value
+        total, endings = np.zeros(len(own.hashes), np.int64), np.zeros(len(own.hashes), np.uint8)
+        for b in batches:
+            for raw, counts in zip(*(b.column(c).to_pylist() for c in ("words", "counts")), strict=True):
+                w = _words(raw)
+                at = own.places(_hashes(w))
+                there = at >= 0
+                total[at[there]] += np.frombuffer(counts, "<i8")[there]
+                endings[at[there]] = _endings([x for x, k in zip(w, there.tolist(), strict=True) if k])
+        yield packed(range(slices_), np.array_split(total, slices_), np.array_split(endings, slices_))
+
+    def packed(k, total, endings) -> pa.RecordBatch:  # type: ignore[no-untyped-def]
+        return pa.RecordBatch.from_arrays([pa.array(list(k), pa.int32()), pa.array([x.astype("<i8").tobytes() for x in total], pa.binary()), pa.array([x.tobytes() for x in endings], pa.binary())], names=["slice", "counts", "endings"])
+
+    def add(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        sums: dict[int, list[np.ndarray]] = {}
+        for b in batches:
+            for k, raw, e in zip(*(c.to_pylist() for c in b.columns), strict=True):
+                x, e = np.frombuffer(raw, "<i8"), np.frombuffer(e, np.uint8)
+                sums[k] = [sums[k][0] + x, np.maximum(sums[k][1], e)] if k in sums else [x, e]
+        yield packed(sums, [x for x, _ in sums.values()], [e for _, e in sums.values()])
+
+    rows = chunks.select("words", "counts").mapInArrow(local, schema).repartition(slices_ // 4, "slice").mapInArrow(add, schema).collect()
+    rows.sort(key=lambda r: r["slice"])
+    empty = [np.zeros(0, np.int64)], [np.zeros(0, np.uint8)]
+    return np.concatenate([np.frombuffer(r["counts"], "<i8") for r in rows] or empty[0]), np.concatenate([np.frombuffer(r["endings"], np.uint8) for r in rows] or empty[1])
+
+
+def _bucketed(chunks: DataFrame, common, buckets: int) -> DataFrame:  # type: ignore[no-untyped-def]
+    """One row per chunk and bucket: hashes, endings and counts of the chunk's words that are not common."""
+    schema = "bucket int, chunk long, hashes binary, endings binary, counts binary"
     target = spark_arrow(chunks.sparkSession, schema)
 
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        digest, crc = xxhash.xxh3_64_intdigest, zlib.crc32
         for b in batches:
             for chunk, raw, counts in zip(*(b.column(c).to_pylist() for c in ("chunk", "words", "counts")), strict=True):
                 own = _words(raw)
-                n = np.frombuffer(counts, "<i8")
-                for at in range(0, len(own), 50_000):
-                    part = own[at : at + 50_000]
-                    h = np.fromiter(map(digest, part), np.uint64, len(part)).view(np.int64)
-                    e = np.fromiter((crc(w[-3:]) % ENDINGS for w in part), np.int16, len(part))
-                    place = np.arange(at, at + len(part), dtype=np.int32)
-                    yield pa.RecordBatch.from_arrays([pa.array(np.full(len(part), chunk)), pa.array(place), pa.array(h), pa.array(e), pa.array(n[at : at + len(part)])], schema=target)
+                h = _hashes(own)
+                order, bucket, cuts = _order(h, common.value, buckets)
+                if len(order):
+                    sides = [np.split(x[order], cuts) for x in (h, _endings(own), np.frombuffer(counts, "<i8").astype("<u4"))]  # a chunk has less than 2^32 tokens
+                    values = [bucket, [chunk] * len(bucket), *([x.tobytes() for x in side] for side in sides)]
+                    yield pa.RecordBatch.from_arrays([pa.array(v, f.type) for v, f in zip(values, target, strict=True)], schema=target)
+
+    return chunks.select("chunk", "words", "counts").mapInArrow(work, schema)
+
+
+def _order(h: np.ndarray, common: _Common, buckets: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Places of the words that are not common, by bucket; the buckets that have some; where each but the first starts."""
+    rest = np.flatnonzero(common.places(h) < 0)
+    own = ((h[rest] >> np.uint64(20)) % np.uint64(buckets)).astype(np.int32)
+    order = np.argsort(own, kind="stable")
+    own = own[order]
+    cuts = np.flatnonzero(own[1:] != own[:-1]) + 1
+    return rest[order], own[np.concatenate([[0], cuts])] if len(own) else own, cuts
 
-    w = Window.partitionBy("hash")
-    rows = chunks.select("chunk", "words", "counts").mapInArrow(work, schema)
-    return rows.withColumns({"head": F.row_number().over(w.orderBy("chunk")) == 1, "c": F.sum("n").over(w)}).drop("n")
+
+def _summed(rows: DataFrame) -> DataFrame:
+    """For each chunk and bucket the corpus counts ``c`` of its words; for each bucket one row of sums without a chunk."""
+    schema = "bucket int, chunk long, c binary, tokens long, words long, class_tokens binary, class_words binary, top_hashes binary, top_counts binary"
+    target = spark_arrow(rows.sparkSession, schema)
+
+    def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        now, held = None, []
+
+        def close() -> pa.RecordBatch:
+            h, e, n = (np.concatenate([np.frombuffer(r[k], kind) for r in held]) for k, kind in ((1, np.uint64), (2, np.uint8), (3, "<u4")))
+            different, first, back = np.unique(h, return_index=True, return_inverse=True)
+            c = np.bincount(back, n, len(different)).astype(np.int64)  # exact below 2^53
+            whole, ends, seen = c[back].astype("<i8"), np.cumsum([len(r[1]) // 8 for r in held]), c > 0
+            top = np.lexsort((different.view(np.int64), -c))[:SHORTLIST]
+            sums = [int(c.sum()), int(seen.sum()), np.bincount(e[first], c, ENDINGS).tobytes(), np.bincount(e[first], seen, ENDINGS).tobytes(), different[top].tobytes(), c[top].tobytes()]
+            parts = [_narrow(x) for x in np.split(whole, ends[:-1])]
+            m = len(held)
+            values = [[now] * (m + 1), [r[0] for r in held] + [None], parts + [None], *([None] * m + [x] for x in sums)]
+            return pa.RecordBatch.from_arrays([pa.array(v, f.type) for v, f in zip(values, target, strict=True)], schema=target)
+
+        for b in batches:
+            for bucket, *row in zip(*(b.column(c).to_pylist() for c in ("bucket", "chunk", "hashes", "endings", "counts")), strict=True):
+                if bucket != now and held:
+                    yield close()
+                    held = []
+                now = bucket
+                held.append(row)
+        if held:
+            yield close()
+
+    return rows.repartition("bucket").sortWithinPartitions("bucket", "chunk").mapInArrow(work, schema)
+
+
+def _narrow(c: np.ndarray) -> bytes:
+    """Counts in as few bytes each as the greatest takes, which the first byte tells."""
+    width = 2 if not len(c) or c.max() < 1 << 16 else 4 if c.max() < 1 << 32 else 8
+    return bytes([width]) + c.astype(f"<u{width}").tobytes()
+
+
+def _wide(raw: bytes) -> np.ndarray:
+    return np.frombuffer(raw, f"<u{raw[0]}", offset=1).astype(np.int64)
 
 
 def _spelled(chunks: DataFrame, hashes: list[int]) -> dict[int, bytes]:
@@ -268,35 +394,14 @@ def _spelled(chunks: DataFrame, hashes: list[int]) -> dict[int, bytes]:
     return {r["hash"]: bytes(r["word"]) for r in rows}
 
 
-def _chunk_counts(counted: DataFrame) -> DataFrame:
-    """chunk, c: the counts of each chunk's lexicon, in its order."""
-    target = spark_arrow(counted.sparkSession, "chunk long, c binary")
+def _chunk_counts(summed: DataFrame) -> DataFrame:
+    """chunk, parts: the counts of each chunk's words that are not common, in the order of buckets."""
+    rows = summed.filter("chunk IS NOT NULL").groupBy("chunk").agg(F.array_sort(F.collect_list(F.struct("bucket", "c"))).alias("own"))  # the words of one chunk
+    return rows.select("chunk", F.col("own.c").alias("parts"))
 
-    def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        now, parts = None, []
-
-        def out() -> pa.RecordBatch:
-            return pa.RecordBatch.from_arrays([pa.array([now]), pa.array([np.concatenate(parts).astype("<i8").tobytes()])], schema=target)
 
-        for b in batches:
-            chunk, c = b.column("chunk").to_numpy(), b.column("c").to_numpy()
-            cuts = [0, *(np.flatnonzero(chunk[1:] != chunk[:-1]) + 1), len(chunk)]
-            for lo, hi in zip(cuts[:-1], cuts[1:], strict=True):
-                if lo == hi:
-                    continue
-                if now is not None and chunk[lo] != now:
-                    yield out()
-                    parts = []
-                now = int(chunk[lo])
-                parts.append(c[lo:hi].copy())
-        if now is not None:
-            yield out()
-
-    return counted.select("chunk", "place", "c").repartition("chunk").sortWithinPartitions("chunk", "place").mapInArrow(work, "chunk long, c binary")
-
-
-def _fit(model: Model, batches: Iterator[pa.RecordBatch], limit: int | None, passes: int = 1) -> int:
-    """Trains on the training documents of chunks; returns the positions seen. ``limit``: positions to stop after."""
+def _fit(model: Model, batches: Iterator[pa.RecordBatch]) -> int:
+    """Trains on the training documents of chunks; returns the positions seen."""
     seen, k = 0, 0
     for b in batches:
         for held, sizes, tokens, words_ in zip(*(b.column(c).to_pylist() for c in ("held", "sizes", "tokens", "words")), strict=True):
@@ -305,38 +410,53 @@ def _fit(model: Model, batches: Iterator[pa.RecordBatch], limit: int | None, pas
             keep = ~np.array(held, bool)
             sizes = np.array(sizes)
             flat = classes[np.frombuffer(tokens, "<u4")[np.repeat(keep, sizes)]]
-            if not len(flat):
-                continue
-            h = model.contexts(flat, sizes[keep])
-            order = np.random.default_rng([SEED, k]).permutation(len(flat))
-            if limit is not None:
-                order = order[: limit - seen]
-            for p in range(passes):
-                model.words.train(h[order], flat[order], RATE, SEED + k + p)
-            seen, k = seen + len(order), k + 1
-            if limit is not None and seen >= limit:
-                return seen
+            if len(flat):
+                h = model.contexts(flat, sizes[keep])
+                order = np.random.default_rng([SEED, k]).permutation(len(flat))
+                model.words.train(h[order], flat[order], RATE, SEED + k)
+                seen, k = seen + len(order), k + 1
     return seen
 
 
-def train(chunks: DataFrame, model: Model, total: int) -> Model:
+def _start(docs: DataFrame, modulus: int, left_out: int) -> DataFrame:
+    """Texts of at most ``START_DOCS`` training documents, the first by a hash of their ids."""
+    chosen = docs.select("doc_id", "text", F.xxhash64(F.col("doc_id").cast("string"), F.lit(SEED)).alias("h")).filter(remainder("doc_id", modulus) != left_out)
+    return chosen.orderBy("h", "doc_id", F.xxhash64("text")).limit(START_DOCS).select("h", "text")
+
+
+def train(docs: DataFrame, chunks: DataFrame, model: Model, modulus: int, left_out: int) -> Model:
     """Fits the start on a bounded batch, then averages what every task makes of it on all its training documents."""
     spark = chunks.sparkSession
     rows = chunks.select("held", "sizes", "tokens", "words")
     raw = pickle.dumps(model)
-    passes = max(1, min(PASSES, START_ALL // max(1, min(START, total))))
 
     def begin(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         own: Model = pickle.loads(raw)
-        _fit(own, batches, START, passes=passes)
+        sizes, classes, seen, known = [], [], 0, {}
+        for b in slices(batches):
+            for text in b.column("text").to_pylist():
+                if seen < START:
+                    tokens = _tokens(text)[: START - seen]
+                    for t in tokens:
+                        if t not in known:
+                            known[t] = own.class_of(t)
+                    classes += [known[t] for t in tokens]
+                    sizes.append(len(tokens))
+                    seen += len(tokens)
+        if seen:
+            flat = np.array(classes, np.int32)
+            h = own.contexts(flat, np.array(sizes))
+            order = np.random.default_rng(SEED).permutation(len(flat))
+            for p in range(PASSES):
+                own.words.train(h[order], flat[order], RATE, SEED + p)
         yield pa.RecordBatch.from_arrays([pa.array([pickle.dumps(own)], pa.binary())], names=["model"])
 
-    found = rows.limit(2).coalesce(1).mapInArrow(begin, "model binary").first()
+    found = _start(docs, modulus, left_out).coalesce(1).sortWithinPartitions("h").mapInArrow(begin, "model binary").first()
     started = spark.sparkContext.broadcast(raw if found is None else bytes(found[0]))  # under a megabyte, whatever the input's size
 
     def refine(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         own: Model = pickle.loads(started.value)
-        n = _fit(own, batches, None)
+        n = _fit(own, batches)
         if n:
             flat = own.words.weights().astype(np.float64) * n
             yield pa.RecordBatch.from_arrays([pa.array([n], pa.int64()), pa.array([flat.astype(np.float32).tobytes()], pa.binary())], names=["n", "flat"])
@@ -361,6 +481,24 @@ def train(chunks: DataFrame, model: Model, total: int) -> Model:
     return out
 
 
+def _tops(sums: DataFrame) -> list:
+    """The sums by class, and the most frequent words, of all buckets, in one row; nothing where there is no bucket."""
+    schema = "class_tokens binary, class_words binary, top_hashes binary, top_counts binary"
+
+    def add(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        tokens, words_, hashes, counts = np.zeros(ENDINGS), np.zeros(ENDINGS), np.zeros(0, np.uint64), np.zeros(0, np.int64)
+        for b in batches:
+            for t, w, h, c in zip(*(b.column(x).to_pylist() for x in ("class_tokens", "class_words", "top_hashes", "top_counts")), strict=True):
+                tokens, words_ = tokens + np.frombuffer(t, "<f8"), words_ + np.frombuffer(w, "<f8")
+                hashes, counts = np.concatenate([hashes, np.frombuffer(h, np.uint64)]), np.concatenate([counts, np.frombuffer(c, "<i8")])
+                top = np.lexsort((hashes.view(np.int64), -counts))[:SHORTLIST]
+                hashes, counts = hashes[top], counts[top]
+        yield pa.RecordBatch.from_arrays([pa.array([x.tobytes()], pa.binary()) for x in (tokens, words_, hashes, counts)], names=["class_tokens", "class_words", "top_hashes", "top_counts"])
+
+    rows = sums.select("class_tokens", "class_words", "top_hashes", "top_counts").mapInArrow(add, schema)
+    return rows.coalesce(1).mapInArrow(add, schema).collect()  # one row
+
+
 def score(docs: DataFrame, modulus: int = 7, left_out: int = 2, chunk_bytes: int = CHUNK_BYTES) -> DataFrame:
     """doc_id, held_out, n_tokens, n_known, train_tokens, base_score, score of every document."""
     spark = docs.sparkSession
@@ -368,33 +506,45 @@ def score(docs: DataFrame, modulus: int = 7, left_out: int = 2, chunk_bytes: int
     kind = docs.schema["doc_id"].dataType.simpleString()
     schema = f"doc_id {kind}, held_out boolean, n_tokens long, n_known long, train_tokens long, base_score double, score double"
     chunks = scratch.save(_chunks(docs, modulus, left_out, chunk_bytes), "chunks")
-    counted = scratch.save(_counted(chunks), "counted")
+    n_words = chunks.agg(F.coalesce(F.sum("n_words"), F.lit(0))).first()[0]
+    common = spark.sparkContext.broadcast(_common(chunks))
+    common_counts, common_endings = _common_counts(chunks, common)
+    buckets = max(partitions(spark), -(-n_words // BUCKET_WORDS))
+    summed = scratch.save(_summed(_bucketed(chunks, common, buckets)), "summed")
     free_shuffles(spark)
-    known = counted.filter("head AND c > 0")
-    total, distinct = known.agg(F.coalesce(F.sum("c"), F.lit(0)), F.count(F.lit(1))).first()
-    top = known.select("hash", "c").orderBy(F.desc("c"), "hash").limit(SHORTLIST).collect()
-    spelled = _spelled(chunks, [r["hash"] for r in top])
-    short = [spelled[r["hash"]] for r in top]
-    class_tokens, class_words = np.zeros(ENDINGS), np.zeros(ENDINGS)
-    for r in known.groupBy("ending").agg(F.sum("c").alias("c"), F.count(F.lit(1)).alias("v")).collect():
-        class_tokens[r["ending"]], class_words[r["ending"]] = r["c"], r["v"]
-    for w, r in zip(short, top, strict=True):
-        k = zlib.crc32(w[-3:]) % ENDINGS
-        class_tokens[k] -= r["c"]
-        class_words[k] -= 1
-    model = Model(short, np.array([r["c"] for r in top], float), class_tokens, class_words)
-    shared = spark.sparkContext.broadcast(pickle.dumps(train(chunks, model, total)))  # under a megabyte, whatever the input's size
-    counts = scratch.save(_chunk_counts(counted), "counts")
-    scratch.drop("counted")
+    sums = summed.filter("chunk IS NULL")
+    total, distinct = (int(x) for x in sums.agg(F.coalesce(F.sum("tokens"), F.lit(0)), F.coalesce(F.sum("words"), F.lit(0))).first())
+    total, distinct = total + int(common_counts.sum()), distinct + int((common_counts > 0).sum())
+    class_tokens, class_words = (np.bincount(common_endings, x, ENDINGS).astype(float) for x in (common_counts, common_counts > 0))
+    pairs = _tops(sums)
+    for r in pairs:
+        class_tokens += np.frombuffer(r["class_tokens"], "<f8")
+        class_words += np.frombuffer(r["class_words"], "<f8")
+    hashes = np.concatenate([common.value.hashes, *(np.frombuffer(r["top_hashes"], np.uint64) for r in pairs)])
+    counts = np.concatenate([common_counts, *(np.frombuffer(r["top_counts"], "<i8") for r in pairs)])
+    top = [k for k in np.lexsort((hashes.view(np.int64), -counts))[:SHORTLIST] if counts[k] > 0]
+    spelled = _spelled(chunks, [int(hashes[k].view(np.int64)) for k in top])
+    short = [spelled[int(hashes[k].view(np.int64))] for k in top]
+    for w, k in zip(short, top, strict=True):
+        ending = zlib.crc32(w[-3:]) % ENDINGS
+        class_tokens[ending] -= counts[k]
+        class_words[ending] -= 1
+    model = Model(short, counts[top].astype(float), class_tokens, class_words)
+    shared = spark.sparkContext.broadcast(pickle.dumps(train(docs, chunks, model, modulus, left_out)))  # under a megabyte, whatever the input's size
+    known = spark.sparkContext.broadcast(common_counts)  # half a megabyte at most
     free_shuffles(spark)
     target = spark_arrow(spark, schema)
 
     def rate(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         own: Model = pickle.loads(shared.value)
         for b in batches:
-            for ids, held, sizes, tokens, lexicon, c in zip(*(b.column(x).to_pylist() for x in ("doc_ids", "held", "sizes", "tokens", "words", "c")), strict=True):
-                seen, flat, sizes = np.frombuffer(c, "<i8"), np.frombuffer(tokens, "<u4"), np.array(sizes)
-                lex = _words(lexicon)
+            for ids, held, sizes, tokens, lexicon, parts in zip(*(b.column(x).to_pylist() for x in ("doc_ids", "held", "sizes", "tokens", "words", "parts")), strict=True):
+                flat, sizes, lex = np.frombuffer(tokens, "<u4"), np.array(sizes), _words(lexicon)
+                h = _hashes(lex)
+                at, seen = common.value.places(h), np.zeros(len(lex), np.int64)
+                seen[at >= 0] = known.value[at[at >= 0]]
+                if parts:
+                    seen[_order(h, common.value, buckets)[0]] = np.concatenate([_wide(x) for x in parts])
                 classes = np.fromiter(map(own.class_of, lex), np.int32, len(lex))
                 base = np.log10((seen + 1) / (total + distinct + 1))
                 share = own.share(classes, seen)
@@ -404,7 +554,7 @@ def score(docs: DataFrame, modulus: int = 7, left_out: int = 2, chunk_bytes: int
                 out = [ids, held, sizes, np.add.reduceat((seen > 0)[flat].astype(np.int64), starts), [total] * len(ids), np.add.reduceat(base[flat], starts), np.add.reduceat(p, starts)]
                 yield pa.RecordBatch.from_arrays([pa.array(v, f.type) for v, f in zip(out, target, strict=True)], schema=target)
 
-    rows = chunks.select("chunk", "doc_ids", "held", "sizes", "tokens", "words").join(counts, "chunk")
+    rows = chunks.select("chunk", "doc_ids", "held", "sizes", "tokens", "words").join(_chunk_counts(summed), "chunk", "left")
     return rows.drop("chunk").mapInArrow(rate, schema)
 
 
