@@ -12,7 +12,7 @@ to one over the words seen and the unseen word of each class.
 
 The network is trained in numpy with noise-contrastive estimation on all
 training documents: a start is fitted on a bounded batch of documents, the first
-by a hash of their ids, then every task refines its own copy on all its training
+by a hash of id and text, then every task refines its own copy on all its training
 documents and the copies are averaged by tokens. Scoring finds the different
 contexts of a chunk and normalises them by batched matrix products.
 
@@ -418,13 +418,18 @@ def _fit(model: Model, batches: Iterator[pa.RecordBatch]) -> int:
     return seen
 
 
-def _start(docs: DataFrame, modulus: int, left_out: int) -> DataFrame:
-    """Texts of at most ``START_DOCS`` training documents, the first by a hash of their ids."""
-    chosen = docs.select("doc_id", "text", F.xxhash64(F.col("doc_id").cast("string"), F.lit(SEED)).alias("h")).filter(remainder("doc_id", modulus) != left_out)
-    return chosen.orderBy("h", "doc_id", F.xxhash64("text")).limit(START_DOCS).select("h", "text")
+def _start(docs: DataFrame, n_docs: int, modulus: int, left_out: int) -> DataFrame:
+    """Texts of at most ``START_DOCS`` training documents, the first by a hash of id and text.
 
+    Only hashes in a share of about twice that number are sorted, so little meets in one task.
+    """
+    rows = docs.select("text", F.xxhash64(F.col("doc_id").cast("string"), "text", F.lit(SEED)).alias("h"), (remainder("doc_id", modulus) != left_out).alias("train")).filter("train")
+    if n_docs > 2 * START_DOCS:
+        rows = rows.filter(F.col("h") < -(1 << 63) + (1 << 64) * 2 * START_DOCS // n_docs)
+    return rows.orderBy("h").limit(START_DOCS).select("h", "text")
 
-def train(docs: DataFrame, chunks: DataFrame, model: Model, modulus: int, left_out: int) -> Model:
+
+def train(docs: DataFrame, chunks: DataFrame, model: Model, n_docs: int, modulus: int, left_out: int) -> Model:
     """Fits the start on a bounded batch, then averages what every task makes of it on all its training documents."""
     spark = chunks.sparkSession
     rows = chunks.select("held", "sizes", "tokens", "words")
@@ -451,7 +456,7 @@ def train(docs: DataFrame, chunks: DataFrame, model: Model, modulus: int, left_o
                 own.words.train(h[order], flat[order], RATE, SEED + p)
         yield pa.RecordBatch.from_arrays([pa.array([pickle.dumps(own)], pa.binary())], names=["model"])
 
-    found = _start(docs, modulus, left_out).coalesce(1).sortWithinPartitions("h").mapInArrow(begin, "model binary").first()
+    found = _start(docs, n_docs, modulus, left_out).coalesce(1).sortWithinPartitions("h").mapInArrow(begin, "model binary").first()
     started = spark.sparkContext.broadcast(raw if found is None else bytes(found[0]))  # under a megabyte, whatever the input's size
 
     def refine(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -506,7 +511,7 @@ def score(docs: DataFrame, modulus: int = 7, left_out: int = 2, chunk_bytes: int
     kind = docs.schema["doc_id"].dataType.simpleString()
     schema = f"doc_id {kind}, held_out boolean, n_tokens long, n_known long, train_tokens long, base_score double, score double"
     chunks = scratch.save(_chunks(docs, modulus, left_out, chunk_bytes), "chunks")
-    n_words = chunks.agg(F.coalesce(F.sum("n_words"), F.lit(0))).first()[0]
+    n_words, n_docs = chunks.agg(F.coalesce(F.sum("n_words"), F.lit(0)), F.coalesce(F.sum(F.size("sizes")), F.lit(0))).first()
     common = spark.sparkContext.broadcast(_common(chunks))
     common_counts, common_endings = _common_counts(chunks, common)
     buckets = max(partitions(spark), -(-n_words // BUCKET_WORDS))
@@ -530,7 +535,7 @@ def score(docs: DataFrame, modulus: int = 7, left_out: int = 2, chunk_bytes: int
         class_tokens[ending] -= counts[k]
         class_words[ending] -= 1
     model = Model(short, counts[top].astype(float), class_tokens, class_words)
-    shared = spark.sparkContext.broadcast(pickle.dumps(train(docs, chunks, model, modulus, left_out)))  # under a megabyte, whatever the input's size
+    shared = spark.sparkContext.broadcast(pickle.dumps(train(docs, chunks, model, n_docs, modulus, left_out)))  # under a megabyte, whatever the input's size
     known = spark.sparkContext.broadcast(common_counts)  # half a megabyte at most
     free_shuffles(spark)
     target = spark_arrow(spark, schema)
