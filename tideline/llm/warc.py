@@ -3,24 +3,36 @@
 ``convert`` reads an ARC image of version 1 or 2: the version block names the
 version and the fields of the URL records, each URL record line declares the
 length of what follows, and nothing but that length decides where it ends. Each
-record becomes a WARC/1.1 record with a synthesised identifier (a UUID of the
-archive's name, the record's place, its URL, date and digest), an ISO timestamp,
-type, content type and digests. Records with equal payloads of ``MIN_REVISIT``
-bytes or more are written once as a response; the others revisit it.
-
-WARC files are written by Spark itself as gzip files whose record separator is
-the one that WARC prescribes, so any store that Spark writes to will do; they
-are read back with Spark's binary reader and parsed by declared lengths.
+record becomes a WARC/1.1 record with a synthesised identifier (a UUID of its
+key, URL, date and digest), an ISO timestamp, type, content type and digests.
+Records with equal payloads of ``MIN_REVISIT`` bytes or more are written once as
+a response; the others revisit it, and name its identifier, URL and date.
+
+``convert_archives`` takes ARC files from disk, plain or gzipped;
+``write_archives`` takes a table of pages and puts each through an ARC image.
+WARC files are written by Spark itself, plain or as gzip files, whose record
+separator is the one that WARC prescribes, so any store that Spark writes to
+will do; they are read back with Spark's binary reader and parsed by declared
+lengths. A gzip file is one member, since Spark's writer has no end of a record.
+Records are written by classes of size, each with as many to a file as keep it
+under ``FILE_BYTES``, unless a single record is larger.
+
+Copies of a page find their first one by digest: payloads with very many copies,
+a bounded number of them, by a broadcast, others by a join; pages that are too
+small for a revisit take no part in it.
 
 Defined results: a null page has an empty payload and is a response; a null URL
-is written as ``unknown:``; rows with equal payloads that all have the smallest id
-are all responses; an empty table gives an empty table; further columns are ignored.
-A page without an id keeps a record without one and is never referred to while
-another page has an id.
+is written as ``unknown:``, and bytes of a URL that are not printable ASCII are
+percent-encoded; rows with equal payloads that all have the smallest id
+are all responses; an empty table gives an empty table; further columns are
+ignored, whatever their names; a very long page is one record, which one task
+holds in memory. A page without an id keeps a record without one, revisits a
+page that has an id, and is never referred to.
 """
 
 from __future__ import annotations
 
+import gzip
 import hashlib
 import uuid
 import zlib
@@ -39,11 +51,16 @@ FIELDS = {1: ("URL", "IP-address", "Archive-date", "Content-type", "Archive-leng
 NAMESPACE = uuid.UUID("6ba7b811-9dad-11d1-80b4-00c04fd430c8")
 #: Pages that are given no date in their table are stamped with this one.
 DATE = "20240101000000"
+#: Bytes of a file, about; upper bounds of the size classes, the last of which has no other.
+FILE_BYTES, CLASSES = 128 << 20, (32 << 10, 1 << 20, 16 << 20, 1 << 62)
+#: Copies from which a payload is popular, and how many popular ones there may be; with more pages the limit is raised.
+POPULAR, MOST_POPULAR = 4096, 50_000
 PROFILE = "http://netpreserve.org/warc/1.1/revisit/identical-payload-digest"
 
 
 def _clean(url: str | None) -> str:
-    return "".join(f"%{b:02X}" if b <= 32 or b == 127 else chr(b) for b in (url or "unknown:").encode("utf-8")) if not (url or "").isascii() or any(c <= " " or c == "\x7f" for c in url or " ") else url
+    """The URL with every byte that is not printable ASCII percent-encoded."""
+    return "".join(f"%{b:02X}" if b <= 32 or b >= 127 else chr(b) for b in (url or "unknown:").encode("utf-8", "surrogatepass"))
 
 
 def arc_image(name: str, version: int, pages: list[tuple[str | None, bytes]], date: str = DATE) -> bytes:
@@ -66,9 +83,9 @@ def _arc_line(version: int, url: str, ip: str, date: str, kind: str, code: str,
 def read_arc(image: bytes) -> Iterator[tuple[int, dict[str, str], memoryview]]:
     """(place, header fields, content) of each record after the version block."""
     view, end = memoryview(image), image.index(b"\n")
-    first = image[:end].decode().split(" ")
+    first = image[:end].decode("utf-8", "replace").split(" ")
     length = int(first[-1])  # the version block's own line has the fields of its version
-    block = image[end + 1 : end + 1 + length].decode().split("\n")
+    block = image[end + 1 : end + 1 + length].decode("utf-8", "replace").split("\n")
     version, fields = int(block[0].split(" ")[0]), block[1].split(" ")
     if version not in FIELDS:
         raise ValueError(f"ARC version {version} is unknown")
@@ -77,7 +94,7 @@ def read_arc(image: bytes) -> Iterator[tuple[int, dict[str, str], memoryview]]:
     at, place = end + 1 + length + 1, 0
     while at < len(image):
         end = image.index(b"\n", at)
-        values = image[at:end].decode().rsplit(" ", len(fields) - 1)
+        values = image[at:end].decode("utf-8", "surrogateescape").rsplit(" ", len(fields) - 1)
         if len(values) != len(fields):
             raise ValueError(f"a URL record line has {len(values)} fields, not {len(fields)}")
         header = dict(zip(fields, values, strict=True))
@@ -107,20 +124,21 @@ def record_id(name: str, place: object, url: str, date: str, digest: str) -> str
     return f"<urn:uuid:{uuid.uuid5(NAMESPACE, f'{name} {place} {url} {date} {digest}')}>"
 
 
-def convert(image: bytes, name: str, keys: list[object], refers: list[object]) -> Iterator[bytes]:
+def convert(image: bytes, name: str, keys: list[object] | None = None, firsts: list[tuple[object, str | None] | None] | None = None) -> Iterator[bytes]:
     """WARC records, without the closing separator, of an ARC image's records.
 
-    ``keys``: the caller's key of each record. ``refers``: for a record that revisits another, that one's key.
+    ``keys``: the caller's key of each record, by default the archive's name and the record's place.
+    ``firsts``: for a record that revisits another, that one's key and URL.
     """
     for place, header, content in read_arc(image):
         head, payload = _split_http(content)
-        digest, url, date = hashlib.sha256(payload).hexdigest(), header["URL"], header["Archive-date"]
-        revisit = refers[place] is not None
-        block = head if revisit else head + payload
+        digest, url, date = hashlib.sha256(payload).hexdigest(), _recoded(header["URL"]), header["Archive-date"]
+        key, first = f"{name}#{place}" if keys is None else keys[place], firsts[place] if firsts else None
+        block = head if first else head + payload
         lines = [
             "WARC/1.1",
-            f"WARC-Type: {'revisit' if revisit else 'response'}",
-            f"WARC-Record-ID: {record_id('page', keys[place], url, date, digest)}",
+            f"WARC-Type: {'revisit' if first else 'response'}",
+            f"WARC-Record-ID: {record_id('page', key, url, date, digest)}",
             f"WARC-Date: {_timestamp(date)}",
             f"WARC-Target-URI: {url}",
             f"WARC-IP-Address: {header['IP-address']}",
@@ -129,14 +147,26 @@ def convert(image: bytes, name: str, keys: list[object], refers: list[object]) -
             f"WARC-Block-Digest: sha256:{hashlib.sha256(block).hexdigest()}",
             f"WARC-Payload-Length: {len(payload)}",
             f"WARC-Source: {name}",
-            f"WARC-Page-Key: {'' if keys[place] is None else keys[place]}",
+            f"WARC-Page-Key: {'' if key is None else key}",
         ]
-        if revisit:
-            lines += [f"WARC-Profile: {PROFILE}", f"WARC-Refers-To-Key: {refers[place]}"]
+        if first:
+            first_key, first_url = first[0], _clean(first[1])
+            lines += [
+                f"WARC-Profile: {PROFILE}",
+                f"WARC-Refers-To: {record_id('page', first_key, first_url, date, digest)}",
+                f"WARC-Refers-To-Target-URI: {first_url}",
+                f"WARC-Refers-To-Date: {_timestamp(date)}",
+                f"WARC-Refers-To-Key: {first_key}",
+            ]
         lines.append(f"Content-Length: {len(block)}")
         yield ("\r\n".join(lines) + "\r\n\r\n").encode() + block
 
 
+def _recoded(url: str) -> str:
+    """An archive's URL with bytes that are not printable ASCII percent-encoded; others stay as they are."""
+    return "".join(chr(b) if 32 < b < 127 else f"%{b:02X}" for b in url.encode("utf-8", "surrogateescape"))
+
+
 def read_warc(data: bytes) -> Iterator[tuple[dict[str, str], bytes]]:
     """(headers, block) of the records of a WARC file, by their declared lengths."""
     at = 0
@@ -154,31 +184,88 @@ def read_warc(data: bytes) -> Iterator[tuple[dict[str, str], bytes]]:
         at = end + 8 + size
 
 
-def write_archives(pages: DataFrame, path: str, file_records: int = 4000, least: int = MIN_REVISIT) -> None:
-    """Writes one WARC record per row of (page_id, url, html) to gzip files under ``path``."""
+def _placed(pages: DataFrame, least: int) -> DataFrame:
+    """page_id, url, html, size, and ``first``: the key and URL of the response that a page revisits, else null."""
     payload = F.encode(F.coalesce("html", F.lit("")), "UTF-8")
-    rows = pages.select("page_id", "url", F.coalesce("html", F.lit("")).alias("html"), F.sha2(payload, 256).alias("digest"), F.octet_length(payload).alias("size"))
-    large = F.col("size") >= least
-    firsts = rows.filter(large).groupBy("digest").agg(F.min("page_id").alias("first"), F.count(F.lit(1)).alias("copies")).filter((F.col("copies") > 1) & F.col("first").isNotNull()).select("digest", "first")
-    rows = rows.select("page_id", "url", "html", F.when(large, F.col("digest")).alias("digest")).join(firsts, "digest", "left")
+    rows = pages.select("page_id", "url", F.coalesce("html", F.lit("")).alias("html"), F.octet_length(payload).alias("size"))
+    small = rows.filter(F.col("size") < least)
+    large = rows.filter(F.col("size") >= least).withColumn("digest", F.sha2(payload, 256))
+    first = F.min(F.when(F.col("page_id").isNotNull(), F.struct("page_id", "url"))).alias("first")
+    copies = large.groupBy("digest").agg(first, F.count(F.lit(1)).alias("copies")).filter((F.col("copies") > 1) & F.col("first").isNotNull())
+    limit = max(POPULAR, pages.count() // MOST_POPULAR)
+    popular = F.broadcast(copies.filter(F.col("copies") > limit).select("digest", F.col("first").alias("popular")))  # MOST_POPULAR rows at most
+    marked = large.join(popular, "digest", "left")
+    others = marked.filter("popular IS NULL").join(copies.filter(F.col("copies") <= limit).select("digest", "first"), "digest", "left")
+    found = marked.filter("popular IS NOT NULL").withColumn("first", F.col("popular")).unionByName(others).drop("popular", "digest")
+    return found.unionByName(small.withColumn("first", F.lit(None).cast(found.schema["first"].dataType)))
+
+
+def write_archives(pages: DataFrame, path: str, least: int = MIN_REVISIT, compression: str = "gzip", file_bytes: int = FILE_BYTES) -> None:
+    """Writes one WARC record per row of (page_id, url, html) to files under ``path``, a folder for each class of sizes."""
 
     def work(batches: Iterator[dict[str, list]]) -> Iterator[dict[str, list]]:
         for b in batches:
-            n = len(b["page_id"])
-            for at in range(0, n, 256):
-                ids, urls, texts, firsts = (b[c][at : at + 256] for c in ("page_id", "url", "html", "first"))
-                version = 1 + at // 256 % 2  # both versions are in use among old archives
+            n, at, version = len(b["page_id"]), 0, 1
+            while at < n:  # images of some megabytes, or of one page
+                stop, held = at, 0
+                while stop < n and stop - at < 256 and (stop == at or held + len(b["html"][stop]) <= 4 << 20):
+                    held += len(b["html"][stop])
+                    stop += 1
+                ids, urls, texts, firsts = (b[c][at:stop] for c in ("page_id", "url", "html", "first"))
                 name = f"pages-v{version}-{zlib.crc32(repr(ids).encode()):08x}.arc"
                 image = arc_image(name, version, [(u, _http(t.encode("utf-8", "surrogatepass"))) for u, t in zip(urls, texts, strict=True)])
-                refers = [None if f is None or f == i else f for i, f in zip(ids, firsts, strict=True)]
+                refers = [None if f is None or f["page_id"] == i else (f["page_id"], f["url"]) for i, f in zip(ids, firsts, strict=True)]
                 yield {"record": list(convert(image, name, ids, refers))}
+                at, version = stop, 3 - version  # both versions are in use among old archives
+
+    rows, low = _placed(pages, least), 0
+    size = F.octet_length(F.encode(F.coalesce("html", F.lit("")), "UTF-8"))
+    there = {r["c"] for r in pages.select(F.array_position(F.array_sort(F.array(size.cast("long"), *map(F.lit, CLASSES))), size.cast("long")).alias("c")).distinct().collect()} or {1}
+    for k, high in enumerate(CLASSES):  # a size that equals a bound sorts before it
+        if k + 1 in there:
+            records = map_rows(rows.filter((F.col("size") >= low) & (F.col("size") < high) if low else F.col("size") < high).select("page_id", "url", "html", "first"), "record binary", work)
+            _write(records, f"{path}/{k}", max(1, file_bytes // (high + 4096)), compression)
+        low = high
+
+
+def _write(records: DataFrame, path: str, file_records: int, compression: str) -> None:
+    records.select(F.col("record").cast("string")).write.option("lineSep", "\r\n\r\n").option("compression", compression).option("maxRecordsPerFile", file_records).text(path)
+
+
+def read_arcs(spark: SparkSession, path: str) -> DataFrame:
+    """archive, place, url, date, content_type, content of every record of the ARC files (``*.arc``, ``*.arc.gz``) under ``path``."""
+
+    def work(batches: Iterator[dict[str, list]]) -> Iterator[dict[str, list]]:
+        for name, image in _images(batches):
+            found = list(read_arc(image))
+            yield {"archive": [name] * len(found), "place": [k for k, _, _ in found], "url": [_recoded(h["URL"]) for _, h, _ in found], "date": [_timestamp(h["Archive-date"]) for _, h, _ in found], "content_type": [h["Content-type"] for _, h, _ in found], "content": [bytes(c) for _, _, c in found]}
+
+    return map_rows(_arc_files(spark, path), "archive string, place long, url string, date string, content_type string, content binary", work)
+
+
+def convert_archives(spark: SparkSession, path: str, target: str, compression: str = "gzip", file_records: int = 4000) -> None:
+    """Rewrites the ARC files under ``path`` as WARC files under ``target``; all records are responses."""
+
+    def work(batches: Iterator[dict[str, list]]) -> Iterator[dict[str, list]]:
+        for name, image in _images(batches):
+            yield {"record": list(convert(image, name))}
+
+    _write(map_rows(_arc_files(spark, path), "record binary", work), target, file_records, compression)
+
+
+def _arc_files(spark: SparkSession, path: str) -> DataFrame:
+    return spark.read.format("binaryFile").option("pathGlobFilter", "*.{arc,arc.gz}").load(path).select("path", "content")
+
 
-    records = map_rows(rows.select("page_id", "url", "html", "first"), "record binary", work)
-    records.select(F.col("record").cast("string")).write.option("lineSep", "\r\n\r\n").option("compression", "gzip").option("maxRecordsPerFile", file_records).text(path)
+def _images(batches: Iterator[dict[str, list]]) -> Iterator[tuple[str, bytes]]:
+    """(name, image) of files, one gzip member after the other where they are gzipped."""
+    for b in batches:
+        for path, raw in zip(b["path"], b["content"], strict=True):
+            yield path.rsplit("/", 1)[-1], gzip.decompress(raw) if path.endswith(".gz") else raw
 
 
 def read_archives(spark: SparkSession, path: str, key: str = "long") -> DataFrame:
-    """page_id, payload_bytes, payload_digest, record_type, refers_to, record_id, date, url of every record under ``path``.
+    """page_id, payload_bytes, payload_digest, record_type, refers_to, record_id, refers_to_id, date, url of every record under ``path``.
 
     The payload of a response is measured and digested anew and checked against its headers; a revisit's come from its headers.
     """
@@ -186,21 +273,21 @@ def read_archives(spark: SparkSession, path: str, key: str = "long") -> DataFram
     def work(batches: Iterator[dict[str, list]]) -> Iterator[dict[str, list]]:
         for b in batches:
             for raw in b["content"]:
-                out: dict[str, list] = {c: [] for c in ("page_id", "payload_bytes", "payload_digest", "record_type", "refers_to", "record_id", "date", "url")}
-                for h, block in read_warc(zlib.decompress(raw, 31)):
+                out: dict[str, list] = {c: [] for c in ("page_id", "payload_bytes", "payload_digest", "record_type", "refers_to", "record_id", "refers_to_id", "date", "url")}
+                for h, block in read_warc(gzip.decompress(raw) if raw[:2] == b"\x1f\x8b" else raw):
                     digest, size = h["WARC-Payload-Digest"].removeprefix("sha256:"), int(h["WARC-Payload-Length"])
                     if h["WARC-Type"] == "response":
                         payload = _split_http(block)[1]
                         if hashlib.sha256(payload).hexdigest() != digest or len(payload) != size:
                             raise ValueError(f"{h['WARC-Record-ID']} does not fit its digest")
                     own, refers = h["WARC-Page-Key"], h.get("WARC-Refers-To-Key")
-                    values = (own or None, size, digest, h["WARC-Type"], refers, h["WARC-Record-ID"], h["WARC-Date"], h["WARC-Target-URI"])
+                    values = (own or None, size, digest, h["WARC-Type"], refers, h["WARC-Record-ID"], h.get("WARC-Refers-To"), h["WARC-Date"], h["WARC-Target-URI"])
                     for c, v in zip(out, values, strict=True):
                         out[c].append(v)
                 yield out
 
-    files = spark.read.format("binaryFile").option("pathGlobFilter", "*.gz").load(path).select("content")
-    out = map_rows(files, "page_id string, payload_bytes long, payload_digest string, record_type string, refers_to string, record_id string, date string, url string", work)
+    files = spark.read.format("binaryFile").option("recursiveFileLookup", "true").option("pathGlobFilter", "*.{txt,gz}").load(path).select("content")
+    out = map_rows(files, "page_id string, payload_bytes long, payload_digest string, record_type string, refers_to string, record_id string, refers_to_id string, date string, url string", work)
     return out.withColumns({"page_id": F.col("page_id").cast(key), "refers_to": F.col("refers_to").cast(key)})
 
 
