@@ -2,25 +2,32 @@
 
 Vectors are turned by fast Hadamard pseudo-rotations (three rounds of random
 signs and a Walsh-Hadamard transform); a hash is the signed axis nearest to the
-turned vector. Rows are hashed by direction, so that no row's length moves
+turned vector, or the axes of several rotations. Rows are hashed by direction, so that no row's length moves
 another one's bucket; rows whose length stands out (``LONGER`` times that which
 a sixteenth of the rows exceeds) may score high at any angle and are met by
 every query. Each table sorts the rows by their axes; a query probes the axes
 nearest to it in each table, and all rows met are ranked by exact inner products
 in double precision.
 
+How many tables, axes and probes there are is measured, not set: ``ASKED``
+queries, chosen by a hash of their ids, are answered exactly from all rows, and
+of the settings that would have found ``RECALL`` of those answers the one with
+the least work is taken: the rows that a query meets, and the copies of it that
+are sent. Finer hashes so come in where rows are many, with as many probes as
+they need; one axis with all probes always finds everything.
+
 Rows meet queries in blocks: a table's bucket is cut into blocks of about
 ``block_rows`` rows by a hash of the row, so a hot bucket is spread over tasks,
-and each block answers with at most ``k`` rows per query. The hash is one axis
-at any size of the table: buckets, and so the work of a query, grow with the
-rows, and the share of the rows that a query meets, and so recall, stays.
+and each block answers with at most ``k`` rows per query.
 
 Defined results: vectors that are null, zero or hold null or non-finite
 components take no part, nor do rows without an id, nor those whose length
-differs from the commonest; repeated ids are separate candidates, but each
-(query, id) is answered once with its best score; ties go to the smaller id; an
-empty table gives an empty table; further columns are ignored. A query whose
-probes meet fewer rows than ``k``, or than there are, is answered from all rows.
+differs from the commonest; finite vectors of any length do, and a product that
+overflows to no number ranks nowhere; repeated ids are separate candidates, but
+each (query, id) is answered once with its best score; ties go to the smaller
+id; an empty table gives an empty table; further columns are ignored, whatever
+their names. A query whose probes meet fewer rows than ``k``, or than there are,
+is answered from all rows.
 """
 
 from __future__ import annotations
@@ -34,7 +41,13 @@ from pyspark.sql import functions as F
 
 from tideline.llm.common import Scratch, spark_arrow
 
-TABLES, PROBES, SEED, K, BLOCK = 10, 24, 7, 20, 2048
+TABLES, SEED, K, BLOCK = 10, 7, 20, 2048
+#: Queries that are answered exactly, the share of their answers to be found, and rows that bucket sizes are measured on, about.
+ASKED, RECALL, MEASURED = 64, 0.97, 4096
+#: Axes of a hash at most, the nearest signed axes of each rotation that probes combine, and probes at most.
+CODES, COMBINED, PROBES = 3, {2: 64, 3: 16}, 4096
+#: What a copy of a query costs against a row that it meets.
+COPY_COST = 64
 #: Rows longer than LONGER times the length at this quantile are met by every query.
 LONGER, QUANTILE = 1.1, 15 / 16
 
@@ -50,40 +63,57 @@ def hadamard(x: np.ndarray) -> np.ndarray:
 
 
 class CrossPolytope:
-    """``tables`` hash tables over ``dim`` components."""
+    """``tables`` hash tables over ``dim`` components, each of ``codes`` axes."""
 
-    def __init__(self, dim: int, tables: int = TABLES, seed: int = SEED):
+    def __init__(self, dim: int, tables: int = TABLES, codes: int = 1, seed: int = SEED):
         self.width = 1 << max(0, dim - 1).bit_length()
-        self.dim, self.tables = dim, tables
-        self.signs = np.random.default_rng(seed).choice(np.array([-1.0, 1.0], np.float32), (tables, 3, self.width))
+        self.dim, self.tables, self.codes = dim, tables, codes
+        self.signs = np.random.default_rng(seed).choice(np.array([-1.0, 1.0], np.float32), (tables, codes, 3, self.width))
 
-    def turned(self, x: np.ndarray, table: int) -> np.ndarray:
+    def turned(self, x: np.ndarray, table: int, code: int = 0) -> np.ndarray:
         out = np.zeros((len(x), self.width), np.float32)
         out[:, : self.dim] = x
-        for signs in self.signs[table]:
+        for signs in self.signs[table, code]:
             out = hadamard(out * signs)
         return out
 
     def hashes(self, x: np.ndarray, table: int) -> np.ndarray:
-        """The nearest signed axis of each row, 2 * axis + (negative)."""
-        r = self.turned(x, table)
-        axis = np.abs(r).argmax(1)
-        return 2 * axis + (r[np.arange(len(r)), axis] < 0)
+        """The nearest signed axes of each row as one number, 2 * axis + (negative) for each."""
+        out = np.zeros(len(x), np.int64)
+        for code in range(self.codes):
+            r = self.turned(x, table, code)
+            axis = np.abs(r).argmax(1)
+            out = out * 2 * self.width + 2 * axis + (r[np.arange(len(r)), axis] < 0)
+        return out
 
     def probes(self, x: np.ndarray, table: int, probes: int) -> np.ndarray:
-        """The ``probes`` signed axes nearest to each row."""
-        r = self.turned(x, table)
-        both = np.stack([r, -r], 2).reshape(len(r), -1)
-        keep = min(probes, both.shape[1])
-        return np.argpartition(-both, keep - 1, 1)[:, :keep]
+        """The ``probes`` nearest hashes of each row, nearest first."""
+        score, own = np.zeros((len(x), 1), np.float32), np.zeros((len(x), 1), np.int64)
+        for code in range(self.codes):
+            r = self.turned(x, table, code)
+            both = np.stack([r, -r], 2).reshape(len(r), -1)
+            most = min(both.shape[1], COMBINED.get(self.codes, both.shape[1]))
+            axes = np.argsort(-both, 1, kind="stable")[:, :most]
+            score = (score[:, :, None] + np.take_along_axis(both, axes, 1)[:, None, :]).reshape(len(x), -1)
+            own = (own[:, :, None] * 2 * self.width + axes[:, None, :]).reshape(len(x), -1)
+        return np.take_along_axis(own, np.argsort(-score, 1, kind="stable")[:, :probes], 1)
+
+
+def unit(x: np.ndarray) -> np.ndarray:
+    """Directions of rows of any finite length."""
+    x = x / np.abs(x).max(1, keepdims=True)
+    return x / np.linalg.norm(x, axis=1, keepdims=True)
 
 
 def _valid(df: DataFrame, key: str, vector: str) -> DataFrame:
     v = F.col("v")
+    kind = df.schema[vector].dataType.simpleString()
+    own = F.col(vector) if kind in ("array<float>", "array<double>") else F.transform(vector, lambda x: x.cast("double"))
     ok = v.isNotNull() & ~F.exists(v, lambda x: x.isNull() | F.isnan(x) | (F.abs(x) == float("inf")))
-    norm = F.sqrt(F.aggregate(v, F.lit(0.0), lambda a, x: a + x * x))
-    taken = df.select(F.col(key).cast("long").alias("id"), F.transform(vector, lambda x: x.cast("double")).alias("v")).filter(F.col("id").isNotNull() & ok)
-    return taken.withColumn("norm", norm).filter((F.col("norm") > 0) & (F.col("norm") < float("inf")))
+    taken = df.select(F.col(key).cast("long").alias("id"), own.alias("v")).filter(F.col("id").isNotNull() & ok)
+    top = F.array_max(F.transform("v", lambda x: F.abs(x.cast("double"))))
+    norm = F.col("top") * F.sqrt(F.aggregate("v", F.lit(0.0), lambda a, x: a + (x / F.col("top")) * (x / F.col("top"))))
+    return taken.withColumn("top", top).filter("top > 0").withColumn("norm", norm).drop("top")
 
 
 def _matrix(column: pa.ChunkedArray | pa.Array) -> np.ndarray:
@@ -91,8 +121,65 @@ def _matrix(column: pa.ChunkedArray | pa.Array) -> np.ndarray:
     return np.asarray(column.flatten(), np.float64).reshape(len(column), -1) if len(column) else np.zeros((0, 1))
 
 
-def search(rows: DataFrame, is_query: F.Column | None = None, k: int = K, key: str = "vec_id", vector: str = "embedding", tables: int = TABLES, probes: int = PROBES, block_rows: int = BLOCK) -> DataFrame:
-    """query_id, rank, vec_id, score: the ``k`` best rows found for each row that ``is_query`` selects, itself excluded."""
+def _chosen(valid: DataFrame, queries: DataFrame, near: DataFrame, rows: int, dim: int, k: int, tables: int, codes: int | None) -> tuple[CrossPolytope, int]:
+    """The hash tables and the number of probes, as measured. ``near``: the rows that are hashed."""
+    order = F.xxhash64("id")
+    asked = queries.select("id", "v").orderBy(order, "id").limit(ASKED).toArrow()  # bounded by ASKED
+    best_of = [(CrossPolytope(dim, tables, 1), CrossPolytope(dim, tables, 1).width * 2)]
+    if not len(asked):
+        return best_of[0]
+    ids, y = asked.column("id").to_numpy(), _matrix(asked.column("v"))
+    kind = valid.schema["v"].dataType.simpleString()
+    schema = f"query int, id long, score double, v {kind}"
+    target = spark_arrow(valid.sparkSession, schema)
+
+    def answer(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            for at in range(0, len(b), 4096):
+                part = b.slice(at, 4096)
+                own = part.column("id").to_numpy()
+                scores = y @ _matrix(part.column("v")).T
+                scores[(ids[:, None] == own[None, :]) | np.isnan(scores)] = -np.inf
+                n = min(k, len(own))
+                top = np.argpartition(-scores, n - 1, 1)[:, :n]
+                take = pa.array(top.ravel())
+                yield pa.RecordBatch.from_arrays([pa.array(np.repeat(np.arange(len(ids), dtype=np.int32), n)), part.column("id").take(take), pa.array(np.take_along_axis(scores, top, 1).ravel()), part.column("v").take(take)], schema=target)
+
+    first = lambda c: F.slice(F.array_sort(c), 1, k)
+    rows_ = near.select("id", "v").mapInArrow(answer, schema).filter(F.col("score") > float("-inf"))
+    thin = rows_.groupBy("query", F.pmod(F.xxhash64("id"), F.lit(64)).alias("part")).agg(first(F.collect_list(F.struct((-F.col("score")).alias("s"), "id", "v"))).alias("b")).select("query", F.explode("b").alias("b"))
+    true = thin.groupBy("query").agg(first(F.collect_list("b")).alias("b")).select("query", F.explode("b").alias("b")).select("query", F.col("b.v").alias("v")).toArrow()  # ASKED * k vectors at most
+    if not len(true):
+        return best_of[0]
+    of, x = true.column("query").to_numpy(), unit(_matrix(true.column("v")))
+    sample = unit(_matrix(near.filter(F.pmod(F.xxhash64("id", F.lit(1)), F.lit(max(1, rows // MEASURED))) == 0).select("v").limit(2 * MEASURED).toArrow().column("v")))
+    y, settings = unit(y), []
+    for c in range(1, CODES + 1) if codes is None else (codes, 1):
+        own = CrossPolytope(dim, tables, c)
+        found, met = np.full(len(of), PROBES), np.full((len(ids), len(sample)), PROBES)
+        for t in range(tables):
+            probes, sampled = own.probes(y, t, PROBES), own.hashes(sample, t)
+            for q in range(len(ids)):
+                order, back = np.argsort(probes[q], kind="stable"), np.sort(probes[q])
+                rank = lambda h: np.where(back[np.minimum(np.searchsorted(back, h), len(back) - 1)] == h, order[np.minimum(np.searchsorted(back, h), len(back) - 1)], PROBES)  # noqa: B023, E731
+                mine = of == q
+                found[mine] = np.minimum(found[mine], rank(own.hashes(x[mine], t)))
+                met[q] = np.minimum(met[q], rank(sampled))
+            need = int(np.sort(found)[min(len(found) - 1, int(np.ceil(RECALL * len(found))) - 1)]) + 1  # probes that find RECALL
+            if need <= probes.shape[1]:
+                share = (met < need).mean() if met.size else 1.0
+                settings.append(((t + 1) * need * COPY_COST + share * rows, t + 1, c, need))
+        if codes is not None and settings:
+            break
+    _, tables, c, need = min(settings)
+    return CrossPolytope(dim, tables, c), need
+
+
+def search(rows: DataFrame, is_query: F.Column | None = None, k: int = K, key: str = "vec_id", vector: str = "embedding", tables: int = TABLES, codes: int | None = None, block_rows: int = BLOCK) -> DataFrame:
+    """query_id, rank, vec_id, score: the ``k`` best rows found for each row that ``is_query`` selects, itself excluded.
+
+    ``tables``: hash tables at most. ``codes``: axes of a hash; by default as measured.
+    """
     spark = rows.sparkSession
     scratch = Scratch(spark, "ann")
     valid = scratch.save(_valid(rows, key, vector), "valid")
@@ -103,32 +190,29 @@ def search(rows: DataFrame, is_query: F.Column | None = None, k: int = K, key: s
     dim, cut = int(stats["d"]), LONGER * float(stats["m"])
     valid = valid.filter(F.size("v") == dim)
     queries = valid.filter((F.col("id") % 20 == 0) if is_query is None else is_query)
-    hashed = CrossPolytope(dim + 1, tables)
-
-    def unit(x: np.ndarray) -> np.ndarray:
-        return np.concatenate([x / np.linalg.norm(x, axis=1, keepdims=True), np.zeros((len(x), 1))], 1)
-
-    place = "bucket long, id long, v array<double>"
+    hashed, probes = _chosen(valid, queries, valid.filter(F.col("norm") <= cut), int(stats["n"]), dim, k, tables, codes)
+    tables = hashed.tables
+    place = f"bucket long, id long, v {valid.schema['v'].dataType.simpleString()}"
     target = spark_arrow(spark, place)
 
     def index(query: bool):  # type: ignore[no-untyped-def]
         def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             for b in batches:
-                for at in range(0, len(b), 1024):
-                    part = b.slice(at, 1024)
+                for at in range(0, len(b), 512):
+                    part = b.slice(at, 512)
                     x = unit(_matrix(part.column("v")))
                     for t in range(tables):
                         own = hashed.probes(x, t, probes) if query else hashed.hashes(x, t)[:, None]
-                        n = own.shape[1]
-                        take = pa.array(np.repeat(np.arange(len(part)), n))
-                        buckets = own.ravel() * tables + t
-                        yield pa.RecordBatch.from_arrays([pa.array(buckets), part.column("id").take(take), part.column("v").take(take)], schema=target)
+                        for lo in range(0, own.shape[1], 64):
+                            some = own[:, lo : lo + 64]
+                            take = pa.array(np.repeat(np.arange(len(part)), some.shape[1]))
+                            yield pa.RecordBatch.from_arrays([pa.array(some.ravel() * tables + t), part.column("id").take(take), part.column("v").take(take)], schema=target)
 
         return work
 
     placed = valid.filter(F.col("norm") <= cut).select("id", "v").mapInArrow(index(False), place)
     asked = queries.select("id", "v").mapInArrow(index(True), place)
-    # Buckets are at most tables * 2 * width; only those that need several blocks are listed.
+    # Only buckets that need several blocks are listed, rows * tables / block_rows at most.
     large = placed.groupBy("bucket").count().filter(F.col("count") > block_rows).select(F.col("bucket").alias("__b"), F.ceil(F.col("count") / block_rows).cast("int").alias("blocks"))
     large = scratch.save(large, "large")
     sub = F.pmod(F.xxhash64("id", "v"), F.coalesce("blocks", F.lit(1)))
@@ -147,7 +231,7 @@ def search(rows: DataFrame, is_query: F.Column | None = None, k: int = K, key: s
             for at in range(0, len(y), 256):
                 own = asked_ids[at : at + 256]
                 scores = y[at : at + 256] @ x.T
-                scores[own[:, None] == ids[None, :]] = -np.inf
+                scores[(own[:, None] == ids[None, :]) | np.isnan(scores)] = -np.inf
                 n = min(k, len(ids))
                 kth = np.partition(scores, len(ids) - n, 1)[:, len(ids) - n]
                 rows_, cols = np.nonzero(scores >= kth[:, None] - 1e-9)  # ties of the last place included, to be settled below
@@ -180,7 +264,7 @@ def search(rows: DataFrame, is_query: F.Column | None = None, k: int = K, key: s
     def best(found: DataFrame) -> DataFrame:
         found = found.groupBy("query_id", "vec_id").agg(F.max("score").alias("score"))
         first = F.slice(F.array_sort(F.collect_list(F.struct((-F.col("score")).alias("s"), F.col("vec_id").alias("i")))), 1, k)
-        # A query has at most 2 * k rows from each of its tables * probes blocks and the blocks of large buckets; they are thinned before they meet.
+        # A query has at most 2 * k rows from each block that it meets; they are thinned before they meet.
         thin = found.groupBy("query_id", F.pmod(F.xxhash64("vec_id"), F.lit(16)).alias("part")).agg(first.alias("b")).select("query_id", F.explode("b").alias("b"))
         return thin.groupBy("query_id").agg(F.slice(F.array_sort(F.collect_list("b")), 1, k).alias("b"))
 
