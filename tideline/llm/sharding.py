@@ -6,12 +6,14 @@ and the order is cut into runs of equal row counts (law ``rows``), so that each
 shard covers few values of every dimension and readers can skip files by any of
 them. Positions come from counts per cell and sub-cell, so no step sorts the
 whole table in one task; a cell that holds many rows is cut by a hash of its
-ids.
+ids and texts. ``write_shards`` writes whole documents in that order.
 
 Defined results: a null text has size 1 and the checksum of no bytes; a null
-language or source counts as the empty string; repeated rows and ties take
-neighbouring places in any order; an empty table gives an empty table; further
-columns of the input are ignored.
+language or source counts as the empty string; rows equal in id and text are
+ranked by one task and take neighbouring places in any order; an empty table
+gives an empty table; very long texts count by their bytes and are never cut;
+further columns are ignored by ``shard`` and written by ``write_shards``,
+whatever their names.
 """
 
 from __future__ import annotations
@@ -85,28 +87,41 @@ def shard(docs: DataFrame, shards: int = 8, sub_rows: int = 4096) -> DataFrame:
 
     ``sub_rows`` is the number of rows that a task ranks together.
     """
+    out = _ranked(docs, shards, sub_rows, [])
+    return out.select("doc_id", "size", "text_crc32", F.lit("rows").alias("law"), "shard", "slot", F.lit(None).cast("int").alias("grown_shard"), "hilbert")
+
+
+def write_shards(docs: DataFrame, path: str, shards: int = 8, sub_rows: int = 4096, file_rows: int = 100_000) -> str:
+    """Writes the documents, with all their columns, as one folder per shard, in curve order; returns the folders' column.
+
+    A shard is cut into files of about ``file_rows`` neighbours, so that readers skip files by size, language or source.
+    """
+    folder = "shard"
+    while folder in docs.columns:
+        folder = "_" + folder
+    out = _ranked(docs, shards, sub_rows, [F.struct("*").alias("__row")])
+    out = out.repartition("shard", F.expr(f"slot div {file_rows}L")).sortWithinPartitions("shard", "slot")
+    out.select("__row.*", F.col("shard").alias(folder)).write.partitionBy(folder).option("maxRecordsPerFile", file_rows).parquet(path)
+    return folder
+
+
+def _ranked(docs: DataFrame, shards: int, sub_rows: int, carried: list[Column]) -> DataFrame:
+    """doc_id, size, text_crc32, shard, slot and hilbert of every document, and what is carried along."""
     spark = docs.sparkSession
     scratch = Scratch(spark, "sharding")
     text = F.coalesce("text", F.lit(""))
     size = F.octet_length(text) + 1
     log = F.least(F.lit(15), F.floor(F.log2(size.cast("double"))))
     cell = (log * 256 + _crc(F.coalesce("lang", F.lit(""))) % 16 * 16 + _crc(F.coalesce("source", F.lit(""))) % 16).cast("int")
-    meta = docs.select("doc_id", size.cast("long").alias("size"), _crc(text).alias("text_crc32"), cell.alias("grid"), _crc(F.coalesce(F.col("doc_id").cast("string"), F.lit(""))).alias("spread"))
+    spread = _crc(F.concat_ws(":", F.coalesce(F.col("doc_id").cast("string"), F.lit("")), _crc(text).cast("string")))
+    meta = docs.select("doc_id", size.cast("long").alias("size"), _crc(text).alias("text_crc32"), cell.alias("grid"), spread.alias("spread"), *carried)
     curve = spark.createDataFrame(list(enumerate(hilbert_table())), "grid int, hilbert int")  # 4096 rows, fixed
     meta = scratch.save(meta.join(F.broadcast(curve), "grid").drop("grid"), "meta")
     total = meta.count()
     df = placed(meta, scratch, "hilbert", "spread", ["doc_id", "text_crc32", "size"], sub_rows)
     k = F.expr(f"position * {shards} div {max(total, 1)}")
     first = F.expr(f"((position * {shards} div {max(total, 1)}) * {total}L + {shards - 1}) div {shards}")
-    return df.select(
-        "doc_id", "size", "text_crc32", F.lit("rows").alias("law"), k.cast("int").alias("shard"), (F.col("position") - first).cast("long").alias("slot"), F.lit(None).cast("int").alias("grown_shard"), "hilbert"
-    )
-
-
-def write_shards(docs: DataFrame, path: str, shards: int = 8) -> None:
-    """Writes the documents' places as one folder per shard, in curve order within each."""
-    out = shard(docs, shards)
-    out.repartition(shards, "shard").sortWithinPartitions("shard", "slot").write.partitionBy("shard").parquet(path)
+    return df.select("doc_id", "size", "text_crc32", k.cast("int").alias("shard"), (F.col("position") - first).cast("long").alias("slot"), "hilbert", *(["__row"] if carried else []))
 
 
 def op6_hilbert_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -140,8 +155,9 @@ def _sql(shards: int = 8) -> str:
     return f"""
 WITH {crc_table},
 d AS (SELECT row_number() OVER () AS rid, doc_id, coalesce(text, '') AS t, coalesce(lang, '') AS l, coalesce(source, '') AS s, tab FROM documents, crcs),
-m AS MATERIALIZED (SELECT doc_id, CAST(strlen(t) + 1 AS BIGINT) AS size, {crc("t")} AS text_crc32, {crc("l")} AS crc_lang, {crc("s")} AS crc_source,
-      {crc("coalesce(CAST(doc_id AS VARCHAR), '')")} AS spread FROM d),
+k AS MATERIALIZED (SELECT *, {crc("t")} AS text_crc32 FROM d),
+m AS MATERIALIZED (SELECT doc_id, CAST(strlen(t) + 1 AS BIGINT) AS size, text_crc32, {crc("l")} AS crc_lang, {crc("s")} AS crc_source,
+      {crc("(coalesce(CAST(doc_id AS VARCHAR), '') || ':' || text_crc32)")} AS spread FROM k),
 {body},
 h AS (SELECT *, CAST({bits} AS INTEGER) AS hilbert FROM p{k}),
 r AS (SELECT *, row_number() OVER (ORDER BY hilbert, spread, doc_id NULLS FIRST, text_crc32, size) - 1 AS pos, count(*) OVER () AS n FROM h),
