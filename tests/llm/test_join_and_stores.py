@@ -1,6 +1,7 @@
 """Joins, components, sharding, nearest neighbours, archives and the pipeline on small tables."""
 
 import collections
+import gzip
 import hashlib
 import random
 
@@ -134,6 +135,30 @@ def test_shards_are_even_and_gapless(spark):
         assert all(sorted(v) == list(range(len(v))) for v in slots.values())
 
 
+def test_written_shards_hold_documents_and_prune(spark):
+    docs = spark.read.parquet("/root/testdata/sf0.01/documents.parquet").withColumns({"shard": F.lit("clash"), "hilbert": F.lit(1), "__sub": F.lit(2)})
+    path = Scratch(spark, "test").path("shards")
+    assert sharding.write_shards(docs, path, file_rows=40) == "_shard"
+    out = spark.read.parquet(path)
+    assert out.columns == [*docs.columns, "_shard"]
+    assert sorted(map(str, out.drop("_shard").collect())) == sorted(map(str, docs.collect()))
+    size = F.floor(F.log2(F.octet_length(F.coalesce("text", F.lit(""))) + 1.0))
+
+    def files_read(rows):
+        """Files that a reader of one value must open, by their least and greatest value, over all values of the three dimensions."""
+        total = 0
+        for c in (size.alias("v"), F.col("lang").alias("v"), F.col("source").alias("v")):
+            own = rows.select("file", c).filter("v IS NOT NULL")
+            ranges = own.groupBy("file").agg(F.min("v").alias("low"), F.max("v").alias("high")).collect()
+            total += sum(r["low"] <= v["v"] <= r["high"] for v in own.select("v").distinct().collect() for r in ranges)
+        return total
+
+    curve = out.withColumn("file", F.input_file_name())
+    n = curve.select("file").distinct().count()
+    assert n > 16
+    assert files_read(curve) < 0.6 * files_read(docs.withColumn("file", F.crc32(F.col("doc_id").cast("string").cast("binary")) % n))
+
+
 def test_hilbert_neighbours_touch():
     table = sharding.hilbert_table(3, 3)
     assert sorted(table) == list(range(512))
@@ -195,10 +220,31 @@ def vectors(spark, x):
     return spark.createDataFrame([(i, v.tolist()) for i, v in enumerate(x)], "vec_id long, embedding array<double>")
 
 
-def test_nearest_recall_does_not_depend_on_a_switch_by_size(spark, monkeypatch):
-    monkeypatch.setattr(ann, "codes_for", lambda *_: 2, raising=False)  # what tables of over 12.8 million rows once took
+@pytest.mark.parametrize("codes", [1, 2, 3])
+def test_nearest_recall_does_not_depend_on_the_number_of_axes(spark, codes):
     x = directions(2000)
-    assert recall(ann.search(vectors(spark, x)).collect(), x, range(0, 2000, 20)) >= 0.9
+    assert recall(ann.search(vectors(spark, x), codes=codes).collect(), x, range(0, 2000, 20)) >= 0.9
+
+
+def test_nearest_meets_few_rows_where_neighbours_are_near(spark, monkeypatch):
+    centres = directions(400, seed=8)
+    x = np.repeat(centres, 25, 0) + 0.05 * directions(10_000, seed=9)
+    caught, plain = [], ann._chosen
+    monkeypatch.setattr(ann, "_chosen", lambda *a: caught.append(plain(*a)) or caught[-1])
+    found = ann.search(vectors(spark, x)).collect()
+    assert recall(found, x, range(0, 10_000, 20)) >= 0.95
+    hashed, probes = caught[0]
+    u, met = ann.unit(x), np.zeros((500, 10_000), bool)
+    for t in range(hashed.tables):
+        met |= (hashed.probes(u[::20], t, probes)[:, :, None] == hashed.hashes(u, t)[None, None, :]).any(1)
+    assert met.mean() < 0.1
+
+
+def test_nearest_of_vectors_of_any_length_and_repeated_ids(spark):
+    rows = [(0, [1.0, 0.0]), (1, [3e300, 1.0]), (2, [1.0, 2e300]), (3, [2.0, 0.0]), (3, [4.0, 0.0]), (4, [1e-200, 1e-200]), (5, [0.0, 0.0]), (6, [5.0])]
+    df = spark.createDataFrame(rows, "vec_id long, embedding array<double>").withColumns({"id": F.lit("x"), "v": F.lit(1), "norm": F.lit("n")})
+    found = sorted((r["rank"], r["vec_id"], r["score"]) for r in ann.search(df).collect())
+    assert found == [(1, 1, 3e300), (2, 3, 4.0), (3, 2, 1.0), (4, 4, 1e-200)]
 
 
 @pytest.mark.parametrize("spread", [False, True])
@@ -217,7 +263,7 @@ def test_nearest_finds_all_of_few_rows(spark):
     assert ann.search(vectors(spark, x[:1])).count() == 0
 
 
-def test_archives_round_trip(spark):
+def test_archives_round_trip(spark, monkeypatch):
     page = "<html>ü" + "x" * 200
     rows = [(5, "http://a/ b", page), (3, None, page), (9, "http://c", page), (1, "u", None), (2, "u", ""), (4, "é", "short"), (6, "e", "short"), (None, "n", page + "!"), (7, "w", "a\r\n\r\nWARC/1.1\r\n\r\n" * 20)]
     df = spark.createDataFrame(rows, "page_id long, url string, html string").withColumn("record", F.lit(1))
@@ -230,6 +276,41 @@ def test_archives_round_trip(spark):
         assert (out[i]["payload_bytes"], out[i]["payload_digest"]) == (len(raw), hashlib.sha256(raw).hexdigest())
     assert {i: r["refers_to"] for i, r in out.items() if r["record_type"] == "revisit"} == {5: 3, 9: 3}
     assert len({r["record_id"] for r in out.values()}) == len(rows)
+    assert {i: r["url"] for i, r in out.items()} == {i: {None: "unknown:", "http://a/ b": "http://a/%20b", "é": "%C3%A9"}.get(u, u) for i, u, _ in rows}
+    assert {out[i]["refers_to_id"] for i in (5, 9)} == {out[3]["record_id"]} and out[1]["refers_to_id"] is None
+    popular = Scratch(spark, "test").path("popular")
+    monkeypatch.setattr(warc, "POPULAR", 1)
+    warc.write_archives(df, popular, compression="none")
+    assert sorted(map(str, warc.read_archives(spark, popular).collect())) == sorted(map(str, out.values()))
+    raw = spark.read.format("binaryFile").option("recursiveFileLookup", "true").option("pathGlobFilter", "*.txt").load(popular).collect()
+    assert sum(bytes(r["content"]).count(b"WARC-Refers-To-Target-URI: unknown:\r\nWARC-Refers-To-Date: 2024-01-01T00:00:00Z") for r in raw) == 2
+    warc.write_archives(df.limit(0), f"{popular}-none")
+    assert warc.read_archives(spark, f"{popular}-none").count() == 0
+
+
+def test_archives_are_cut_by_bytes(spark, monkeypatch):
+    monkeypatch.setattr(warc, "CLASSES", (1000, 50_000, 1 << 62))
+    rows = [(k, "u", "x" * (3 if k % 3 else 20_000) + str(k)) for k in range(60)] + [(99, "u", "y" * 100_000)]
+    path = Scratch(spark, "test").path("cut")
+    warc.write_archives(spark.createDataFrame(rows, "page_id long, url string, html string").coalesce(1), path, compression="none", file_bytes=120_000)
+    sizes = [r["length"] for r in spark.read.format("binaryFile").option("recursiveFileLookup", "true").option("pathGlobFilter", "*.txt").load(path).select("length").collect()]
+    assert max(sizes) < 120_000 and len(sizes) > 10
+    assert sorted((r["page_id"], r["payload_bytes"]) for r in warc.read_archives(spark, path).collect()) == sorted((i, len(t)) for i, _, t in rows)
+
+
+def test_arc_files_from_disk(spark, tmp_path):
+    pages = [("http://a/ü?q=1 2", b"HTTP/1.1 200 OK\r\nX: y\r\n\r\nbody \xff\r\n\r\n"), ("http://b/%20", b""), ("http://c", b"x" * 500)]
+    (tmp_path / "one.arc").write_bytes(warc.arc_image("one.arc", 1, pages))
+    image = warc.arc_image("two.arc.gz", 2, pages, "19991231")
+    (tmp_path / "two.arc.gz").write_bytes(gzip.compress(image[:300]) + gzip.compress(image[300:]))  # members as crawlers write them
+    found = warc.read_arcs(spark, str(tmp_path)).orderBy("archive", "place").collect()
+    urls = ["http://a/%C3%BC?q=1%202", "http://b/%20", "http://c"]
+    assert [(r["archive"], r["url"], bytes(r["content"])) for r in found] == [(n, u, c) for n in ("one.arc", "two.arc.gz") for u, (_, c) in zip(urls, pages, strict=True)]
+    assert {r["date"] for r in found} == {"2024-01-01T00:00:00Z", "1999-12-31T00:00:00Z"}
+    out = Scratch(spark, "test").path("converted")
+    warc.convert_archives(spark, str(tmp_path), out)
+    rows = warc.read_archives(spark, out, "string").orderBy("page_id").collect()
+    assert [(r["page_id"], r["payload_digest"]) for r in rows] == [(f"{n}#{k}", hashlib.sha256(c.partition(b"\r\n\r\n")[2]).hexdigest()) for n in ("one.arc", "two.arc.gz") for k, (_, c) in enumerate(pages)]
 
 
 @pytest.mark.parametrize("version", [1, 2])
@@ -255,6 +336,20 @@ def test_sql(spark, name):
     assert sorted(map(str, (tuple(r[n] for n in names) for r in df.collect()))) == sorted(map(str, found.fetchall()))
 
 
+def test_pipeline_of_odd_tables(spark, tmp_path):
+    docs = spark.read.parquet(f"{DIR}/documents.parquet")
+    labels = spark.read.parquet(f"{DIR}/labels.parquet")
+    good = [r["text"] for r in docs.join(labels.filter("quality = 1"), "doc_id").filter("lang = 'en' AND n_chars > 2000").orderBy("doc_id").limit(4).collect()]
+    rows = [(1, good[0]), (1, good[0]), (2, good[0]), (None, good[1]), (None, good[1]), (None, good[2]), (7, good[3]), (7, good[2]), (8, None), (9, ""), (10, "x" * 200_000)]
+    for name, df in (("none", docs.limit(0)), ("odd", spark.createDataFrame([(i, t, "en", None, None, "k") for i, t in rows], SCHEMA + ", __row string"))):
+        df.write.parquet(str(tmp_path / name / "documents.parquet"))
+        labels.limit(0).write.parquet(str(tmp_path / name / "labels.parquet"))
+    assert corpus_pipeline.run(spark, str(tmp_path / "none")).count() == 0
+    out = corpus_pipeline.run(spark, str(tmp_path / "odd")).filter("start = 0").collect()  # without labels the classifier keeps all
+    assert sorted((r["doc_id"] is None, r["doc_id"]) for r in out if r["doc_id"] is not None) == [(False, 1), (False, 7), (False, 7)]
+    assert sum(r["doc_id"] is None for r in out) == 1  # the text of another row with an id goes first
+
+
 def test_pipeline_matches_plain_stages(spark):
     from tideline.llm import packing, quality_model, quality_rules
 

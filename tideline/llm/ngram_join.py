@@ -517,8 +517,8 @@ WITH RECURSIVE d AS (SELECT row_number() OVER () AS r, doc_id,
 g AS MATERIALIZED (SELECT DISTINCT r, unnest(CASE WHEN len(w) = 0 THEN [] WHEN len(w) < 5 THEN [array_to_string(w, ' ')]
   ELSE list_transform(range(1, len(w) - 3), lambda k: array_to_string(w[k:k + 4], ' ')) END) AS shingle FROM d),
 n AS MATERIALIZED (SELECT r, count(*) AS n FROM g GROUP BY r),
-links AS MATERIALIZED (SELECT p.a, p.b FROM (SELECT x.r AS a, y.r AS b, count(*) AS both FROM g x JOIN g y ON x.shingle = y.shingle AND x.r <> y.r GROUP BY ALL) p
-  JOIN n na ON p.a = na.r JOIN n nb ON p.b = nb.r WHERE 100 * both >= 75 * (na.n + nb.n - both)),
+links AS MATERIALIZED (SELECT p.a, p.b FROM (SELECT x.r AS a, y.r AS b, count(*) AS common FROM g x JOIN g y ON x.shingle = y.shingle AND x.r <> y.r GROUP BY ALL) p
+  JOIN n na ON p.a = na.r JOIN n nb ON p.b = nb.r WHERE 100 * common >= 75 * (na.n + nb.n - common)),
 reach(a, b) AS (SELECT a, b FROM links UNION SELECT reach.a, links.b FROM reach JOIN links ON reach.b = links.a)
 SELECT d.doc_id, CAST(coalesce(n.n, 0) AS BIGINT) AS n_shingles, least(d.doc_id, min(o.doc_id)) AS component_id
 FROM d LEFT JOIN n ON d.r = n.r LEFT JOIN reach ON d.r = reach.a LEFT JOIN d o ON reach.b = o.r GROUP BY d.r, d.doc_id, n.n"""

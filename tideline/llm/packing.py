@@ -7,17 +7,22 @@ end to end and cut every ``LENGTH`` tokens, so each sequence holds neighbours
 and only the last one of all is padded. A document's place on the curve comes
 from token counts per cell and sub-cell; the ids move once, to be cut.
 
-Tokenising: between white space, texts of this vocabulary fall into parts whose
-ids do not depend on each other, so each different part is encoded once per
-worker by the library and remembered.
+Tokenising: where the tokenizer's file has the rules ``SPLIT_RULES`` (white space
+parts, lower case, its own pattern of words), texts fall between white space
+into parts whose ids do not depend on each other, so each different part is
+encoded once per worker by the library and remembered. Texts go whole to the
+library for any other file.
 
 Defined results: a null text counts as empty, and an empty text is the closing
-id alone; repeated rows are packed row by row; an empty table gives an empty
-table; very long texts are cut into many pieces; further columns are ignored.
+id alone; repeated rows are packed row by row, and rows equal in id and text are
+placed by one task; an empty table gives an empty table; very long texts are cut
+into many pieces; ties on the curve go by a hash of id and ids, then by id;
+further columns are ignored, whatever their names.
 """
 
 from __future__ import annotations
 
+import json
 import unicodedata
 import zlib
 from array import array
@@ -35,6 +40,18 @@ LENGTH, END = 4096, 2
 HASHED, DIMENSIONS, BITS, SEED = 512, 3, 4, 11
 #: Parts that a worker remembers.
 CACHE = 500_000
+#: Rules of a tokenizer's file under which white space and the parts between it can be encoded apart (fixed values).
+SPLIT_RULES = {
+    "normalizer": {"type": "Sequence", "normalizers": [{"type": "NFC"}, {"type": "Replace", "pattern": {"Regex": "\\s+"}, "content": " "}, {"type": "Lowercase"}]},
+    "pre_tokenizer": {
+        "type": "Sequence",
+        "pretokenizers": [
+            {"type": "Split", "pattern": {"Regex": "'s|'t|'re|'ve|'m|'ll|'d|[\\p{L}]+|[\\p{N}]|[^\\s\\p{L}\\p{N}]+"}, "behavior": "Removed", "invert": True},
+            {"type": "ByteLevel", "add_prefix_space": False, "trim_offsets": True, "use_regex": False},
+        ],
+    },
+    "post_processor": None,
+}
 
 
 def _byte_letters() -> dict[int, str]:
@@ -57,6 +74,8 @@ class Tokens:
         self.tokenizer = Tokenizer.from_file(path)
         self.tokenizer.encode_special_tokens = True
         self.model, self.letters = self.tokenizer.model, _byte_letters()
+        rules = json.loads(self.tokenizer.to_str())
+        self.split = all(rules[k] == v for k, v in SPLIT_RULES.items()) and self.tokenizer.get_vocab_size() <= 1 << 16
         self.cache: dict[bytes, bytes] = {}
 
     def _whole(self, part: bytes) -> bytes | None:
@@ -94,6 +113,9 @@ class Tokens:
                 known[p] = array("H", e.ids).tobytes()
 
     def encode(self, texts: list[str | None]) -> list[np.ndarray]:
+        """Ids of each text, as numbers of 16 bits where the rules allow parts, else of 32."""
+        if not self.split:
+            return [np.array(e.ids, np.uint32) for e in self.tokenizer.encode_batch([(t or "").encode("utf-8", "replace").decode() for t in texts], add_special_tokens=False)]
         cut = [(t or "").encode("utf-8", "surrogatepass").lower().split() for t in texts]  # the vocabulary is of lower case
         known = self.cache
         fresh = list({p for parts in cut for p in parts if p not in known})
@@ -125,7 +147,7 @@ _CURVE = np.array(hilbert_table(DIMENSIONS, BITS))
 
 def curve_cell(ids: np.ndarray) -> int:
     """Hilbert number of a document's cell."""
-    v = np.sqrt(np.bincount(_SLOT[ids], minlength=HASHED))
+    v = np.sqrt(np.bincount(_SLOT[ids & 0xFFFF], minlength=HASHED))
     v -= v.mean()
     norm = np.sqrt(v @ v)
     if norm == 0:
@@ -161,11 +183,11 @@ def _cut(docs: DataFrame, path: str | None, length: int, end: int, sub_rows: int
                     stop += 1
                 ids = own.encode(b["text"][at:stop])
                 raw = [x.tobytes() for x in ids]
-                yield {"doc_id": b["doc_id"][at:stop], "hilbert": [curve_cell(x) for x in ids], "n": [len(x) + 1 for x in ids], "spread": [zlib.crc32(x) for x in raw], "ids": raw}
+                yield {"doc_id": b["doc_id"][at:stop], "hilbert": [curve_cell(x) for x in ids], "n": [len(x) + 1 for x in ids], "spread": [zlib.crc32(x) for x in raw], "wide": [not own.split] * len(ids), "ids": raw}
                 at = stop
         own.cache.clear()  # the worker process goes on to steps that need the memory
 
-    rows = scratch.save(map_rows(docs.select("doc_id", "text"), f"doc_id {kind}, hilbert int, n long, spread long, ids binary", encode), "ids")
+    rows = scratch.save(map_rows(docs.select("doc_id", "text"), f"doc_id {kind}, hilbert int, n long, spread long, wide boolean, ids binary", encode), "ids")
     # Equal texts share a hash of their ids, so large cells are cut by one that takes the document's id in.
     rows = rows.withColumn("spread", F.crc32(F.concat_ws(",", F.coalesce(F.col("doc_id").cast("string"), F.lit("")), F.col("spread").cast("string")).cast("binary")))
     cells = rows.groupBy("hilbert").count().select(F.col("hilbert").alias("cell"), F.ceil(F.col("count") / sub_rows).cast("long").alias("subs"))
@@ -183,11 +205,10 @@ def _cut(docs: DataFrame, path: str | None, length: int, end: int, sub_rows: int
         group, at = None, 0
         for b in batches:
             out: dict[str, list] = {f.name: [] for f in target}
-            doc_ids, hs, subs, begin, ids = (b.column(c).to_pylist() for c in ("doc_id", "hilbert", "sub", "begin", "ids"))
-            for doc, h, s, first, raw in zip(doc_ids, hs, subs, begin, ids, strict=True):
+            for doc, h, s, first, wide, raw in zip(*(b.column(c).to_pylist() for c in ("doc_id", "hilbert", "sub", "begin", "wide", "ids")), strict=True):
                 if (h, s) != group:
                     group, at = (h, s), first
-                own = np.append(np.frombuffer(raw, "<u2").astype("<u4"), np.uint32(end)).astype("<u4")
+                own = np.append(np.frombuffer(raw, "<u4" if wide else "<u2").astype("<u4"), np.uint32(end)).astype("<u4")
                 start = 0
                 while start < len(own):
                     offset = at % length
@@ -199,7 +220,7 @@ def _cut(docs: DataFrame, path: str | None, length: int, end: int, sub_rows: int
             yield pa.RecordBatch.from_arrays([pa.array(out[f.name], f.type) for f in target], schema=target)
 
     free_shuffles(spark)
-    return placed.select("doc_id", "hilbert", "sub", "begin", "ids").mapInArrow(cut, schema)
+    return placed.select("doc_id", "hilbert", "sub", "begin", "wide", "ids").mapInArrow(cut, schema)
 
 
 def op7_packing(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -3,9 +3,10 @@
 Words are the maximal runs without white space (space, ASCII 9 to 13), counted
 over the whole text in its own case. Defined results for edge cases: a null or
 empty text has no words, so every count is 0 and ``base_failed`` is true; ties
-and repeated rows are judged row by row; an empty table gives an empty table;
-further columns are passed through only by ``keep_documents``, whatever their
-names. Repeats of three-word windows are found by 64-bit hashes within a text.
+and repeated rows are judged row by row, and a ratio on a threshold passes; an
+empty table gives an empty table; very long texts are measured whole, in arrays
+of their words; further columns are passed through only by ``keep_documents``,
+whatever their names. Repeats of three-word windows are found by 64-bit hashes within a text.
 """
 
 from __future__ import annotations
@@ -90,7 +91,6 @@ def _measured(df: DataFrame) -> DataFrame:
         lambda acc: acc["n"],
     )
     letters = "".join(map(chr, range(65, 91)))
-    stops = F.array(*map(F.lit, dict.fromkeys(STOP_WORDS)))
     return df.select(
         "__row",
         n.cast("long").alias("n_words"),
@@ -101,7 +101,7 @@ def _measured(df: DataFrame) -> DataFrame:
         F.size("__lines").cast("long").alias("n_lines"),
         (F.col("__length") - F.length(_without("__text", letters))).cast("long").alias("n_capitals"),
         (F.col("__length") - F.length(_without("__text", "!"))).cast("long").alias("n_exclamations"),
-        F.size(F.filter("__words", lambda w: F.array_contains(stops, F.lower(w)))).cast("long").alias("n_stop_words"),
+        F.size(F.filter("__words", lambda w: F.lower(w).isin(*dict.fromkeys(STOP_WORDS)))).cast("long").alias("n_stop_words"),
     )
 
 
