@@ -45,9 +45,8 @@ import pyarrow as pa
 import xxhash
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
-from pyspark.sql.types import BooleanType, LongType, StructField, StructType
 
-from tideline.llm.common import Scratch, free_shuffles, map_rows, slices, spark_arrow, words
+from tideline.llm.common import Scratch, free_shuffles, map_rows, spark_arrow, words
 from tideline.llm.components import components
 
 SHINGLE = 5
@@ -489,21 +488,23 @@ def keep_one(docs: DataFrame) -> DataFrame:
     several = found.groupBy("label").agg(F.sum("rows").alias("all")).filter("all > 1").select("label")
     linked = scratch.save(found.join(several, "label").select("node", "label"), "linked")
     shared, bits = _bitmap(linked, "node", linked.count())
-    packed = docs.select(F.struct("*").alias("__row"), F.col("text").alias("__text"), F.col("doc_id").alias("__id"))
-    names = StructType([*packed.schema.fields, StructField("__node", LongType()), StructField("__in", BooleanType())])
 
-    def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in slices(batches):
-            nodes = [_node(shingles(t)) for t in b.column("__text").to_pylist()]
-            marks = [n is not None and _is_set(shared.value, bits, n) for n in nodes]
-            yield pa.RecordBatch.from_arrays([*b.columns, pa.array(nodes, pa.int64()), pa.array(marks)], names=[*b.schema.names, "__node", "__in"])
-
-    rows = scratch.save(packed.mapInArrow(work, names), "kept")  # both branches below read it
-    grouped = rows.filter("__in").join(linked.select(F.col("node").alias("__n"), "label"), F.col("__node") == F.col("__n"), "left")
-    others = [F.col("__row").getField(c).alias(c) for c in docs.columns if c not in ("doc_id", "text")]
-    order = F.struct(F.col("__id").isNull(), "__id", "__text", F.to_json(F.struct(*others)) if others else F.lit(""))
+    @F.arrow_udf("long")
+    def marked(texts: pa.Array) -> pa.Array:
+        """The set's hash where the bitmap has it, else null."""
+        out: list[int | None] = []
+        for at in range(0, len(texts), 1000):
+            nodes = [_node(shingles(t)) for t in texts.slice(at, 1000).to_pylist()]
+            out += [n if n is not None and _is_set(shared.value, bits, n) else None for n in nodes]
+        return pa.array(out, pa.int64())
+
+    rows = scratch.save(docs.select(F.struct("*").alias("__row"), marked("text").alias("__node")), "kept")  # both branches below read it
+    grouped = rows.filter("__node IS NOT NULL").join(linked.select(F.col("node").alias("__n"), "label"), F.col("__node") == F.col("__n"), "left")
+    own = F.col("__row")
+    others = [own.getField(c).alias(c) for c in docs.columns if c not in ("doc_id", "text")]
+    order = F.struct(own.getField("doc_id").isNull(), own.getField("doc_id"), own.getField("text"), F.to_json(F.struct(*others)) if others else F.lit(""))
     kept = grouped.groupBy(F.coalesce("label", "__node").alias("__key")).agg(F.min_by("__row", order).alias("__row"))
-    return rows.filter("NOT __in").select("__row.*").unionByName(kept.select("__row.*"))
+    return rows.filter("__node IS NULL").select("__row.*").unionByName(kept.select("__row.*"))
 
 
 def op1_ngram_join(spark: SparkSession, sf_dir: str) -> DataFrame:
