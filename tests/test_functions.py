@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 from tideline.functions import dates, stats, text
 from tideline.operators import association, multiplicity, resample, windows
 from tideline.operators.residuals import adjusted
+from tideline.sources import store
 
 
 def one(spark, column):
@@ -119,3 +120,34 @@ def test_texts(spark):
     assert one(spark, text.mood_label(F.lit(3))) == "Very good" and one(spark, text.energy_label(F.lit(-3))) == "Drained"
     assert one(spark, text.clean_tag(F.lit("\t Late Night "))) == "late night"
     assert math.isclose(one(spark, stats.inverse_fisher_z(stats.fisher_z(F.lit(0.5)))), 0.5)
+
+
+def test_beta_gamma_and_student(spark):
+    f = stats.incomplete_beta
+    row = spark.range(1).select(
+        stats.ln_gamma(F.lit(5.0)).alias("g"), stats.ln_gamma(F.lit(0.5)).alias("h"), stats.ln_gamma(F.lit(0.0)).alias("none"),
+        f(F.lit(0.5), F.lit(2.0), F.lit(3.0)).alias("b"), f(F.lit(0.9), F.lit(2.0), F.lit(3.0)).alias("c"), f(F.lit(0.0), F.lit(1.0), F.lit(2.0)).alias("zero"),
+        *[stats.t_survival(F.lit(1.3), df).alias(f"t{df}") for df in (1, 2, 3, 7, 30)], *[stats.t_survival_of(F.lit(1.3), F.lit(float(df))).alias(f"u{df}") for df in (1, 2, 3, 7, 30)],
+    ).first()
+    assert row["g"] == pytest.approx(math.log(24)) and row["h"] == pytest.approx(math.log(math.pi) / 2) and row["none"] is None
+    assert row["b"] == pytest.approx(0.6875) and row["c"] == pytest.approx(0.9963) and row["zero"] == 0
+    assert row["t1"] == pytest.approx(0.5 - math.atan(1.3) / math.pi) and row["t2"] == pytest.approx(0.5 - 1.3 / (2 * math.sqrt(2 + 1.69)))
+    assert all(row[f"t{df}"] == pytest.approx(row[f"u{df}"], abs=1e-10) for df in (1, 2, 3, 7, 30))
+
+
+def test_named_scans_and_preferences(spark):
+    tags = spark.createDataFrame([("b", 2, True), ("a", 2, True), ("c", 1, False)], "name string, sort_order int, enabled boolean")
+    assert [r["name"] for r in store.tags_in_order(tags).collect()] == ["c", "a", "b"] and [r["name"] for r in store.enabled_tags(tags).collect()] == ["a", "b"]
+    assert store.count_tags(tags).first()["n"] == 3
+    assert sorted(r["name"] for r in store.delete_tags(tags, tags.filter("name = 'a'")).collect()) == ["b", "c"]
+    changed = store.upsert_tags(tags, spark.createDataFrame([("a", 9, False), ("d", 3, True)], tags.schema))
+    assert sorted(tuple(r) for r in changed.collect()) == [("a", 9, False), ("b", 2, True), ("c", 1, False), ("d", 3, True)]
+    rows = spark.sql("SELECT id, timestamp_seconds(id * 50000) AS ts, date_add(DATE'1970-01-01', CAST(id * 50000 DIV 86400 AS INT)) AS day FROM range(6)")
+    assert [r["id"] for r in store.newest_first(rows).collect()] == [5, 4, 3, 2, 1, 0] and [r["id"] for r in store.newest_first(rows, "1970-01-01").collect()] == [1, 0]
+    assert [r["id"] for r in store.oldest_first(rows, "1970-01-02").collect()] == [2, 3, 4, 5]
+    assert store.days_in_order(rows, "1999-01-01").count() == 0 and store.days_in_order(rows, "1970-01-01").count() == 1 and store.first_of(rows, "id", 3, ["ts"]).first()["id"] == 3
+    assert store.charted(spark.createDataFrame([("mood",), ("sleep_debt_3d",)], "metric_key string")).count() == 1
+    stored = spark.createDataFrame([("reminder_hour", "7"), ("reminder_enabled", "false"), ("other", "x")], "key string, value string")
+    own = store.preferences(stored).first()
+    assert (own["reminder_hour"], own["reminder_enabled"], own["midday_reminder_hour"]) == (7, False, 13)
+    assert store.preferences(stored.limit(0)).first()["reminder_hour"] == 21

@@ -10,7 +10,6 @@ from tideline.plans.oracles import oracle_sql
 from tideline.plans.queries import queries
 
 DIR = "/root/testdata/sf0.001"
-SLOW = {"report", "report_tests", "block_null", "tag_tests", "dow_tests"}
 
 
 def cells(rows):
@@ -26,7 +25,7 @@ def db():
     return c
 
 
-@pytest.mark.parametrize("name", sorted(set(queries()) - SLOW))
+@pytest.mark.parametrize("name", sorted(queries()))
 def test_query_matches_sql(spark, db, name):
     df = queries()[name](spark, DIR)
     columns = sorted(df.columns)

@@ -90,15 +90,66 @@ NULL_DF = 30
 
 
 def t_survival(t: Column, df: int = NULL_DF) -> Column:
-    """P(T > t) for an even number of degrees of freedom, by the finite cosine series."""
-    if df % 2:
-        raise ValueError("the closed form needs an even number of degrees of freedom")
+    """P(T > t) for a whole number of degrees of freedom, by the finite cosine series."""
     theta = F.atan(F.abs(t) / math.sqrt(df))
-    squared = F.cos(theta) * F.cos(theta)
+    odd = df % 2
     terms = [1.0]
-    for j in range(1, df // 2):
-        terms.append(terms[-1] * (2 * j - 1) / (2 * j))
-    half = F.greatest(F.lit(0.0), (1 - F.sin(theta) * _horner(squared, tuple(terms[::-1]))) / 2)
+    for j in range(1, (df - odd) // 2):
+        terms.append(terms[-1] * (2 * j - 1 + odd) / (2 * j + odd))
+    series = _horner(F.cos(theta) * F.cos(theta), tuple(terms[::-1]))
+    if odd:
+        inside = 2 / math.pi * (theta + (F.sin(theta) * F.cos(theta) * series if df > 1 else F.lit(0.0)))
+    else:
+        inside = F.sin(theta) * series
+    half = F.greatest(F.lit(0.0), (1 - inside) / 2)
+    return F.when(t < 0, 1 - half).otherwise(half)
+
+
+# Lanczos' coefficients for ln Gamma with g = 7.
+LANCZOS = (0.99999999999980993, 676.5203681218851, -1259.1392167224028, 771.32342877765313, -176.61502916214059, 12.507343278686905, -0.13857109526572012, 9.9843695780195716e-06, 1.5056327351493116e-07)
+
+
+def ln_gamma(x: Column) -> Column:
+    """ln Gamma(x) for x > 0; null otherwise."""
+
+    def upper(z: Column) -> Column:  # of z + 1
+        total = F.lit(LANCZOS[0])
+        for k, c in enumerate(LANCZOS[1:], 1):
+            total = total + c / (z + k)
+        return 0.5 * math.log(2 * math.pi) + (z + 0.5) * F.ln(z + 7.5) - (z + 7.5) + F.ln(total)
+
+    return F.when(x > 0, upper(x) - F.ln(x))
+
+
+def incomplete_beta(x: Column, a: Column, b: Column, steps: int = 300) -> Column:
+    """Regularised incomplete beta I_x(a, b) by the continued fraction, evaluated on the side where it converges fast."""
+    swap = x > (a + 1) / (a + b + 2)
+    y, p, q = F.when(swap, 1 - x).otherwise(x), F.when(swap, b).otherwise(a), F.when(swap, a).otherwise(b)
+    tiny = 1e-300
+    sure = lambda v: F.when(F.abs(v) < tiny, F.lit(tiny)).otherwise(v)
+
+    def step(acc: Column, k: Column) -> Column:
+        m, own = F.floor(k / 2).cast("double"), acc["y"]
+        even = m * (acc["q"] - m) * own / ((acc["p"] + 2 * m - 1) * (acc["p"] + 2 * m))
+        odd = -(acc["p"] + m) * (acc["p"] + acc["q"] + m) * own / ((acc["p"] + 2 * m) * (acc["p"] + 2 * m + 1))
+        return F.struct(acc["y"].alias("y"), acc["p"].alias("p"), acc["q"].alias("q"), F.when(k % 2 == 0, even).otherwise(odd).alias("n"), acc["c"].alias("c"), acc["d"].alias("d"), acc["h"].alias("h"))
+
+    def folded(acc: Column, k: Column) -> Column:
+        now = step(acc, k)
+        d = 1 / sure(1 + now["n"] * acc["d"])
+        c = sure(1 + now["n"] / acc["c"])
+        return F.struct(acc["y"].alias("y"), acc["p"].alias("p"), acc["q"].alias("q"), now["n"].alias("n"), c.alias("c"), d.alias("d"), (acc["h"] * c * d).alias("h"))
+
+    start = F.struct(y.cast("double").alias("y"), p.cast("double").alias("p"), q.cast("double").alias("q"), F.lit(0.0).alias("n"), F.lit(1e300).alias("c"), F.lit(1.0).alias("d"), F.lit(1.0).alias("h"))
+    fraction = F.aggregate(F.sequence(F.lit(1), F.lit(steps)), start, folded, lambda acc: acc["h"])
+    front = F.exp(ln_gamma(p + q) - ln_gamma(p) - ln_gamma(q) + p * F.ln(y) + q * F.ln(1 - y)) / p
+    found = front * fraction
+    return F.when(x <= 0, 0.0).when(x >= 1, 1.0).otherwise(F.when(swap, 1 - found).otherwise(found))
+
+
+def t_survival_of(t: Column, df: Column) -> Column:
+    """P(T > t) for any positive degrees of freedom, also broken ones."""
+    half = 0.5 * incomplete_beta(df / (df + t * t), df / 2, F.lit(0.5))
     return F.when(t < 0, 1 - half).otherwise(half)
 
 

@@ -81,7 +81,7 @@ def pending(outcomes: DataFrame, predictors: DataFrame, t: Thresholds = THRESHOL
     gates = ((1, "same_day", "Same-day patterns", t.min_days_same_day), (2, "lagged", "Effects of previous days", t.min_days_lagged), (3, "day_of_week", "Day-of-week pattern", t.min_days_dow))
     rows = [F.when(F.col("days") < need, F.struct(F.lit(k).alias("place"), F.lit(i).alias("id"), F.lit(label).alias("label"), F.col("days").alias("days_available"), F.lit(need).alias("days_required"))) for k, i, label, need in gates]
     rows.append(F.when(~F.coalesce("sleep", F.lit(False)), F.struct(F.lit(4).alias("place"), F.lit("sleep").alias("id"), F.lit("Sleep effects").alias("label"), F.lit(0).alias("days_available"), F.lit(t.min_days_sleep_debt).alias("days_required"))))
-    found = days.join(sleep, "subject_id", "left").select("subject_id", F.inline(F.filter(F.array(*rows), lambda r: r.isNotNull())))
+    found = days.join(sleep, "subject_id", "full").withColumn("days", F.coalesce("days", F.lit(0))).select("subject_id", F.inline(F.filter(F.array(*rows), lambda r: r.isNotNull())))
     return found.withColumn("days_remaining", F.greatest(F.lit(0), F.col("days_required") - F.col("days_available")))
 
 

@@ -6,7 +6,7 @@ from tideline.functions import stats, text
 from tideline.schema import DEFAULT_TAGS, METRICS, THRESHOLDS, WEEKDAYS
 
 SEED = THRESHOLDS.seed
-REPS = 50
+REPS = THRESHOLDS.replicates
 
 
 def u(*parts: str) -> str:
@@ -314,7 +314,7 @@ def oracle_sql() -> dict[str, str]:
         "round((value - lo) / CASE WHEN hi > lo THEN hi - lo ELSE 1 END, 6) AS cy FROM r WHERE day BETWEEN DATE '1998-10-03' AND DATE '1998-12-31'",
         "residuals": f"WITH {EVENTS_INPUT}, {aligned()}, {correlations(null=False)} SELECT outcome, predictor, lag, day, round(rx, 6) AS rx, round(ry, 6) AS ry FROM c_rows",
         "circular_shift": f"WITH {demo(3)} SELECT subject_id, (i + 3) % 121 AS pos, mood FROM demo",
-        "block_permute": f"WITH {demo(2)}, r AS (SELECT subject_id, 't:' || subject_id AS test_id, i AS pos, CAST(energy AS DOUBLE) AS ry, CAST(draw AS INTEGER) AS draw FROM demo, range(5) AS d(draw)), "
+        "block_permute": f"WITH {demo(2)}, r AS (SELECT subject_id, 't:' || subject_id AS test_id, i AS pos, CAST(energy AS DOUBLE) AS ry, CAST(draw AS INTEGER) AS draw FROM demo, range({THRESHOLDS.null_samples}) AS d(draw)), "
         f"a AS (SELECT *, CASE WHEN pos = 0 OR {u('test_id', 'draw', 'pos')} <= 1.0 / {BLOCK.format('121')} THEN 1 ELSE 0 END AS st FROM r), b AS (SELECT *, CAST(sum(st) OVER (PARTITION BY test_id, draw ORDER BY pos) AS BIGINT) AS block FROM a) "
         f"SELECT subject_id, draw, CAST(row_number() OVER (PARTITION BY test_id, draw ORDER BY {n32('test_id', 'draw', 'block', chr(39) + 'k' + chr(39))}, block, pos) - 1 AS INTEGER) AS pos, ry AS value FROM b",
         "block_bootstrap": f"WITH {_BOOT} SELECT subject_id, rep, round(r, 6) AS r FROM stats",
@@ -333,9 +333,15 @@ def oracle_sql() -> dict[str, str]:
         "reverse_check": f"WITH {DEMO_INPUT}, {aligned('back', 'predictors', 'outcomes')}, {correlations('v', 'back', False)} SELECT predictor AS outcome, outcome AS predictor, lag, round(effect, 6) AS reverse FROM v_e WHERE lag > 0",
         "strength_bands": f"WITH l AS (SELECT l_orderkey, l_linenumber, round(l_discount * 10 - 0.5, 6) AS effect FROM lineitem) SELECT l_orderkey, l_linenumber, {_STRENGTH} AS strength, CASE WHEN effect >= 0 THEN 'higher' ELSE 'lower' END AS direction, round(abs(effect) * CASE WHEN l_linenumber % 2 = 0 THEN 1.0::DOUBLE ELSE 0.6::DOUBLE END, 6) AS score, CASE WHEN l_linenumber = 1 THEN 'the day before' ELSE l_linenumber || ' days earlier' END AS phrase FROM l",
         "dedupe_rank": "SELECT 'corr:' || l_orderkey AS pair, 'corr:' || l_orderkey || ':lag' || arg_max(l_linenumber, struct_pack(a := l_discount, b := -l_linenumber)) AS test_id FROM lineitem GROUP BY l_orderkey",
+        "student_t": """WITH e AS (SELECT event_id, (value - 50) / 25 AS t, event_id % 40 + 1 AS df, (event_id % 97 + 1) / 7.0::DOUBLE AS x FROM events),
+  a AS (SELECT *, atan(abs(t) / sqrt(df)) AS th, df % 2 AS odd FROM e),
+  i AS (SELECT *, CASE WHEN odd = 0 THEN sin(th) * list_sum(list_transform(range(df // 2), lambda j: exp(lgamma(j + 0.5) - lgamma(0.5) - lgamma(j + 1)) * pow(cos(th), 2 * j)))
+    ELSE 2 / pi() * (th + coalesce(sin(th) * cos(th) * list_sum(list_transform(range((df - 1) // 2), lambda j: exp(lgamma(j + 1) + lgamma(1.5) - lgamma(j + 1.5)) * pow(cos(th), 2 * j))), 0)) END AS inside FROM a)
+  SELECT event_id, round(CASE WHEN t < 0 THEN (1 + inside) / 2 ELSE (1 - inside) / 2 END, 6) AS t_sf, round(lgamma(x), 6) AS ln_gamma FROM i""",
         "pending": f"""WITH {events_input(True, "'purchase', 'view'", "'click', 'error', 'signup'")}, n AS (SELECT subject_id, CAST(max(n) AS INTEGER) AS days FROM (SELECT subject_id, metric_key, count(*) AS n FROM outcomes GROUP BY ALL) GROUP BY 1),
   g(id, label, need) AS (VALUES ('same_day', 'Same-day patterns', 14), ('lagged', 'Effects of previous days', 21), ('day_of_week', 'Day-of-week pattern', 42)),
-  r AS (SELECT subject_id, id, label, days AS days_available, need AS days_required FROM n, g WHERE days < need UNION ALL SELECT subject_id, 'sleep', 'Sleep effects', 0, 21 FROM n)
+  a AS (SELECT subject_id, coalesce(days, 0) AS days FROM n FULL JOIN (SELECT DISTINCT subject_id FROM predictors) p USING (subject_id)),
+  r AS (SELECT subject_id, id, label, days AS days_available, need AS days_required FROM a, g WHERE days < need UNION ALL SELECT subject_id, 'sleep', 'Sleep effects', 0, 21 FROM a)
   SELECT *, greatest(0, days_required - days_available) AS days_remaining, round(greatest(0.0, least(1.0, days_available / days_required)), 6) AS progress FROM r""",
         "report": f"WITH {REPORT}",
         "report_tests": f"WITH {ALL_TESTS} SELECT test_id, kind, n, round(effect, 6) AS effect, round(null_sd, 6) AS null_sd, round(p, 6) AS p, CAST(family AS INTEGER) AS family, confidence FROM scored",

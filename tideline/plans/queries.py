@@ -16,7 +16,7 @@ from tideline.sources import export, store, tables
 from tideline.sources.tables import read
 
 #: Replicates of the registered bootstraps of single operators.
-REPS = 50
+REPS = THRESHOLDS.replicates
 
 
 def _r(c: Column | str, name: str | None = None) -> Column:
@@ -148,7 +148,7 @@ def _energy(s):
 
 def block_permute(s, d):
     keys = ["subject_id", "test_id"]
-    out = resample.block_permuted(resample.gathered(_energy(s), keys, ["ry"]), keys, 5, THRESHOLDS.seed)
+    out = resample.block_permuted(resample.gathered(_energy(s), keys, ["ry"]), keys, THRESHOLDS.null_samples, THRESHOLDS.seed)
     return out.select("subject_id", "draw", F.posexplode("values").alias("pos", "value"))
 
 
@@ -198,6 +198,11 @@ def normal_curve(s, d):
     return e.select("event_id", _r(stats.normal_cdf(F.col("z")), "cdf"), _r(stats.normal_quantile((F.col("event_id") % 997 + 1) / 998), "quantile"), _r(stats.t_survival(F.col("z")), "t_sf"), _r(stats.fisher_z(F.col("z") / 4), "fz"), stats.block_length(F.col("event_id") % 500 + 4).alias("block"), stats.rotation_margin(F.col("event_id") % 500).alias("margin"))
 
 
+def student_t(s, d):
+    e = read(s, d, "events").select("event_id", ((F.col("value") - 50) / 25).alias("t"), (F.col("event_id") % 40 + 1).cast("double").alias("df"), ((F.col("event_id") % 97 + 1) / 7).alias("x"))
+    return e.select("event_id", _r(stats.t_survival_of(F.col("t"), F.col("df")), "t_sf"), _r(stats.ln_gamma(F.col("x")), "ln_gamma"))
+
+
 def _corr(s, d):
     return engine.scored(engine.correlation_tests(*_split(_events(s, d)))[0])
 
@@ -330,7 +335,7 @@ def last_value(s, d):
 
 NAMES = (
     daily_mean, tag_days, day_boundary, unpivot_metrics, demo_seed, lag_align, weekend_flag, avg_rank, pearson, spearman, group_stats, centred_mean, trailing_mean, sleep_baseline, sleep_debt, line_segments,
-    chart_coordinates, residuals, circular_shift, block_permute, block_bootstrap, quantile_ci, se_interval, rotation_null, rotation_null_by_user, block_null, normal_curve, corr_tests, bh_threshold, tag_tests,
+    chart_coordinates, residuals, circular_shift, block_permute, block_bootstrap, quantile_ci, se_interval, rotation_null, rotation_null_by_user, block_null, normal_curve, student_t, corr_tests, bh_threshold, tag_tests,
     dow_tests, reverse_check, strength_bands, dedupe_rank, pending, report, report_tests, csv_export, json_export, upsert_latest, save_check_ins, cascade_delete, replace_tags, add_tags, day_count, scale_labels,
     format_minutes, scan_since, last_value,
 )

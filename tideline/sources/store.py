@@ -2,11 +2,14 @@
 
 from __future__ import annotations
 
+from dataclasses import fields
+
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from tideline.functions.dates import local_day
 from tideline.functions.text import clean_tag
+from tideline.schema import Settings
 
 
 def stamped(new: DataFrame) -> DataFrame:
@@ -44,6 +47,63 @@ def delete_all(*tables: DataFrame) -> tuple[DataFrame, ...]:
     return tuple(t.limit(0) for t in tables)
 
 
+def newest_first(check_ins: DataFrame, day: object = None) -> DataFrame:
+    """Check-ins, of one day if given, the newest first."""
+    own = check_ins if day is None else check_ins.filter(F.col("day") == F.lit(day).cast("date"))
+    return own.orderBy(F.desc("ts"), F.desc("id"))
+
+
+def oldest_first(check_ins: DataFrame, since: object = None) -> DataFrame:
+    """Check-ins, from a day on if given, the oldest first."""
+    own = check_ins if since is None else check_ins.filter(F.col("day") >= F.lit(since).cast("date"))
+    return own.orderBy("ts", "id")
+
+
+def days_in_order(daily: DataFrame, day: object = None) -> DataFrame:
+    """Daily rows in order of days; of one day at most one row, none where it is not known."""
+    return daily.orderBy("day") if day is None else daily.filter(F.col("day") == F.lit(day).cast("date")).limit(1)
+
+
+def tags_in_order(tags: DataFrame) -> DataFrame:
+    return tags.orderBy("sort_order", "name")
+
+
+def enabled_tags(tags: DataFrame) -> DataFrame:
+    return tags_in_order(tags.filter("enabled")).select("name")
+
+
+def count_tags(tags: DataFrame) -> DataFrame:
+    return tags.agg(F.count(F.lit(1)).alias("n"))
+
+
+def upsert_tags(stored: DataFrame, changes: DataFrame) -> DataFrame:
+    """Tags of ``changes``, of different names, replace those of the same name."""
+    return delete_tags(stored, changes).unionByName(changes)
+
+
+def delete_tags(stored: DataFrame, names: DataFrame) -> DataFrame:
+    return stored.join(names.select("name"), "name", "left_anti").select(*stored.columns)
+
+
+def first_of(rows: DataFrame, key: str, value: object, order: list[str]) -> DataFrame:
+    """The first row of a key, in ``order``, or none."""
+    return rows.filter(F.col(key) == F.lit(value)).orderBy(*order).limit(1)
+
+
+def charted(rows: DataFrame) -> DataFrame:
+    """Metrics that charts show: all but the derived sleep debt."""
+    return rows.filter(F.col("metric_key") != "sleep_debt_3d")
+
+
+def preferences(stored: DataFrame) -> DataFrame:
+    """Stored (key, value) preferences as one row of all settings; those not stored have their defaults."""
+    columns = [F.coalesce(F.max(F.when(F.col("key") == f.name, F.col("value"))).try_cast(_KINDS[type(f.default)]), F.lit(f.default)).alias(f.name) for f in fields(Settings)]
+    return stored.agg(*columns)
+
+
+_KINDS = {bool: "boolean", int: "int", float: "double", str: "string"}
+
+
 def add_tags(stored: DataFrame, names: DataFrame) -> DataFrame:
     """Trimmed, lower-cased, new and not empty names go last."""
     new = names.select(clean_tag(F.col("name")).alias("name")).filter("name <> ''").distinct()
