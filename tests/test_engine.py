@@ -2,6 +2,7 @@
 
 import json
 
+import pytest
 from pyspark.sql import functions as F
 
 from tideline.plans import engine
@@ -58,3 +59,26 @@ def test_streams(spark, tmp_path):
     query = daily.daily_means(stream, ["k"]).writeStream.format("memory").queryName("means").outputMode("append").option("checkpointLocation", str(tmp_path / "c2")).trigger(availableNow=True).start()
     query.awaitTermination(60)
     assert {(str(r["day"]), r["value"]) for r in spark.table("means").collect()} == {("2024-01-01", 2.0)}
+
+
+def test_own_statistic_transform_and_draws(spark):
+    import numpy as np
+
+    from tideline.operators import nulls
+    from tideline.operators.resample import gathered
+    from tideline.schema import Thresholds
+
+    r = np.random.default_rng(1)
+    t = Thresholds(null_samples=40, replicates=60, exact_null_days=10)
+    rows = spark.createDataFrame([("t", k, 0, float(r.normal()), float(r.normal()), int(k % 3 == 0)) for k in range(60)], "test_id string, n int, weekend int, x double, ry double, inside int")
+    rows = rows.selectExpr("test_id", "date_add(DATE'2024-01-01', n) AS day", "weekend", "x", "ry", "x AS rx", "inside")
+    packed = gathered(rows, ["test_id"], ["weekend", "x", "rx", "ry", "inside"])
+    first = lambda df, c: df.first()[c]
+    twice = first(nulls.rotation_null(packed, ["test_id"], t, statistic=lambda a, b: 2 * nulls.rank_correlations(a, b), transform=lambda x: x), "null_sd")
+    once = first(nulls.rotation_null(packed, ["test_id"], t, transform=lambda x: x), "null_sd")
+    assert twice == pytest.approx(2 * once)
+    assert nulls.rotation_null(packed, ["test_id"], t, draw=lambda seed, test, k: np.zeros(len(k), np.int64)).first()["null_sd"] is None  # one rotation has no spread
+    means = first(nulls.block_null(packed, ["test_id"], t, statistic=lambda v, g: v[:, :10].mean(1)), "null_sd")
+    assert 0.1 < means < 0.7
+    own = first(nulls.bootstrap_error(packed, ["test_id"], False, t, statistic=lambda a, b: (a * b).mean(1)), "se")
+    assert own is not None and own != first(nulls.bootstrap_error(packed, ["test_id"], False, t), "se")

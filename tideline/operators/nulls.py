@@ -18,6 +18,9 @@ from pyspark.sql import DataFrame
 
 from tideline.schema import THRESHOLDS, Thresholds
 
+#: Two matrices of (draw, day) to one number per draw.
+Statistic = Callable[[np.ndarray, np.ndarray], np.ndarray]
+
 
 def draws(seed: int, test: str, *indices: np.ndarray | list) -> np.ndarray:
     """The numbers below 2^32 that ``functions.stats.draw`` gives for the same parts."""
@@ -105,8 +108,19 @@ def _spread(values: np.ndarray, least: float, ddof: int) -> float | None:
     return sd if sd > 1e-12 else None
 
 
-def rotation_null(packed: DataFrame, keys: list[str], t: Thresholds = THRESHOLDS) -> DataFrame:
-    """(keys, null_sd, null_method), as ``resample.rotation_null``; tests without room for rotations have no row."""
+def rank_correlations(a: np.ndarray, b: np.ndarray) -> np.ndarray:
+    """Rank correlation of each row of ``a`` with that of ``b``, which may have one row for all."""
+    return row_correlations(average_ranks(a), average_ranks(b))
+
+
+def rotation_null(
+    packed: DataFrame, keys: list[str], t: Thresholds = THRESHOLDS, statistic: Statistic = rank_correlations, transform: Callable[[np.ndarray], np.ndarray] = _z, draw: Callable[..., np.ndarray] = draws
+) -> DataFrame:
+    """(keys, null_sd, null_method), as ``resample.rotation_null``; tests without room for rotations have no row.
+
+    ``statistic`` takes two matrices and gives a number per row, NaN for none; ``transform`` puts it on the scale of the
+    null; ``draw`` gives whole numbers below 2^32 for (seed, test, indices).
+    """
 
     def work(test: str, rows: dict[str, np.ndarray]) -> tuple:
         n = len(rows["day"])
@@ -115,10 +129,10 @@ def rotation_null(packed: DataFrame, keys: list[str], t: Thresholds = THRESHOLDS
         if room < 8:
             return None, None
         exact = n <= t.exact_null_days
-        k = np.arange(m, n - m) if exact else m + draws(t.seed, test, range(t.null_samples)) % room
+        k = np.arange(m, n - m) if exact else m + draw(t.seed, test, range(t.null_samples)) % room
         x = detrended(rows["x"][(np.arange(n)[None, :] + k[:, None]) % n], rows["day"], rows["weekend"].astype(float), t.detrend_window)
-        r = row_correlations(average_ranks(x), average_ranks(rows["ry"][None, :]))
-        return _spread(_z(r), len(k) / 2, 0 if exact else 1), "exact" if exact else "sampled"
+        r = statistic(x, rows["ry"][None, :])
+        return _spread(transform(r), len(k) / 2, 0 if exact else 1), "exact" if exact else "sampled"
 
     return _mapped(packed, keys, ["day", "weekend", "x", "ry"], [("null_sd", "double"), ("null_method", "string")], work).filter("null_method IS NOT NULL")
 
@@ -132,28 +146,35 @@ def differences(values: np.ndarray, inside: np.ndarray) -> np.ndarray:
     return np.where(usable, (total / np.maximum(k, 1) - (values.sum(1) - total) / np.maximum(n - k, 1)) / np.where(usable, sd, 1), np.nan)
 
 
-def block_null(packed: DataFrame, keys: list[str], t: Thresholds = THRESHOLDS) -> DataFrame:
-    """(keys, null_sd, null_method), as ``resample.block_null``."""
+def block_null(packed: DataFrame, keys: list[str], t: Thresholds = THRESHOLDS, statistic: Statistic = differences, draw: Callable[..., np.ndarray] = draws) -> DataFrame:
+    """(keys, null_sd, null_method), as ``resample.block_null``; ``statistic`` takes the values and the places inside."""
 
     def work(test: str, rows: dict[str, np.ndarray]) -> tuple:
         n = len(rows["day"])
         mean = max(1, min(block_size(n), max(1, n // 2)))
         d, pos = np.repeat(np.arange(t.null_samples), n), np.tile(np.arange(n), t.null_samples)
-        starts = ((pos == 0) | (draws(t.seed, test, d, pos) / 2**32 <= 1.0 / mean)).reshape(t.null_samples, n)
+        starts = ((pos == 0) | (draw(t.seed, test, d, pos) / 2**32 <= 1.0 / mean)).reshape(t.null_samples, n)
         block = np.cumsum(starts, 1)
         at = np.nonzero(starts)
         place = np.zeros((t.null_samples, n + 1), np.int64)
-        place[at[0], block[at]] = draws(t.seed, test, at[0], block[at], ["k"] * len(at[0]))
+        place[at[0], block[at]] = draw(t.seed, test, at[0], block[at], ["k"] * len(at[0]))
         keyed = np.take_along_axis(place, block, 1)
         order = np.lexsort((np.tile(np.arange(n), (t.null_samples, 1)), block, keyed), axis=1)
-        stat = differences(rows["ry"][order], np.broadcast_to(rows["inside"], order.shape))
+        stat = statistic(rows["ry"][order], np.broadcast_to(rows["inside"], order.shape))
         return _spread(stat, t.null_samples // 2, 1), "blocks"
 
     return _mapped(packed, keys, ["day", "ry", "inside"], [("null_sd", "double"), ("null_method", "string")], work)
 
 
-def bootstrap_error(packed: DataFrame, keys: list[str], grouped: bool, t: Thresholds = THRESHOLDS) -> DataFrame:
-    """(keys, se): standard error of the statistic, on its scale, over the block bootstrap; no row where half the draws have none."""
+def bootstrap_error(
+    packed: DataFrame, keys: list[str], grouped: bool, t: Thresholds = THRESHOLDS, statistic: Statistic | None = None, transform: Callable[[np.ndarray], np.ndarray] | None = None, draw: Callable[..., np.ndarray] = draws
+) -> DataFrame:
+    """(keys, se): standard error of the statistic, on its scale, over the block bootstrap; no row where half the draws have none.
+
+    By default the standardised difference of comparisons, and Fisher's z of the rank correlation of others.
+    """
+    measure = statistic or (differences if grouped else rank_correlations)
+    scale = transform or ((lambda x: x) if grouped or statistic else _z)
     first, second = ("ry", "inside") if grouped else ("rx", "ry")
 
     def work(test: str, rows: dict[str, np.ndarray]) -> tuple:
@@ -163,11 +184,10 @@ def bootstrap_error(packed: DataFrame, keys: list[str], grouped: bool, t: Thresh
         size = block_size(n)
         count = -(-n // size)
         rep, b = np.repeat(np.arange(t.replicates), count), np.tile(np.arange(count), t.replicates)
-        starts = (draws(t.seed, test, rep, b) % (n - size + 1)).reshape(t.replicates, count)
+        starts = (draw(t.seed, test, rep, b) % (n - size + 1)).reshape(t.replicates, count)
         i = np.arange(n)
         place = starts[:, i // size] + i % size
-        a, c = rows[first][place], rows[second][place]
-        stat = differences(a, c) if grouped else _z(row_correlations(average_ranks(a), average_ranks(c)))
+        stat = scale(measure(rows[first][place], rows[second][place]))
         return (_spread(stat, t.replicates // 2, 1),)
 
     return _mapped(packed, keys, ["day", first, second], [("se", "double")], work).filter("se IS NOT NULL")
