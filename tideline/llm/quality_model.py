@@ -220,13 +220,13 @@ def keep_documents(docs: DataFrame, labels: DataFrame, threshold: float = 0.5) -
     """The documents that the network takes for good text, with all their columns."""
     model = train(docs, labels)
 
-    @F.pandas_udf("double")
-    def probability(texts):  # type: ignore[no-untyped-def]
-        import pandas as pd
-
-        own = Network.from_bytes(model)
-        values = texts.tolist()
-        return pd.Series([0.5] * len(values) if own is None else own.score(values), dtype="float64")
+    @F.arrow_udf("double")
+    def probability(texts: pa.Array) -> pa.Array:
+        own, out = Network.from_bytes(model), []
+        for at in range(0, len(texts), 1000):  # few texts at a time become Python objects
+            part = texts.slice(at, 1000).to_pylist()
+            out += [0.5] * len(part) if own is None else own.score(part)
+        return pa.array(out, pa.float64())
 
     packed = docs.select(F.struct("*").alias("__row"), F.col("text").alias("__text"))
     return packed.filter(probability("__text") >= threshold).select("__row.*")
