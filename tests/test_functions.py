@@ -4,12 +4,13 @@ import datetime
 import math
 import random
 
+import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
 from tideline.functions import dates, stats, text
 from tideline.operators import association, multiplicity, resample, windows
-from tideline.operators.residuals import adjusted
+from tideline.operators.residuals import adjusted, residuals_of_many
 from tideline.sources import store
 
 
@@ -47,6 +48,31 @@ def test_adjusting_removes_a_confounder(spark):
     assert abs(association.spearman(df, ["k"]).first()["effect"]) < 0.2
 
 
+def test_residuals_of_many_equal_least_squares(spark):
+    r = random.Random(4)
+    rows = [("wide", i, *(r.gauss(0, 1) for _ in range(3)), 1000.0 + i, r.gauss(5, 2)) for i in range(40)]
+    rows += [("flat", i, r.gauss(0, 1), 7.0, r.gauss(0, 1), float(i), r.gauss(0, 1)) for i in range(9)]  # one covariate without variance
+    rows += [("tied", i, float(i), 2.0 * i + 1, r.gauss(0, 1), r.gauss(0, 1), r.gauss(0, 1)) for i in range(9)]  # two that determine each other
+    rows += [("few", i, *(r.gauss(0, 1) for _ in range(4)), r.gauss(0, 1)) for i in range(5)]  # as many rows as coefficients
+    rows += [("one", 0, 1.0, 2.0, 3.0, 4.0, 5.0)]
+    holes = [("wide", 100, None, 1.0, 1.0, 1.0, 9.0), ("wide", 101, 1.0, 1.0, 1.0, 1.0, None)]
+    df = spark.createDataFrame(rows + holes, "k string, i int, a double, b double, c double, d double, y double")
+    out = residuals_of_many(df, "y", ["a", "b", "c", "d"], ["k"], "res")
+    assert out.columns == [*df.columns, "res"]
+    got = {(x["k"], x["i"]): x["res"] for x in out.collect()}
+    assert got.pop(("wide", 100)) is None
+    assert got.pop(("wide", 101)) is None
+    for key in ("wide", "flat", "tied", "few", "one"):
+        part = [x for x in rows if x[0] == key]
+        y = np.array([x[6] for x in part])
+        design = np.column_stack([np.ones(len(part)), np.array([x[2:6] for x in part])])
+        expected = y - design @ np.linalg.lstsq(design, y, rcond=None)[0] if key in ("wide", "flat") else y
+        assert [got[key, x[1]] for x in part] == pytest.approx(expected.tolist(), abs=1e-9)
+    exchanges = residuals_of_many(df, "y", ["a", "b", "c", "d"], ["k"], "res")._jdf.queryExecution().executedPlan().toString().count("Exchange ")
+    assert exchanges == 1  # before it runs, the plan is printed once: every step shares one shuffle
+    assert residuals_of_many(df.limit(0), "y", ["a"], ["k"], "res").count() == 0
+
+
 @pytest.mark.parametrize(("t", "p"), [(1.697, 0.05), (2.042, 0.025), (2.750, 0.005), (3.646, 0.0005), (0.0, 0.5)])
 def test_t_table(spark, t, p):
     assert one(spark, stats.t_survival(F.lit(t))) == pytest.approx(p, rel=0.01)

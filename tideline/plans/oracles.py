@@ -108,6 +108,25 @@ def adjust(src: str, out: str, keys: str, y: str, res: str, weekend: bool = True
 {out} AS (SELECT * EXCLUDE ({drop}), round({value}, 9) AS {res} FROM {out}_d)"""
 
 
+def adjust_many(src: str, out: str, keys: str, y: str, covariates: list[str], res: str) -> str:
+    """CTEs that add the residuals ``res`` of ``y`` on any covariates to ``src``, none of them null."""
+    w = f"WINDOW w AS (PARTITION BY {keys})"
+    centred = ", ".join(f"{c} - avg({c}) OVER w AS r_{c}" for c in [y, *covariates])
+    varies = ", ".join(f"coalesce(stddev_samp({c}) OVER w, 0) > 1e-12 AS v_{c}" for c in covariates)
+    parts = [f"{out}_0 AS (SELECT *, count(*) OVER w AS nn, {centred}, {varies} FROM {src} {w})"]
+    usable = "nn > 1 + " + " + ".join(f"CAST(v_{c} AS INTEGER)" for c in covariates)
+    for k, c in enumerate(covariates):
+        fits = f"v_{c} AND p_{c} >= 1e-10"
+        rest = [y, *covariates[k + 1 :]]
+        sums = ", ".join(f"sum(r_{c} * r_{b}) OVER w AS s_{b}" for b in rest)
+        less = ", ".join(f"CASE WHEN {fits} THEN r_{b} - s_{b} / p_{c} * r_{c} ELSE r_{b} END AS r_{b}" for b in rest)
+        parts.append(f"{out}_{k}s AS (SELECT *, sum(r_{c} * r_{c}) OVER w AS p_{c}, {sums} FROM {out}_{k} {w})")
+        parts.append(f"{out}_{k + 1} AS (SELECT * EXCLUDE ({', '.join(f's_{b}, r_{b}' for b in rest)}), {less} FROM {out}_{k}s)")
+        usable += f" AND (NOT v_{c} OR p_{c} >= 1e-10)"
+    parts.append(f"{out} AS (SELECT *, CASE WHEN {usable} THEN r_{y} ELSE {y} END AS {res} FROM {out}_{len(covariates)})")
+    return ",\n".join(parts)
+
+
 def rank(v: str, keys: str) -> str:
     part = f"PARTITION BY {keys}, " if keys else "PARTITION BY "
     return f"(rank() OVER ({'PARTITION BY ' + keys if keys else ''} ORDER BY {v}) + (count(*) OVER ({part}{v}) - 1) / 2.0)"
@@ -313,6 +332,8 @@ def oracle_sql() -> dict[str, str]:
         "chart_coordinates": f"WITH {ORDERS}, r AS (SELECT *, min(value) OVER w AS lo, max(value) OVER w AS hi FROM orders_daily WINDOW w AS (PARTITION BY metric_key)) SELECT metric_key, day, round((day - DATE '1998-10-03') / 89.0, 6) AS cx, "
         "round((value - lo) / CASE WHEN hi > lo THEN hi - lo ELSE 1 END, 6) AS cy FROM r WHERE day BETWEEN DATE '1998-10-03' AND DATE '1998-12-31'",
         "residuals": f"WITH {EVENTS_INPUT}, {aligned()}, {correlations(null=False)} SELECT outcome, predictor, lag, day, round(rx, 6) AS rx, round(ry, 6) AS ry FROM c_rows",
+        "residuals_of_many": f"WITH {EVENTS_INPUT}, {aligned()}, aged AS (SELECT *, day - DATE '2020-01-01' AS age FROM pairs), {adjust_many('aged', 'fitted', 'subject_id, outcome, predictor, lag', 'y', ['weekend', 'x', 'age'], 'res')} "
+        "SELECT outcome, predictor, lag, day, round(res, 6) AS res FROM fitted",
         "circular_shift": f"WITH {demo(3)} SELECT subject_id, (i + 3) % 121 AS pos, mood FROM demo",
         "block_permute": f"WITH {demo(2)}, r AS (SELECT subject_id, 't:' || subject_id AS test_id, i AS pos, CAST(energy AS DOUBLE) AS ry, CAST(draw AS INTEGER) AS draw FROM demo, range({THRESHOLDS.null_samples}) AS d(draw)), "
         f"a AS (SELECT *, CASE WHEN pos = 0 OR {u('test_id', 'draw', 'pos')} <= 1.0 / {BLOCK.format('121')} THEN 1 ELSE 0 END AS st FROM r), b AS (SELECT *, CAST(sum(st) OVER (PARTITION BY test_id, draw ORDER BY pos) AS BIGINT) AS block FROM a) "

@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 from tideline.functions import dates, stats, text
 from tideline.operators import association, multiplicity, resample, series, windows
+from tideline.operators import residuals as least_squares
 from tideline.operators.residuals import adjusted
 from tideline.plans import engine
 from tideline.schema import THRESHOLDS
@@ -136,6 +137,12 @@ def residuals(s, d):
     return rows.select("outcome", "predictor", "lag", "day", _r("rx"), _r("ry"))
 
 
+def residuals_of_many(s, d):
+    rows = series.lag_align(*_split(_events(s, d)), THRESHOLDS.max_lag).withColumn("age", F.datediff("day", F.lit("2020-01-01")))
+    rows = least_squares.residuals_of_many(rows, "y", ["weekend", "x", "age"], association.PAIR, "res")
+    return rows.select("outcome", "predictor", "lag", "day", _r("res"))
+
+
 def circular_shift(s, d):
     packed = resample.gathered(tables.demo(s, 3), ["subject_id"], ["mood"])
     values = F.transform("rows", lambda r: r["mood"])
@@ -335,7 +342,7 @@ def last_value(s, d):
 
 NAMES = (
     daily_mean, tag_days, day_boundary, unpivot_metrics, demo_seed, lag_align, weekend_flag, avg_rank, pearson, spearman, group_stats, centred_mean, trailing_mean, sleep_baseline, sleep_debt, line_segments,
-    chart_coordinates, residuals, circular_shift, block_permute, block_bootstrap, quantile_ci, se_interval, rotation_null, rotation_null_by_user, block_null, normal_curve, student_t, corr_tests, bh_threshold, tag_tests,
+    chart_coordinates, residuals, residuals_of_many, circular_shift, block_permute, block_bootstrap, quantile_ci, se_interval, rotation_null, rotation_null_by_user, block_null, normal_curve, student_t, corr_tests, bh_threshold, tag_tests,
     dow_tests, reverse_check, strength_bands, dedupe_rank, pending, report, report_tests, csv_export, json_export, upsert_latest, save_check_ins, cascade_delete, replace_tags, add_tags, day_count, scale_labels,
     format_minutes, scan_since, last_value,
 )
