@@ -19,6 +19,9 @@ def test_planted_effects_are_found(spark):
     assert lagged["headline"] == "Sleep 2 days earlier tracks higher energy" and "not evidence of cause" in lagged["detail"]
     assert report.tests.count() == 86 and report.pending.count() == 0
     assert [r["place"] for r in report.insights.orderBy("place").collect()] == list(range(1, len(found) + 1))
+    assert all(df.storageLevel.useMemory for df in report.persisted) and len(report.persisted) == 4
+    report.release()
+    assert not any(df.storageLevel.useMemory or df.storageLevel.useDisk for df in report.persisted)
 
 
 def test_short_history_is_pending(spark):

@@ -30,11 +30,19 @@ COMMON = ["subject_id", "test_id", "kind", "outcome", "predictor", "lag", "grp",
 
 @dataclass
 class Report:
-    """``tests``: every candidate with p and tier; ``insights``: ranked findings; ``pending``: gates not reached yet."""
+    """``tests``: every candidate with p and tier; ``insights``: ranked findings; ``pending``: gates not reached yet.
+
+    The first two read persisted tables; ``release`` frees them, after which both are computed anew where read again.
+    """
 
     tests: DataFrame
     insights: DataFrame
     pending: DataFrame
+    persisted: tuple[DataFrame, ...] = ()
+
+    def release(self) -> None:
+        for df in self.persisted:
+            df.unpersist()
 
 
 def correlation_tests(outcomes: DataFrame, predictors: DataFrame, t: Thresholds = THRESHOLDS) -> tuple[DataFrame, DataFrame]:
@@ -120,24 +128,24 @@ def ordinal(metrics: Column) -> Column:
     return F.struct(F.col("outcome"), kind, F.coalesce("predictor", F.lit("")), F.coalesce("lag", F.lit(0)), F.when(F.col("kind") == "DAY_OF_WEEK", day).otherwise(0), F.coalesce("grp", F.lit("")))
 
 
-def candidates(outcomes: DataFrame, predictors: DataFrame, tags: DataFrame, t: Thresholds = THRESHOLDS) -> tuple[DataFrame, DataFrame, DataFrame]:
-    """(candidates, gathered days of correlations, gathered days of comparisons)."""
+def candidates(outcomes: DataFrame, predictors: DataFrame, tags: DataFrame, t: Thresholds = THRESHOLDS) -> tuple[DataFrame, DataFrame, DataFrame, DataFrame]:
+    """(candidates, gathered days of correlations, of tag comparisons, of weekday comparisons)."""
     corr, corr_rows = correlation_tests(outcomes, predictors, t)
     tag, tag_packed = group_tests(tag_rows(outcomes, tags, t), "TAG", t)
     dow, dow_packed = group_tests(weekday_rows(outcomes, t), "DAY_OF_WEEK", t)
-    return corr.unionByName(tag).unionByName(dow), corr_rows, tag_packed.unionByName(dow_packed)
+    return corr.unionByName(tag).unionByName(dow), corr_rows, tag_packed, dow_packed
 
 
 def analyse(outcomes: DataFrame, predictors: DataFrame, tags: DataFrame, labels: DataFrame, t: Thresholds = THRESHOLDS) -> Report:
     """The whole analysis of every subject."""
-    found, corr_rows, group_rows = candidates(outcomes, predictors, tags, t)
+    found, corr_rows, tag_packed, dow_packed = candidates(outcomes, predictors, tags, t)
     tests = scored(found, t).persist(StorageLevel.MEMORY_AND_DISK)
     kept = tests.filter("confidence IS NOT NULL AND strength IS NOT NULL")
-    kept = kept.join(intervals(kept, corr_rows, group_rows, t), ["subject_id", "test_id"])
+    kept = kept.join(intervals(kept, corr_rows, tag_packed.unionByName(dow_packed), t), ["subject_id", "test_id"])
     kept = kept.join(reverse_checks(outcomes, predictors, t), ["subject_id", "outcome", "predictor", "lag"], "left")
     kept = kept.withColumns({"rank_score": rank_score(F.col("effect"), F.col("confidence")), "pair": pair_of(F.col("test_id")), "ordinal": ordinal(F.lit(None))})
     kept = strongest(kept, ["subject_id"], "pair", "rank_score", "ordinal")
     place = F.row_number().over(Window.partitionBy("subject_id").orderBy(F.desc("rank_score"), "ordinal"))
     insights = worded(kept.withColumn("place", place), labels)
     insights = insights.select("subject_id", "place", "test_id", "kind", "headline", "detail", "effect", "ci_low", "ci_high", "n", "confidence", "strength", "caveats", "rank_score")
-    return Report(tests, insights, pending(outcomes, predictors, t))
+    return Report(tests, insights, pending(outcomes, predictors, t), (tests, corr_rows, tag_packed, dow_packed))
