@@ -10,6 +10,7 @@ from collections.abc import Callable, Iterator
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.types import StructType
 
 #: White space between words: space and the ASCII controls 9 to 13.
 SPACES = " \t\n\x0b\x0c\r"
@@ -104,11 +105,10 @@ def map_rows(df: DataFrame, schema: str, work: Callable[[Iterator[dict[str, list
     return df.mapInArrow(run, schema)
 
 
-def spark_arrow(spark: SparkSession, schema: str) -> pa.Schema:
+def spark_arrow(spark: SparkSession, schema: str | StructType) -> pa.Schema:
     from pyspark.sql.pandas.types import to_arrow_schema
-    from pyspark.sql.types import StructType
 
-    return to_arrow_schema(StructType.fromDDL(schema))
+    return to_arrow_schema(StructType.fromDDL(schema) if isinstance(schema, str) else schema)
 
 
 def sampled(docs: DataFrame, labels: DataFrame, label: str, sample: int, modulus: int, left_out: int) -> DataFrame:
