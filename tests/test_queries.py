@@ -6,12 +6,16 @@ import duckdb
 import pytest
 
 import __spark_entry__ as entry_points
-from tideline.plans.oracles import oracle_sql
+from tideline.plans import diary, oracles
 from tideline.plans.queries import queries
 
 DIR = "/root/testdata/sf0.001"
 
 
+def oracle_sql():
+    return oracles.oracle_sql() | diary.oracle_sql()
+
+
 def cells(rows):
     out = [tuple(None if v is None or isinstance(v, float) and math.isnan(v) else round(v, 5) + 0.0 if isinstance(v, float) else v for v in r) for r in rows]
     return sorted(out, key=lambda r: tuple((v is None, str(v)) for v in r))

@@ -18,6 +18,16 @@ def sleep_day(end: Column, zone: Column) -> Column:
     return F.from_utc_timestamp(end, zone).cast("date")
 
 
+def wall_clock(day: Column, hour: int, zone: Column) -> Column:
+    """The instant at which the zone's clocks show ``hour`` on a day."""
+    return F.to_utc_timestamp(day.cast("timestamp") + F.make_dt_interval(hours=F.lit(hour)), zone)
+
+
+def day_start(day: Column, zone: Column) -> Column:
+    """The first instant whose ``local_day`` is ``day``."""
+    return wall_clock(day, 0, zone) + F.make_dt_interval(hours=F.lit(BOUNDARY_HOURS))
+
+
 def is_weekend(day: Column) -> Column:
     return F.weekday(day) >= 5
 
