@@ -117,6 +117,27 @@ def test_sleep_is_the_longest_silence(spark):
     assert night(spark, []) == {}
 
 
+def test_sources_of_sleep(spark):
+    t = lambda h, m=0, d=2: dt.datetime(2024, 5, d, h, m, tzinfo=UTC)
+    day = dt.date(2024, 5, 2)
+
+    def run(*rows):
+        schema = "subject_id string, zone_id string, start timestamp, end timestamp, source string, asleep boolean"
+        found = usage.sleep_by_source(spark.createDataFrame([("s", "UTC", *r) for r in rows], schema))
+        return {r["day"]: (r["sleep_start"], r["sleep_end"], r["sleep_minutes"], r["sleep_source"]) for r in instants(found, "day", "sleep_start", "sleep_end", "sleep_minutes", "sleep_source")}
+
+    proxy, worn = (t(22, d=1), t(8), "proxy", True), (t(23, d=1), t(7), "wearable", True)
+    assert run(proxy) == {day: (micros(t(22, d=1)), micros(t(8)), 600.0, "proxy")}
+    assert run(proxy, worn, worn, (t(23, 30, 1), t(6), "wearable", True)) == {day: (micros(t(23, d=1)), micros(t(7)), 480.0, "wearable")}
+    manual = (t(1), t(5), "manual", True)
+    assert run(proxy, worn, manual)[day] == (micros(t(1)), micros(t(5)), 240.0, "manual")
+    # Waking: of a more trusted source it cuts, from over the day's edge too; of a less trusted one it does not.
+    assert run(worn, (t(22, d=1), t(1), "manual", False), (t(2), t(2, 30), "wearable", False), (t(3), t(4), "proxy", False))[day] == (micros(t(1)), micros(t(7)), 330.0, "wearable")
+    assert run(worn, (t(6), t(9), "manual", False), (t(6, 30), t(10), "manual", False))[day][1:3] == (micros(t(6)), 420.0)
+    assert run(worn, (t(20, d=1), t(9), "manual", False)) == {day: (None, None, 0.0, "wearable")}
+    assert run((t(1), t(1), "manual", True), (t(5), t(1), "manual", True), (t(1), t(2), "guess", True), (t(1), t(2), "manual", None), (None, t(2), "manual", True), (t(1), t(3), "manual", False)) == {}
+
+
 def test_asof_join(spark):
     left = spark.createDataFrame([("a", 5, "l1"), ("a", 10, "l2"), ("a", 10, "l2"), ("a", 1, "l3"), ("b", 9, "l4"), (None, 9, "l5"), ("a", None, "l6"), ("a", 30, "l7")], "k string, t int, v string")
     right = spark.createDataFrame([("a", 4, "x", 1), ("a", 10, "y", 1), ("a", 10, "z", 0), ("a", 6, None, None), (None, 1, "n", 1), ("a", None, "m", 1)], "k string, u int, v2 string, w int")

@@ -113,3 +113,37 @@ def sleep_proxy(used: DataFrame, evening: int = 21, morning: int = 10) -> DataFr
     start = -F.col("best.first")
     out = found.select("subject_id", "day", F.timestamp_micros(start).alias("sleep_start"), F.timestamp_micros(start + F.col("best.length")).alias("sleep_end"), (F.col("best.length") / MINUTE).alias("sleep_minutes"))
     return out.withColumn("sleep_source", F.lit("proxy"))
+
+
+#: Sources of sleep, the most trusted first.
+SOURCES = ("manual", "wearable", "proxy")
+
+
+def sleep_by_source(claims: DataFrame, sources: tuple[str, ...] = SOURCES) -> DataFrame:
+    """(subject_id, day, sleep_start, sleep_end, sleep_minutes, sleep_source) of the claims of several sources.
+
+    ``claims``: (subject_id, zone_id, start, end, source, asleep). A night is named by the local day on which an asleep
+    claim ends, and only the most trusted source with one decides on it. Awake claims, of that source or of a more
+    trusted one, then cut their own spans out of it, over the edges of days and clock changes. Claims of one source may
+    overlap and repeat: they count as their union. A night of which nothing remains has a row with zero minutes and no
+    times. Claims without length, of other sources or with nulls are ignored.
+    """
+    order = F.array_position(F.array(*map(F.lit, sources)), F.col("source"))
+    good = claims.filter("subject_id IS NOT NULL AND start < end AND asleep IS NOT NULL").withColumn("rank", order).filter("rank > 0")
+    zone = F.col("zone_id")
+    ends = F.from_utc_timestamp(F.col("end"), zone).cast("date")
+    night = Window.partitionBy("subject_id", "day")
+    asleep = good.filter("asleep").withColumn("day", ends).withColumn("best", F.min("rank").over(night)).filter("rank = best")
+    # An awake claim can cut into the nights of its own days and of the next.
+    awake = good.filter("NOT asleep").withColumn("day", F.explode(F.sequence(F.from_utc_timestamp("start", zone).cast("date"), F.date_add(ends, 1))))
+    both = asleep.select("subject_id", "day", "rank", "start", "end", F.lit(1).alias("sleep")).unionByName(awake.select("subject_id", "day", "rank", "start", "end", F.lit(0).alias("sleep")))
+    both = both.withColumn("best", F.min(F.when(F.col("sleep") == 1, F.col("rank"))).over(night)).filter("best IS NOT NULL AND rank <= best")
+    edge = lambda at, by: F.struct(_micros(at).alias("at"), (F.col("sleep") * by).alias("sleep"), ((1 - F.col("sleep")) * by).alias("awake"))
+    edges = both.select("subject_id", "day", "best", F.inline(F.array(edge("start", 1), edge("end", -1))))
+    edges = edges.groupBy("subject_id", "day", "best", "at").agg(F.sum("sleep").alias("sleep"), F.sum("awake").alias("awake"))
+    running = night.orderBy("at")
+    parts = edges.withColumns({"sleep": F.sum("sleep").over(running), "awake": F.sum("awake").over(running), "next": F.lead("at").over(running)})
+    kept = (F.col("sleep") > 0) & (F.col("awake") == 0) & F.col("next").isNotNull()
+    out = parts.groupBy("subject_id", "day", "best").agg(F.min(F.when(kept, F.col("at"))).alias("s"), F.max(F.when(kept, F.col("next"))).alias("e"), F.coalesce(F.sum(F.when(kept, F.col("next") - F.col("at"))), F.lit(0)).alias("n"))
+    source = F.get(F.array(*map(F.lit, sources)), (F.col("best") - 1).cast("int"))
+    return out.select("subject_id", "day", F.timestamp_micros("s").alias("sleep_start"), F.timestamp_micros("e").alias("sleep_end"), (F.col("n") / MINUTE).alias("sleep_minutes"), source.alias("sleep_source"))

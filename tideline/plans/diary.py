@@ -6,13 +6,21 @@ unlocks. They are moved by 70 days into a month in which clocks change, forward
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from tideline.operators import asof, periodicity, series, usage
+from tideline.operators import asof, periodicity, usage
 from tideline.plans import oracles
 from tideline.schema import THRESHOLDS
+from tideline.sources import export, store, tables
+from tideline.sources.cache import ResultCache
+from tideline.sources.diary_store import DiaryStore
+from tideline.sources.imports import TABLES, DiaryExport
+from tideline.sources.scratch import shared_dir
 from tideline.sources.tables import read
+from tideline.sources.usage_store import UsageStore
 
 ZONES, MOVED = ("UTC", "Europe/Berlin", "Australia/Sydney"), 70
 
@@ -50,6 +58,22 @@ def sleep_proxy(s, d):
     return found.select("subject_id", "day", F.unix_micros("sleep_start").alias("sleep_start"), F.unix_micros("sleep_end").alias("sleep_end"), _r("sleep_minutes", "sleep_minutes"))
 
 
+def sleep_by_source(s, d):
+    """The proxy's nights, sign-ups as wearable sessions, some purchases as manual nights, errors as manual waking."""
+    e = read(s, d, "events")
+    own = usage_events(e).join(e.select("event_id", "value", "event_type"), "event_id")
+    length = lambda c: F.make_dt_interval(secs=F.floor("value") * c)
+    claim = lambda rows, start, end, source, asleep: rows.select("subject_id", "zone_id", start.alias("start"), end.alias("end"), F.lit(source).alias("source"), F.lit(asleep).alias("asleep"))
+    ts = F.col("ts")
+    claims = claim(own.filter("event_type = 'signup'"), ts - length(360), ts, "wearable", True)
+    claims = claims.unionByName(claim(own.filter("event_type = 'purchase' AND event_id % 5 = 0"), ts - length(300), ts, "manual", True))
+    claims = claims.unionByName(claim(own.filter("event_type = 'error'"), ts, ts + length(120), "manual", False))
+    zones = own.groupBy("subject_id").agg(F.max("zone_id").alias("zone_id"))
+    proxy = usage.sleep_proxy(usage.touches(usage_events(e))).join(zones, "subject_id")
+    found = usage.sleep_by_source(claims.unionByName(claim(proxy, F.col("sleep_start"), F.col("sleep_end"), "proxy", True)))
+    return found.select("subject_id", "day", F.unix_micros("sleep_start").alias("sleep_start"), F.unix_micros("sleep_end").alias("sleep_end"), _r("sleep_minutes", "sleep_minutes"), "sleep_source")
+
+
 def asof_view(s, d):
     """Each purchase with the last view of its user before it; events of a month are sorted by themselves."""
     e = read(s, d, "events")
@@ -67,15 +91,65 @@ def cycle_phase(s, d):
     return asof.cycle_phase(orders.select("subject_id", "day").distinct(), starts).select("subject_id", "day", "cycle_day", "usual", "phase")
 
 
-def weekly_periodicity(s, d):
+def _user_days(events: DataFrame) -> DataFrame:
     """The daily mean and count of each user's events."""
-    e = read(s, d, "events").groupBy(F.col("user_id").cast("string").alias("subject_id"), F.col("ts").cast("date").alias("day")).agg(F.avg("value").alias("mean"), F.count(F.lit(1)).cast("double").alias("count"))
-    both = e.select("subject_id", "day", F.inline(F.array(*[F.struct(F.lit(k).alias("metric_key"), F.col(k).alias("value")) for k in ("mean", "count")])))
-    found = periodicity.weekly(both)
+    e = events.groupBy(F.col("user_id").cast("string").alias("subject_id"), F.col("ts").cast("date").alias("day")).agg(F.avg("value").alias("mean"), F.count(F.lit(1)).cast("double").alias("count"))
+    return e.select("subject_id", "day", F.inline(F.array(*[F.struct(F.lit(k).alias("metric_key"), F.col(k).alias("value")) for k in ("mean", "count")])))
+
+
+def weekly_periodicity(s, d):
+    found = periodicity.weekly(_user_days(read(s, d, "events")))
     return found.select("subject_id", "metric_key", "days", "pairs", *[_r(c, c) for c in ("effect", "null_sd", "p")])
 
 
-NAMES = (usage_intervals, usage_minutes, sleep_proxy, asof_view, cycle_phase, weekly_periodicity)
+def _folder(spark) -> str:  # type: ignore[no-untyped-def]
+    return f"{shared_dir(spark)}/tideline-store-{uuid.uuid4().hex}"
+
+
+def usage_refresh(s, d):
+    """The daily table after two batches, the second out of order with the first."""
+    e = read(s, d, "events")
+    rows = usage_events(e)
+    kept = UsageStore(s, _folder(s), _social(e))
+    for k in (0, 1):
+        kept.ingest(rows.filter(F.col("event_id") % 2 == k), k)
+    return kept.daily().select("subject_id", "day", *[_r(c, c) for c in ("screen_minutes", "social_media_minutes", "late_night_screen_minutes")], "unlock_count")
+
+
+def result_cache(s, d):
+    """Weekly rhythm from a cache that first knew a third of the users until 20 January only."""
+    schema = "subject_id STRING, metric_key STRING, days INT, pairs INT, effect DOUBLE, null_sd DOUBLE, p DOUBLE"
+    series_ = _user_days(read(s, d, "events"))
+    cache = ResultCache(s, _folder(s), schema, lambda inputs: periodicity.weekly(inputs["series"]), str(THRESHOLDS))
+    cache.refresh({"series": series_.filter((F.col("subject_id").cast("long") % 3 > 0) | (F.col("day") <= F.lit("2024-01-20").cast("date")))})
+    cache.refresh({"series": series_})
+    return cache.results().select("subject_id", "metric_key", "days", "pairs", *[_r(c, c) for c in ("effect", "null_sd", "p")])
+
+
+def diary_save(s, d):
+    """Check-ins with tags after two saves of both tables."""
+    c = tables.check_ins(read(s, d, "events"))
+    kept = DiaryStore(s, _folder(s), 16)
+    first, second = c.filter("id % 2 = 0"), c.filter("id % 3 = 0").withColumns({"mood": F.lit(3), "note": F.lit("  "), "tag": F.lit("new")})
+    for changes in (first, second):
+        kept.save(changes.drop("tag"), changes.select(F.col("id").alias("check_in_id"), "tag"))
+    now = kept.versions.current()
+    return store.with_tags(kept.check_ins(now), kept.tags(now)).select("id", "day", "mood", "energy", "note", F.concat_ws(";", "tags").alias("tags"))
+
+
+def export_read_back(s, d):
+    """Each user's export, written and read again through the data source."""
+    c = store.stamped(tables.check_ins(read(s, d, "events"))).withColumn("subject_id", F.col("user_id").cast("string"))
+    own = c.withColumn("tags", F.array("tag"))
+    empty = s.createDataFrame([], TABLES["daily_metric"].replace("document STRING, position INT", "subject_id STRING"))
+    folder = _folder(s)
+    export.write_documents(own, empty, 0, folder)
+    s.dataSource.register(DiaryExport)
+    found = s.read.format("diary_export").option("table", "check_in").load(folder)
+    return found.select(F.unix_millis("ts").alias("ts"), "zone_id", "day", "mood", "energy", "note", F.concat_ws(";", "tags").alias("tags"))
+
+
+NAMES = (usage_intervals, usage_minutes, sleep_proxy, sleep_by_source, asof_view, cycle_phase, weekly_periodicity, usage_refresh, result_cache, diary_save, export_read_back)
 
 
 def local(t: str) -> str:
@@ -112,6 +186,15 @@ iv AS (SELECT subject_id, z, user_id, app, ts AS s, coalesce({_END} IS NULL OR {
 _US = "(epoch_us({1}) - epoch_us({0}))"
 
 
+_SILENCE = f"""t AS (SELECT subject_id, z, s, e FROM iv UNION ALL SELECT subject_id, z, ts, ts FROM u0),
+n0 AS (SELECT *, CAST(unnest(generate_series(CAST(CAST({local("s")} AS DATE) AS TIMESTAMP), CAST(CAST({local("e")} AS DATE) + 1 AS TIMESTAMP), INTERVAL 1 DAY)) AS DATE) AS day FROM t),
+n1 AS (SELECT *, {instant("(CAST(day AS TIMESTAMP) - INTERVAL 3 HOUR)")} AS dusk, {instant("(CAST(day AS TIMESTAMP) + INTERVAL 10 HOUR)")} AS dawn FROM n0),
+n2 AS (SELECT subject_id, day, dusk, dawn, greatest(s, dusk) AS s, least(e, dawn) AS e FROM n1 WHERE s < dawn AND (e > dusk OR (s = e AND s >= dusk))),
+n3 AS (SELECT subject_id, day, s AS until, coalesce(max(e) OVER (PARTITION BY subject_id, day ORDER BY s, e ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), dusk) AS since FROM n2
+  UNION ALL SELECT subject_id, day, max(dawn), max(e) FROM n2 GROUP BY subject_id, day),
+n4 AS (SELECT *, row_number() OVER (PARTITION BY subject_id, day ORDER BY epoch_us(until) - epoch_us(since) DESC, since) AS k FROM n3)"""
+
+
 def mix(x: str, name: str) -> str:
     """Columns that end in ``name``, the mix of ``x``."""
     shift = lambda v: f"(xor({v}, {v} >> 16) * {periodicity.FACTOR}) & {periodicity.MASK}"
@@ -123,7 +206,7 @@ def seed_of(test: str) -> str:
 
 
 def oracle_sql() -> dict[str, str]:
-    return {
+    found = {
         "usage_intervals": f"WITH {_EVENTS} SELECT subject_id, app, epoch_us(s) AS start, epoch_us(e) AS \"end\", lost FROM iv",
         "usage_minutes": f"""WITH {_EVENTS},
 d0 AS (SELECT *, CAST(unnest(generate_series(CAST({_day("s")} AS TIMESTAMP), CAST({_day("(e - INTERVAL 1 MICROSECOND)")} AS TIMESTAMP), INTERVAL 1 DAY)) AS DATE) AS day FROM iv WHERE s < e),
@@ -131,15 +214,23 @@ d1 AS (SELECT *, greatest(s, {_start("day")}) AS a, least(e, {_start("(day + 1)"
 d2 AS (SELECT subject_id, day, {_US.format("a", "b")} AS m, CASE WHEN app = 'app0' OR (app = 'app1' AND user_id % 2 = 1) THEN {_US.format("a", "b")} ELSE 0 END AS social, greatest(0, {_US.format("greatest(a, late)", "b")}) AS late, NULL AS unlocked FROM d1
   UNION ALL SELECT subject_id, {_day("ts")}, 0, 0, 0, CASE WHEN kind = 'unlock' THEN ts END FROM u0)
 SELECT subject_id, day, round(CAST(sum(m) AS DOUBLE) / 60000000, 6) AS screen_minutes, round(CAST(sum(social) AS DOUBLE) / 60000000, 6) AS social_media_minutes, round(CAST(sum(late) AS DOUBLE) / 60000000, 6) AS late_night_screen_minutes, CAST(count(DISTINCT unlocked) AS INTEGER) AS unlock_count FROM d2 GROUP BY ALL""",
-        "sleep_proxy": f"""WITH {_EVENTS},
-t AS (SELECT subject_id, z, s, e FROM iv UNION ALL SELECT subject_id, z, ts, ts FROM u0),
-n0 AS (SELECT *, CAST(unnest(generate_series(CAST(CAST({local("s")} AS DATE) AS TIMESTAMP), CAST(CAST({local("e")} AS DATE) + 1 AS TIMESTAMP), INTERVAL 1 DAY)) AS DATE) AS day FROM t),
-n1 AS (SELECT *, {instant("(CAST(day AS TIMESTAMP) - INTERVAL 3 HOUR)")} AS dusk, {instant("(CAST(day AS TIMESTAMP) + INTERVAL 10 HOUR)")} AS dawn FROM n0),
-n2 AS (SELECT subject_id, day, dusk, dawn, greatest(s, dusk) AS s, least(e, dawn) AS e FROM n1 WHERE s < dawn AND (e > dusk OR (s = e AND s >= dusk))),
-n3 AS (SELECT subject_id, day, s AS until, coalesce(max(e) OVER (PARTITION BY subject_id, day ORDER BY s, e ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), dusk) AS since FROM n2
-  UNION ALL SELECT subject_id, day, max(dawn), max(e) FROM n2 GROUP BY subject_id, day),
-n4 AS (SELECT *, row_number() OVER (PARTITION BY subject_id, day ORDER BY epoch_us(until) - epoch_us(since) DESC, since) AS k FROM n3)
-SELECT subject_id, day, epoch_us(since) AS sleep_start, epoch_us(until) AS sleep_end, round({_US.format("since", "until")} / 60000000.0::DOUBLE, 6) AS sleep_minutes FROM n4 WHERE k = 1""",
+        "sleep_proxy": f"WITH {_EVENTS}, {_SILENCE} SELECT subject_id, day, epoch_us(since) AS sleep_start, epoch_us(until) AS sleep_end, round({_US.format("since", "until")} / 60000000.0::DOUBLE, 6) AS sleep_minutes FROM n4 WHERE k = 1",
+        "sleep_by_source": f"""WITH {_EVENTS}, {_SILENCE},
+v AS (SELECT u0.*, value, event_type FROM u0 JOIN events USING (event_id)),
+c AS (SELECT subject_id, z, ts - to_seconds(CAST(floor(value) * 360 AS BIGINT)) AS s, ts AS e, 2 AS rank, 1 AS sleep FROM v WHERE event_type = 'signup'
+  UNION ALL SELECT subject_id, z, ts - to_seconds(CAST(floor(value) * 300 AS BIGINT)), ts, 1, 1 FROM v WHERE event_type = 'purchase' AND event_id % 5 = 0
+  UNION ALL SELECT subject_id, z, ts, ts + to_seconds(CAST(floor(value) * 120 AS BIGINT)), 1, 0 FROM v WHERE event_type = 'error'
+  UNION ALL SELECT subject_id, z, since, until, 3, 1 FROM n4 JOIN (SELECT DISTINCT subject_id, z FROM u0) USING (subject_id) WHERE k = 1),
+a AS (SELECT *, CAST({local("e")} AS DATE) AS day FROM c WHERE s < e AND sleep = 1),
+b AS (SELECT subject_id, day, min(rank) AS best FROM a GROUP BY ALL),
+w AS (SELECT *, CAST(unnest(generate_series(CAST(CAST({local("s")} AS DATE) AS TIMESTAMP), CAST(CAST({local("e")} AS DATE) + 1 AS TIMESTAMP), INTERVAL 1 DAY)) AS DATE) AS day FROM c WHERE s < e AND sleep = 0),
+x AS (SELECT a.* FROM a JOIN b USING (subject_id, day) WHERE rank = best UNION ALL SELECT w.* FROM w JOIN b USING (subject_id, day) WHERE rank <= best),
+t2 AS (SELECT subject_id, day, unnest([s, e]) AS tm FROM x),
+t3 AS (SELECT subject_id, day, tm, lead(tm) OVER (PARTITION BY subject_id, day ORDER BY tm) AS nxt FROM (SELECT DISTINCT * FROM t2)),
+t4 AS (SELECT t3.*, (SELECT count(*) FROM x WHERE x.subject_id = t3.subject_id AND x.day = t3.day AND x.s <= t3.tm AND x.e >= t3.nxt AND sleep = 1) AS y,
+  (SELECT count(*) FROM x WHERE x.subject_id = t3.subject_id AND x.day = t3.day AND x.s <= t3.tm AND x.e >= t3.nxt AND sleep = 0) AS n FROM t3 WHERE nxt IS NOT NULL),
+t5 AS (SELECT subject_id, day, min(epoch_us(tm)) AS sleep_start, max(epoch_us(nxt)) AS sleep_end, sum(epoch_us(nxt) - epoch_us(tm)) AS m FROM t4 WHERE y > 0 AND n = 0 GROUP BY ALL)
+SELECT subject_id, day, sleep_start, sleep_end, round(CAST(coalesce(m, 0) AS DOUBLE) / 60000000, 6) AS sleep_minutes, ['manual', 'wearable', 'proxy'][best] AS sleep_source FROM b LEFT JOIN t5 USING (subject_id, day)""",
         "asof_view": """WITH v AS (SELECT user_id, ts AS at, max(struct_pack(id := event_id, v := value)) AS last FROM events WHERE event_type = 'view' GROUP BY ALL)
 SELECT p.user_id, event_id, last.id AS view_id, round(last.v, 6) AS view_value FROM (SELECT * FROM events WHERE event_type = 'purchase') p ASOF LEFT JOIN v ON p.user_id = v.user_id AND p.ts >= v.at""",
         "cycle_phase": """WITH o AS (SELECT c_nationkey || '-' || c_mktsegment AS subject_id, CAST(o_orderdate AS DATE) AS day, o_orderpriority FROM orders JOIN customer ON o_custkey = c_custkey),
@@ -164,4 +255,8 @@ nu AS (SELECT subject_id, metric_key, CASE WHEN count(c) >= {THRESHOLDS.null_sam
 un AS (SELECT DISTINCT r.subject_id, r.metric_key, CAST(r.days AS INTEGER) AS days, CAST(coalesce(pairs, 0) AS INTEGER) AS pairs, CASE WHEN pairs >= {THRESHOLDS.min_days_same_day} THEN effect END AS effect,
   CASE WHEN pairs >= {THRESHOLDS.min_days_same_day} THEN null_sd END AS null_sd FROM r LEFT JOIN ef USING (subject_id, metric_key) LEFT JOIN nu USING (subject_id, metric_key))
 SELECT subject_id, metric_key, days, pairs, round(effect, 6) AS effect, round(null_sd, 6) AS null_sd, round(CASE WHEN effect IS NOT NULL AND null_sd IS NOT NULL THEN {oracles.pval(oracles.fz("effect"), "null_sd")} END, 6) AS p FROM un""",
+        "diary_save": f"""WITH {oracles.CHECK} SELECT id, day, CASE WHEN id % 3 = 0 THEN 3 ELSE mood END AS mood, energy, CASE WHEN id % 6 = 0 THEN '  ' WHEN id % 3 = 0 THEN NULL ELSE note END AS note,
+  CASE WHEN id % 3 = 0 THEN 'new' ELSE tag END AS tags FROM c WHERE id % 2 = 0 OR id % 3 = 0""",
+        "export_read_back": f"WITH {oracles.CHECK} SELECT epoch_us(ts) // 1000 AS ts, zone_id, day, mood, energy, note, tag AS tags FROM c",
     }
+    return found | {"usage_refresh": found["usage_minutes"], "result_cache": found["weekly_periodicity"]}

@@ -35,9 +35,14 @@ def metric_struct() -> F.Column:
     return F.struct(F.col("day").cast("string").alias("localDate"), *[F.col(c).alias(k) for k, c in names])
 
 
-def json_document(check_ins: DataFrame, metrics: DataFrame, exported_at: int) -> DataFrame:
+def json_document(check_ins: DataFrame, metrics: DataFrame, exported_at: int, pretty: bool = True) -> DataFrame:
     """One subject's export as one document; the columns ``subject_id`` of both tables part subjects."""
     c = check_ins.groupBy("subject_id").agg(F.array_sort(F.collect_list(F.struct(F.unix_millis("ts").alias("timestampUtc"), F.col("zone_id").alias("zoneId"), F.col("day").cast("string").alias("localDate"), "mood", "energy", "note", F.array_sort("tags").alias("tags")))).alias("checkIns"))
     m = metrics.groupBy("subject_id").agg(F.array_sort(F.collect_list(metric_struct())).alias("dailyMetrics"))
     doc = F.struct(F.lit(1).alias("schemaVersion"), F.lit(exported_at).alias("exportedAtUtc"), F.lit(SCALE).alias("scale"), F.coalesce("checkIns", F.array()).alias("checkIns"), F.coalesce("dailyMetrics", F.array()).alias("dailyMetrics"))
-    return c.join(m, "subject_id", "full_outer").select("subject_id", F.to_json(doc, {"ignoreNullFields": "false", "pretty": "true"}).alias("json"))
+    return c.join(m, "subject_id", "full_outer").select("subject_id", F.to_json(doc, {"ignoreNullFields": "false", "pretty": str(pretty).lower()}).alias("json"))
+
+
+def write_documents(check_ins: DataFrame, metrics: DataFrame, exported_at: int, path: str) -> None:
+    """One document a line, in text files that the data source ``diary_export`` reads."""
+    json_document(check_ins, metrics, exported_at, pretty=False).select("json").write.text(path)
