@@ -173,6 +173,28 @@ def rotation_margin(n: Column) -> Column:
     return F.greatest(F.lit(3), F.floor(n / 20)).cast("int")
 
 
+#: Factor and mask of the mix; no product reaches 2^63.
+MIX_FACTOR, MIX_MASK = 0x45D9F3B, (1 << 32) - 1
+
+
+def mixed(x: Column) -> Column:
+    """A mix of whole numbers below 2^32, by two rounds of shift and product."""
+    shift = lambda v: v.bitwiseXOR(F.shiftright(v, 16))
+    turn = lambda v: (shift(v) * F.lit(MIX_FACTOR).cast("long")).bitwiseAND(F.lit(MIX_MASK).cast("long"))
+    return F.get(F.transform(F.transform(F.transform(F.array(x.cast("long")), turn), turn), shift), 0)
+
+
+def mixed_draw(seed: int, test: Column, *indices: Column) -> Column:
+    """A number in [0, 2^32) from (seed, test) and whole-number indices; it depends on nothing else.
+
+    The text is hashed once, each index costs a few whole-number operations, and numpy and SQL compute the same.
+    """
+    out = F.conv(F.substring(F.md5(F.concat_ws("|", F.lit(str(seed)), test).cast("binary")), 1, 8), 16, 10).cast("long")
+    for i in indices:
+        out = mixed(out.bitwiseXOR(i.cast("long")))
+    return out
+
+
 def draw(seed: int, *parts: Column) -> Column:
     """A number in [0, 2^32) that depends on nothing but its parts, so it is the same in any order and partition."""
     return F.conv(F.substring(F.md5(F.concat_ws("|", F.lit(str(seed)), *[p.cast("string") for p in parts]).cast("binary")), 1, 8), 16, 10).cast("long")

@@ -24,9 +24,11 @@ def correlation_kind(predictor: Column, lag: Column) -> Column:
     return F.when(predictor.startswith("sleep_debt"), "SLEEP_DEBT").when(lag == 0, "SAME_DAY").otherwise("LAGGED")
 
 
-def correlation_rows(outcomes: DataFrame, predictors: DataFrame, t: Thresholds = THRESHOLDS) -> DataFrame:
-    """Aligned days of every test that passes its gate, with both sides adjusted: rx, ry."""
+def correlation_rows(outcomes: DataFrame, predictors: DataFrame, t: Thresholds = THRESHOLDS, only: DataFrame | None = None) -> DataFrame:
+    """Aligned days of every test that passes its gate, or of those in ``only``, with both sides adjusted: rx, ry."""
     pairs = lag_align(outcomes, predictors, t.max_lag)
+    if only is not None:
+        pairs = pairs.join(only.distinct(), PAIR, "left_semi")
     n = F.count(F.lit(1)).over(Window.partitionBy(*PAIR))
     pairs = pairs.withColumn("n", n).filter(F.col("n") >= F.when(F.col("lag") == 0, t.min_days_same_day).otherwise(t.min_days_lagged))
     pairs = pairs.withColumn("test_id", correlation_id(F.col("outcome"), F.col("predictor"), F.col("lag")))
@@ -38,25 +40,38 @@ def spearman(rows: DataFrame, keys: list[str], x: str = "rx", y: str = "ry", nam
     return ranked.groupBy(*keys).agg(F.count(F.lit(1)).cast("int").alias("n"), pearson(F.col("__qx"), F.col("__qy")).alias(name))
 
 
-def reverse_checks(outcomes: DataFrame, predictors: DataFrame, t: Thresholds = THRESHOLDS) -> DataFrame:
-    """(subject_id, outcome, predictor, lag, reverse): the correlation with the sides swapped, at lags of a day or more."""
-    swapped = correlation_rows(predictors, outcomes, t).filter("lag > 0")
+def reverse_checks(outcomes: DataFrame, predictors: DataFrame, t: Thresholds = THRESHOLDS, only: DataFrame | None = None) -> DataFrame:
+    """(subject_id, outcome, predictor, lag, reverse): the correlation with the sides swapped, at lags of a day or more.
+
+    ``only``: (subject_id, outcome, predictor, lag) of the tests to be checked; all without it.
+    """
+    if only is not None:
+        side = lambda c: only.select("subject_id", F.col(c).alias("metric_key")).distinct()
+        outcomes, predictors = outcomes.join(side("outcome"), ["subject_id", "metric_key"], "left_semi"), predictors.join(side("predictor"), ["subject_id", "metric_key"], "left_semi")
+        only = only.select("subject_id", F.col("predictor").alias("outcome"), F.col("outcome").alias("predictor"), "lag")
+    swapped = correlation_rows(predictors, outcomes, t, only).filter("lag > 0")
     found = spearman(swapped, PAIR, name="reverse")
     return found.select("subject_id", F.col("predictor").alias("outcome"), F.col("outcome").alias("predictor"), "lag", "reverse")
 
 
+def _series_adjusted(outcomes: DataFrame, weekend: str | None, t: Thresholds) -> DataFrame:
+    """Every outcome with ``adjusted`` values: once a series, since all of its comparisons see the same days."""
+    rows = outcomes.withColumn("weekend", is_weekend(F.col("day")).cast("int") if weekend else F.lit(0))
+    return adjusted(rows, ["subject_id", "metric_key"], "value", "adjusted", weekend=weekend, window=t.detrend_window)
+
+
 def tag_rows(outcomes: DataFrame, tags: DataFrame, t: Thresholds = THRESHOLDS) -> DataFrame:
-    rows = indicator(outcomes, tags).withColumnRenamed("tag", "grp").withColumns({"weekend": is_weekend(F.col("day")).cast("int"), "test_id": F.concat(F.lit("tag:"), F.col("outcome"), F.lit(":"), F.col("grp"))})
-    return adjusted(_gated(rows, t.min_days_tag, t), GROUP, "y", "ry", window=t.detrend_window)
+    rows = indicator(_series_adjusted(outcomes, "weekend", t), tags, ["adjusted", "weekend"]).withColumnsRenamed({"tag": "grp", "adjusted": "ry"})
+    return _gated(rows.withColumn("test_id", F.concat(F.lit("tag:"), F.col("outcome"), F.lit(":"), F.col("grp"))), t.min_days_tag, t)
 
 
 def weekday_rows(outcomes: DataFrame, t: Thresholds = THRESHOLDS) -> DataFrame:
     """Seven comparisons per outcome; not adjusted for weekends, which are what they look for."""
-    o = outcomes.select("subject_id", F.col("metric_key").alias("outcome"), "day", F.col("value").alias("y"))
+    o = _series_adjusted(outcomes, None, t).select("subject_id", F.col("metric_key").alias("outcome"), "day", F.col("value").alias("y"), F.col("adjusted").alias("ry"), "weekend")
     rows = o.withColumn("grp", F.explode(F.array(*map(F.lit, WEEKDAYS))))
     inside = F.get(F.array(*map(F.lit, WEEKDAYS)), F.weekday("day")) == F.col("grp")
-    rows = rows.withColumns({"inside": inside.cast("int"), "weekend": F.lit(0), "test_id": F.concat(F.lit("dow:"), F.col("outcome"), F.lit(":"), F.upper("grp"))})
-    return adjusted(_gated(rows, t.min_days_dow, t), GROUP, "y", "ry", weekend=None, window=t.detrend_window)
+    rows = rows.withColumns({"inside": inside.cast("int"), "test_id": F.concat(F.lit("dow:"), F.col("outcome"), F.lit(":"), F.upper("grp"))})
+    return _gated(rows, t.min_days_dow, t)
 
 
 def _gated(rows: DataFrame, least: int, t: Thresholds) -> DataFrame:

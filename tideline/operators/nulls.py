@@ -11,21 +11,32 @@ from __future__ import annotations
 
 import hashlib
 from collections.abc import Callable, Iterator
+from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 
+from tideline.functions.stats import MIX_FACTOR, MIX_MASK
 from tideline.schema import THRESHOLDS, Thresholds
 
 #: Two matrices of (draw, day) to one number per draw.
 Statistic = Callable[[np.ndarray, np.ndarray], np.ndarray]
 
 
-def draws(seed: int, test: str, *indices: np.ndarray | list) -> np.ndarray:
-    """The numbers below 2^32 that ``functions.stats.draw`` gives for the same parts."""
-    head = f"{seed}|{test}|"
-    return np.array([int(hashlib.md5((head + "|".join(map(str, p))).encode()).hexdigest()[:8], 16) for p in zip(*indices, strict=True)], np.int64)
+def mixed(x: np.ndarray) -> np.ndarray:
+    """``functions.stats.mixed`` of whole numbers below 2^32."""
+    for _ in range(2):
+        x = ((x ^ (x >> 16)) * MIX_FACTOR) & MIX_MASK
+    return x ^ (x >> 16)
+
+
+def draws(seed: int, test: str, *indices: np.ndarray | range | int) -> np.ndarray:
+    """The numbers below 2^32 that ``functions.stats.mixed_draw`` gives for the same parts; indices broadcast."""
+    out = np.array(int(hashlib.md5(f"{seed}|{test}".encode()).hexdigest()[:8], 16), np.int64)
+    for i in indices:
+        out = mixed(out ^ (np.asarray(i, np.int64) & MIX_MASK))
+    return out
 
 
 def block_size(n: int) -> int:
@@ -113,20 +124,47 @@ def rank_correlations(a: np.ndarray, b: np.ndarray) -> np.ndarray:
     return row_correlations(average_ranks(a), average_ranks(b))
 
 
+def _places(n: int, test: str, t: Thresholds, draw: Callable[..., np.ndarray]) -> np.ndarray:
+    """A row of ``n`` places for each replicate of the block bootstrap."""
+    size = block_size(n)
+    starts = draw(t.seed, test, np.arange(t.replicates)[:, None], np.arange(-(-n // size))[None, :]) % (n - size + 1)
+    i = np.arange(n)
+    return starts[:, i // size] + i % size
+
+
+def _always_varies(x: np.ndarray, size: int) -> bool:
+    """True if no ``size`` neighbours are equal, so that every replicate, which holds a whole block, varies."""
+    changes = np.concatenate([[0], np.cumsum(np.diff(x) != 0)])
+    return bool(len(x) >= size and (changes[size - 1 :] > changes[: len(x) - size + 1]).all())
+
+
+def can_be_drawn(test: str, a: np.ndarray, b: np.ndarray, t: Thresholds, statistic: Statistic, draw: Callable[..., np.ndarray]) -> bool:
+    """Whether half the bootstrap's replicates have a statistic: only such tests are candidates. Cheap where that is certain."""
+    n = len(a)
+    if n < 6:
+        return False
+    size = block_size(n)
+    if statistic in (rank_correlations, differences) and _always_varies(a, size) and _always_varies(b, size):
+        return True
+    place = _places(n, test, t, draw)
+    return int(np.isfinite(statistic(a[place], b[place])).sum()) >= t.replicates // 2
+
+
 def rotation_null(
     packed: DataFrame, keys: list[str], t: Thresholds = THRESHOLDS, statistic: Statistic = rank_correlations, transform: Callable[[np.ndarray], np.ndarray] = _z, draw: Callable[..., np.ndarray] = draws
 ) -> DataFrame:
-    """(keys, null_sd, null_method), as ``resample.rotation_null``; tests without room for rotations have no row.
+    """(keys, null_sd, null_method): spread of the statistic, on its scale, under rotations of the raw predictor, each adjusted anew.
 
-    ``statistic`` takes two matrices and gives a number per row, NaN for none; ``transform`` puts it on the scale of the
-    null; ``draw`` gives whole numbers below 2^32 for (seed, test, indices).
+    Over all rotations, where there are few, it is the population's; over draws the sample's. Tests without room for
+    rotations, or that ``can_be_drawn`` refuses, have no row. ``statistic`` takes two matrices and gives a number per row,
+    NaN for none; ``transform`` puts it on the scale of the null; ``draw`` gives whole numbers below 2^32 for (seed, test, indices).
     """
 
     def work(test: str, rows: dict[str, np.ndarray]) -> tuple:
         n = len(rows["day"])
         m = max(3, n // 20)
         room = n - 2 * m
-        if room < 8:
+        if room < 8 or not can_be_drawn(test, rows["rx"], rows["ry"], t, statistic, draw):
             return None, None
         exact = n <= t.exact_null_days
         k = np.arange(m, n - m) if exact else m + draw(t.seed, test, range(t.null_samples)) % room
@@ -134,7 +172,7 @@ def rotation_null(
         r = statistic(x, rows["ry"][None, :])
         return _spread(transform(r), len(k) / 2, 0 if exact else 1), "exact" if exact else "sampled"
 
-    return _mapped(packed, keys, ["day", "weekend", "x", "ry"], [("null_sd", "double"), ("null_method", "string")], work).filter("null_method IS NOT NULL")
+    return _mapped(packed, keys, ["day", "weekend", "x", "rx", "ry"], [("null_sd", "double"), ("null_method", "string")], work).filter("null_method IS NOT NULL")
 
 
 def differences(values: np.ndarray, inside: np.ndarray) -> np.ndarray:
@@ -147,23 +185,29 @@ def differences(values: np.ndarray, inside: np.ndarray) -> np.ndarray:
 
 
 def block_null(packed: DataFrame, keys: list[str], t: Thresholds = THRESHOLDS, statistic: Statistic = differences, draw: Callable[..., np.ndarray] = draws) -> DataFrame:
-    """(keys, null_sd, null_method), as ``resample.block_null``; ``statistic`` takes the values and the places inside."""
+    """(keys, null_sd, null_method): spread of the statistic under block permutation of the values; it takes the values and the places inside.
+
+    Each place after the first starts a block with probability 1 / mean length; blocks are shuffled whole. Tests that
+    ``can_be_drawn`` refuses have no row.
+    """
 
     def work(test: str, rows: dict[str, np.ndarray]) -> tuple:
         n = len(rows["day"])
+        if not can_be_drawn(test, rows["ry"], rows["inside"], t, statistic, draw):
+            return None, None
         mean = max(1, min(block_size(n), max(1, n // 2)))
-        d, pos = np.repeat(np.arange(t.null_samples), n), np.tile(np.arange(n), t.null_samples)
-        starts = ((pos == 0) | (draw(t.seed, test, d, pos) / 2**32 <= 1.0 / mean)).reshape(t.null_samples, n)
+        pos = np.arange(n)[None, :]
+        starts = (pos == 0) | (draw(t.seed, test, np.arange(t.null_samples)[:, None], pos) / 2**32 <= 1.0 / mean)
         block = np.cumsum(starts, 1)
         at = np.nonzero(starts)
         place = np.zeros((t.null_samples, n + 1), np.int64)
-        place[at[0], block[at]] = draw(t.seed, test, at[0], block[at], ["k"] * len(at[0]))
+        place[at[0], block[at]] = draw(t.seed, test, at[0], block[at], 1)
         keyed = np.take_along_axis(place, block, 1)
         order = np.lexsort((np.tile(np.arange(n), (t.null_samples, 1)), block, keyed), axis=1)
         stat = statistic(rows["ry"][order], np.broadcast_to(rows["inside"], order.shape))
         return _spread(stat, t.null_samples // 2, 1), "blocks"
 
-    return _mapped(packed, keys, ["day", "ry", "inside"], [("null_sd", "double"), ("null_method", "string")], work)
+    return _mapped(packed, keys, ["day", "ry", "inside"], [("null_sd", "double"), ("null_method", "string")], work).filter("null_method IS NOT NULL")
 
 
 def bootstrap_error(
@@ -181,13 +225,37 @@ def bootstrap_error(
         n = len(rows[first])
         if n < 6:
             return (None,)
-        size = block_size(n)
-        count = -(-n // size)
-        rep, b = np.repeat(np.arange(t.replicates), count), np.tile(np.arange(count), t.replicates)
-        starts = (draw(t.seed, test, rep, b) % (n - size + 1)).reshape(t.replicates, count)
-        i = np.arange(n)
-        place = starts[:, i // size] + i % size
+        place = _places(n, test, t, draw)
         stat = scale(measure(rows[first][place], rows[second][place]))
         return (_spread(stat, t.replicates // 2, 1),)
 
     return _mapped(packed, keys, ["day", first, second], [("se", "double")], work).filter("se IS NOT NULL")
+
+
+@dataclass(frozen=True)
+class Measures:
+    """What an analysis measures with, in numpy: statistics of two matrices by row, the scale of the null and back, and draws.
+
+    ``correlation`` takes adjusted predictor and outcome, ``difference`` adjusted outcome and places inside.
+    """
+
+    correlation: Statistic = rank_correlations
+    transform: Callable[[np.ndarray], np.ndarray] = _z
+    inverse: Callable[[np.ndarray], np.ndarray] = np.tanh
+    difference: Statistic = differences
+    draw: Callable[..., np.ndarray] = draws
+
+
+MEASURES = Measures()
+
+
+def measured(packed: DataFrame, keys: list[str], grouped: bool, m: Measures) -> DataFrame:
+    """(keys, n, effect, scaled) of each gathered test, null where the statistic is none."""
+    first, second = ("ry", "inside") if grouped else ("rx", "ry")
+
+    def work(test: str, rows: dict[str, np.ndarray]) -> tuple:
+        effect = (m.difference if grouped else m.correlation)(rows[first][None, :], rows[second][None, :])
+        scaled = effect if grouped else m.transform(effect)
+        return (len(rows[first]), *(float(v[0]) if np.isfinite(v[0]) else None for v in (effect, scaled)))
+
+    return _mapped(packed, keys, [first, second], [("n", "int"), ("effect", "double"), ("scaled", "double")], work)

@@ -8,7 +8,6 @@ repeats by weekday is lost. Draws are whole-number mixes of (test, draw, day), w
 
 from __future__ import annotations
 
-import hashlib
 from collections.abc import Iterator
 
 import numpy as np
@@ -17,28 +16,12 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from tideline.functions.stats import fisher_z, p_against_null
-from tideline.operators.nulls import row_correlations
+from tideline.operators.nulls import draws, row_correlations
 from tideline.operators.resample import gathered
 from tideline.operators.residuals import adjusted
 from tideline.schema import THRESHOLDS, Thresholds
 
 LAG, BLOCK = 7, 14
-MASK, FACTOR = (1 << 32) - 1, 0x45D9F3B
-
-
-def mixed(x: np.ndarray) -> np.ndarray:
-    """A mix of whole numbers below 2^32, by two rounds of shift and product; no product reaches 2^63."""
-    for _ in range(2):
-        x = ((x ^ (x >> 16)) * FACTOR) & MASK
-    return x ^ (x >> 16)
-
-
-def mixed_draws(seed: int, test: str, *indices: np.ndarray) -> np.ndarray:
-    """Numbers below 2^32 from (seed, test) and whole-number indices, one mix for each index."""
-    out = np.array(int(hashlib.md5(f"{seed}|{test}".encode()).hexdigest()[:8], 16), np.int64)
-    for i in indices:
-        out = mixed(out ^ (np.asarray(i, np.int64) & MASK))
-    return out
 
 
 def weekly(series: DataFrame, t: Thresholds = THRESHOLDS, lag: int = LAG, block: int = BLOCK) -> DataFrame:
@@ -60,8 +43,7 @@ def weekly(series: DataFrame, t: Thresholds = THRESHOLDS, lag: int = LAG, block:
         if len(later) < t.min_days_same_day:
             return len(later), None, None
         effect = row_correlations(res[None, later], res[None, earlier])[0]
-        draws = np.arange(t.null_samples)[:, None]
-        key = mixed_draws(t.seed, f"{subject}|{test}", draws, day[None, :])
+        key = draws(t.seed, f"{subject}|{test}", np.arange(t.null_samples)[:, None], day[None, :])
         stretch = (day - day[0]) // block
         order = np.lexsort((np.broadcast_to(day, key.shape), key, np.broadcast_to(stretch, key.shape)), axis=1)
         dealt = res[order]

@@ -1,4 +1,4 @@
-"""Rotations, block permutations and block bootstraps.
+"""Circular shifts, block permutations and block bootstraps as relations.
 
 A test's days are gathered once, in order, into one array row; draws multiply
 that row, and the drawn values come out of it by position. Draws are hashes of
@@ -10,10 +10,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from tideline.functions.stats import block_length, draw, fisher_z, pearson, rotation_margin, uniform
-from tideline.operators.residuals import adjusted
-from tideline.operators.windows import average_rank
-from tideline.schema import THRESHOLDS, Thresholds
+from tideline.functions.stats import block_length, mixed_draw
 
 
 def gathered(df: DataFrame, keys: list[str], columns: list[str], day: str = "day") -> DataFrame:
@@ -27,38 +24,6 @@ def circular_shift(values: Column, offset: Column) -> Column:
     return F.transform(values, lambda _, i: F.get(values, F.pmod(i + offset, F.size(values))))
 
 
-def rotations(n: Column, test: Column, t: Thresholds = THRESHOLDS) -> Column:
-    """Array of (draw, k): every rotation of short tests, hashed draws of long ones; null where there is no room."""
-    m = rotation_margin(n)
-    room = n - 2 * m
-    every = F.transform(F.sequence(m, n - m - 1), lambda k: F.struct(k.alias("draw"), k.alias("k")))
-    some = F.transform(F.sequence(F.lit(0), F.lit(t.null_samples - 1)), lambda d: F.struct(d.alias("draw"), (m + F.pmod(draw(t.seed, test, d), room)).cast("int").alias("k")))
-    return F.when(room >= 8, F.when(n <= t.exact_null_days, every).otherwise(some))
-
-
-def rotated(packed: DataFrame, keys: list[str], t: Thresholds = THRESHOLDS) -> DataFrame:
-    """(keys, draw, day, weekend, ry, x): the raw predictor rotated against fixed days; needs rows of (day, weekend, x, ry)."""
-    drawn = packed.withColumn("d", F.explode(rotations(F.col("n"), F.col("test_id"), t)))
-    moved = F.transform("rows", lambda r, i: F.struct(r["day"].alias("day"), r["weekend"].alias("weekend"), r["ry"].alias("ry"), F.get("rows", (i + F.col("d.k")) % F.col("n"))["x"].alias("x")))
-    return drawn.select(*keys, "n", F.col("d.draw").alias("draw"), F.inline(moved))
-
-
-def rotation_null(packed: DataFrame, keys: list[str], t: Thresholds = THRESHOLDS) -> DataFrame:
-    """(keys, null_sd, null_method): spread of Fisher's z of the rank correlation under rotation.
-
-    Over all rotations it is the population's; over draws the sample's. Fewer than half valid statistics give null.
-    """
-    by = [*keys, "draw"]
-    df = adjusted(rotated(packed, keys, t), by, "x", "rx")
-    df = df.withColumns({"qx": average_rank("rx", by), "qy": average_rank("ry", by)})
-    stats = df.groupBy(*by, "n").agg(pearson(F.col("qx"), F.col("qy")).alias("r"))
-    z = fisher_z(F.col("r"))
-    exact = F.col("n") <= t.exact_null_days
-    found = stats.groupBy(*keys, "n").agg(F.count("r").alias("valid"), F.count(F.lit(1)).alias("draws"), F.stddev_pop(z).alias("all"), F.stddev_samp(z).alias("some"))
-    sd = F.when(exact, F.col("all")).otherwise(F.col("some"))
-    return found.select(*keys, F.when((2 * F.col("valid") >= F.col("draws")) & (sd > 1e-12), sd).alias("null_sd"), F.when(exact, "exact").otherwise("sampled").alias("null_method"))
-
-
 def block_permuted(packed: DataFrame, keys: list[str], draws: int, seed: int) -> DataFrame:
     """(keys, draw, n, ``values``): the values of each draw in permuted order; needs rows of (day, ry, ...).
 
@@ -66,38 +31,21 @@ def block_permuted(packed: DataFrame, keys: list[str], draws: int, seed: int) ->
     """
     mean = F.greatest(F.lit(1), F.least(block_length(F.col("n")), F.greatest(F.lit(1), F.floor(F.col("n") / 2)))).cast("double")
     rows = packed.withColumn("draw", F.explode(F.sequence(F.lit(0), F.lit(draws - 1)))).select(*keys, "n", "draw", F.posexplode("rows").alias("pos", "r"))
-    rows = rows.withColumn("starts", F.when((F.col("pos") == 0) | (uniform(seed, F.col("test_id"), F.col("draw"), F.col("pos")) <= 1 / mean), 1).otherwise(0))
+    rows = rows.withColumn("starts", F.when((F.col("pos") == 0) | (mixed_draw(seed, F.col("test_id"), F.col("draw"), F.col("pos")) / 4294967296.0 <= 1 / mean), 1).otherwise(0))
     by = Window.partitionBy(*keys, "draw").orderBy("pos")
     rows = rows.withColumn("block", F.sum("starts").over(by))
-    rows = rows.withColumn("place", draw(seed, F.col("test_id"), F.col("draw"), F.col("block"), F.lit("k")))
+    rows = rows.withColumn("place", mixed_draw(seed, F.col("test_id"), F.col("draw"), F.col("block"), F.lit(1)))
     order = F.array_sort(F.collect_list(F.struct("place", "block", "pos", F.col("r.ry").alias("ry"))))
     return rows.groupBy(*keys, "n", "draw").agg(order.alias("o")).select(*keys, "n", "draw", F.transform("o", lambda o: o["ry"]).alias("values"))
 
 
-def block_null(packed: DataFrame, keys: list[str], t: Thresholds = THRESHOLDS) -> DataFrame:
-    """(keys, null_sd, null_method): spread of the standardised difference under block permutation of the outcome.
-
-    The groups' sizes and the overall deviation do not change with the order, so each draw needs one sum.
-    """
-    drawn = block_permuted(packed, keys, t.null_samples, t.seed).join(packed.select(*keys, F.transform("rows", lambda r: r["inside"]).alias("inside"), F.transform("rows", lambda r: r["ry"]).alias("all")), keys)
-    total = F.aggregate("all", F.lit(0.0), lambda a, v: a + v)
-    inside = F.aggregate(F.zip_with("values", "inside", lambda v, i: v * i), F.lit(0.0), lambda a, v: a + v)
-    count = F.aggregate("inside", F.lit(0), lambda a, i: a + i)
-    mean = total / F.col("n")
-    sd = F.sqrt(F.aggregate("all", F.lit(0.0), lambda a, v: a + (v - mean) * (v - mean)) / (F.col("n") - 1))
-    usable = (count > 0) & (count < F.col("n")) & (sd > 1e-9)
-    stat = F.when(usable, (inside / F.nullif(count, F.lit(0)) - (total - inside) / F.nullif(F.col("n") - count, F.lit(0))) / F.nullif(sd, F.lit(0.0)))
-    found = drawn.select(*keys, stat.alias("stat")).groupBy(*keys).agg(F.count("stat").alias("valid"), F.stddev_samp("stat").alias("sd"))
-    return found.select(*keys, F.when((F.col("valid") >= t.null_samples // 2) & (F.col("sd") > 1e-12), F.col("sd")).alias("null_sd"), F.lit("blocks").alias("null_method"))
-
-
 def block_bootstrap(packed: DataFrame, keys: list[str], first: str, second: str, replicates: int, seed: int) -> DataFrame:
     """(keys, rep, i, a, b): pairs drawn in blocks with replacement; tests of fewer than six days have none."""
     size = block_length(F.col("n"))
     df = packed.filter("n >= 6").withColumn("size", size).withColumn("rep", F.explode(F.sequence(F.lit(0), F.lit(replicates - 1))))
     starts = F.transform(
         F.sequence(F.lit(0), F.ceil(F.col("n") / F.col("size")).cast("int") - 1),
-        lambda b: F.pmod(draw(seed, F.col("test_id"), F.col("rep"), b), F.col("n") - F.col("size") + 1).cast("int"),
+        lambda b: F.pmod(mixed_draw(seed, F.col("test_id"), F.col("rep"), b), F.col("n") - F.col("size") + 1).cast("int"),
     )
     df = df.withColumn("starts", starts)
     place = lambda i: F.get("starts", F.floor(i / F.col("size")).cast("int")) + i % F.col("size")

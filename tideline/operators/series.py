@@ -41,9 +41,9 @@ def lag_align(outcomes: DataFrame, predictors: DataFrame, max_lag: int = 3) -> D
     return o.join(p, ["subject_id", "day"]).select("subject_id", "outcome", "predictor", "lag", "day", "y", "x", is_weekend(F.col("day")).cast("int").alias("weekend"))
 
 
-def indicator(outcomes: DataFrame, tags: DataFrame) -> DataFrame:
-    """Every outcome day beside every tag of its subject: inside (1) or not (0)."""
+def indicator(outcomes: DataFrame, tags: DataFrame, kept: list[str] | None = None) -> DataFrame:
+    """Every outcome day, with its ``kept`` columns, beside every tag of its subject: inside (1) or not (0)."""
     names = tags.select("subject_id", "tag").distinct()
     days = tags.select("subject_id", "tag", "day", F.lit(1).alias("inside")).distinct()
-    o = outcomes.select("subject_id", F.col("metric_key").alias("outcome"), "day", F.col("value").alias("y"))
+    o = outcomes.select("subject_id", F.col("metric_key").alias("outcome"), "day", F.col("value").alias("y"), *(kept or []))
     return o.join(names, "subject_id").join(days, ["subject_id", "tag", "day"], "left").withColumn("inside", F.coalesce("inside", F.lit(0)))

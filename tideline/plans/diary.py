@@ -195,16 +195,6 @@ n3 AS (SELECT subject_id, day, s AS until, coalesce(max(e) OVER (PARTITION BY su
 n4 AS (SELECT *, row_number() OVER (PARTITION BY subject_id, day ORDER BY epoch_us(until) - epoch_us(since) DESC, since) AS k FROM n3)"""
 
 
-def mix(x: str, name: str) -> str:
-    """Columns that end in ``name``, the mix of ``x``."""
-    shift = lambda v: f"(xor({v}, {v} >> 16) * {periodicity.FACTOR}) & {periodicity.MASK}"
-    return f"{x} AS {name}_0, {shift(f'{name}_0')} AS {name}_1, {shift(f'{name}_1')} AS {name}_2, xor({name}_2, {name}_2 >> 16) AS {name}"
-
-
-def seed_of(test: str) -> str:
-    return f"CAST('0x' || substr(md5('{THRESHOLDS.seed}|' || {test}), 1, 8) AS BIGINT)"
-
-
 def oracle_sql() -> dict[str, str]:
     found = {
         "usage_intervals": f"WITH {_EVENTS} SELECT subject_id, app, epoch_us(s) AS start, epoch_us(e) AS \"end\", lost FROM iv",
@@ -246,8 +236,8 @@ lo AS (SELECT * FROM (SELECT *, count(*) OVER (PARTITION BY subject_id, metric_k
 r AS (SELECT *, CAST(day - DATE '1970-01-01' AS BIGINT) AS dn, row_number() OVER w AS pos, (day - min(day) OVER (PARTITION BY subject_id, metric_key)) // {periodicity.BLOCK} AS stretch FROM fit WINDOW w AS (PARTITION BY subject_id, metric_key ORDER BY day)),
 pr AS (SELECT a.subject_id, a.metric_key, a.days, a.pos AS pa, b.pos AS pb, a.res AS ra, b.res AS rb FROM r a JOIN r b ON a.subject_id = b.subject_id AND a.metric_key = b.metric_key AND b.day = a.day - {periodicity.LAG}),
 ef AS (SELECT subject_id, metric_key, count(*) AS pairs, {oracles.pearson("ra", "rb")} AS effect FROM pr GROUP BY ALL),
-k0 AS (SELECT subject_id, metric_key, draw, {mix(f"xor({seed_of("subject_id || '|weekly:' || metric_key")}, CAST(draw AS BIGINT))", "h")} FROM (SELECT DISTINCT subject_id, metric_key FROM r), range({THRESHOLDS.null_samples}) AS d(draw)),
-k1 AS (SELECT subject_id, metric_key, draw, stretch, dn, res, {mix("xor(h, dn)", "key")} FROM k0 JOIN r USING (subject_id, metric_key)),
+k0 AS (SELECT subject_id, metric_key, draw, {oracles.mix(f"xor({oracles.seed_of("subject_id || '|weekly:' || metric_key")}, CAST(draw AS BIGINT))", "h")} FROM (SELECT DISTINCT subject_id, metric_key FROM r), range({THRESHOLDS.null_samples}) AS d(draw)),
+k1 AS (SELECT subject_id, metric_key, draw, stretch, dn, res, {oracles.mix("xor(h, dn)", "key")} FROM k0 JOIN r USING (subject_id, metric_key)),
 k2 AS (SELECT subject_id, metric_key, draw, res, row_number() OVER (PARTITION BY subject_id, metric_key, draw ORDER BY stretch, key, dn) AS pos FROM k1),
 k3 AS (SELECT a.subject_id, a.metric_key, a.draw, {oracles.pearson("a.res", "b.res")} AS c FROM pr JOIN k2 a ON a.subject_id = pr.subject_id AND a.metric_key = pr.metric_key AND a.pos = pa
   JOIN k2 b ON b.subject_id = a.subject_id AND b.metric_key = a.metric_key AND b.draw = a.draw AND b.pos = pb GROUP BY ALL),

@@ -11,6 +11,7 @@ from __future__ import annotations
 
 from dataclasses import dataclass
 
+import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.storagelevel import StorageLevel
@@ -19,13 +20,13 @@ from tideline.functions.stats import fisher_z, inverse_fisher_z, p_against_null
 from tideline.functions.text import direction, lag_phrase, pair_of, rank_score, sentence, strength, two_places
 from tideline.operators.association import GROUP, PAIR, correlation_kind, correlation_rows, group_effects, reverse_checks, spearman, tag_rows, weekday_rows
 from tideline.operators.multiplicity import bh_threshold, strongest, tiers
-from tideline.operators.nulls import block_null, bootstrap_error, rotation_null
+from tideline.operators.nulls import MEASURES, Measures, block_null, bootstrap_error, measured, rotation_null
 from tideline.operators.resample import gathered
 from tideline.schema import THRESHOLDS, WEEKDAYS, Thresholds
 
 #: 97.5 % point of the normal distribution, for intervals at the display level.
 Z_DISPLAY = 1.959963984540054
-COMMON = ["subject_id", "test_id", "kind", "outcome", "predictor", "lag", "grp", "n", "effect", "raw_difference", "null_sd", "null_method"]
+COMMON = ["subject_id", "test_id", "kind", "outcome", "predictor", "lag", "grp", "n", "effect", "scaled", "raw_difference", "null_sd", "null_method"]
 
 
 @dataclass
@@ -45,41 +46,47 @@ class Report:
             df.unpersist()
 
 
-def correlation_tests(outcomes: DataFrame, predictors: DataFrame, t: Thresholds = THRESHOLDS) -> tuple[DataFrame, DataFrame]:
-    """(candidates, gathered days) of the lagged rank correlations."""
+def correlation_tests(outcomes: DataFrame, predictors: DataFrame, t: Thresholds = THRESHOLDS, m: Measures = MEASURES) -> tuple[DataFrame, DataFrame]:
+    """(candidates, gathered days) of the lagged rank correlations, or of the measures' own statistic; ``scaled`` is the effect on the null's scale."""
     rows = correlation_rows(outcomes, predictors, t)
     keys = [*PAIR, "test_id"]
     packed = gathered(rows, keys, ["weekend", "x", "rx", "ry"]).persist(StorageLevel.MEMORY_AND_DISK)
-    effects = spearman(packed.select(*keys, F.inline("rows")), keys)
-    tests = effects.join(rotation_null(packed, keys, t), keys).withColumn("kind", correlation_kind(F.col("predictor"), F.col("lag")))
+    if m == MEASURES:
+        effects = spearman(packed.select(*keys, F.inline("rows")), keys).withColumn("scaled", fisher_z(F.col("effect")))
+    else:
+        effects = measured(packed, keys, False, m)
+    tests = effects.join(rotation_null(packed, keys, t, m.correlation, m.transform, m.draw), keys).withColumn("kind", correlation_kind(F.col("predictor"), F.col("lag")))
     return tests.withColumns({"grp": F.lit(None).cast("string"), "raw_difference": F.lit(None).cast("double")}).select(*COMMON), packed
 
 
-def group_tests(rows: DataFrame, kind: str, t: Thresholds = THRESHOLDS) -> tuple[DataFrame, DataFrame]:
+def group_tests(rows: DataFrame, kind: str, t: Thresholds = THRESHOLDS, m: Measures = MEASURES) -> tuple[DataFrame, DataFrame]:
     """(candidates, gathered days) of group comparisons."""
     keys = [*GROUP, "test_id"]
     packed = gathered(rows, keys, ["ry", "y", "inside"]).persist(StorageLevel.MEMORY_AND_DISK)
-    tests = group_effects(packed.select(*keys, F.inline("rows"))).join(block_null(packed, keys, t), keys)
+    found = group_effects(packed.select(*keys, F.inline("rows"))).withColumn("scaled", F.col("effect"))
+    if m != MEASURES:
+        found = found.drop("n", "effect", "scaled").join(measured(packed, keys, True, m), keys)
+    tests = found.join(block_null(packed, keys, t, m.difference, m.draw), keys)
     return tests.withColumns({"kind": F.lit(kind), "predictor": F.lit(None).cast("string"), "lag": F.lit(None).cast("int")}).select(*COMMON), packed
 
 
 def scored(candidates: DataFrame, t: Thresholds = THRESHOLDS) -> DataFrame:
     """p, family, threshold, confidence and strength of candidates that have an effect and a null."""
-    on_scale = F.when(F.col("grp").isNull(), fisher_z(F.col("effect"))).otherwise(F.col("effect"))
-    tests = candidates.filter("effect IS NOT NULL AND null_sd IS NOT NULL").withColumn("p", p_against_null(on_scale, F.col("null_sd")))
+    tests = candidates.filter("effect IS NOT NULL AND null_sd IS NOT NULL").withColumn("p", p_against_null(F.col("scaled"), F.col("null_sd")))
     return tiers(bh_threshold(tests, ["subject_id"], "p", t.fdr_q), "p", t.familywise_alpha).withColumn("strength", strength(F.col("effect")))
 
 
-def intervals(survivors: DataFrame, correlations: DataFrame, groups: DataFrame, t: Thresholds = THRESHOLDS) -> DataFrame:
-    """(subject_id, test_id, ci_low, ci_high) of surviving tests, by the bootstrap's standard error."""
+def intervals(survivors: DataFrame, correlations: DataFrame, groups: DataFrame, t: Thresholds = THRESHOLDS, m: Measures = MEASURES) -> DataFrame:
+    """(subject_id, test_id, ci_low, ci_high) of surviving tests, by the bootstrap's standard error on the effect's scale and back."""
     keep = survivors.select("subject_id", "test_id")
     keys = ["subject_id", "test_id"]
-    stats = bootstrap_error(correlations.join(keep, keys, "left_semi"), keys, False, t).unionByName(bootstrap_error(groups.join(keep, keys, "left_semi"), keys, True, t))
+    own = bootstrap_error(correlations.join(keep, keys, "left_semi"), keys, False, t, m.correlation, m.transform, m.draw)
+    stats = own.unionByName(bootstrap_error(groups.join(keep, keys, "left_semi"), keys, True, t, m.difference, None, m.draw))
     found = survivors.join(stats, keys)
     correlation = F.col("grp").isNull()
-    centre = F.when(correlation, fisher_z(F.col("effect"))).otherwise(F.col("effect"))
-    side = {name: centre + sign * Z_DISPLAY * F.col("se") for name, sign in (("ci_low", -1), ("ci_high", 1))}
-    return found.select(*keys, *[F.when(correlation, inverse_fisher_z(v)).otherwise(v).alias(k) for k, v in side.items()])
+    back = inverse_fisher_z if m.inverse == MEASURES.inverse else F.pandas_udf(lambda v: pd.Series(m.inverse(v.to_numpy())), "double")
+    side = {name: F.col("scaled") + sign * Z_DISPLAY * F.col("se") for name, sign in (("ci_low", -1), ("ci_high", 1))}
+    return found.select(*keys, *[F.when(correlation, back(v)).otherwise(v).alias(k) for k, v in side.items()])
 
 
 def pending(outcomes: DataFrame, predictors: DataFrame, t: Thresholds = THRESHOLDS) -> DataFrame:
@@ -121,29 +128,50 @@ def worded(found: DataFrame, labels: DataFrame) -> DataFrame:
     return found.withColumns({"headline": sentence(head), "detail": F.concat(sentence(F.col("strength")), what, tail), "caveats": F.filter(caveats, lambda c: c.isNotNull())}).drop("o_name", "p_name")
 
 
-def ordinal(metrics: Column) -> Column:
-    """Place of a candidate: outcome, then correlations, tags and weekdays."""
+def ordinal() -> Column:
+    """Place of a candidate: outcomes in the order of their labels; in each correlations, tags and weekdays, these in order too.
+
+    What has no position comes after, by name.
+    """
     kind = F.when(F.col("grp").isNull(), 0).when(F.col("kind") == "TAG", 1).otherwise(2)
     day = F.array_position(F.array(*map(F.lit, WEEKDAYS)), F.col("grp"))
-    return F.struct(F.col("outcome"), kind, F.coalesce("predictor", F.lit("")), F.coalesce("lag", F.lit(0)), F.when(F.col("kind") == "DAY_OF_WEEK", day).otherwise(0), F.coalesce("grp", F.lit("")))
+    last = lambda c: F.coalesce(F.col(c), F.lit(2147483647))
+    return F.struct(last("o_position"), F.col("outcome"), kind, last("p_position"), F.coalesce("predictor", F.lit("")), F.coalesce("lag", F.lit(0)), F.when(F.col("kind") == "DAY_OF_WEEK", day).otherwise(last("g_position")), F.coalesce("grp", F.lit("")))
+
 
+def _positioned(found: DataFrame, labels: DataFrame) -> DataFrame:
+    """Adds the places of outcome, predictor and tag among the labels, null where ``labels`` has no ``position``."""
+    for column, name in (("outcome", "o_position"), ("predictor", "p_position"), ("grp", "g_position")):
+        if "position" not in labels.columns:
+            found = found.withColumn(name, F.lit(None).cast("int"))
+            continue
+        own = labels.groupBy(F.col("metric_key").alias(column)).agg(F.min("position").cast("int").alias(name))
+        found = found.join(own, column, "left")
+    return found
 
-def candidates(outcomes: DataFrame, predictors: DataFrame, tags: DataFrame, t: Thresholds = THRESHOLDS) -> tuple[DataFrame, DataFrame, DataFrame, DataFrame]:
+
+def candidates(outcomes: DataFrame, predictors: DataFrame, tags: DataFrame, t: Thresholds = THRESHOLDS, m: Measures = MEASURES) -> tuple[DataFrame, DataFrame, DataFrame, DataFrame]:
     """(candidates, gathered days of correlations, of tag comparisons, of weekday comparisons)."""
-    corr, corr_rows = correlation_tests(outcomes, predictors, t)
-    tag, tag_packed = group_tests(tag_rows(outcomes, tags, t), "TAG", t)
-    dow, dow_packed = group_tests(weekday_rows(outcomes, t), "DAY_OF_WEEK", t)
+    corr, corr_rows = correlation_tests(outcomes, predictors, t, m)
+    tag, tag_packed = group_tests(tag_rows(outcomes, tags, t), "TAG", t, m)
+    dow, dow_packed = group_tests(weekday_rows(outcomes, t), "DAY_OF_WEEK", t, m)
     return corr.unionByName(tag).unionByName(dow), corr_rows, tag_packed, dow_packed
 
 
-def analyse(outcomes: DataFrame, predictors: DataFrame, tags: DataFrame, labels: DataFrame, t: Thresholds = THRESHOLDS) -> Report:
-    """The whole analysis of every subject."""
-    found, corr_rows, tag_packed, dow_packed = candidates(outcomes, predictors, tags, t)
+def analyse(outcomes: DataFrame, predictors: DataFrame, tags: DataFrame, labels: DataFrame, t: Thresholds = THRESHOLDS, m: Measures = MEASURES) -> Report:
+    """The whole analysis of every subject.
+
+    ``labels``: (metric_key, label), and ``position`` if the order of outcomes, predictors and tags is to settle ties:
+    of equal findings of a pair the earlier candidate stays, and equal findings are listed in that order. A candidate
+    that half the bootstrap cannot be computed for leaves the family before the correction. ``m``: own statistics.
+    """
+    found, corr_rows, tag_packed, dow_packed = candidates(outcomes, predictors, tags, t, m)
     tests = scored(found, t).persist(StorageLevel.MEMORY_AND_DISK)
     kept = tests.filter("confidence IS NOT NULL AND strength IS NOT NULL")
-    kept = kept.join(intervals(kept, corr_rows, tag_packed.unionByName(dow_packed), t), ["subject_id", "test_id"])
-    kept = kept.join(reverse_checks(outcomes, predictors, t), ["subject_id", "outcome", "predictor", "lag"], "left")
-    kept = kept.withColumns({"rank_score": rank_score(F.col("effect"), F.col("confidence")), "pair": pair_of(F.col("test_id")), "ordinal": ordinal(F.lit(None))})
+    kept = kept.join(intervals(kept, corr_rows, tag_packed.unionByName(dow_packed), t, m), ["subject_id", "test_id"])
+    checked = tests.filter("confidence IS NOT NULL AND strength IS NOT NULL AND lag > 0").select("subject_id", "outcome", "predictor", "lag")
+    kept = kept.join(reverse_checks(outcomes, predictors, t, checked), ["subject_id", "outcome", "predictor", "lag"], "left")
+    kept = _positioned(kept, labels).withColumns({"rank_score": rank_score(F.col("effect"), F.col("confidence")), "pair": pair_of(F.col("test_id")), "ordinal": ordinal()})
     kept = strongest(kept, ["subject_id"], "pair", "rank_score", "ordinal")
     place = F.row_number().over(Window.partitionBy("subject_id").orderBy(F.desc("rank_score"), "ordinal"))
     insights = worded(kept.withColumn("place", place), labels)

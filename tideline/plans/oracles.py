@@ -30,10 +30,35 @@ def _clamp(e: str) -> str:
     return f"CAST(greatest(-3, least(3, floor({e} + 0.5))) AS INTEGER)"
 
 
-def demo(subjects: int) -> str:
+def mix(x: str, name: str) -> str:
+    """Columns that end in ``name``, the mix of ``x``."""
+    shift = lambda v: f"(xor({v}, {v} >> 16) * {stats.MIX_FACTOR}) & {stats.MIX_MASK}"
+    return f"CAST({x} AS BIGINT) AS {name}_0, {shift(f'{name}_0')} AS {name}_1, {shift(f'{name}_1')} AS {name}_2, xor({name}_2, {name}_2 >> 16) AS {name}"
+
+
+def seed_of(test: str) -> str:
+    return f"CAST('0x' || substr(md5('{SEED}|' || {test}), 1, 8) AS BIGINT)"
+
+
+def _z(c: str) -> str:
+    return f"coalesce(round(({c} - avg({c}) OVER y) / nullif(stddev_samp({c}) OVER y, 0), 6), 0.0) AS z_{c}"
+
+
+#: The orders as diaries of years.
+DIARY = f"""
+do1 AS (SELECT CAST(o_orderdate AS DATE) AS day, avg(o_totalprice) AS price, count(*) AS n, arg_max(o_orderpriority, struct_pack(a := o_totalprice, b := o_orderkey)) AS top FROM orders GROUP BY 1),
+dl1 AS (SELECT CAST(l_shipdate AS DATE) AS day, avg(l_quantity) AS quantity, avg(l_discount) AS discount, avg(l_tax) AS tax, count(*) AS lines FROM lineitem GROUP BY 1),
+dz1 AS (SELECT *, {", ".join(map(_z, ("price", "n", "quantity", "discount", "tax")))} FROM (SELECT *, CAST(year(day) AS VARCHAR) AS subject_id FROM do1 LEFT JOIN dl1 USING (day)) WINDOW y AS (PARTITION BY subject_id)),
+dd1 AS (SELECT a.*, CAST(isodow(a.day) >= 6 AS INTEGER) AS we, coalesce(b.z_quantity, 0.0) AS driver FROM dz1 a LEFT JOIN dz1 b ON b.subject_id = a.subject_id AND b.day = a.day - 2),
+diary AS (SELECT subject_id, day, {_clamp("round(we - CASE WHEN top = '1-URGENT' THEN 1.4::DOUBLE ELSE 0 END + 0.8::DOUBLE * z_price, 6)")} AS mood, {_clamp("round(0.9::DOUBLE * driver + 0.7::DOUBLE * z_n, 6)")} AS energy, lower(top) AS tag,
+  CASE WHEN lines % 11 > 0 THEN round(420 + 55 * z_quantity, 6) END AS sleep_minutes, CASE WHEN lines IS NOT NULL THEN round(250 + 60 * z_discount, 6) END AS screen_minutes, CAST(lines AS DOUBLE) AS unlock_count,
+  CASE WHEN z_tax > -1 THEN round(7000 + 2500 * z_tax, 6) END AS steps FROM dd1)"""
+
+
+def demo() -> str:
     w = "OVER (PARTITION BY subject_id ORDER BY i)"
     return f"""
-d0 AS (SELECT 's' || (id // 121) AS subject_id, CAST(id % 121 AS INTEGER) AS i, DATE '2026-01-05' + CAST(id % 121 AS INTEGER) AS day FROM range({subjects * 121}) AS r(id)),
+d0 AS (SELECT subject_id, CAST(i AS INTEGER) AS i, DATE '2026-01-05' + CAST(i AS INTEGER) AS day FROM (SELECT DISTINCT CAST(user_id AS VARCHAR) AS subject_id FROM events), range(121) AS r(i)),
 d1 AS (SELECT *, isodow(day) >= 6 AS weekend FROM d0),
 d2 AS (SELECT *, CAST(weekend AS INTEGER) AS we, (weekend AND {_du("d1")} < 0.55) OR {_du("d2")} < 0.08 AS drank FROM d1),
 d3 AS (SELECT *, CAST(coalesce(lag(drank) {w}, false) AS INTEGER) AS db FROM d2),
@@ -48,7 +73,7 @@ demo AS (SELECT subject_id, i, day, we, {_clamp(f"round(0.4 * driver + we * 1.0
   greatest(0.0, round(7000 + {_dg("steps")} * 2500, 6)) AS steps, CASE WHEN {_du("t2")} < 0.3 THEN round(35 + {_dg("exercise")} * 12, 6) ELSE 0.0 END AS exercise_minutes FROM d5)"""
 
 
-_LONG = " UNION ALL ".join(f"SELECT subject_id, '{k}' AS metric_key, day, CAST({k} AS DOUBLE) AS value FROM demo" for k, _, _ in METRICS[:7])
+_LONG = " UNION ALL ".join(f"SELECT subject_id, '{k}' AS metric_key, day, {k} AS value FROM diary WHERE {k} IS NOT NULL" for k in ("sleep_minutes", "steps"))
 
 
 def debt(source: str) -> str:
@@ -60,11 +85,11 @@ based AS (SELECT *, CASE WHEN count(*) {frame.format(27)} >= 7 THEN quantile_con
 debts AS (SELECT subject_id, day, list_sum(list_transform(nights, lambda x: greatest(0.0, baseline - x))) AS debt FROM based WHERE total >= 14 AND len(nights) = 3 AND baseline IS NOT NULL)"""
 
 
-DEMO_INPUT = f"""{demo(1)},
-outcomes AS (SELECT subject_id, 'mood' AS metric_key, day, CAST(mood AS DOUBLE) AS value FROM demo UNION ALL SELECT subject_id, 'energy', day, CAST(energy AS DOUBLE) FROM demo),
-nights_in AS (SELECT subject_id, day, sleep_minutes AS value FROM demo), {debt("nights_in")},
+DIARY_INPUT = f"""{DIARY},
+outcomes AS (SELECT subject_id, 'mood' AS metric_key, day, CAST(mood AS DOUBLE) AS value FROM diary UNION ALL SELECT subject_id, 'energy', day, CAST(energy AS DOUBLE) FROM diary),
+nights_in AS (SELECT subject_id, day, sleep_minutes AS value FROM diary WHERE sleep_minutes IS NOT NULL), {debt("nights_in")},
 predictors AS ({_LONG} UNION ALL SELECT subject_id, 'sleep_debt_3d', day, debt FROM debts),
-tags AS (SELECT DISTINCT subject_id, unnest(tags) AS tag, day FROM demo)"""
+tags AS (SELECT subject_id, tag, day FROM diary)"""
 
 
 def events_input(by_user: bool, outcome: str, predictor: str) -> str:
@@ -221,9 +246,12 @@ def comparisons(p: str, kind: str) -> str:
 {adjust(f"{p}_1", f"{p}_2", GROUP, "y", "ry", kind == "TAG")},
 {p}_rows AS (SELECT *, row_number() OVER (PARTITION BY {GROUP} ORDER BY day) - 1 AS pos FROM {p}_2),
 {p}_e AS (SELECT {GROUP}, CAST(count(*) AS INTEGER) AS n, {s.format("ry")} AS effect, avg(y) FILTER (inside = 1) - avg(y) FILTER (inside = 0) AS raw_difference FROM {p}_rows GROUP BY ALL),
-{p}_b1 AS (SELECT {by}, n, pos, ry, inside, CASE WHEN pos = 0 OR {u("test_id", "draw", "pos")} <= 1.0 / greatest(1, least({BLOCK.format("n")}, greatest(1, n // 2))) THEN 1 ELSE 0 END AS st FROM {p}_rows, range(300) AS d(draw)),
-{p}_b2 AS (SELECT *, sum(st) OVER (PARTITION BY {by} ORDER BY pos) AS block FROM {p}_b1),
-{p}_b3 AS (SELECT *, row_number() OVER (PARTITION BY {by} ORDER BY {n32("test_id", "draw", "CAST(block AS BIGINT)", "'k'")}, block, pos) - 1 AS place FROM {p}_b2),
+{p}_h AS (SELECT {GROUP}, n, draw, {mix("xor(h0, draw)", "h")} FROM (SELECT DISTINCT {GROUP}, n, {seed_of("test_id")} AS h0 FROM {p}_rows), range(300) AS d(draw)),
+{p}_b0 AS (SELECT h.subject_id, h.outcome, h.grp, h.test_id, h.draw, h.n, h, r.pos, r.ry, r.inside, {mix("xor(h, r.pos)", "g")} FROM {p}_h h JOIN {p}_rows r USING ({GROUP})),
+{p}_b1 AS (SELECT {by}, n, h, pos, ry, inside, CASE WHEN pos = 0 OR g / 4294967296.0::DOUBLE <= 1.0::DOUBLE / greatest(1, least({BLOCK.format("n")}, greatest(1, n // 2))) THEN 1 ELSE 0 END AS st FROM {p}_b0),
+{p}_b2 AS (SELECT *, CAST(sum(st) OVER (PARTITION BY {by} ORDER BY pos) AS BIGINT) AS block FROM {p}_b1),
+{p}_b2k AS (SELECT *, {mix("xor(h, block)", "k1")}, {mix("xor(k1, 1)", "k2")} FROM {p}_b2),
+{p}_b3 AS (SELECT {by}, ry, row_number() OVER (PARTITION BY {by} ORDER BY k2, block, pos) - 1 AS place FROM {p}_b2k),
 {p}_b4 AS (SELECT a.{GROUP.replace(", ", ", a.")}, a.draw, a.ry, b.inside FROM {p}_b3 a JOIN {p}_rows b ON a.test_id = b.test_id AND a.subject_id = b.subject_id AND a.place = b.pos),
 {p}_b5 AS (SELECT {by}, {s.format("ry")} AS stat FROM {p}_b4 GROUP BY ALL),
 {p}_null AS (SELECT {GROUP}, CASE WHEN count(stat) >= 150 AND stddev_samp(stat) > 1e-12 THEN stddev_samp(stat) END AS null_sd FROM {p}_b5 GROUP BY ALL),
@@ -240,7 +268,7 @@ scored AS (SELECT *, CASE WHEN bh IS NULL OR p > bh THEN NULL WHEN p <= 0.05 / f
   CASE WHEN abs(effect) < 0.2 THEN NULL WHEN abs(effect) < 0.35 THEN 'weak' WHEN abs(effect) < 0.55 THEN 'moderate' ELSE 'strong' END AS strength FROM sc3)"""
 
 
-ALL_TESTS = f"""{DEMO_INPUT}, {aligned()}, {correlations()}, {comparisons("t", "TAG")}, {comparisons("w", "DAY_OF_WEEK")},
+ALL_TESTS = f"""{DIARY_INPUT}, {aligned()}, {correlations()}, {comparisons("t", "TAG")}, {comparisons("w", "DAY_OF_WEEK")},
 everything AS (SELECT subject_id, test_id, kind, outcome, predictor, lag, CAST(NULL AS VARCHAR) AS grp, n, effect, CAST(NULL AS DOUBLE) AS raw_difference, null_sd, {fz("effect")} AS te FROM c_tests
   UNION ALL SELECT subject_id, test_id, kind, outcome, NULL, NULL, grp, n, effect, raw_difference, null_sd, effect FROM t_tests
   UNION ALL SELECT subject_id, test_id, kind, outcome, NULL, NULL, grp, n, effect, raw_difference, null_sd, effect FROM w_tests), {scored("everything")}"""
@@ -251,13 +279,15 @@ def boot(rows: str, keep: str, a: str, b: str, reps: int, p: str) -> str:
     size = BLOCK.format("n")
     return f"""
 {p}_t AS (SELECT DISTINCT subject_id, test_id, n, {size} AS size FROM {rows} WHERE n >= 6 {keep}),
-{p}_i AS (SELECT subject_id, test_id, n, size, rep, i, i // size AS blk FROM {p}_t, range({reps}) AS r(rep), LATERAL (SELECT unnest(range(n)) AS i)),
-{p}_s AS (SELECT *, {n32("test_id", "rep", "blk")} % (n - size + 1) + i % size AS src FROM {p}_i),
+{p}_r AS (SELECT subject_id, test_id, n, size, rep, {mix("xor(h0, rep)", "h")} FROM (SELECT *, {seed_of("test_id")} AS h0 FROM {p}_t), range({reps}) AS r(rep)),
+{p}_k AS (SELECT subject_id, test_id, n, size, rep, blk, {mix("xor(h, blk)", "g")} FROM (SELECT *, unnest(range((n + size - 1) // size)) AS blk FROM {p}_r)),
+{p}_s AS (SELECT subject_id, test_id, rep, g % (n - size + 1) + j AS src FROM (SELECT *, unnest(range(size)) AS j FROM {p}_k) WHERE blk * size + j < n),
 {p}_pairs AS (SELECT s.subject_id, s.test_id, s.rep, r.{a} AS a, r.{b} AS b FROM {p}_s s JOIN {rows} r ON r.subject_id = s.subject_id AND r.test_id = s.test_id AND r.pos = s.src)"""
 
 
 _SDM = "CASE WHEN stddev_samp(a) > 1e-9 THEN (avg(a) FILTER (b = 1) - avg(a) FILTER (b = 0)) / stddev_samp(a) END"
-KEEP = "AND test_id IN (SELECT test_id FROM kept)"
+KEEP = "AND (subject_id, test_id) IN (SELECT (subject_id, test_id) FROM kept)"
+_ORDER = ", ".join(f"'{k}'" for k in ("mood", "energy", *[k for k, _, _ in METRICS], "sleep_debt_3d"))
 REPORT = f"""{ALL_TESTS},
 kept AS (SELECT * FROM scored WHERE confidence IS NOT NULL AND strength IS NOT NULL),
 g_rows AS (SELECT subject_id, test_id, pos, n, ry, inside FROM t_rows UNION ALL SELECT subject_id, test_id, pos, n, ry, inside FROM w_rows),
@@ -266,13 +296,13 @@ bq AS (SELECT subject_id, test_id, rep, {rank("a", "subject_id, test_id, rep")}
 br AS (SELECT subject_id, test_id, rep, {pearson("qa", "qb")} AS r FROM bq GROUP BY ALL),
 bs AS (SELECT subject_id, test_id, {fz("r")} AS s FROM br UNION ALL SELECT subject_id, test_id, s FROM (SELECT subject_id, test_id, rep, {_SDM} AS s FROM bg_pairs GROUP BY ALL)),
 se AS (SELECT subject_id, test_id, stddev_samp(s) AS se FROM bs GROUP BY ALL HAVING count(s) >= 500 AND stddev_samp(s) > 1e-12),
-{aligned("back", "predictors", "outcomes")}, {correlations("v", "back", False)},
+{aligned("back0", "predictors", "outcomes")}, back AS (SELECT * FROM back0 WHERE (subject_id, predictor, outcome, lag) IN (SELECT (subject_id, outcome, predictor, lag) FROM kept)), {correlations("v", "back", False)},
 rv AS (SELECT subject_id, predictor AS outcome, outcome AS predictor, lag, effect AS reverse FROM v_e WHERE lag > 0),
 f1 AS (SELECT k.*, s.se, rv.reverse, te - 1.959963984540054 * se AS lo, te + 1.959963984540054 * se AS hi, abs(effect) * CASE confidence WHEN 'CLEAR' THEN 1.0 ELSE 0.6 END AS score,
-  regexp_replace(test_id, '^(.*):lag.*$', '\\1') AS pair, CASE WHEN grp IS NULL THEN 0 WHEN kind = 'TAG' THEN 1 ELSE 2 END AS fam, list_position([{", ".join(f"'{w}'" for w in WEEKDAYS)}], grp) AS wd
+  regexp_replace(test_id, '^(.*):lag.*$', '\\1') AS pair, CASE WHEN grp IS NULL THEN 0 WHEN kind = 'TAG' THEN 1 ELSE 2 END AS fam, list_position([{", ".join(f"'{w}'" for w in WEEKDAYS)}], grp) AS wd, list_position([{_ORDER}], k.outcome) AS op, list_position([{_ORDER}], k.predictor) AS pp
   FROM kept k JOIN se s USING (subject_id, test_id) LEFT JOIN rv USING (subject_id, outcome, predictor, lag)),
-f2 AS (SELECT *, row_number() OVER (PARTITION BY subject_id, pair ORDER BY score DESC, outcome, fam, coalesce(predictor, ''), coalesce(lag, 0), coalesce(wd, 0), coalesce(grp, '')) AS nth FROM f1),
-f3 AS (SELECT *, row_number() OVER (PARTITION BY subject_id ORDER BY score DESC, outcome, fam, coalesce(predictor, ''), coalesce(lag, 0), coalesce(wd, 0), coalesce(grp, '')) AS place FROM f2 WHERE nth = 1),
+f2 AS (SELECT *, row_number() OVER (PARTITION BY subject_id, pair ORDER BY score DESC, op, fam, pp NULLS LAST, coalesce(lag, 0), wd NULLS LAST, coalesce(grp, '')) AS nth FROM f1),
+f3 AS (SELECT *, row_number() OVER (PARTITION BY subject_id ORDER BY score DESC, op, fam, pp NULLS LAST, coalesce(lag, 0), wd NULLS LAST, coalesce(grp, '')) AS place FROM f2 WHERE nth = 1),
 names(k, label) AS (VALUES {", ".join(f"('{k}', '{v}')" for k, v, _ in (*METRICS, ("mood", "Mood", ""), ("energy", "Energy", ""), ("sleep_debt_3d", "3-day sleep debt", "")))}),
 f4 AS (SELECT f3.*, o.label AS o, p.label AS pl, CASE WHEN grp IS NULL THEN tanh(lo) ELSE lo END AS ci_low, CASE WHEN grp IS NULL THEN tanh(hi) ELSE hi END AS ci_high, CASE WHEN effect >= 0 THEN 'higher' ELSE 'lower' END AS dir
   FROM f3 LEFT JOIN names o ON o.k = outcome LEFT JOIN names p ON p.k = predictor),
@@ -280,7 +310,7 @@ f5 AS (SELECT *, CASE kind WHEN 'SAME_DAY' THEN 'Higher ' || lower(pl) || ' goes
   WHEN 'LAGGED' THEN pl || ' ' || CASE WHEN lag = 1 THEN 'the day before' ELSE lag || ' days earlier' END || ' tracks ' || dir || ' ' || lower(o)
   WHEN 'SLEEP_DEBT' THEN 'Accumulated sleep debt tracks ' || dir || ' ' || lower(o) WHEN 'TAG' THEN o || ' runs ' || dir || ' on days tagged "' || grp || '"'
   ELSE o || ' tends to be ' || dir || ' on ' || grp || 's' END AS head FROM f4)
-SELECT CAST(place AS INTEGER) AS place, test_id, kind, upper(head[1]) || head[2:] AS headline,
+SELECT subject_id, CAST(place AS INTEGER) AS place, test_id, kind, upper(head[1]) || head[2:] AS headline,
   upper(strength[1]) || strength[2:] || CASE WHEN grp IS NULL THEN ' association (rho = ' || printf('%.2f', effect) ELSE ' difference (d = ' || printf('%.2f', effect) || ', about ' || printf('%.2f', abs(raw_difference)) || ' points on the scale' END
   || ', 95% CI ' || printf('%.2f', ci_low) || ' to ' || printf('%.2f', ci_high) || ', over ' || n || ' days). Adjusted for weekday/weekend and slow drift. This is an association in your own data, not evidence of cause.' AS detail,
   round(effect, 6) AS effect, round(ci_low, 6) AS ci_low, round(ci_high, 6) AS ci_high, n, confidence, strength,
@@ -290,7 +320,7 @@ SELECT CAST(place AS INTEGER) AS place, test_id, kind, upper(head[1]) || head[2:
     lambda x: x IS NOT NULL), ' / ') AS caveats FROM f5"""
 
 ORDERS = "orders_daily AS (SELECT o_orderpriority AS metric_key, CAST(o_orderdate AS DATE) AS day, avg(o_totalprice) AS value FROM orders GROUP BY ALL)"
-NIGHTS = f"{demo(4)}, nights AS (SELECT subject_id, day, sleep_minutes AS value FROM demo WHERE {u('subject_id', 'CAST(day AS VARCHAR)', chr(39) + 'gone' + chr(39))} >= 0.1)"
+NIGHTS = f"{DIARY}, nights AS (SELECT subject_id, day, sleep_minutes AS value FROM diary WHERE sleep_minutes IS NOT NULL)"
 HOURS = "INTERVAL (CASE user_id % 3 WHEN 0 THEN 0 WHEN 1 THEN -5 ELSE 9 END) HOUR"
 CHECK = f"""c AS (SELECT event_id AS id, user_id, ts, ['UTC', 'America/New_York', 'Asia/Tokyo'][user_id % 3 + 1] AS zone_id, CAST(ts + {HOURS} - INTERVAL 4 HOUR AS DATE) AS day,
   CAST(ts + {HOURS} AS DATE) AS sleep_day, {_clamp("(value - 50) / 20")} AS mood, {_clamp("(value - 30) / 15")} AS energy, event_type AS tag,
@@ -298,7 +328,7 @@ CHECK = f"""c AS (SELECT event_id AS id, user_id, ts, ['UTC', 'America/New_York'
 ct AS (SELECT id AS check_in_id, tag FROM c UNION ALL SELECT id, 'a,b' FROM c WHERE id % 5 = 0),
 own AS (SELECT check_in_id AS id, list_sort(list(DISTINCT tag)) AS tags FROM ct GROUP BY 1)"""
 _CELL = "CASE WHEN regexp_matches({0}, '[,\"\\n]') THEN '\"' || replace({0}, '\"', '\"\"') || '\"' ELSE {0} END"
-_BOOT = f"""{demo(2)}, rows AS (SELECT subject_id, 't:' || subject_id AS test_id, i AS pos, 121 AS n, sleep_minutes, CAST(energy AS DOUBLE) AS energy FROM demo), {boot("rows", "", "sleep_minutes", "energy", REPS, "b")},
+_BOOT = f"""{DIARY}, rows AS (SELECT subject_id, 't:' || subject_id AS test_id, row_number() OVER (PARTITION BY subject_id ORDER BY day) - 1 AS pos, count(*) OVER (PARTITION BY subject_id) AS n, sleep_minutes, CAST(energy AS DOUBLE) AS energy FROM diary WHERE sleep_minutes IS NOT NULL), {boot("rows", "", "sleep_minutes", "energy", REPS, "b")},
 stats AS (SELECT subject_id, CAST(rep AS INTEGER) AS rep, {pearson("a", "b")} AS r FROM b_pairs GROUP BY ALL)"""
 _PAIRS = f"WITH {EVENTS_INPUT}, {aligned('pairs0')}, pairs AS (SELECT subject_id, outcome, predictor, lag, day, weekend, round(y, 9) AS y, round(x, 9) AS x FROM pairs0)"
 _STRENGTH = "CASE WHEN abs(effect) < 0.2 THEN NULL WHEN abs(effect) < 0.35 THEN 'weak' WHEN abs(effect) < 0.55 THEN 'moderate' ELSE 'strong' END"
@@ -315,8 +345,8 @@ def oracle_sql() -> dict[str, str]:
         "daily_mean": f"WITH {EVENTS_INPUT} SELECT subject_id, metric_key, day, round(value, 6) AS value FROM ev",
         "tag_days": "SELECT DISTINCT user_id, event_type AS tag, CAST(ts AS DATE) AS day FROM events",
         "day_boundary": f"WITH {CHECK} SELECT id, day, sleep_day FROM c",
-        "unpivot_metrics": f"WITH {demo(3)}, long AS ({_LONG}) SELECT subject_id, metric_key, day, round(value, 6) AS value FROM long",
-        "demo_seed": f"WITH {demo(5)} SELECT subject_id, i, day, mood, energy, array_to_string(tags, ';') AS tags, round(sleep_minutes, 6) AS sleep_minutes, unlock_count, round(exercise_minutes, 6) AS exercise_minutes FROM demo",
+        "unpivot_metrics": f"WITH {DIARY}, long AS ({_LONG} UNION ALL SELECT subject_id, 'screen_minutes', day, screen_minutes FROM diary WHERE screen_minutes IS NOT NULL UNION ALL SELECT subject_id, 'unlock_count', day, unlock_count FROM diary WHERE unlock_count IS NOT NULL) SELECT subject_id, metric_key, day, round(value, 6) AS value FROM long",
+        "demo_seed": f"WITH {demo()} SELECT subject_id, i, day, mood, energy, array_to_string(tags, ';') AS tags, round(sleep_minutes, 6) AS sleep_minutes, unlock_count, round(exercise_minutes, 6) AS exercise_minutes FROM demo",
         "lag_align": f"WITH {EVENTS_INPUT}, {aligned()} SELECT outcome, predictor, lag, day, round(y, 6) AS y, round(x, 6) AS x, weekend FROM pairs",
         "weekend_flag": f"SELECT day, isodow(day) >= 6 AS weekend, [{days}][isodow(day)] AS name, CAST(day - DATE '1970-01-01' AS INTEGER) AS epoch_day FROM (SELECT DISTINCT CAST(o_orderdate AS DATE) AS day FROM orders)",
         "avg_rank": f"SELECT event_id, {rank('floor(value)', 'event_type')} AS rnk FROM events",
@@ -334,24 +364,25 @@ def oracle_sql() -> dict[str, str]:
         "residuals": f"WITH {EVENTS_INPUT}, {aligned()}, {correlations(null=False)} SELECT outcome, predictor, lag, day, round(rx, 6) AS rx, round(ry, 6) AS ry FROM c_rows",
         "residuals_of_many": f"WITH {EVENTS_INPUT}, {aligned()}, aged AS (SELECT *, day - DATE '2020-01-01' AS age FROM pairs), {adjust_many('aged', 'fitted', 'subject_id, outcome, predictor, lag', 'y', ['weekend', 'x', 'age'], 'res')} "
         "SELECT outcome, predictor, lag, day, round(res, 6) AS res FROM fitted",
-        "circular_shift": f"WITH {demo(3)} SELECT subject_id, (i + 3) % 121 AS pos, mood FROM demo",
-        "block_permute": f"WITH {demo(2)}, r AS (SELECT subject_id, 't:' || subject_id AS test_id, i AS pos, CAST(energy AS DOUBLE) AS ry, CAST(draw AS INTEGER) AS draw FROM demo, range({THRESHOLDS.null_samples}) AS d(draw)), "
-        f"a AS (SELECT *, CASE WHEN pos = 0 OR {u('test_id', 'draw', 'pos')} <= 1.0 / {BLOCK.format('121')} THEN 1 ELSE 0 END AS st FROM r), b AS (SELECT *, CAST(sum(st) OVER (PARTITION BY test_id, draw ORDER BY pos) AS BIGINT) AS block FROM a) "
-        f"SELECT subject_id, draw, CAST(row_number() OVER (PARTITION BY test_id, draw ORDER BY {n32('test_id', 'draw', 'block', chr(39) + 'k' + chr(39))}, block, pos) - 1 AS INTEGER) AS pos, ry AS value FROM b",
+        "circular_shift": f"WITH {DIARY} SELECT subject_id, CAST((row_number() OVER w - 1 + 3) % count(*) OVER (PARTITION BY subject_id) AS INTEGER) AS pos, mood FROM diary WINDOW w AS (PARTITION BY subject_id ORDER BY day)",
+        "block_permute": f"WITH {DIARY}, r AS (SELECT subject_id, 't:' || subject_id AS test_id, row_number() OVER (PARTITION BY subject_id ORDER BY day) - 1 AS pos, count(*) OVER (PARTITION BY subject_id) AS n, CAST(energy AS DOUBLE) AS ry FROM diary), "
+        f"h AS (SELECT subject_id, n, draw, {mix('xor(h0, draw)', 'h')} FROM (SELECT DISTINCT subject_id, n, {seed_of('test_id')} AS h0 FROM r), range({THRESHOLDS.null_samples}) AS d(draw)), g AS (SELECT h.subject_id, h.n, draw, h, pos, ry, {mix('xor(h, pos)', 'g')} FROM h JOIN r USING (subject_id)), "
+        f"b AS (SELECT *, CAST(sum(CASE WHEN pos = 0 OR g / 4294967296.0::DOUBLE <= 1.0::DOUBLE / {BLOCK.format('n')} THEN 1 ELSE 0 END) OVER (PARTITION BY subject_id, draw ORDER BY pos) AS BIGINT) AS block FROM g), k AS (SELECT *, {mix('xor(h, block)', 'k1')}, {mix('xor(k1, 1)', 'k2')} FROM b), "
+        "o AS (SELECT subject_id, draw, ry, row_number() OVER (PARTITION BY subject_id, draw ORDER BY k2, block, pos) AS place FROM k) SELECT subject_id, CAST(draw AS INTEGER) AS draw, sum(ry * place) AS weighed FROM o GROUP BY ALL",
         "block_bootstrap": f"WITH {_BOOT} SELECT subject_id, rep, round(r, 6) AS r FROM stats",
         "quantile_ci": f"WITH {_BOOT} SELECT subject_id, round(quantile_cont(r, 0.025), 6) AS low, round(quantile_cont(r, 0.975), 6) AS high FROM stats GROUP BY 1",
         "se_interval": f"WITH {_BOOT}, e AS (SELECT subject_id, {fz('avg(r)')} AS m, stddev_samp({fz('r')}) AS se FROM stats GROUP BY 1) SELECT subject_id, round(tanh(m - 1.959963984540054 * se), 6) AS low, round(tanh(m + 1.959963984540054 * se), 6) AS high, "
         f"round(greatest(0.0, least(1.0, 2 * (1 - {ncdf('(abs(m) / se)')}))), 6) AS p FROM e",
         "rotation_null": f"{_EVENT_TESTS} SELECT test_id, n, round(effect, 6) AS effect, round(null_sd, 6) AS null_sd, 'exact' AS null_method FROM c_tests",
         "rotation_null_by_user": f"""WITH {USERS_INPUT}, {aligned()}, {correlations()} SELECT subject_id, test_id, n, round(effect, 6) AS effect, round(null_sd, 6) AS null_sd FROM c_tests""",
-        "block_null": f"WITH {DEMO_INPUT}, {comparisons('w', 'DAY_OF_WEEK')} SELECT test_id, n, round(effect, 6) AS effect, round(null_sd, 6) AS null_sd FROM w_tests",
+        "block_null": f"WITH {DIARY_INPUT}, {comparisons('w', 'DAY_OF_WEEK')} SELECT subject_id, test_id, n, round(effect, 6) AS effect, round(null_sd, 6) AS null_sd FROM w_tests",
         "normal_curve": f"WITH e AS (SELECT event_id, (value - 50) / 25 AS z, (event_id % 997 + 1) / 998.0::DOUBLE AS p, event_id % 500 + 4 AS n FROM events) SELECT event_id, round({ncdf('z')}, 6) AS cdf, round({nquant('p')}, 6) AS quantile, round({t_sf('z')}, 6) AS t_sf, round({fz('(z / 4)')}, 6) AS fz, {BLOCK.format('n')} AS block, CAST(greatest(3, (n - 4) // 20) AS INTEGER) AS margin FROM e",
         "corr_tests": f"{_EVENT_TESTS}, te AS (SELECT *, {fz('effect')} AS te FROM c_tests), {scored('te')} SELECT test_id, kind, n, round(effect, 6) AS effect, round(p, 6) AS p, strength, confidence FROM scored",
         "bh_threshold": "WITH t AS (SELECT user_id, event_id, ((event_id * 7919) % 1000 / 1000.0::DOUBLE) AS v FROM events), p AS (SELECT *, v * v * v AS p FROM t), k AS (SELECT *, count(*) OVER (PARTITION BY user_id) AS family, row_number() OVER (PARTITION BY user_id ORDER BY p) AS k FROM p), "
         "b AS (SELECT *, max(CASE WHEN p <= k / family * 0.1::DOUBLE THEN p END) OVER (PARTITION BY user_id) AS bh FROM k) SELECT event_id, CAST(family AS INTEGER) AS family, round(bh, 6) AS bh, CASE WHEN bh IS NULL OR p > bh THEN NULL WHEN p <= 0.05::DOUBLE / family THEN 'CLEAR' ELSE 'TENTATIVE' END AS confidence FROM b",
-        "tag_tests": f"WITH {DEMO_INPUT}, {comparisons('t', 'TAG')}, te AS (SELECT *, effect AS te FROM t_tests), {scored('te')} SELECT test_id, n, round(effect, 6) AS effect, round(raw_difference, 6) AS raw_difference, round(p, 6) AS p, confidence FROM scored",
-        "dow_tests": f"WITH {DEMO_INPUT}, {comparisons('w', 'DAY_OF_WEEK')}, te AS (SELECT *, effect AS te FROM w_tests), {scored('te')} SELECT test_id, n, round(effect, 6) AS effect, round(raw_difference, 6) AS raw_difference, round(p, 6) AS p, confidence FROM scored",
-        "reverse_check": f"WITH {DEMO_INPUT}, {aligned('back', 'predictors', 'outcomes')}, {correlations('v', 'back', False)} SELECT predictor AS outcome, outcome AS predictor, lag, round(effect, 6) AS reverse FROM v_e WHERE lag > 0",
+        "tag_tests": f"WITH {DIARY_INPUT}, {comparisons('t', 'TAG')}, te AS (SELECT *, effect AS te FROM t_tests), {scored('te')} SELECT subject_id, test_id, n, round(effect, 6) AS effect, round(raw_difference, 6) AS raw_difference, round(p, 6) AS p, confidence FROM scored",
+        "dow_tests": f"WITH {DIARY_INPUT}, {comparisons('w', 'DAY_OF_WEEK')}, te AS (SELECT *, effect AS te FROM w_tests), {scored('te')} SELECT subject_id, test_id, n, round(effect, 6) AS effect, round(raw_difference, 6) AS raw_difference, round(p, 6) AS p, confidence FROM scored",
+        "reverse_check": f"WITH {DIARY_INPUT}, {aligned('back', 'predictors', 'outcomes')}, {correlations('v', 'back', False)} SELECT subject_id, predictor AS outcome, outcome AS predictor, lag, round(effect, 6) AS reverse FROM v_e WHERE lag > 0",
         "strength_bands": f"WITH l AS (SELECT l_orderkey, l_linenumber, round(l_discount * 10 - 0.5, 6) AS effect FROM lineitem) SELECT l_orderkey, l_linenumber, {_STRENGTH} AS strength, CASE WHEN effect >= 0 THEN 'higher' ELSE 'lower' END AS direction, round(abs(effect) * CASE WHEN l_linenumber % 2 = 0 THEN 1.0::DOUBLE ELSE 0.6::DOUBLE END, 6) AS score, CASE WHEN l_linenumber = 1 THEN 'the day before' ELSE l_linenumber || ' days earlier' END AS phrase FROM l",
         "dedupe_rank": "SELECT 'corr:' || l_orderkey AS pair, 'corr:' || l_orderkey || ':lag' || arg_max(l_linenumber, struct_pack(a := l_discount, b := -l_linenumber)) AS test_id FROM lineitem GROUP BY l_orderkey",
         "student_t": """WITH e AS (SELECT event_id, (value - 50) / 25 AS t, event_id % 40 + 1 AS df, (event_id % 97 + 1) / 7.0::DOUBLE AS x FROM events),
@@ -365,7 +396,7 @@ def oracle_sql() -> dict[str, str]:
   r AS (SELECT subject_id, id, label, days AS days_available, need AS days_required FROM a, g WHERE days < need UNION ALL SELECT subject_id, 'sleep', 'Sleep effects', 0, 21 FROM a)
   SELECT *, greatest(0, days_required - days_available) AS days_remaining, round(greatest(0.0, least(1.0, days_available / days_required)), 6) AS progress FROM r""",
         "report": f"WITH {REPORT}",
-        "report_tests": f"WITH {ALL_TESTS} SELECT test_id, kind, n, round(effect, 6) AS effect, round(null_sd, 6) AS null_sd, round(p, 6) AS p, CAST(family AS INTEGER) AS family, confidence FROM scored",
+        "report_tests": f"WITH {ALL_TESTS} SELECT subject_id, test_id, kind, n, round(effect, 6) AS effect, round(null_sd, 6) AS null_sd, round(p, 6) AS p, CAST(family AS INTEGER) AS family, confidence FROM scored",
         "csv_export": f"WITH {CHECK} SELECT id, concat_ws(',', CAST(day AS VARCHAR), CAST(epoch_us(ts) // 1000 AS VARCHAR), zone_id, CAST(mood AS VARCHAR), CAST(energy AS VARCHAR), {_CELL.format(chr(40) + 'array_to_string(tags, ' + chr(39) + ';' + chr(39) + '))')}, {_CELL.format(chr(40) + 'coalesce(note, ' + chr(39) * 2 + '))')}) AS line FROM c JOIN own USING (id)",
         "json_export": f"WITH {CHECK} SELECT id, CAST(to_json({{'timestampUtc': epoch_us(ts) // 1000, 'zoneId': zone_id, 'localDate': CAST(day AS VARCHAR), 'mood': mood, 'energy': energy, 'note': note, 'tags': tags}}) AS VARCHAR) AS json FROM c JOIN own USING (id)",
         "upsert_latest": "SELECT user_id, event_type, max(event_id) AS event_id, arg_max(value, event_id) AS value FROM events GROUP BY 1, 2",

@@ -38,8 +38,13 @@ def _orders(spark: SparkSession, d: str) -> DataFrame:
     return series.daily_mean(rows, ["metric_key"], "day", F.col("value"))
 
 
-def _demo(spark: SparkSession) -> tuple[DataFrame, DataFrame, DataFrame]:
-    return tables.demo_series(tables.demo(spark))
+def _diary(spark: SparkSession, d: str) -> DataFrame:
+    return tables.diary(read(spark, d, "orders"), read(spark, d, "lineitem"))
+
+
+def _inputs(spark: SparkSession, d: str) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """(outcomes, predictors, tags) of the orders' diaries; the number of unlocks and screen time stay out of the tests."""
+    return tables.demo_series(_diary(spark, d).drop("unlock_count", "screen_minutes"))
 
 
 def daily_mean(s, d):
@@ -57,11 +62,13 @@ def day_boundary(s, d):
 
 
 def unpivot_metrics(s, d):
-    return series.unpivot_metrics(tables.demo(s, 3), ["subject_id"]).select("subject_id", "metric_key", "day", _r("value"))
+    return series.unpivot_metrics(_diary(s, d), ["subject_id"]).select("subject_id", "metric_key", "day", _r("value"))
 
 
 def demo_seed(s, d):
-    return tables.demo(s, 5).select("subject_id", "i", "day", "mood", "energy", F.concat_ws(";", "tags").alias("tags"), _r("sleep_minutes"), "unlock_count", _r("exercise_minutes"))
+    """A demonstration history for every user of the events."""
+    users = read(s, d, "events").select(F.col("user_id").cast("string").alias("subject_id")).distinct()
+    return tables.demo(s, users).select("subject_id", "i", "day", "mood", "energy", F.concat_ws(";", "tags").alias("tags"), _r("sleep_minutes"), "unlock_count", _r("exercise_minutes"))
 
 
 def lag_align(s, d):
@@ -105,17 +112,16 @@ def trailing_mean(s, d):
     return windows.trailing_mean(_orders(s, d), ["metric_key"]).select("metric_key", "day", _r("mean"))
 
 
-def _nights(s):
-    seen = stats.uniform(THRESHOLDS.seed, F.col("subject_id"), F.col("day"), F.lit("gone")) >= 0.1
-    return tables.demo(s, 4).select("subject_id", "day", F.col("sleep_minutes").alias("value")).filter(seen)
+def _nights(s, d):
+    return _diary(s, d).select("subject_id", "day", F.col("sleep_minutes").alias("value")).filter("value IS NOT NULL")
 
 
 def sleep_baseline(s, d):
-    return windows.sleep_baseline(_nights(s), ["subject_id"]).select("subject_id", "day", _r("baseline"))
+    return windows.sleep_baseline(_nights(s, d), ["subject_id"]).select("subject_id", "day", _r("baseline"))
 
 
 def sleep_debt(s, d):
-    return windows.sleep_debt(_nights(s), ["subject_id"]).select("subject_id", "day", _r("debt"))
+    return windows.sleep_debt(_nights(s, d), ["subject_id"]).select("subject_id", "day", _r("debt"))
 
 
 def line_segments(s, d):
@@ -144,40 +150,42 @@ def residuals_of_many(s, d):
 
 
 def circular_shift(s, d):
-    packed = resample.gathered(tables.demo(s, 3), ["subject_id"], ["mood"])
+    packed = resample.gathered(_diary(s, d), ["subject_id"], ["mood"])
     values = F.transform("rows", lambda r: r["mood"])
     return packed.select("subject_id", F.posexplode(resample.circular_shift(values, F.lit(-3))).alias("pos", "mood"))
 
 
-def _energy(s):
-    return tables.demo(s, 2).select("subject_id", F.concat(F.lit("t:"), F.col("subject_id")).alias("test_id"), "day", F.col("energy").cast("double").alias("ry"))
+def _energy(s, d):
+    return _diary(s, d).select("subject_id", F.concat(F.lit("t:"), F.col("subject_id")).alias("test_id"), "day", F.col("energy").cast("double").alias("ry"))
 
 
 def block_permute(s, d):
+    """Of each draw, the sum of the values by their places, which tells orders apart."""
     keys = ["subject_id", "test_id"]
-    out = resample.block_permuted(resample.gathered(_energy(s), keys, ["ry"]), keys, THRESHOLDS.null_samples, THRESHOLDS.seed)
-    return out.select("subject_id", "draw", F.posexplode("values").alias("pos", "value"))
+    out = resample.block_permuted(resample.gathered(_energy(s, d), keys, ["ry"]), keys, THRESHOLDS.null_samples, THRESHOLDS.seed)
+    weighed = F.aggregate(F.transform("values", lambda v, i: v * (i + 1)), F.lit(0.0), lambda a, v: a + v)
+    return out.select("subject_id", "draw", weighed.alias("weighed"))
 
 
-def _boot(s):
-    rows = tables.demo(s, 2).select("subject_id", F.concat(F.lit("t:"), F.col("subject_id")).alias("test_id"), "day", "sleep_minutes", F.col("energy").cast("double").alias("energy"))
+def _boot(s, d):
+    rows = _diary(s, d).filter("sleep_minutes IS NOT NULL").select("subject_id", F.concat(F.lit("t:"), F.col("subject_id")).alias("test_id"), "day", "sleep_minutes", F.col("energy").cast("double").alias("energy"))
     keys = ["subject_id", "test_id"]
     drawn = resample.block_bootstrap(resample.gathered(rows, keys, ["sleep_minutes", "energy"]), keys, "sleep_minutes", "energy", REPS, THRESHOLDS.seed)
     return drawn.groupBy("subject_id", "rep").agg(stats.pearson(F.col("a"), F.col("b")).alias("r"))
 
 
 def block_bootstrap(s, d):
-    return _boot(s).select("subject_id", "rep", _r("r"))
+    return _boot(s, d).select("subject_id", "rep", _r("r"))
 
 
 def quantile_ci(s, d):
     q = F.percentile("r", F.array(F.lit(0.025), F.lit(0.975)))
-    return _boot(s).groupBy("subject_id").agg(q.alias("q")).select("subject_id", _r(F.get("q", 0), "low"), _r(F.get("q", 1), "high"))
+    return _boot(s, d).groupBy("subject_id").agg(q.alias("q")).select("subject_id", _r(F.get("q", 0), "low"), _r(F.get("q", 1), "high"))
 
 
 def se_interval(s, d):
     z = stats.fisher_z(F.col("r"))
-    out = _boot(s).groupBy("subject_id").agg(F.avg("r").alias("m"), F.stddev_samp(z).alias("se"))
+    out = _boot(s, d).groupBy("subject_id").agg(F.avg("r").alias("m"), F.stddev_samp(z).alias("se"))
     side = lambda k: stats.inverse_fisher_z(stats.fisher_z(F.col("m")) + k * engine.Z_DISPLAY * F.col("se"))
     return out.select("subject_id", _r(side(-1), "low"), _r(side(1), "high"), _r(stats.bootstrap_p(stats.fisher_z(F.col("m")), F.col("se")), "p"))
 
@@ -195,9 +203,9 @@ def rotation_null_by_user(s, d):
 
 
 def block_null(s, d):
-    o, _, _ = _demo(s)
+    o, _, _ = _inputs(s, d)
     tests, _ = engine.group_tests(association.weekday_rows(o), "DAY_OF_WEEK")
-    return tests.select("test_id", "n", _r("effect"), _r("null_sd"))
+    return tests.select("subject_id", "test_id", "n", _r("effect"), _r("null_sd"))
 
 
 def normal_curve(s, d):
@@ -226,22 +234,22 @@ def bh_threshold(s, d):
 
 
 def _group(s, d, kind):
-    o, _, t = _demo(s)
+    o, _, t = _inputs(s, d)
     rows = association.tag_rows(o, t) if kind == "TAG" else association.weekday_rows(o)
     return engine.scored(engine.group_tests(rows, kind)[0])
 
 
 def tag_tests(s, d):
-    return _group(s, d, "TAG").select("test_id", "n", _r("effect"), _r("raw_difference"), _r("p"), "confidence")
+    return _group(s, d, "TAG").select("subject_id", "test_id", "n", _r("effect"), _r("raw_difference"), _r("p"), "confidence")
 
 
 def dow_tests(s, d):
-    return _group(s, d, "DAY_OF_WEEK").select("test_id", "n", _r("effect"), _r("raw_difference"), _r("p"), "confidence")
+    return _group(s, d, "DAY_OF_WEEK").select("subject_id", "test_id", "n", _r("effect"), _r("raw_difference"), _r("p"), "confidence")
 
 
 def reverse_check(s, d):
-    o, p, _ = _demo(s)
-    return association.reverse_checks(o, p).select("outcome", "predictor", "lag", _r("reverse"))
+    o, p, _ = _inputs(s, d)
+    return association.reverse_checks(o, p).select("subject_id", "outcome", "predictor", "lag", _r("reverse"))
 
 
 def strength_bands(s, d):
@@ -262,13 +270,13 @@ def pending(s, d):
 
 
 def report(s, d):
-    out = engine.analyse(*_demo(s), tables.metric_labels(s)).insights
-    return out.select("place", "test_id", "kind", "headline", "detail", _r("effect"), _r("ci_low"), _r("ci_high"), "n", "confidence", "strength", F.concat_ws(" / ", "caveats").alias("caveats"))
+    out = engine.analyse(*_inputs(s, d), tables.metric_labels(s)).insights
+    return out.select("subject_id", "place", "test_id", "kind", "headline", "detail", _r("effect"), _r("ci_low"), _r("ci_high"), "n", "confidence", "strength", F.concat_ws(" / ", "caveats").alias("caveats"))
 
 
 def report_tests(s, d):
-    out = engine.analyse(*_demo(s), tables.metric_labels(s)).tests
-    return out.select("test_id", "kind", "n", _r("effect"), _r("null_sd"), _r("p"), F.col("family").cast("int").alias("family"), "confidence")
+    out = engine.analyse(*_inputs(s, d), tables.metric_labels(s)).tests
+    return out.select("subject_id", "test_id", "kind", "n", _r("effect"), _r("null_sd"), _r("p"), F.col("family").cast("int").alias("family"), "confidence")
 
 
 def _tagged(s, d):

@@ -43,16 +43,50 @@ def default_tags(spark: SparkSession) -> DataFrame:
 
 
 def metric_labels(spark: SparkSession) -> DataFrame:
-    extra = [("mood", "Mood"), ("energy", "Energy"), ("sleep_debt_3d", "3-day sleep debt")]
-    return spark.createDataFrame([(k, label) for k, label, _ in METRICS] + extra, "metric_key string, label string")
+    """(metric_key, label, position): the order in which outcomes and predictors are examined."""
+    known = [("mood", "Mood"), ("energy", "Energy"), *[(k, label) for k, label, _ in METRICS], ("sleep_debt_3d", "3-day sleep debt")]
+    return spark.createDataFrame([(k, label, i) for i, (k, label) in enumerate(known)], "metric_key string, label string, position int")
 
 
-def demo(spark: SparkSession, subjects: int = 1, days: int = 121, seed: int = THRESHOLDS.seed, start: str = "2026-01-05") -> DataFrame:
-    """One row per subject and day with known effects: sleep two nights before and drinking the day before move energy, sleep and weekends move mood.
+def diary(orders: DataFrame, lineitem: DataFrame) -> DataFrame:
+    """The given orders as diaries of years, a row a day: stored metrics, mood, energy and tags.
+
+    Metrics are the day's lines and orders against their year; a night of which the lines are a multiple of eleven was not
+    measured. Energy follows sleep two nights before, mood weekends and days on which an urgent order was the largest.
+    """
+    day = F.col("o_orderdate").cast("date")
+    o = orders.groupBy(day.alias("day")).agg(F.avg("o_totalprice").alias("price"), F.count(F.lit(1)).alias("n"), F.max_by("o_orderpriority", F.struct("o_totalprice", "o_orderkey")).alias("top"))
+    lines = lineitem.groupBy(F.col("l_shipdate").cast("date").alias("day")).agg(F.avg("l_quantity").alias("quantity"), F.avg("l_discount").alias("discount"), F.avg("l_tax").alias("tax"), F.count(F.lit(1)).alias("lines"))
+    df = o.join(lines, "day", "left").withColumn("subject_id", F.year("day").cast("string"))
+    year = Window.partitionBy("subject_id")
+    z = lambda c: F.coalesce(F.round((F.col(c) - F.avg(c).over(year)) / F.nullif(F.stddev_samp(c).over(year), F.lit(0.0)), 6), F.lit(0.0))
+    df = df.withColumns({f"z_{c}": z(c) for c in ("price", "n", "quantity", "discount", "tax")})
+    before = Window.partitionBy("subject_id").orderBy(F.unix_date("day")).rangeBetween(-2, -2)
+    df = df.withColumn("driver", F.coalesce(F.max("z_quantity").over(before), F.lit(0.0)))
+    seen = F.col("lines").isNotNull()
+    urgent = (F.col("top") == "1-URGENT").cast("int")
+    return df.select(
+        "subject_id",
+        "day",
+        clamp_scale(F.round(is_weekend(F.col("day")).cast("int") - 1.4 * urgent + 0.8 * F.col("z_price"), 6)).alias("mood"),
+        clamp_scale(F.round(0.9 * F.col("driver") + 0.7 * F.col("z_n"), 6)).alias("energy"),
+        F.array(F.lower("top")).alias("tags"),
+        F.when(seen & (F.col("lines") % 11 > 0), F.round(420 + 55 * F.col("z_quantity"), 6)).alias("sleep_minutes"),
+        F.when(seen, F.round(250 + 60 * F.col("z_discount"), 6)).alias("screen_minutes"),
+        F.lit(None).cast("double").alias("social_media_minutes"),
+        F.col("lines").cast("int").alias("unlock_count"),
+        F.when(F.col("z_tax") > -1, F.round(7000 + 2500 * F.col("z_tax"), 6)).alias("steps"),
+    )
+
+
+def demo(spark: SparkSession, subjects: int | DataFrame = 1, days: int = 121, seed: int = THRESHOLDS.seed, start: str = "2026-01-05") -> DataFrame:
+    """One row per subject, of a table of them or so many, and day, with known effects: sleep two nights before and drinking the day before move energy, sleep and weekends move mood.
 
     Draws are hashes of (seed, subject, day, name); what depends on earlier days does so by lags, so subjects are made in parallel.
     """
-    base = spark.range(subjects * days).select(F.concat(F.lit("s"), F.floor(F.col("id") / days).cast("string")).alias("subject_id"), (F.col("id") % days).cast("int").alias("i"))
+    if isinstance(subjects, int):
+        subjects = spark.range(subjects).select(F.concat(F.lit("s"), F.col("id").cast("string")).alias("subject_id"))
+    base = subjects.select("subject_id", F.explode(F.sequence(F.lit(0), F.lit(days - 1))).alias("i"))
     base = base.withColumn("day", F.date_add(F.lit(start).cast("date"), F.col("i"))).withColumn("weekend", is_weekend(F.col("day")))
 
     def u(name: str) -> Column:
