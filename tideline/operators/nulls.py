@@ -16,6 +16,8 @@ from dataclasses import dataclass
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
+from pyspark.sql.pandas.types import to_arrow_schema
+from pyspark.sql.types import StructType
 
 from tideline.functions.stats import MIX_FACTOR, MIX_MASK
 from tideline.schema import THRESHOLDS, Thresholds
@@ -150,6 +152,22 @@ def can_be_drawn(test: str, a: np.ndarray, b: np.ndarray, t: Thresholds, statist
     return int(np.isfinite(statistic(a[place], b[place])).sum()) >= t.replicates // 2
 
 
+def _rotation_spread(test: str, rows: dict[str, np.ndarray], t: Thresholds, statistic: Statistic, transform: Callable[[np.ndarray], np.ndarray], draw: Callable[..., np.ndarray]) -> tuple[float | None, str | None]:
+    n = len(rows["day"])
+    m = max(3, n // 20)
+    room = n - 2 * m
+    if room < 8 or not can_be_drawn(test, rows["rx"], rows["ry"], t, statistic, draw):
+        return None, None
+    exact = n <= t.exact_null_days
+    k = np.arange(m, n - m) if exact else m + draw(t.seed, test, range(t.null_samples)) % room
+    x = detrended(rows["x"][(np.arange(n)[None, :] + k[:, None]) % n], rows["day"], rows["weekend"].astype(float), t.detrend_window)
+    r = statistic(x, rows["ry"][None, :])
+    return _spread(transform(r), len(k) / 2, 0 if exact else 1), "exact" if exact else "sampled"
+
+
+_NULL = [("null_sd", "double"), ("null_method", "string")]
+
+
 def rotation_null(
     packed: DataFrame, keys: list[str], t: Thresholds = THRESHOLDS, statistic: Statistic = rank_correlations, transform: Callable[[np.ndarray], np.ndarray] = _z, draw: Callable[..., np.ndarray] = draws
 ) -> DataFrame:
@@ -159,20 +177,8 @@ def rotation_null(
     rotations, or that ``can_be_drawn`` refuses, have no row. ``statistic`` takes two matrices and gives a number per row,
     NaN for none; ``transform`` puts it on the scale of the null; ``draw`` gives whole numbers below 2^32 for (seed, test, indices).
     """
-
-    def work(test: str, rows: dict[str, np.ndarray]) -> tuple:
-        n = len(rows["day"])
-        m = max(3, n // 20)
-        room = n - 2 * m
-        if room < 8 or not can_be_drawn(test, rows["rx"], rows["ry"], t, statistic, draw):
-            return None, None
-        exact = n <= t.exact_null_days
-        k = np.arange(m, n - m) if exact else m + draw(t.seed, test, range(t.null_samples)) % room
-        x = detrended(rows["x"][(np.arange(n)[None, :] + k[:, None]) % n], rows["day"], rows["weekend"].astype(float), t.detrend_window)
-        r = statistic(x, rows["ry"][None, :])
-        return _spread(transform(r), len(k) / 2, 0 if exact else 1), "exact" if exact else "sampled"
-
-    return _mapped(packed, keys, ["day", "weekend", "x", "rx", "ry"], [("null_sd", "double"), ("null_method", "string")], work).filter("null_method IS NOT NULL")
+    work = lambda test, rows: _rotation_spread(test, rows, t, statistic, transform, draw)
+    return _mapped(packed, keys, ["day", "weekend", "x", "rx", "ry"], _NULL, work).filter("null_method IS NOT NULL")
 
 
 def differences(values: np.ndarray, inside: np.ndarray) -> np.ndarray:
@@ -184,30 +190,31 @@ def differences(values: np.ndarray, inside: np.ndarray) -> np.ndarray:
     return np.where(usable, (total / np.maximum(k, 1) - (values.sum(1) - total) / np.maximum(n - k, 1)) / np.where(usable, sd, 1), np.nan)
 
 
+def _block_spread(test: str, rows: dict[str, np.ndarray], t: Thresholds, statistic: Statistic, draw: Callable[..., np.ndarray]) -> tuple[float | None, str | None]:
+    n = len(rows["day"])
+    if not can_be_drawn(test, rows["ry"], rows["inside"], t, statistic, draw):
+        return None, None
+    mean = max(1, min(block_size(n), max(1, n // 2)))
+    pos = np.arange(n)[None, :]
+    starts = (pos == 0) | (draw(t.seed, test, np.arange(t.null_samples)[:, None], pos) / 2**32 <= 1.0 / mean)
+    block = np.cumsum(starts, 1)
+    at = np.nonzero(starts)
+    place = np.zeros((t.null_samples, n + 1), np.int64)
+    place[at[0], block[at]] = draw(t.seed, test, at[0], block[at], 1)
+    keyed = np.take_along_axis(place, block, 1)
+    # One sort for three keys: equal draws fall back on the block, equal blocks on the place, both below 2^31.
+    order = np.argsort(keyed * (n + 1) + block, axis=1, kind="stable")
+    stat = statistic(rows["ry"][order], np.broadcast_to(rows["inside"], order.shape))
+    return _spread(stat, t.null_samples // 2, 1), "blocks"
+
+
 def block_null(packed: DataFrame, keys: list[str], t: Thresholds = THRESHOLDS, statistic: Statistic = differences, draw: Callable[..., np.ndarray] = draws) -> DataFrame:
     """(keys, null_sd, null_method): spread of the statistic under block permutation of the values; it takes the values and the places inside.
 
     Each place after the first starts a block with probability 1 / mean length; blocks are shuffled whole. Tests that
     ``can_be_drawn`` refuses have no row.
     """
-
-    def work(test: str, rows: dict[str, np.ndarray]) -> tuple:
-        n = len(rows["day"])
-        if not can_be_drawn(test, rows["ry"], rows["inside"], t, statistic, draw):
-            return None, None
-        mean = max(1, min(block_size(n), max(1, n // 2)))
-        pos = np.arange(n)[None, :]
-        starts = (pos == 0) | (draw(t.seed, test, np.arange(t.null_samples)[:, None], pos) / 2**32 <= 1.0 / mean)
-        block = np.cumsum(starts, 1)
-        at = np.nonzero(starts)
-        place = np.zeros((t.null_samples, n + 1), np.int64)
-        place[at[0], block[at]] = draw(t.seed, test, at[0], block[at], 1)
-        keyed = np.take_along_axis(place, block, 1)
-        order = np.lexsort((np.tile(np.arange(n), (t.null_samples, 1)), block, keyed), axis=1)
-        stat = statistic(rows["ry"][order], np.broadcast_to(rows["inside"], order.shape))
-        return _spread(stat, t.null_samples // 2, 1), "blocks"
-
-    return _mapped(packed, keys, ["day", "ry", "inside"], [("null_sd", "double"), ("null_method", "string")], work).filter("null_method IS NOT NULL")
+    return _mapped(packed, keys, ["day", "ry", "inside"], _NULL, lambda test, rows: _block_spread(test, rows, t, statistic, draw)).filter("null_method IS NOT NULL")
 
 
 def bootstrap_error(
@@ -249,13 +256,55 @@ class Measures:
 MEASURES = Measures()
 
 
-def measured(packed: DataFrame, keys: list[str], grouped: bool, m: Measures) -> DataFrame:
-    """(keys, n, effect, scaled) of each gathered test, null where the statistic is none."""
-    first, second = ("ry", "inside") if grouped else ("rx", "ry")
+def adjusted_rows(packed: DataFrame, keys: list[str], grouped: bool, t: Thresholds = THRESHOLDS) -> DataFrame:
+    """Gathered tests with their adjusted values: ``ry`` of ``y``, and ``rx`` of ``x`` unless ``grouped``.
+
+    Rows of ``packed`` hold (day, weekend, y) and x or inside; a weekend of 0 throughout adjusts for none. The same numbers
+    as ``residuals.adjusted``, without the windows.
+    """
+    kinds = {f.name: f.dataType.simpleString() for f in packed.schema.fields}
+    second = "inside int" if grouped else "x double, rx double"
+    schema = ", ".join([f"{k} {kinds[k]}" for k in keys] + [f"rows array<struct<day date, weekend int, y double, ry double, {second}>>", "n int"])
+    target = to_arrow_schema(StructType.fromDDL(schema))
+    item = target.field("rows").type.value_type
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            rows = b.column(b.schema.get_field_index("rows"))
+            flat = rows.flatten()
+            made = {name: np.zeros(len(flat)) for name in ("ry", "rx")}
+            at = 0
+            for _, own in _rows(b, ["day", "weekend", "y", *([] if grouped else ["x"])]):
+                n = len(own["day"])
+                for value, out in (("y", "ry"),) if grouped else (("y", "ry"), ("x", "rx")):
+                    made[out][at : at + n] = detrended(own[value][None, :], own["day"], own["weekend"].astype(float), t.detrend_window)[0]
+                at += n
+            fields = [pa.array(made[f.name], f.type) if f.name in made else flat.field(f.name).cast(f.type) for f in item]
+            offsets = pa.array(np.concatenate([[0], np.cumsum(rows.value_lengths().to_numpy())]).astype(np.int32))
+            nested = pa.ListArray.from_arrays(offsets, pa.StructArray.from_arrays(fields, fields=list(item))).cast(target.field("rows").type)
+            yield pa.RecordBatch.from_arrays([*[b.column(b.schema.get_field_index(k)) for k in keys], nested, b.column(b.schema.get_field_index("n"))], schema=target)
+
+    return packed.select(*keys, "rows", "n").mapInArrow(run, schema)
+
+
+def examined(packed: DataFrame, keys: list[str], grouped: bool, t: Thresholds = THRESHOLDS, m: Measures = MEASURES, null: bool = True) -> DataFrame:
+    """(keys, n, effect, scaled, raw_difference, null_sd, null_method) of adjusted tests, in one pass over each.
+
+    Without ``null`` only the effect is measured; with it, tests that have no effect or no null have no row.
+    """
 
     def work(test: str, rows: dict[str, np.ndarray]) -> tuple:
-        effect = (m.difference if grouped else m.correlation)(rows[first][None, :], rows[second][None, :])
+        a, b = (rows["ry"], rows["inside"]) if grouped else (rows["rx"], rows["ry"])
+        effect = (m.difference if grouped else m.correlation)(a[None, :], b[None, :])
         scaled = effect if grouped else m.transform(effect)
-        return (len(rows[first]), *(float(v[0]) if np.isfinite(v[0]) else None for v in (effect, scaled)))
-
-    return _mapped(packed, keys, [first, second], [("n", "int"), ("effect", "double"), ("scaled", "double")], work)
+        value, on_scale = (float(v[0]) if np.isfinite(v[0]) else None for v in (effect, scaled))
+        inside = b == 1
+        raw = float(rows["y"][inside].mean() - rows["y"][~inside].mean()) if grouped and inside.any() and not inside.all() else None
+        sd, method = None, None
+        if null and value is not None:
+            sd, method = _block_spread(test, rows, t, m.difference, m.draw) if grouped else _rotation_spread(test, rows, t, m.correlation, m.transform, m.draw)
+        return len(a), value, on_scale, raw, sd, method
+
+    out = [("n", "int"), ("effect", "double"), ("scaled", "double"), ("raw_difference", "double"), *_NULL]
+    found = _mapped(packed, keys, ["day", "weekend", "y", "ry", *(["inside"] if grouped else ["x", "rx"])], out, work)
+    return found.filter("null_method IS NOT NULL") if null else found

@@ -18,10 +18,9 @@ from pyspark.storagelevel import StorageLevel
 
 from tideline.functions.stats import fisher_z, inverse_fisher_z, p_against_null
 from tideline.functions.text import direction, lag_phrase, pair_of, rank_score, sentence, strength, two_places
-from tideline.operators.association import GROUP, PAIR, correlation_kind, correlation_rows, group_effects, reverse_checks, spearman, tag_rows, weekday_rows
+from tideline.operators.association import GROUP, PAIR, correlation_kind, gathered_groups, gathered_pairs, reverse_checks, tag_rows, weekday_rows
 from tideline.operators.multiplicity import bh_threshold, strongest, tiers
-from tideline.operators.nulls import MEASURES, Measures, block_null, bootstrap_error, measured, rotation_null
-from tideline.operators.resample import gathered
+from tideline.operators.nulls import MEASURES, Measures, bootstrap_error, examined
 from tideline.schema import THRESHOLDS, WEEKDAYS, Thresholds
 
 #: 97.5 % point of the normal distribution, for intervals at the display level.
@@ -40,33 +39,25 @@ class Report:
     insights: DataFrame
     pending: DataFrame
     persisted: tuple[DataFrame, ...] = ()
+    #: The input series, persisted too, since every kind of test reads them.
+    inputs: tuple[DataFrame, ...] = ()
 
     def release(self) -> None:
-        for df in self.persisted:
+        for df in (*self.persisted, *self.inputs):
             df.unpersist()
 
 
 def correlation_tests(outcomes: DataFrame, predictors: DataFrame, t: Thresholds = THRESHOLDS, m: Measures = MEASURES) -> tuple[DataFrame, DataFrame]:
     """(candidates, gathered days) of the lagged rank correlations, or of the measures' own statistic; ``scaled`` is the effect on the null's scale."""
-    rows = correlation_rows(outcomes, predictors, t)
-    keys = [*PAIR, "test_id"]
-    packed = gathered(rows, keys, ["weekend", "x", "rx", "ry"]).persist(StorageLevel.MEMORY_AND_DISK)
-    if m == MEASURES:
-        effects = spearman(packed.select(*keys, F.inline("rows")), keys).withColumn("scaled", fisher_z(F.col("effect")))
-    else:
-        effects = measured(packed, keys, False, m)
-    tests = effects.join(rotation_null(packed, keys, t, m.correlation, m.transform, m.draw), keys).withColumn("kind", correlation_kind(F.col("predictor"), F.col("lag")))
-    return tests.withColumns({"grp": F.lit(None).cast("string"), "raw_difference": F.lit(None).cast("double")}).select(*COMMON), packed
+    packed = gathered_pairs(outcomes, predictors, t).persist(StorageLevel.MEMORY_AND_DISK)
+    tests = examined(packed, [*PAIR, "test_id"], False, t, m).withColumn("kind", correlation_kind(F.col("predictor"), F.col("lag")))
+    return tests.withColumn("grp", F.lit(None).cast("string")).select(*COMMON), packed
 
 
 def group_tests(rows: DataFrame, kind: str, t: Thresholds = THRESHOLDS, m: Measures = MEASURES) -> tuple[DataFrame, DataFrame]:
     """(candidates, gathered days) of group comparisons."""
-    keys = [*GROUP, "test_id"]
-    packed = gathered(rows, keys, ["ry", "y", "inside"]).persist(StorageLevel.MEMORY_AND_DISK)
-    found = group_effects(packed.select(*keys, F.inline("rows"))).withColumn("scaled", F.col("effect"))
-    if m != MEASURES:
-        found = found.drop("n", "effect", "scaled").join(measured(packed, keys, True, m), keys)
-    tests = found.join(block_null(packed, keys, t, m.difference, m.draw), keys)
+    packed = gathered_groups(rows, t.min_days_tag if kind == "TAG" else t.min_days_dow, t).persist(StorageLevel.MEMORY_AND_DISK)
+    tests = examined(packed, [*GROUP, "test_id"], True, t, m)
     return tests.withColumns({"kind": F.lit(kind), "predictor": F.lit(None).cast("string"), "lag": F.lit(None).cast("int")}).select(*COMMON), packed
 
 
@@ -100,11 +91,8 @@ def pending(outcomes: DataFrame, predictors: DataFrame, t: Thresholds = THRESHOL
     return found.withColumn("days_remaining", F.greatest(F.lit(0), F.col("days_required") - F.col("days_available")))
 
 
-def worded(found: DataFrame, labels: DataFrame) -> DataFrame:
-    """Adds headline, detail and caveats; ``labels`` has (metric_key, label)."""
-    o = labels.select(F.col("metric_key").alias("outcome"), F.col("label").alias("o_name"))
-    p = labels.select(F.col("metric_key").alias("predictor"), F.col("label").alias("p_name"))
-    found = found.join(o, "outcome", "left").join(p, "predictor", "left").withColumns({"o_name": F.coalesce("o_name", "outcome"), "p_name": F.coalesce("p_name", "predictor")})
+def worded(found: DataFrame) -> DataFrame:
+    """Adds headline, detail and caveats to what ``_labelled`` gives."""
     e, kind = F.col("effect"), F.col("kind")
     head = (
         F.when(kind == "SAME_DAY", F.concat(F.lit("Higher "), F.lower("p_name"), F.lit(" goes with "), direction(e), F.lit(" "), F.lower("o_name"), F.lit(" the same day")))
@@ -139,22 +127,21 @@ def ordinal() -> Column:
     return F.struct(last("o_position"), F.col("outcome"), kind, last("p_position"), F.coalesce("predictor", F.lit("")), F.coalesce("lag", F.lit(0)), F.when(F.col("kind") == "DAY_OF_WEEK", day).otherwise(last("g_position")), F.coalesce("grp", F.lit("")))
 
 
-def _positioned(found: DataFrame, labels: DataFrame) -> DataFrame:
-    """Adds the places of outcome, predictor and tag among the labels, null where ``labels`` has no ``position``."""
-    for column, name in (("outcome", "o_position"), ("predictor", "p_position"), ("grp", "g_position")):
-        if "position" not in labels.columns:
-            found = found.withColumn(name, F.lit(None).cast("int"))
-            continue
-        own = labels.groupBy(F.col("metric_key").alias(column)).agg(F.min("position").cast("int").alias(name))
+def _labelled(found: DataFrame, labels: DataFrame) -> DataFrame:
+    """Adds names and places of outcome, predictor and tag from the labels; those without are named by their keys."""
+    position = F.col("position") if "position" in labels.columns else F.lit(None)
+    known = labels.groupBy("metric_key").agg(F.min(F.struct(position.cast("int").alias("position"), "label")).alias("known"))
+    for column, short in (("outcome", "o"), ("predictor", "p"), ("grp", "g")):
+        own = known.select(F.col("metric_key").alias(column), F.col("known.position").alias(f"{short}_position"), F.col("known.label").alias(f"{short}_name"))
         found = found.join(own, column, "left")
-    return found
+    return found.withColumns({"o_name": F.coalesce("o_name", "outcome"), "p_name": F.coalesce("p_name", "predictor")})
 
 
 def candidates(outcomes: DataFrame, predictors: DataFrame, tags: DataFrame, t: Thresholds = THRESHOLDS, m: Measures = MEASURES) -> tuple[DataFrame, DataFrame, DataFrame, DataFrame]:
     """(candidates, gathered days of correlations, of tag comparisons, of weekday comparisons)."""
     corr, corr_rows = correlation_tests(outcomes, predictors, t, m)
-    tag, tag_packed = group_tests(tag_rows(outcomes, tags, t), "TAG", t, m)
-    dow, dow_packed = group_tests(weekday_rows(outcomes, t), "DAY_OF_WEEK", t, m)
+    tag, tag_packed = group_tests(tag_rows(outcomes, tags), "TAG", t, m)
+    dow, dow_packed = group_tests(weekday_rows(outcomes), "DAY_OF_WEEK", t, m)
     return corr.unionByName(tag).unionByName(dow), corr_rows, tag_packed, dow_packed
 
 
@@ -165,15 +152,16 @@ def analyse(outcomes: DataFrame, predictors: DataFrame, tags: DataFrame, labels:
     of equal findings of a pair the earlier candidate stays, and equal findings are listed in that order. A candidate
     that half the bootstrap cannot be computed for leaves the family before the correction. ``m``: own statistics.
     """
+    inputs = tuple(df.persist(StorageLevel.MEMORY_AND_DISK) for df in (outcomes, predictors, tags))
     found, corr_rows, tag_packed, dow_packed = candidates(outcomes, predictors, tags, t, m)
     tests = scored(found, t).persist(StorageLevel.MEMORY_AND_DISK)
     kept = tests.filter("confidence IS NOT NULL AND strength IS NOT NULL")
     kept = kept.join(intervals(kept, corr_rows, tag_packed.unionByName(dow_packed), t, m), ["subject_id", "test_id"])
     checked = tests.filter("confidence IS NOT NULL AND strength IS NOT NULL AND lag > 0").select("subject_id", "outcome", "predictor", "lag")
     kept = kept.join(reverse_checks(outcomes, predictors, t, checked), ["subject_id", "outcome", "predictor", "lag"], "left")
-    kept = _positioned(kept, labels).withColumns({"rank_score": rank_score(F.col("effect"), F.col("confidence")), "pair": pair_of(F.col("test_id")), "ordinal": ordinal()})
+    kept = _labelled(kept, labels).withColumns({"rank_score": rank_score(F.col("effect"), F.col("confidence")), "pair": pair_of(F.col("test_id")), "ordinal": ordinal()})
     kept = strongest(kept, ["subject_id"], "pair", "rank_score", "ordinal")
     place = F.row_number().over(Window.partitionBy("subject_id").orderBy(F.desc("rank_score"), "ordinal"))
-    insights = worded(kept.withColumn("place", place), labels)
+    insights = worded(kept.withColumn("place", place))
     insights = insights.select("subject_id", "place", "test_id", "kind", "headline", "detail", "effect", "ci_low", "ci_high", "n", "confidence", "strength", "caveats", "rank_score")
-    return Report(tests, insights, pending(outcomes, predictors, t), (tests, corr_rows, tag_packed, dow_packed))
+    return Report(tests, insights, pending(outcomes, predictors, t), (tests, corr_rows, tag_packed, dow_packed), inputs)

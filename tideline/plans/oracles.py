@@ -214,15 +214,20 @@ def correlations(prefix: str = "c", pairs: str = "pairs", null: bool = True) ->
 {p}_e AS (SELECT {PAIR}, test_id, CAST(count(*) AS INTEGER) AS n, {pearson("qx", "qy")} AS effect FROM {p}_q GROUP BY ALL)"""
     if not null:
         return out
-    by = f"{PAIR}, k"
+    by = f"{PAIR}, draw"
+    margin = "greatest(3, n // 20)"
     return f"""{out},
-{p}_k AS (SELECT DISTINCT {PAIR}, n, unnest(range(greatest(3, n // 20), n - greatest(3, n // 20))) AS k FROM {p}_rows WHERE n - 2 * greatest(3, n // 20) >= 8),
-{p}_rot AS (SELECT r.subject_id, r.outcome, r.predictor, r.lag, k, r.day, r.weekend, r.ry, s.x FROM {p}_k JOIN {p}_rows r USING ({PAIR}) JOIN {p}_rows s ON s.subject_id = r.subject_id
-  AND s.outcome = r.outcome AND s.predictor = r.predictor AND s.lag = r.lag AND s.pos = (r.pos + k) % r.n),
+{p}_n AS (SELECT DISTINCT {PAIR}, test_id, n FROM {p}_rows WHERE n - 2 * {margin} >= 8),
+{p}_k AS (SELECT {PAIR}, n, k AS draw, k FROM (SELECT *, unnest(range({margin}, n - {margin})) AS k FROM {p}_n WHERE n <= {THRESHOLDS.exact_null_days})
+  UNION ALL SELECT {PAIR}, n, draw, {margin} + g % (n - 2 * {margin}) FROM (SELECT *, {mix("xor(h0, draw)", "g")} FROM (SELECT *, {seed_of("test_id")} AS h0 FROM {p}_n WHERE n > {THRESHOLDS.exact_null_days}), range({THRESHOLDS.null_samples}) AS d(draw))),
+{p}_xs AS (SELECT {PAIR}, list(x ORDER BY pos) AS xs FROM {p}_rows GROUP BY ALL),
+{p}_kx AS (SELECT {PAIR}, n, draw, k, xs FROM {p}_k JOIN {p}_xs USING ({PAIR})),
+{p}_rot AS (SELECT r.subject_id, r.outcome, r.predictor, r.lag, draw, r.n, r.day, r.weekend, r.ry, xs[(r.pos + k) % r.n + 1] AS x FROM {p}_kx JOIN {p}_rows r USING ({PAIR})),
 {adjust(f"{p}_rot", f"{p}_rx", by, "x", "rx")},
-{p}_rq AS (SELECT {by}, {rank("rx", by)} AS qx, {rank("ry", by)} AS qy FROM {p}_rx),
-{p}_rs AS (SELECT {by}, {pearson("qx", "qy")} AS r FROM {p}_rq GROUP BY ALL),
-{p}_null AS (SELECT {PAIR}, CASE WHEN 2 * count(r) >= count(*) AND stddev_pop({fz("r")}) > 1e-12 THEN stddev_pop({fz("r")}) END AS null_sd FROM {p}_rs GROUP BY ALL),
+{p}_rq AS (SELECT {by}, n, {rank("rx", by)} AS qx, {rank("ry", by)} AS qy FROM {p}_rx),
+{p}_rs AS (SELECT {by}, n, {pearson("qx", "qy")} AS r FROM {p}_rq GROUP BY ALL),
+{p}_sd AS (SELECT {PAIR}, count(r) AS valid, count(*) AS draws, CASE WHEN n <= {THRESHOLDS.exact_null_days} THEN stddev_pop({fz("r")}) ELSE stddev_samp({fz("r")}) END AS sd FROM {p}_rs GROUP BY {PAIR}, n),
+{p}_null AS (SELECT {PAIR}, CASE WHEN 2 * valid >= draws AND sd > 1e-12 THEN sd END AS null_sd FROM {p}_sd),
 {p}_tests AS (SELECT *, CASE WHEN starts_with(predictor, 'sleep_debt') THEN 'SLEEP_DEBT' WHEN lag = 0 THEN 'SAME_DAY' ELSE 'LAGGED' END AS kind FROM {p}_e JOIN {p}_null USING ({PAIR}))"""
 
 
