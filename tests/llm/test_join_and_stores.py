@@ -310,7 +310,55 @@ def test_arc_files_from_disk(spark, tmp_path):
     out = Scratch(spark, "test").path("converted")
     warc.convert_archives(spark, str(tmp_path), out)
     rows = warc.read_archives(spark, out, "string").orderBy("page_id").collect()
-    assert [(r["page_id"], r["payload_digest"]) for r in rows] == [(f"{n}#{k}", hashlib.sha256(c.partition(b"\r\n\r\n")[2]).hexdigest()) for n in ("one.arc", "two.arc.gz") for k, (_, c) in enumerate(pages)]
+    payloads = [b"body \xff\r\n\r\n", b"", b"x" * 500]  # what has no HTTP header is payload as a whole
+    assert [(r["page_id"], r["payload_digest"], r["record_type"]) for r in rows] == [(f"{n}#{k}", hashlib.sha256(c).hexdigest(), "resource" if k else "response") for n in ("one.arc", "two.arc.gz") for k, c in enumerate(payloads)]
+
+
+def test_archives_as_crawlers_left_them(spark, tmp_path, monkeypatch):
+    """Hand-written files: bare line feeds, name server answers, padding, spaces in fields, broken records, cut files."""
+    block = b"1 1 InternetArchive\nURL IP-address Archive-date Content-type Archive-length\n<xml/>\n"
+    head = b"filedesc://x.arc 0.0.0.0 20010203040506 text/plain %d\n" % len(block) + block
+    lf = b"HTTP/1.0 200 OK\nServer: old\n\nbody\n\nmore"
+    mixed = b"HTTP/1.1 404 Not Found\r\nX: y\n\r\ngone"
+    dns = b"20010203040506\nexample.org. 3600 IN A 192.0.2.1\n"
+    whole = b"HTTP/1.0 200 OK\r\nno end of header"
+
+    def record(line, content):
+        return line % len(content) + b"\n" + content + b"\n"
+
+    good = [
+        (record(b"http://a/ 192.0.2.7 20010203040506 text/html; charset=utf-8 %d", lf), "http://a/", "text/html; charset=utf-8", b"body\n\nmore", "response"),
+        (record(b"dns:example.org 2001:db8::1 20010203040506 text/dns %d", dns), "dns:example.org", "text/dns", dns, "resource"),
+        (record(b"http://a/b c d 192.0.2.7 20010203 no-type %d", mixed), "http://a/b%20c%20d", "no-type", b"gone", "response"),
+        (record(b"http://w/ - 20010203040506  %d", whole), "http://w/", "", b"", "response"),
+        (record(b"http://e/ 0.0.0.0 20010203040506 text/html %d", b""), "http://e/", "text/html", b"", "resource"),
+    ]
+    junk = b"this is no record line\nnor this\n"
+    image = head + b"\n\n" + good[0][0] + b"\r\n\0\0\n" + good[1][0] + junk + good[2][0] + good[3][0].rstrip(b"\n") + b"\n" + good[4][0] + b"\n\n\0\0\0"
+    cut = head + b"\n" + good[0][0] + b"http://cut/ 0.0.0.0 20010203040506 text/html 5000\nHTTP/1.0 200 OK\n\nshort"
+    two = b"2 0 Archive\nURL IP-address Archive-date Content-type Result-code Checksum Location Offset Filename Archive-length\n"
+    v2 = b"filedesc://y.arc 0.0.0.0 20010203040506 text/plain 200 - - 0 y.arc %d\n" % len(two) + two + b"\n" + b"http://v/ q 192.0.2.7 20010203040506 text/html; charset=x 200 abc - 99 y.arc %d\n" % len(lf) + lf + b"\n"
+    written = {"a.arc": image, "b.arc": cut, "c.arc": b"no archive", "d.arc": b"", "e.arc": v2, "f.arc.gz": gzip.compress(image) + b"\0\0", "g.arc.gz": gzip.compress(image)[:-20] , "h.arc.gz": gzip.compress(cut) + b"rubbish"}
+    for name, data in written.items():
+        (tmp_path / name).write_bytes(data)
+    rows = warc.read_arcs(spark, str(tmp_path)).orderBy("archive", "place").collect()
+    own = lambda name: [r for r in rows if r["archive"] == name]
+    for name in ("a.arc", "f.arc.gz"):
+        assert [(r["url"], r["content_type"]) for r in own(name) if r["error"] is None] == [(u, t) for _, u, t, _, _ in good]
+        assert [bytes(r["content"]) for r in own(name) if r["error"]] == [junk]
+    assert [(r["url"], r["error"]) for r in own("b.arc")] == [("http://a/", None), (None, "a record is shorter than its declared length")]
+    assert [r["error"] for r in own("c.arc")] == ["no version block of ARC 1 or 2"] and own("d.arc") == []
+    assert [(r["url"], r["content_type"], r["date"]) for r in own("e.arc")] == [("http://v/%20q", "text/html; charset=x", "2001-02-03T04:05:06Z")]
+    assert own("g.arc.gz")[-1]["error"] == "gzip: the last member is cut off" and own("h.arc.gz")[-1]["error"].startswith("gzip: ") and own("h.arc.gz")[0]["url"] == "http://a/"
+    out = Scratch(spark, "test").path("left")
+    monkeypatch.setattr(warc, "CLASSES", (600, 700, 1 << 62))
+    warc.convert_archives(spark, str(tmp_path), out, file_bytes=1500, compression="none")
+    found = {r["page_id"]: r for r in warc.read_archives(spark, out, "string").collect()}
+    places = [0, 1, 3, 4, 5]  # the junk took place 2
+    for name in ("a.arc", "f.arc.gz"):
+        assert [(found[f"{name}#{k}"]["payload_digest"], found[f"{name}#{k}"]["record_type"]) for k in places] == [(hashlib.sha256(p).hexdigest(), t) for _, _, _, p, t in good]
+    files = spark.read.format("binaryFile").option("recursiveFileLookup", "true").option("pathGlobFilter", "*.txt").load(out).collect()
+    assert max(len(r["content"]) for r in files) < 1600 and len(files) > 8 and any(b"Content-Type: text/dns\r\n" in bytes(r["content"]) for r in files)
 
 
 @pytest.mark.parametrize("version", [1, 2])
@@ -327,7 +375,7 @@ def test_sql(spark, name):
     import duckdb
 
     db = duckdb.connect()
-    for t in ("documents", "pages"):
+    for t in ("documents", "pages", "embeddings", "benchmark"):
         db.execute(f"CREATE VIEW {t} AS SELECT * FROM '{DIR}/{t}.parquet'")
     df = registry.queries()[name](spark, DIR)
     found = db.execute(registry.oracle_sql()[name])

@@ -1,9 +1,12 @@
 """Legacy archives to WARC: ARC images are parsed record by record and rewritten as WARC.
 
 ``convert`` reads an ARC image of version 1 or 2: the version block names the
-version and the fields of the URL records, each URL record line declares the
-length of what follows, and nothing but that length decides where it ends. Each
-record becomes a WARC/1.1 record with a synthesised identifier (a UUID of its
+version, each URL record line, whose fields are told by their form, declares the
+length of what follows, and nothing but that length decides where it ends. Blank
+lines and padding between records are skipped; what is no record is a row with an
+error, or left out of the conversion, never a failure. HTTP headers end at their
+first empty line, of whatever line ends; records without an HTTP header become
+resources, all of which is payload. Each record becomes a WARC/1.1 record with a synthesised identifier (a UUID of its
 key, URL, date and digest), an ISO timestamp, type, content type and digests.
 Records with equal payloads of ``MIN_REVISIT`` bytes or more are written once as
 a response; the others revisit it, and name its identifier, URL and date.
@@ -34,6 +37,7 @@ from __future__ import annotations
 
 import gzip
 import hashlib
+import re
 import uuid
 import zlib
 from collections.abc import Iterator
@@ -80,39 +84,89 @@ def _arc_line(version: int, url: str, ip: str, date: str, kind: str, code: str,
     return " ".join(values).encode() + b"\n"
 
 
-def read_arc(image: bytes) -> Iterator[tuple[int, dict[str, str], memoryview]]:
-    """(place, header fields, content) of each record after the version block."""
-    view, end = memoryview(image), image.index(b"\n")
-    first = image[:end].decode("utf-8", "replace").split(" ")
-    length = int(first[-1])  # the version block's own line has the fields of its version
-    block = image[end + 1 : end + 1 + length].decode("utf-8", "replace").split("\n")
-    version, fields = int(block[0].split(" ")[0]), block[1].split(" ")
-    if version not in FIELDS:
-        raise ValueError(f"ARC version {version} is unknown")
-    if len(first) != len(fields):
-        raise ValueError("the version block's line does not fit its version")
-    at, place = end + 1 + length + 1, 0
+#: A URL record line by the form of its fields: addresses, dates and numbers are told by what they are, so that URLs and
+#: content types may hold spaces.
+_START = rb"(?P<url>[^\n]*) (?P<ip>[0-9.]+|[0-9A-Fa-f:.]*:[0-9A-Fa-f:.]*|-) (?P<date>[0-9]{4,14}) "
+LINES = {
+    1: re.compile(_START + rb"(?P<type>[^\n]*) (?P<length>[0-9]+)\r?"),
+    2: re.compile(_START + rb"(?P<type>[^\n]*?) (?P<code>[0-9]+|-) (?P<checksum>\S+) (?P<location>\S+) (?P<offset>[0-9]+|-) (?P<filename>\S+) (?P<length>[0-9]+)\r?"),
+}
+#: What may stand between records besides the one newline that is prescribed.
+PADDING = b"\n\r\0"
+
+
+def arc_records(image: bytes) -> Iterator[tuple[int, dict[str, str], memoryview, str | None]]:
+    """(place, header fields, content, error) of each record after the version block, and of what is no record.
+
+    Blank lines and zero bytes between and after records are skipped. A line that no URL record could be, or a record that
+    is longer than what is left, is one entry with its bytes, no fields and an error; reading goes on with the next line
+    that has the form of a URL record. A file without a version block of a known version is one such entry.
+    """
+    view = memoryview(image)
+    end = image.find(b"\n")
+    version, at = None, 0
+    last = image[: max(end, 0)].rstrip(b"\r").rsplit(b" ", 1)[-1]
+    if image.startswith(b"filedesc:") and last.isdigit():
+        block = image[end + 1 : end + 1 + int(last)]
+        number = block.split(b" ", 1)[0]
+        version, at = int(number) if number.isdigit() else None, end + 1 + int(last)
+    if version not in LINES:
+        if image.strip(PADDING):
+            yield 0, {}, view, "no version block of ARC 1 or 2"
+        return
+    line, place = LINES[version], 0
+    while True:
+        while at < len(image) and image[at] in PADDING:
+            at += 1
+        if at == len(image):
+            return
+        end = image.find(b"\n", at)
+        end = len(image) if end < 0 else end
+        m = line.fullmatch(image, at, end)
+        stop = end + 1 + int(m["length"]) if m else 0
+        if m and stop <= len(image):
+            text = {k: v.decode("utf-8", "surrogateescape") for k, v in m.groupdict().items()}
+            names = {"URL": "url", "IP-address": "ip", "Archive-date": "date", "Content-type": "type", "Result-code": "code", "Checksum": "checksum", "Location": "location", "Offset": "offset", "Filename": "filename", "Archive-length": "length"}
+            yield place, {f: text[names[f]] for f in FIELDS[version]}, view[end + 1 : stop], None
+        else:
+            stop = _next_line(image, end + 1, line)
+            yield place, {}, view[at:stop], "a record is shorter than its declared length" if m else "no URL record line"
+        at, place = stop, place + 1
+
+
+def _next_line(image: bytes, at: int, line: re.Pattern[bytes]) -> int:
+    """Where the next line begins that has the form of a URL record and names a scheme, or the image's end."""
     while at < len(image):
-        end = image.index(b"\n", at)
-        values = image[at:end].decode("utf-8", "surrogateescape").rsplit(" ", len(fields) - 1)
-        if len(values) != len(fields):
-            raise ValueError(f"a URL record line has {len(values)} fields, not {len(fields)}")
-        header = dict(zip(fields, values, strict=True))
-        size = int(header["Archive-length"])
-        if end + 1 + size > len(image):
-            raise ValueError("a record is shorter than its declared length")
-        yield place, header, view[end + 1 : end + 1 + size]
-        at, place = end + 1 + size + 1, place + 1
+        end = image.find(b"\n", at)
+        end = len(image) if end < 0 else end
+        if b":" in image[at : at + 32] and line.fullmatch(image, at, end):
+            return at
+        at = end + 1
+    return len(image)
+
+
+def read_arc(image: bytes) -> Iterator[tuple[int, dict[str, str], memoryview]]:
+    """(place, header fields, content) of each record after the version block; what is no record raises ``ValueError``."""
+    for place, header, content, error in arc_records(image):
+        if error:
+            raise ValueError(error)
+        yield place, header, content
 
 
 def _http(payload: bytes) -> bytes:
     return b"HTTP/1.1 200 OK\r\nContent-Type: text/html; charset=utf-8\r\nContent-Length: %d\r\n\r\n" % len(payload) + payload
 
 
+_HEAD_END = re.compile(rb"\r?\n\r?\n")
+
+
 def _split_http(block: memoryview | bytes) -> tuple[bytes, bytes]:
+    """(header, payload) of an HTTP response, whose header ends at its first empty line, of whatever line ends; other content is payload."""
     raw = bytes(block)
-    head, mark, payload = raw.partition(b"\r\n\r\n")
-    return head + mark, payload
+    if not raw.startswith(b"HTTP/"):
+        return b"", raw
+    end = _HEAD_END.search(raw)
+    return (raw[: end.end()], raw[end.end() :]) if end else (raw, b"")
 
 
 def _timestamp(date: str) -> str:
@@ -124,25 +178,33 @@ def record_id(name: str, place: object, url: str, date: str, digest: str) -> str
     return f"<urn:uuid:{uuid.uuid5(NAMESPACE, f'{name} {place} {url} {date} {digest}')}>"
 
 
-def convert(image: bytes, name: str, keys: list[object] | None = None, firsts: list[tuple[object, str | None] | None] | None = None) -> Iterator[bytes]:
+def convert(image: bytes, name: str, keys: list[object] | None = None, firsts: list[tuple[object, str | None] | None] | None = None, strict: bool = True) -> Iterator[bytes]:
     """WARC records, without the closing separator, of an ARC image's records.
 
+    HTTP responses become responses; what has no HTTP header, such as the answers of a name server, becomes a resource of
+    its own content type, and the whole of it is the payload. What is no record raises, or is left out if not ``strict``.
+
     ``keys``: the caller's key of each record, by default the archive's name and the record's place.
     ``firsts``: for a record that revisits another, that one's key and URL.
     """
-    for place, header, content in read_arc(image):
+    for place, header, content, error in arc_records(image):
+        if error:
+            if strict:
+                raise ValueError(error)
+            continue
         head, payload = _split_http(content)
+        kind = "application/http; msgtype=response" if head else re.sub(r"[\x00-\x1f\x7f-\U0010ffff]", "", header["Content-type"]) or "application/octet-stream"
         digest, url, date = hashlib.sha256(payload).hexdigest(), _recoded(header["URL"]), header["Archive-date"]
         key, first = f"{name}#{place}" if keys is None else keys[place], firsts[place] if firsts else None
         block = head if first else head + payload
         lines = [
             "WARC/1.1",
-            f"WARC-Type: {'revisit' if first else 'response'}",
+            f"WARC-Type: {'revisit' if first else 'response' if head else 'resource'}",
             f"WARC-Record-ID: {record_id('page', key, url, date, digest)}",
             f"WARC-Date: {_timestamp(date)}",
             f"WARC-Target-URI: {url}",
             f"WARC-IP-Address: {header['IP-address']}",
-            "Content-Type: application/http; msgtype=response",
+            f"Content-Type: {kind}",
             f"WARC-Payload-Digest: sha256:{digest}",
             f"WARC-Block-Digest: sha256:{hashlib.sha256(block).hexdigest()}",
             f"WARC-Payload-Length: {len(payload)}",
@@ -220,8 +282,8 @@ def write_archives(pages: DataFrame, path: str, least: int = MIN_REVISIT, compre
 
     rows, low = _placed(pages, least), 0
     size = F.octet_length(F.encode(F.coalesce("html", F.lit("")), "UTF-8"))
-    there = {r["c"] for r in pages.select(F.array_position(F.array_sort(F.array(size.cast("long"), *map(F.lit, CLASSES))), size.cast("long")).alias("c")).distinct().collect()} or {1}
-    for k, high in enumerate(CLASSES):  # a size that equals a bound sorts before it
+    there = {r[0] for r in pages.select(_class(size)).distinct().collect()} or {1}
+    for k, high in enumerate(CLASSES):
         if k + 1 in there:
             records = map_rows(rows.filter((F.col("size") >= low) & (F.col("size") < high) if low else F.col("size") < high).select("page_id", "url", "html", "first"), "record binary", work)
             _write(records, f"{path}/{k}", max(1, file_bytes // (high + 4096)), compression)
@@ -233,35 +295,72 @@ def _write(records: DataFrame, path: str, file_records: int, compression: str) -
 
 
 def read_arcs(spark: SparkSession, path: str) -> DataFrame:
-    """archive, place, url, date, content_type, content of every record of the ARC files (``*.arc``, ``*.arc.gz``) under ``path``."""
+    """archive, place, url, date, content_type, content, error of all records of the ARC files (``*.arc``, ``*.arc.gz``) under ``path``.
+
+    What ``arc_records`` cannot read has an error, its bytes as content, and no url, date and content type; a file that
+    cannot be unpacked has one such row, with what could be as content.
+    """
+    names = ("archive", "place", "url", "date", "content_type", "content", "error")
 
     def work(batches: Iterator[dict[str, list]]) -> Iterator[dict[str, list]]:
-        for name, image in _images(batches):
-            found = list(read_arc(image))
-            yield {"archive": [name] * len(found), "place": [k for k, _, _ in found], "url": [_recoded(h["URL"]) for _, h, _ in found], "date": [_timestamp(h["Archive-date"]) for _, h, _ in found], "content_type": [h["Content-type"] for _, h, _ in found], "content": [bytes(c) for _, _, c in found]}
+        for name, image, broken in _images(batches):
+            rows = [(name, k, _recoded(h["URL"]), _timestamp(h["Archive-date"]), h["Content-type"].encode("utf-8", "surrogateescape").decode("utf-8", "replace"), bytes(c), None) if e is None else (name, k, None, None, None, bytes(c), e) for k, h, c, e in arc_records(image)]
+            rows += [(name, len(rows), None, None, None, b"", broken)] if broken else []
+            yield {n: [r[j] for r in rows] for j, n in enumerate(names)}
 
-    return map_rows(_arc_files(spark, path), "archive string, place long, url string, date string, content_type string, content binary", work)
+    return map_rows(_arc_files(spark, path), "archive string, place long, url string, date string, content_type string, content binary, error string", work)
 
 
-def convert_archives(spark: SparkSession, path: str, target: str, compression: str = "gzip", file_records: int = 4000) -> None:
-    """Rewrites the ARC files under ``path`` as WARC files under ``target``; all records are responses."""
+def convert_archives(spark: SparkSession, path: str, target: str, compression: str = "gzip", file_bytes: int = FILE_BYTES) -> None:
+    """Rewrites the ARC files under ``path`` as WARC files of about ``file_bytes`` under ``target``.
+
+    HTTP answers become responses, others resources; what cannot be read is left out, and ``read_arcs`` tells what it was.
+    """
 
     def work(batches: Iterator[dict[str, list]]) -> Iterator[dict[str, list]]:
-        for name, image in _images(batches):
-            yield {"record": list(convert(image, name))}
+        for name, image, _ in _images(batches):
+            for record in convert(image, name, strict=False):
+                yield {"record": [record]}
+
+    scratch = Scratch(spark, "arc")
+    records = scratch.save(map_rows(_arc_files(spark, path), "record binary", work).withColumn("size", F.octet_length("record")), "records")
+    there, low = {r[0] for r in records.select(_class(F.col("size"))).distinct().collect()}, 0  # as many as there are classes
+    for k, high in enumerate(CLASSES):
+        if k + 1 in there:
+            _write(records.filter((F.col("size") >= low) & (F.col("size") < high)).select("record"), f"{target}/{k}", max(1, file_bytes // high), compression)
+        low = high
+    scratch.clear()
+
 
-    _write(map_rows(_arc_files(spark, path), "record binary", work), target, file_records, compression)
+def _class(size: F.Column) -> F.Column:
+    """The number of a size's class, from 1; a size that equals a bound belongs to the next."""
+    return F.lit(1) + sum(((size >= high).cast("int") for high in CLASSES[:-1]), F.lit(0))
 
 
 def _arc_files(spark: SparkSession, path: str) -> DataFrame:
     return spark.read.format("binaryFile").option("pathGlobFilter", "*.{arc,arc.gz}").load(path).select("path", "content")
 
 
-def _images(batches: Iterator[dict[str, list]]) -> Iterator[tuple[str, bytes]]:
-    """(name, image) of files, one gzip member after the other where they are gzipped."""
+def _images(batches: Iterator[dict[str, list]]) -> Iterator[tuple[str, bytes, str | None]]:
+    """(name, image, error) of files, one gzip member after the other where they are gzipped; of a broken one what comes before."""
     for b in batches:
         for path, raw in zip(b["path"], b["content"], strict=True):
-            yield path.rsplit("/", 1)[-1], gzip.decompress(raw) if path.endswith(".gz") else raw
+            image, error = (raw, None) if raw[:2] != b"\x1f\x8b" else _unpacked(raw)
+            yield path.rsplit("/", 1)[-1], image, error
+
+
+def _unpacked(raw: bytes) -> tuple[bytes, str | None]:
+    out: list[bytes] = []
+    while raw.strip(b"\0"):
+        member = zlib.decompressobj(31)
+        try:
+            out.append(member.decompress(raw))
+        except zlib.error as e:
+            return b"".join(out), f"gzip: {e}"
+        if not member.eof:
+            return b"".join(out), "gzip: the last member is cut off"
+        raw = member.unused_data
+    return b"".join(out), None
 
 
 def read_archives(spark: SparkSession, path: str, key: str = "long") -> DataFrame:
@@ -276,7 +375,7 @@ def read_archives(spark: SparkSession, path: str, key: str = "long") -> DataFram
                 out: dict[str, list] = {c: [] for c in ("page_id", "payload_bytes", "payload_digest", "record_type", "refers_to", "record_id", "refers_to_id", "date", "url")}
                 for h, block in read_warc(gzip.decompress(raw) if raw[:2] == b"\x1f\x8b" else raw):
                     digest, size = h["WARC-Payload-Digest"].removeprefix("sha256:"), int(h["WARC-Payload-Length"])
-                    if h["WARC-Type"] == "response":
+                    if h["WARC-Type"] != "revisit":
                         payload = _split_http(block)[1]
                         if hashlib.sha256(payload).hexdigest() != digest or len(payload) != size:
                             raise ValueError(f"{h['WARC-Record-ID']} does not fit its digest")
