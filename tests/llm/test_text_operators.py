@@ -3,6 +3,7 @@
 import base64
 import hashlib
 import pickle
+import time
 import zlib
 
 import numpy as np
@@ -61,6 +62,24 @@ def test_bpe_of_long_pieces(spark):
     assert [x.decode() for x in own.decode(got)] == texts
 
 
+def test_bpe_of_very_long_pieces_writes_nothing(tmp_path, monkeypatch):
+    """Pieces of 200,000 letters and such that merges reach all over, in a folder that nobody may write to."""
+    ranks = {base64.b64decode(a): int(b) for a, b in map(bytes.split, open(public_tokenizers.path("byte_bpe_multi_50k.tiktoken"), "rb"))}
+    library = tiktoken.Encoding("own", pat_str=public_tokenizers.PATTERN, mergeable_ranks=ranks, special_tokens={})
+    r = np.random.default_rng(9)
+    texts = ["".join(r.choice(list(x), n)) for x, n in (("abcdefghijklmnopqrstuvwxyz", 200_000), ("etaoinshr", 40_000), ("the", 20_000), ("=-", 30_000))]
+    texts += ["".join(r.choice(["the", "tion", "ing", "ment", "über", "para"], 20_000)), "ab" * 100_000, "internationalization" * 3000]
+    tmp_path.chmod(0o555)
+    monkeypatch.chdir(tmp_path)
+    own = byte_bpe.Codec(*byte_bpe._named(None, None))
+    began = time.perf_counter()
+    got = own.encode(texts)
+    assert time.perf_counter() - began < 30
+    assert [np.frombuffer(x, "<u4").tolist() for x in got] == [library.encode_ordinary(t) for t in texts]
+    assert own.decode(got) == [t.encode() for t in texts] and not list(tmp_path.iterdir())
+    assert own.db.execute("SELECT current_setting('temp_directory')").fetchone()[0] in (None, "")
+
+
 def test_bpe_with_another_pattern_and_odd_tables(docs):
     pattern = r"\S+|\s+"
     ranks = {base64.b64decode(a): int(b) for a, b in map(bytes.split, open(public_tokenizers.path("byte_bpe_50k.tiktoken"), "rb"))}

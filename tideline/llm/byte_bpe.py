@@ -20,8 +20,10 @@ ranks than its own; tokens without that property are contracted one at a time.
 Defined results: a null text counts as empty and has no ids; an empty text
 likewise; repeated rows are encoded row by row; an empty table gives an empty
 table; very long texts are encoded whole, in slices of the id sequence for
-decoding, and a single piece of any length takes steps by its depth of merges;
-further columns are ignored, whatever their names.
+decoding; a single piece of any length is cut where no merge can reach over, or
+into windows whose edges are then put right, so that no query holds more than a
+bounded number of rows, and nothing is written to a local folder; further columns
+are ignored, whatever their names.
 """
 
 from __future__ import annotations
@@ -41,6 +43,8 @@ from tideline.llm.common import map_rows
 CACHE, PARTS, BATCH = 1_200_000, 400_000, 20_000
 #: Ids that go into one decoding query.
 SLICE = 1_000_000
+#: Rows that the steps of one recursive query write at most, and bytes of a long piece that go into one.
+ROWS, WINDOW = 3_000_000, 64
 
 #: Bytes of a piece from which on all certain pairs are contracted in one step.
 SHORT = 48
@@ -134,7 +138,13 @@ class Codec:
         self.cut = _parts if pattern == SPACED else lambda text: [text] if text else []
         self.cache: dict[str, bytes] = {}  # of the pattern's matches
         self.parts: dict[str, bytes] = {}  # of runs of matches, see _parts
-        self.db = duckdb.connect(config={"threads": 1, "memory_limit": "400MB"})
+        self.db = duckdb.connect(config={"threads": 1, "memory_limit": "400MB", "temp_directory": ""})  # nothing is spilled: queries are bounded by ROWS and SLICE
+        self.spelled = {r: t for t, r in self.ranks.items()}
+        self.beside = np.zeros((256, 256), bool)  # pairs of bytes that stand side by side in a token
+        for t in self.ranks:
+            for x, y in zip(t, t[1:], strict=False):
+                self.beside[x, y] = True
+        self.short: dict[bytes, bytes] = {}  # of strings about the edges of windows
         self._merges()
         found = pa.table({"id": pa.array(self.ranks.values(), pa.int32()), "hex": [t.hex() for t in self.ranks]})
         self.db.execute("CREATE TABLE vocabulary AS SELECT * FROM found")
@@ -142,7 +152,7 @@ class Codec:
 
     def _merges(self) -> None:
         """The tables of merges and of the bounds beside a pair."""
-        rank, spelled = self.ranks, {r: t for t, r in self.ranks.items()}
+        rank, spelled = self.ranks, self.spelled
         rows = [(rank[x], rank[y], r) for t, r in rank.items() if len(t) > 1 and (found := _last_pair(t, rank)) for x, y in (found,)]
         a, b, r = (np.array(x, np.int64) for x in zip(*rows, strict=True))
         later = np.full(max(rank.values()) + 1, 2**31 - 1)  # the least rank of a merge that a token enters
@@ -158,28 +168,113 @@ class Codec:
 
     def learn(self, pieces: list[str]) -> None:
         """Encodes pieces that are not remembered yet."""
-        rest, long = [], []
+        rest: list[tuple[str, bytes]] = []
         for piece in pieces:
             raw = piece.encode("utf-8", "surrogatepass")
             rank = self.ranks.get(raw)
-            if rank is None:
-                (rest if len(raw) <= SHORT else long).append((piece, raw))
-            else:
+            if rank is not None:
                 self.cache[piece] = rank.to_bytes(4, "little")
-        for at in range(0, len(rest), BATCH):
-            self._contract(rest[at : at + BATCH], ENCODE)
-        at = 0
-        while at < len(long):  # some megabytes of long pieces, or one
-            stop, held = at, 0
-            while stop < len(long) and (stop == at or held + len(long[stop][1]) <= SLICE):
-                held += len(long[stop][1])
-                stop += 1
-            self._contract(long[at:stop], ENCODE_LONG)
-            at = stop
-
-    def _contract(self, part: list[tuple[str, bytes]], query: str) -> None:
-        sizes = np.fromiter((len(r) for _, r in part), np.int64, len(part))
-        data = np.frombuffer(b"".join(r for _, r in part), np.uint8)
+            elif len(raw) <= SHORT:
+                rest.append((piece, raw))
+            else:
+                self.cache[piece] = self._long(raw)
+        for (piece, _), ids in zip(rest, self._encoded([raw for _, raw in rest]), strict=True):
+            self.cache[piece] = ids
+
+    def _encoded(self, raws: list[bytes]) -> list[bytes]:
+        """The ids of different byte strings of at most ``WINDOW`` bytes, by as many recursive queries as keep each within ``ROWS``."""
+        out: list[bytes] = [b""] * len(raws)
+        for query, least, most in ((ENCODE, 0, SHORT), (ENCODE_LONG, SHORT + 1, WINDOW)):
+            own = [k for k, raw in enumerate(raws) if least <= len(raw) <= most]
+            at = 0
+            while at < len(own):
+                stop, held = at, 0
+                while stop < len(own) and stop - at < BATCH and (stop == at or held + len(raws[own[stop]]) ** 2 <= 2 * ROWS):
+                    held += len(raws[own[stop]]) ** 2  # a string of n bytes has n steps at most, of n positions and fewer
+                    stop += 1
+                for k, ids in zip(own[at:stop], self._contract([raws[k] for k in own[at:stop]], query), strict=True):
+                    out[k] = ids
+                at = stop
+        return out
+
+    def _long(self, raw: bytes) -> bytes:
+        """The ids of a piece of any length.
+
+        It is cut between bytes that no token of the vocabulary has side by side, over which no merge can reach, and into
+        windows of ``WINDOW`` bytes where that leaves more. A sequence of tokens is the encoding of its bytes if that of
+        every two neighbours is these two; so a window's edge is right where this holds, and where it does not, the tokens
+        beside it are encoded together, more of them until both ends hold.
+        """
+        data = np.frombuffer(raw, np.uint8)
+        ends = [*(np.nonzero(~self.beside[data[:-1], data[1:]])[0] + 1).tolist(), len(raw)]
+        strings: list[bytes] = []
+        edges: list[int] = []  # places in ``strings`` before which a window was cut
+        lo = 0
+        for hi in ends:
+            for at in range(lo, hi, WINDOW):
+                if at > lo:
+                    edges.append(len(strings))
+                strings.append(raw[at : min(hi, at + WINDOW)])
+            lo = hi
+        known = list(set(strings))
+        found = dict(zip(known, self._encoded(known), strict=True))
+        if not edges:
+            return b"".join(map(found.__getitem__, strings))
+        each = [np.frombuffer(found[x], "<u4").tolist() for x in strings]
+        self._foresee([(each[k - 1], each[k]) for k in edges])
+        out: list[list[int]] = []
+        cut = set(edges)
+        for k, ids in enumerate(each):
+            if k in cut:
+                self._join(out[-1], ids)
+            else:
+                out.append(list(ids))
+        return np.array([i for ids in out for i in ids], "<u4").tobytes()
+
+    def _join(self, left: list[int], right: list[int]) -> None:
+        """Appends the ids of what follows to ``left``, encoding anew what the edge has parted."""
+        k = 1
+        while True:
+            here, there = left[-k:], right[:k]
+            middle = self._ids(self._spelled([*here, *there]))
+            if (len(left) <= k or self._fits(left[-k - 1], middle[0])) and (len(right) <= k or self._fits(middle[-1], right[k])):
+                left[-k:] = middle
+                left += right[k:]
+                return
+            k *= 2
+
+    def _foresee(self, edges: list[tuple[list[int], list[int]]]) -> None:
+        """Encodes in a few queries what ``_join`` will ask for at most of the edges."""
+        for k in (1, 2, 4):
+            self._learn_short([self._spelled([*a[-k:], *b[:k]]) for a, b in edges])
+            middles = [self._ids(self._spelled([*a[-k:], *b[:k]])) for a, b in edges]
+            ends = [[x for x in ((a[-k - 1 : -k], m[:1]), (m[-1:], b[k : k + 1])) if x[0] and x[1]] for (a, b), m in zip(edges, middles, strict=True)]
+            self._learn_short([self._spelled([*x, *y]) for own in ends for x, y in own])
+            edges = [e for e, own in zip(edges, ends, strict=True) if not all(self._fits(x[0], y[0]) for x, y in own)]
+
+    def _spelled(self, ids: list[int]) -> bytes:
+        return b"".join(map(self.spelled.__getitem__, ids))
+
+    def _fits(self, a: int, b: int) -> bool:
+        """Whether two tokens side by side stay as they are."""
+        return self._ids(self.spelled[a] + self.spelled[b]) == [a, b]
+
+    def _learn_short(self, raws: list[bytes]) -> None:
+        if len(self.short) > PARTS:
+            self.short.clear()
+        fresh = [x for x in set(raws) if x not in self.short and len(x) <= WINDOW]
+        self.short.update(zip(fresh, self._encoded(fresh), strict=True))
+
+    def _ids(self, raw: bytes) -> list[int]:
+        if len(raw) > WINDOW:  # of very long tokens only
+            return np.frombuffer(self._contract([raw], ENCODE_LONG)[0], "<u4").tolist()
+        if raw not in self.short:
+            self._learn_short([raw])
+        return np.frombuffer(self.short[raw], "<u4").tolist()
+
+    def _contract(self, part: list[bytes], query: str) -> list[bytes]:
+        sizes = np.fromiter(map(len, part), np.int64, len(part))
+        data = np.frombuffer(b"".join(part), np.uint8)
         starts = np.cumsum(sizes) - sizes
         before = np.concatenate([[-1], data[:-1].astype(np.int32)]).astype(np.int32)
         before[starts] = -1
@@ -187,10 +282,7 @@ class Codec:
         out = self.db.sql(query).to_arrow_table()
         flat = out.column("tok").to_numpy().astype("<u4").tobytes()
         ends = 4 * np.cumsum(np.bincount(out.column("w").to_numpy(), minlength=len(part)))
-        lo = 0
-        for (piece, _), hi in zip(part, ends.tolist(), strict=True):
-            self.cache[piece] = flat[lo:hi]
-            lo = hi
+        return [flat[lo:hi] for lo, hi in zip([0, *ends[:-1].tolist()], ends.tolist(), strict=True)]
 
     def encode(self, texts: list[str | None]) -> list[bytes]:
         """The ids of each text as little-endian 32-bit integers."""
