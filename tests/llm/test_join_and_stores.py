@@ -256,6 +256,23 @@ def test_nearest_recall_with_spread_lengths(spark, spread):
     assert recall(found, x, range(100)) >= 0.95
 
 
+def test_nearest_of_long_rows_is_hashed_by_bands(spark, monkeypatch):
+    """Lengths over many doublings: every band with more rows than a block has tables of its own, the others are met whole."""
+    x = directions(6000, 16) * np.exp(1.5 * np.random.default_rng(6).normal(size=(6000, 1)))
+    caught, plain = [], ann._chosen
+    monkeypatch.setattr(ann, "_chosen", lambda *a: caught.append(a[3]) or plain(*a))
+    found = ann.search(vectors(spark, x), F.col("id") % 60 == 0, block_rows=128).collect()
+    assert len(found) == 100 * 20 and recall(found, x, range(0, 6000, 60)) >= 0.9
+    assert len(caught) >= 2 and sum(caught) > 5800 and min(caught[1:]) > 128
+
+
+def test_nearest_recall_on_many_rows(spark):
+    """50,000 rows in no order that helps: the measured setting holds there as well."""
+    x = directions(50_000, 32, seed=12)
+    found = ann.search(vectors(spark, x), F.col("id") % 500 == 0).collect()
+    assert len(found) == 100 * 20 and recall(found, x, range(0, 50_000, 500)) >= 0.9
+
+
 def test_nearest_finds_all_of_few_rows(spark):
     x = directions(15)
     found = ann.search(vectors(spark, x), F.lit(True)).collect()
