@@ -398,3 +398,36 @@ def test_toxicity_keeps_all_terms_and_examples():
     assert sorted(own.ids) == list(range(42))
     _, ids, cosines = own.score(["only seen once", "own7 unheard"])
     assert ids[0][0] == 40 and cosines[0][0] == pytest.approx(1, abs=1e-5) and ids[1] == [7]
+
+
+def test_packing_curve_is_continuous_and_prefixes_are_coarser_curves():
+    q = np.stack(np.meshgrid(*[np.arange(8)] * 3, indexing="ij"), -1).reshape(-1, 3)
+    place = packing.hilbert(q, 3)
+    assert sorted(place.tolist()) == list(range(512))
+    along = q[np.argsort(place)]
+    assert (np.abs(np.diff(along, axis=0)).sum(1) == 1).all()
+    assert (packing.hilbert(q, 3) >> 3 == packing.hilbert(q >> 1, 2)).all()
+
+
+def test_packing_lays_neighbours_side_by_side(spark, docs, monkeypatch):
+    """Documents go by cells along the curve, in each sub-cell by the curve, and those side by side are nearer than others."""
+    table = spark.read.parquet("/root/testdata/sf0.01/documents.parquet")
+    with monkeypatch.context() as m:  # cells grow with the rows, within their bounds
+        m.setattr(packing, "BITS", 2)
+        m.setattr(packing, "MOST_BITS", 3)
+        for sub_rows, bits in ((10**6, 2), (1, 3)):
+            rows = [r for r in packing.pack(table, sub_rows=sub_rows).collect() if r["start"] == 0]
+            rows.sort(key=lambda r: (r["sequence_id"], r["offset"]))
+            assert [r["hilbert"] for r in rows] == sorted(r["hilbert"] for r in rows) and 8 ** (bits - 1) <= max(r["hilbert"] for r in rows) < 8**bits
+    whole = packing.pack_ids(table, sub_rows=10**6)
+    ids = {}
+    for r in sorted(whole.collect(), key=lambda r: (r["sequence_id"], r["offset"])):
+        ids.setdefault(r["doc_id"], []).extend(r["ids"])
+    texts = [np.array(x[:-1]) for x in ids.values() if len(x) > 20]
+    place = packing.curve_places(texts)
+    cells = place >> packing.DIMENSIONS * (packing.FINE - packing.BITS)
+    assert (np.diff(cells) >= 0).all() and (np.diff(place) >= 0).mean() > 0.99  # without sub-cells the whole table goes by the curve
+    v = np.stack([packing.hashed_counts(x) for x in texts])
+    near = (v[:-1] * v[1:]).sum(1).mean()
+    mixed = np.random.default_rng(0).permutation(len(v))
+    assert near > (v[mixed[:-1]] * v[mixed[1:]]).sum(1).mean() + 0.15

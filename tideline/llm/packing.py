@@ -1,11 +1,13 @@
 """Packing documents into sequences along a space-filling curve.
 
 Each document's token ids are hashed into a vector of ``HASHED`` counts,
-projected to three dimensions by fixed random signs and quantised; the grid
-cells are numbered along a Hilbert curve. Documents are laid along the curve
-end to end and cut every ``LENGTH`` tokens, so each sequence holds neighbours
-and only the last one of all is padded. A document's place on the curve comes
-from token counts per cell and sub-cell; the ids move once, to be cut.
+projected to three dimensions by fixed random signs and quantised to ``FINE`` bits
+each; the grid points are numbered along a Hilbert curve. Documents are laid along
+the curve end to end and cut every ``LENGTH`` tokens, so each sequence holds
+neighbours and only the last one of all is padded. A document's place on the curve
+comes from token counts per cell and sub-cell; the ids move once, to be cut. Cells
+are prefixes of the curve's number, the longer the more documents there are; large
+ones are cut into sub-cells by a hash, and in each documents go by the whole number.
 
 Tokenising: where the tokenizer's file has the rules ``SPLIT_RULES`` (white space
 parts, lower case, its own pattern of words), texts fall between white space
@@ -34,10 +36,11 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from tideline.llm.common import Scratch, free_shuffles, map_rows, spark_arrow
-from tideline.llm.sharding import hilbert_table
 
 LENGTH, END = 4096, 2
-HASHED, DIMENSIONS, BITS, SEED = 512, 3, 4, 11
+HASHED, DIMENSIONS, SEED = 512, 3, 11
+#: Bits of a dimension that the curve numbers, and those that tell cells apart, at least and at most.
+FINE, BITS, MOST_BITS = 10, 4, 6
 #: Parts that a worker remembers.
 CACHE = 500_000
 #: Rules of a tokenizer's file under which white space and the parts between it can be encoded apart (fixed values).
@@ -142,19 +145,42 @@ def tokens(path: str | None) -> Tokens:
 _rng = np.random.default_rng(SEED)
 _SLOT = _rng.permutation(1 << 16).astype(np.int64) % HASHED
 _PROJECTION = _rng.choice(np.array([-1.0, 1.0]), (HASHED, DIMENSIONS))
-_CURVE = np.array(hilbert_table(DIMENSIONS, BITS))
 
 
-def curve_cell(ids: np.ndarray) -> int:
-    """Hilbert number of a document's cell."""
+def hashed_counts(ids: np.ndarray) -> np.ndarray:
+    """A document's vector: roots of its hashed token counts less their mean, of length one or zero."""
     v = np.sqrt(np.bincount(_SLOT[ids & 0xFFFF], minlength=HASHED))
     v -= v.mean()
     norm = np.sqrt(v @ v)
-    if norm == 0:
-        return 0
-    x = v @ _PROJECTION / norm  # about standard normal in each dimension
-    q = np.clip((x + 2) * ((1 << BITS) / 4), 0, (1 << BITS) - 1).astype(int)
-    return int(_CURVE[(q[0] << 2 * BITS) | (q[1] << BITS) | q[2]])
+    return v / norm if norm else v
+
+
+def hilbert(q: np.ndarray, bits: int) -> np.ndarray:
+    """Numbers along the Hilbert curve of grid points (rows), by Skilling's transform; a prefix of a number is that of the coarser curve."""
+    x = [c.astype(np.int64) for c in q.T]
+    for b in range(bits - 1, 0, -1):
+        low = (1 << b) - 1
+        for i in range(len(x)):
+            up = (x[i] >> b) & 1
+            swap = np.where(up, 0, (x[0] ^ x[i]) & low)
+            x[0] ^= np.where(up, low, swap)
+            x[i] ^= swap
+    for i in range(1, len(x)):
+        x[i] ^= x[i - 1]
+    turn = np.zeros_like(x[0])
+    for b in range(bits - 1, 0, -1):
+        turn ^= np.where((x[-1] >> b) & 1, (1 << b) - 1, 0)
+    out = np.zeros_like(x[0])
+    for b in range(bits - 1, -1, -1):
+        for c in x:
+            out = out << 1 | ((c ^ turn) >> b) & 1
+    return out
+
+
+def curve_places(documents: list[np.ndarray]) -> np.ndarray:
+    """The curve's numbers of documents, given as ids; of equal ones the same whatever stands beside them."""
+    x = np.array([(hashed_counts(ids)[:, None] * _PROJECTION).sum(0) for ids in documents]).reshape(-1, DIMENSIONS)
+    return hilbert(np.clip((x + 2) * ((1 << FINE) / 4), 0, (1 << FINE) - 1).astype(np.int64), FINE)
 
 
 def pack(docs: DataFrame, path: str | None = None, length: int = LENGTH, end: int = END, sub_rows: int = 1024) -> DataFrame:
@@ -183,21 +209,23 @@ def _cut(docs: DataFrame, path: str | None, length: int, end: int, sub_rows: int
                     stop += 1
                 ids = own.encode(b["text"][at:stop])
                 raw = [x.tobytes() for x in ids]
-                yield {"doc_id": b["doc_id"][at:stop], "hilbert": [curve_cell(x) for x in ids], "n": [len(x) + 1 for x in ids], "spread": [zlib.crc32(x) for x in raw], "wide": [not own.split] * len(ids), "ids": raw}
+                yield {"doc_id": b["doc_id"][at:stop], "fine": curve_places(ids).tolist(), "n": [len(x) + 1 for x in ids], "spread": [zlib.crc32(x) for x in raw], "wide": [not own.split] * len(ids), "ids": raw}
                 at = stop
         own.cache.clear()  # the worker process goes on to steps that need the memory
 
-    rows = scratch.save(map_rows(docs.select("doc_id", "text"), f"doc_id {kind}, hilbert int, n long, spread long, wide boolean, ids binary", encode), "ids")
+    rows = scratch.save(map_rows(docs.select("doc_id", "text"), f"doc_id {kind}, fine long, n long, spread long, wide boolean, ids binary", encode), "ids")
+    bits = min(MOST_BITS, max(BITS, -(-max(1, rows.count() // sub_rows).bit_length() // DIMENSIONS)))
+    rows = rows.withColumn("hilbert", F.shiftright("fine", DIMENSIONS * (FINE - bits)).cast("int"))
     # Equal texts share a hash of their ids, so large cells are cut by one that takes the document's id in.
     rows = rows.withColumn("spread", F.crc32(F.concat_ws(",", F.coalesce(F.col("doc_id").cast("string"), F.lit("")), F.col("spread").cast("string")).cast("binary")))
     cells = rows.groupBy("hilbert").count().select(F.col("hilbert").alias("cell"), F.ceil(F.col("count") / sub_rows).cast("long").alias("subs"))
-    cells = scratch.save(cells.coalesce(1), "cells")  # at most 2 ** (DIMENSIONS * BITS) rows
+    cells = scratch.save(cells.coalesce(1), "cells")  # at most 2 ** (DIMENSIONS * MOST_BITS) rows
     rows = rows.join(F.broadcast(cells), F.col("hilbert") == F.col("cell")).withColumn("sub", F.shiftright(F.col("spread") * F.col("subs"), 32)).drop("cell", "subs")
     sums = rows.groupBy("hilbert", "sub").agg(F.sum("n").alias("n"))
     begins = sums.select(F.col("hilbert").alias("cell"), F.col("sub").alias("part"), (F.sum("n").over(Window.orderBy("hilbert", "sub")) - F.col("n")).alias("begin"))
     begins = scratch.save(begins, "begins")  # at most documents / sub_rows rows more than cells
     placed = rows.join(begins, (F.col("hilbert") == F.col("cell")) & (F.col("sub") == F.col("part"))).drop("cell", "part")
-    placed = placed.repartition("hilbert", "sub").sortWithinPartitions("hilbert", "sub", "spread", "doc_id", "ids")
+    placed = placed.repartition("hilbert", "sub").sortWithinPartitions("hilbert", "sub", "fine", "spread", "doc_id", "ids")
     schema = f"doc_id {kind}, start long, length long, ids_crc32 long, doc_tokens long, sequence_id long, offset long, hilbert int" + ", ids array<int>" * with_ids
     target = spark_arrow(spark, schema)
 
