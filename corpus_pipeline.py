@@ -3,6 +3,13 @@
 Every stage takes (spark, docs, sf_dir) and returns a DataFrame; it is written
 as Parquet to the shared folder and reread as the next stage's documents. All
 stages but the last return the columns of documents.
+
+Defined results: a document whose text is null or empty is scored by the classifier like any other, and falls to the
+rules, which ask for words; rows without an id take part, and are never kept in favour of a row with one; repeated rows
+are judged each, of a group of near copies the row of the smallest id stays, and of rows that share it one; texts of any
+length go through every stage whole; an empty table gives an empty table of pieces, and without
+labels the classifier keeps all; further columns are carried to the
+last stage, whatever their names, which leaves them out. What a stage does with ties is said in its module.
 """
 
 from __future__ import annotations
