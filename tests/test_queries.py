@@ -6,14 +6,14 @@ import duckdb
 import pytest
 
 import __spark_entry__ as entry_points
-from tideline.plans import diary, oracles
+from tideline.plans import diary, oracles, scans
 from tideline.plans.queries import queries
 
 DIR = "/root/testdata/sf0.001"
 
 
 def oracle_sql():
-    return oracles.oracle_sql() | diary.oracle_sql()
+    return oracles.oracle_sql() | diary.oracle_sql() | scans.oracle_sql()
 
 
 def cells(rows):

@@ -11,7 +11,7 @@ from tideline.functions import dates, stats, text
 from tideline.operators import association, multiplicity, resample, series, windows
 from tideline.operators import residuals as least_squares
 from tideline.operators.residuals import adjusted
-from tideline.plans import diary, engine
+from tideline.plans import diary, engine, scans
 from tideline.schema import THRESHOLDS
 from tideline.sources import export, store, tables
 from tideline.sources.tables import read
@@ -357,4 +357,4 @@ NAMES = (
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (*NAMES, *diary.NAMES)}
+    return {f.__name__: f for f in (*NAMES, *diary.NAMES, *scans.NAMES)}
