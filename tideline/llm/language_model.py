@@ -11,8 +11,8 @@ v in training; all unseen words of a class are one. So the probabilities add up
 to one over the words seen and the unseen word of each class.
 
 The network is trained in numpy with noise-contrastive estimation on all
-training documents: a start is fitted on a bounded batch of documents, the first
-by a hash of id and text, then every task refines its own copy on all its training
+training documents: a start is fitted on a bounded batch of whole documents, the
+first by a hash of id and text, then every task refines its own copy on all its training
 documents and the copies are averaged by tokens. Scoring finds the different
 contexts of a chunk and normalises them by batched matrix products.
 
@@ -50,7 +50,7 @@ from tideline.llm.common import Scratch, free_shuffles, partitions, remainder, s
 
 #: Frequent tokens and classes of other words in the softmax; embedding size; noise samples of a batch.
 SHORTLIST, ENDINGS, DIM, NOISE = 511, 128, 16, 32
-#: Positions of a training batch, positions of the start's fit, learning rate.
+#: Positions of a training batch, positions after which the start takes no further text, learning rate.
 BATCH, START, RATE, SEED = 1024, 600_000, 0.1, 3
 #: Documents that the start's fit reads at most, and its passes over them.
 START_DOCS, PASSES = 4000, 5
@@ -440,8 +440,8 @@ def train(docs: DataFrame, chunks: DataFrame, model: Model, n_docs: int, modulus
         sizes, classes, seen, known = [], [], 0, {}
         for b in slices(batches):
             for text in b.column("text").to_pylist():
-                if seen < START:
-                    tokens = _tokens(text)[: START - seen]
+                if seen < START:  # texts are taken whole
+                    tokens = _tokens(text)
                     for t in tokens:
                         if t not in known:
                             known[t] = own.class_of(t)
