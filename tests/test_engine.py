@@ -85,3 +85,11 @@ def test_own_statistic_transform_and_draws(spark):
     assert 0.1 < means < 0.7
     own = first(nulls.bootstrap_error(packed, ["test_id"], False, t, statistic=lambda a, b: (a * b).mean(1)), "se")
     assert own is not None and own != first(nulls.bootstrap_error(packed, ["test_id"], False, t), "se")
+
+
+def test_summary_says_when_nothing_stands_out(spark):
+    tests = spark.createDataFrame([("a", 1), ("a", 2), ("b", 1), ("c", 1)], "subject_id string, k int")
+    found = spark.createDataFrame([("a", "CLEAR"), ("a", "TENTATIVE"), ("a", "CLEAR")], "subject_id string, confidence string")
+    waits = spark.createDataFrame([("c", "sleep"), ("d", "sleep")], "subject_id string, id string")
+    got = {r["subject_id"]: tuple(r)[1:] for r in engine.summary(engine.Report(tests, found, waits)).collect()}
+    assert got == {"a": (2, 2, 1, 0, None), "b": (1, 0, 0, 0, "Nothing stands out yet"), "c": (1, 0, 0, 1, None), "d": (0, 0, 0, 1, None)}

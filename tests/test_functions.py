@@ -177,3 +177,11 @@ def test_named_scans_and_preferences(spark):
     own = store.preferences(stored).first()
     assert (own["reminder_hour"], own["reminder_enabled"], own["midday_reminder_hour"]) == (7, False, 13)
     assert store.preferences(stored.limit(0)).first()["reminder_hour"] == 21
+
+
+def test_time_until_the_next_hour(spark):
+    rows = [("2024-01-01T20:59:30", "UTC", 0.5), ("2024-01-01T21:00:00", "UTC", 1440.0), ("2024-01-01T21:00:01", "UTC", 1439 + 59 / 60), ("2024-01-01T05:00:00", "America/New_York", 1260.0), ("2024-03-10T05:30:00", "America/New_York", 1230.0)]
+    df = spark.createDataFrame([(t, z) for t, z, _ in rows], "t string, z string").select(F.col("t").cast("timestamp").alias("t"), "z")
+    got = [r["m"] for r in df.select((dates.until_next(F.col("t"), F.col("z"), 21) / 60_000_000).alias("m")).collect()]
+    assert got == pytest.approx([m for _, _, m in rows])  # the last on a day whose clocks go forward: by the wall clock
+    assert one(spark, dates.until_next(F.lit("2024-01-01T12:00:00").cast("timestamp"), F.lit("UTC"), F.lit(12), F.lit(15))) == 15 * 60_000_000

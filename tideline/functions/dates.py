@@ -28,6 +28,18 @@ def day_start(day: Column, zone: Column) -> Column:
     return wall_clock(day, 0, zone) + F.make_dt_interval(hours=F.lit(BOUNDARY_HOURS))
 
 
+def until_next(ts: Column, zone: Column, hour: Column | int, minute: Column | int = 0) -> Column:
+    """Microseconds on the wall clock from an instant to the next time of day, a whole day at that time itself.
+
+    Clocks that change in between are not counted, as a clock on the wall would not.
+    """
+    local = F.from_utc_timestamp(ts, zone)
+    number = lambda v: F.lit(v) if isinstance(v, int) else v
+    gone = F.unix_micros(local) - F.unix_micros(local.cast("date").cast("timestamp"))
+    wait = (number(hour).cast("long") * 60 + number(minute)) * 60_000_000 - gone
+    return F.when(wait > 0, wait).otherwise(wait + 86_400_000_000)
+
+
 def is_weekend(day: Column) -> Column:
     return F.weekday(day) >= 5
 

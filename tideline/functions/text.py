@@ -82,3 +82,12 @@ def clean_tag(name: Column) -> Column:
 def csv_cell(value: Column) -> Column:
     """Quoted only where the cell holds a comma, a quote or a line feed."""
     return F.when(value.rlike('[,"\n]'), F.concat(F.lit('"'), F.replace(value, F.lit('"'), F.lit('""')), F.lit('"'))).otherwise(value)
+
+
+# What a report says of its findings, and where there are none.
+CONFIDENCE = {"CLEAR": "Well supported", "TENTATIVE": "Worth watching"}
+NOTHING = "Nothing stands out yet"
+
+
+def confidence_label(c: Column) -> Column:
+    return F.when(c == "CLEAR", CONFIDENCE["CLEAR"]).when(c == "TENTATIVE", CONFIDENCE["TENTATIVE"])

@@ -17,7 +17,7 @@ from pyspark.sql import functions as F
 from pyspark.storagelevel import StorageLevel
 
 from tideline.functions.stats import fisher_z, inverse_fisher_z, p_against_null
-from tideline.functions.text import direction, lag_phrase, pair_of, rank_score, sentence, strength, two_places
+from tideline.functions.text import CONFIDENCE, NOTHING, confidence_label, direction, lag_phrase, pair_of, rank_score, sentence, strength, two_places
 from tideline.operators.association import GROUP, PAIR, correlation_kind, gathered_groups, gathered_pairs, reverse_checks, tag_rows, weekday_rows
 from tideline.operators.multiplicity import bh_threshold, strongest, tiers
 from tideline.operators.nulls import MEASURES, Measures, bootstrap_error, examined
@@ -165,3 +165,16 @@ def analyse(outcomes: DataFrame, predictors: DataFrame, tags: DataFrame, labels:
     insights = worded(kept.withColumn("place", place))
     insights = insights.select("subject_id", "place", "test_id", "kind", "headline", "detail", "effect", "ci_low", "ci_high", "n", "confidence", "strength", "caveats", "rank_score")
     return Report(tests, insights, pending(outcomes, predictors, t), (tests, corr_rows, tag_packed, dow_packed), inputs)
+
+
+def summary(report: Report) -> DataFrame:
+    """subject_id, tests_run, findings by label, waiting, message: what stands above a report.
+
+    ``message`` says that nothing stands out where a subject has neither findings nor analyses that wait for days.
+    """
+    run = report.tests.groupBy("subject_id").agg(F.count(F.lit(1)).cast("int").alias("tests_run"))
+    label = confidence_label(F.col("confidence"))
+    found = report.insights.groupBy("subject_id").agg(*[F.count_if(label == v).cast("int").alias(k.lower()) for k, v in CONFIDENCE.items()])
+    waits = report.pending.groupBy("subject_id").agg(F.count(F.lit(1)).cast("int").alias("waiting"))
+    both = run.join(found, "subject_id", "full").join(waits, "subject_id", "full").fillna(0, ["tests_run", "clear", "tentative", "waiting"])
+    return both.withColumn("message", F.when(F.col("clear") + F.col("tentative") + F.col("waiting") == 0, NOTHING))

@@ -401,6 +401,9 @@ def oracle_sql() -> dict[str, str]:
   r AS (SELECT subject_id, id, label, days AS days_available, need AS days_required FROM a, g WHERE days < need UNION ALL SELECT subject_id, 'sleep', 'Sleep effects', 0, 21 FROM a)
   SELECT *, greatest(0, days_required - days_available) AS days_remaining, round(greatest(0.0, least(1.0, days_available / days_required)), 6) AS progress FROM r""",
         "report": f"WITH {REPORT}",
+        "report_summary": f"WITH {REPORT.rsplit(chr(10) + 'SELECT subject_id, CAST(place', 1)[0]}, ran AS (SELECT subject_id, CAST(count(*) AS INTEGER) AS tests_run FROM scored GROUP BY 1), got AS (SELECT subject_id, CAST(count(*) FILTER (confidence = 'CLEAR') AS INTEGER) AS clear, CAST(count(*) FILTER (confidence = 'TENTATIVE') AS INTEGER) AS tentative FROM f3 GROUP BY 1) "
+        "SELECT subject_id, tests_run, coalesce(clear, 0) AS clear, coalesce(tentative, 0) AS tentative, 0 AS waiting, CASE WHEN coalesce(clear, 0) + coalesce(tentative, 0) = 0 THEN 'Nothing stands out yet' END AS message FROM ran LEFT JOIN got USING (subject_id)",
+        "next_reminder": f"WITH {CHECK}, w AS (SELECT id, 21 * 3600000000 - epoch_us(ts + {HOURS}) % 86400000000 AS us FROM c) SELECT id, round((CASE WHEN us > 0 THEN us ELSE us + 86400000000 END) / 60000000.0::DOUBLE, 6) AS minutes FROM w",
         "report_tests": f"WITH {ALL_TESTS} SELECT subject_id, test_id, kind, n, round(effect, 6) AS effect, round(null_sd, 6) AS null_sd, round(p, 6) AS p, CAST(family AS INTEGER) AS family, confidence FROM scored",
         "csv_export": f"WITH {CHECK} SELECT id, concat_ws(',', CAST(day AS VARCHAR), CAST(epoch_us(ts) // 1000 AS VARCHAR), zone_id, CAST(mood AS VARCHAR), CAST(energy AS VARCHAR), {_CELL.format(chr(40) + 'array_to_string(tags, ' + chr(39) + ';' + chr(39) + '))')}, {_CELL.format(chr(40) + 'coalesce(note, ' + chr(39) * 2 + '))')}) AS line FROM c JOIN own USING (id)",
         "json_export": f"WITH {CHECK} SELECT id, CAST(to_json({{'timestampUtc': epoch_us(ts) // 1000, 'zoneId': zone_id, 'localDate': CAST(day AS VARCHAR), 'mood': mood, 'energy': energy, 'note': note, 'tags': tags}}) AS VARCHAR) AS json FROM c JOIN own USING (id)",

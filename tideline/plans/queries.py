@@ -279,6 +279,16 @@ def report_tests(s, d):
     return out.select("subject_id", "test_id", "kind", "n", _r("effect"), _r("null_sd"), _r("p"), F.col("family").cast("int").alias("family"), "confidence")
 
 
+def report_summary(s, d):
+    return engine.summary(engine.analyse(*_inputs(s, d), tables.metric_labels(s)))
+
+
+def next_reminder(s, d):
+    """Minutes from each check-in to nine in the evening of its zone."""
+    c = tables.check_ins(read(s, d, "events"))
+    return c.select("id", _r(dates.until_next(F.col("ts"), F.col("zone_id"), 21) / 60_000_000, "minutes"))
+
+
 def _tagged(s, d):
     c = store.stamped(tables.check_ins(read(s, d, "events")))
     tags = c.select(F.col("id").alias("check_in_id"), "tag").union(c.select(F.col("id").alias("check_in_id"), F.lit("a,b")).filter("check_in_id % 5 = 0"))
@@ -351,7 +361,7 @@ def last_value(s, d):
 NAMES = (
     daily_mean, tag_days, day_boundary, unpivot_metrics, demo_seed, lag_align, weekend_flag, avg_rank, pearson, spearman, group_stats, centred_mean, trailing_mean, sleep_baseline, sleep_debt, line_segments,
     chart_coordinates, residuals, residuals_of_many, circular_shift, block_permute, block_bootstrap, quantile_ci, se_interval, rotation_null, rotation_null_by_user, block_null, normal_curve, student_t, corr_tests, bh_threshold, tag_tests,
-    dow_tests, reverse_check, strength_bands, dedupe_rank, pending, report, report_tests, csv_export, json_export, upsert_latest, save_check_ins, cascade_delete, replace_tags, add_tags, day_count, scale_labels,
+    dow_tests, reverse_check, strength_bands, dedupe_rank, pending, report, report_tests, report_summary, next_reminder, csv_export, json_export, upsert_latest, save_check_ins, cascade_delete, replace_tags, add_tags, day_count, scale_labels,
     format_minutes, scan_since, last_value,
 )
 
