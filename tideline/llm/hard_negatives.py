@@ -203,14 +203,19 @@ class Search:
         block_rows = max(64, min(block_rows, NUMBERS // dim))
         self.tree, self.own = self._tree(rows, n, leaf_rows, LEAVES), self._tree(anchors, anchors.count(), ANCHOR_LEAF, ANCHOR_LEAVES)
         placed = scratch.save(self._placed(rows, [self.tree], ["leaf"]), "placed")
-        self.size = measured(placed, self.tree, dim)
+        # A tree of one leaf prunes nothing, so only its rows are known.
+        self.size = measured(placed, self.tree, dim) if self.parted else (np.array([float(n)]),) * 3
         blocks = [(int(k), max(1, -(-int(self.size[0][k]) // block_rows))) for k in np.nonzero(self.tree.leaf)[0]]
         #: At most LEAVES rows.
         self.blocks = self.spark.createDataFrame(blocks, "leaf int, parts int")
         part = F.pmod(F.xxhash64("id", "v"), F.col("parts"))
         self.rows = placed.join(F.broadcast(self.blocks), "leaf").select(self._block(part).alias("block"), "id", "label", "v")
         self.anchors = scratch.save(self._placed(anchors, [self.own, self.tree], ["leaf", "home"]), "anchors")
-        self.anchor_size = measured(self.anchors, self.own, dim)
+        self.anchor_size = measured(self.anchors, self.own, dim) if self.parted else None
+
+    @property
+    def parted(self) -> bool:
+        return len(self.tree.parent) > 1
 
     def _tree(self, rows: DataFrame, n: int, leaf_rows: int, leaves: int) -> Tree:
         most = max(1, min(leaves, NUMBERS // (4 * self.dim), n // leaf_rows))
@@ -307,7 +312,7 @@ class Search:
         place = F.row_number().over(Window.partitionBy("id", "twin", "band").orderBy(F.desc("score"), "other"))
         cut = lambda df: df.withColumn("place", place).filter(F.col("place") <= k)
         found = cut(self._met(self._to_blocks(asked, "home"), same, k))
-        if len(self.tree.parent) == 1:
+        if not self.parted:
             return self.scratch.save(found, name)
         found = self.scratch.save(found, f"{name}-home")
         # A full list's last score is the floor from now on; an equal score may still win by its id.
@@ -354,7 +359,7 @@ def mine(
     near = search.first(whole_line, True, positives, "positives")
     bands = near.withColumns({"lo": -hundredths(F.col("score") * -low), "hi": hundredths(F.col("score") * high)}).groupBy("id", "twin").agg(F.array_sort(F.collect_list(F.struct("place", "lo", "hi"))).alias("bands"))
     asked = search.anchors.join(bands, ["id", "twin"]).withColumns({"low": F.transform("bands", lambda b: b["lo"]), "high": F.transform("bands", lambda b: b["hi"])}).drop("bands")
-    far = search.first(scratch.save(asked, "banded"), False, negatives, "negatives-found")
+    far = search.first(scratch.save(asked, "banded") if search.parted else asked, False, negatives, "negatives-found")
     own = near.select(F.col("id"), "twin", (F.col("place") - 1).alias("band"), F.col("other").alias("positive_id"), F.col("score").alias("positive_score"))
     out = far.join(own, ["id", "twin", "band"])
     return out.select(F.col("id").alias("anchor_id"), "positive_id", F.col("place").cast("int").alias("rank"), F.col("other").alias("negative_id"), "positive_score", F.col("score").alias("negative_score"))
