@@ -9,6 +9,7 @@ runs for surviving tests only.
 
 from __future__ import annotations
 
+import re
 from dataclasses import dataclass
 
 import pandas as pd
@@ -91,28 +92,38 @@ def pending(outcomes: DataFrame, predictors: DataFrame, t: Thresholds = THRESHOL
     return found.withColumn("days_remaining", F.greatest(F.lit(0), F.col("days_required") - F.col("days_available")))
 
 
+# What findings say.
+TEXTS = {
+    "SAME_DAY": "Higher {p_lower} goes with {dir} {o_lower} the same day",
+    "LAGGED": "{p} {lag} tracks {dir} {o_lower}",
+    "SLEEP_DEBT": "Accumulated sleep debt tracks {dir} {o_lower}",
+    "TAG": '{o} runs {dir} on days tagged "{grp}"',
+    "DAY_OF_WEEK": "{o} tends to be {dir} on {grp}s",
+    "association": " association (rho = {effect}",
+    "difference": " difference (d = {effect}",
+    "points": ", about {raw} points on the scale",
+    "interval": ", 95% CI {low} to {high}, over {n} days). Adjusted for weekday/weekend and slow drift. This is an association in your own data, not evidence of cause.",
+    "tentative": "Survives the false-discovery check but not the strictest one, so treat it as a lead rather than a settled finding.",
+    "short": "Based on a short history ({n} days); expect this to move.",
+    "both_ways": "The reverse also holds about as strongly ({o} predicts later {p} at {reverse}), so which way this runs is unclear.",
+}
+
+
 def worded(found: DataFrame) -> DataFrame:
     """Adds headline, detail and caveats to what ``_labelled`` gives."""
-    e, kind = F.col("effect"), F.col("kind")
-    head = (
-        F.when(kind == "SAME_DAY", F.concat(F.lit("Higher "), F.lower("p_name"), F.lit(" goes with "), direction(e), F.lit(" "), F.lower("o_name"), F.lit(" the same day")))
-        .when(kind == "LAGGED", F.concat("p_name", F.lit(" "), lag_phrase(F.col("lag")), F.lit(" tracks "), direction(e), F.lit(" "), F.lower("o_name")))
-        .when(kind == "SLEEP_DEBT", F.concat(F.lit("Accumulated sleep debt tracks "), direction(e), F.lit(" "), F.lower("o_name")))
-        .when(kind == "TAG", F.concat("o_name", F.lit(" runs "), direction(e), F.lit(' on days tagged "'), "grp", F.lit('"')))
-        .otherwise(F.concat("o_name", F.lit(" tends to be "), direction(e), F.lit(" on "), "grp", F.lit("s")))
-    )
-    grouped = F.col("grp").isNotNull()
-    raw = F.coalesce(F.concat(F.lit(", about "), two_places(F.abs("raw_difference")), F.lit(" points on the scale")), F.lit(""))
-    what = F.when(grouped, F.concat(F.lit(" difference (d = "), two_places(e), raw)).otherwise(F.concat(F.lit(" association (rho = "), two_places(e)))
-    tail = F.concat(F.lit(", 95% CI "), two_places(F.col("ci_low")), F.lit(" to "), two_places(F.col("ci_high")), F.lit(", over "), F.col("n").cast("string"), F.lit(" days). Adjusted for weekday/weekend and slow drift. This is an association in your own data, not evidence of cause."))
-    caveats = F.array(
-        F.when(F.col("confidence") == "TENTATIVE", "Survives the false-discovery check but not the strictest one, so treat it as a lead rather than a settled finding."),
-        F.when(F.col("n") < 30, F.concat(F.lit("Based on a short history ("), F.col("n").cast("string"), F.lit(" days); expect this to move."))),
-        F.when(
-            kind.isin("LAGGED", "SLEEP_DEBT") & (F.abs("reverse") >= F.abs("effect") * 0.8),
-            F.concat(F.lit("The reverse also holds about as strongly ("), "o_name", F.lit(" predicts later "), "p_name", F.lit(" at "), two_places(F.col("reverse")), F.lit("), so which way this runs is unclear.")),
-        ),
-    )
+    columns = {"o": F.col("o_name"), "p": F.col("p_name"), "p_lower": F.lower("p_name"), "o_lower": F.lower("o_name"), "dir": direction(F.col("effect")), "grp": F.col("grp"), "lag": lag_phrase(F.col("lag")), "effect": two_places(F.col("effect"))}
+    columns |= {"raw": two_places(F.abs("raw_difference")), "low": two_places(F.col("ci_low")), "high": two_places(F.col("ci_high")), "n": F.col("n").cast("string"), "reverse": two_places(F.col("reverse"))}
+
+    def say(name: str) -> Column:
+        """A text with its columns put in."""
+        return F.concat(*[columns[part] if k % 2 else F.lit(part) for k, part in enumerate(re.split(r"\{(\w+)\}", TEXTS[name])) if part])
+
+    kind = F.col("kind")
+    head = F.when(kind == "SAME_DAY", say("SAME_DAY")).when(kind == "LAGGED", say("LAGGED")).when(kind == "SLEEP_DEBT", say("SLEEP_DEBT")).when(kind == "TAG", say("TAG")).otherwise(say("DAY_OF_WEEK"))
+    what = F.when(F.col("grp").isNull(), say("association")).otherwise(F.concat(say("difference"), F.coalesce(say("points"), F.lit(""))))
+    tail = say("interval")
+    again = kind.isin("LAGGED", "SLEEP_DEBT") & (F.abs("reverse") >= F.abs("effect") * 0.8)
+    caveats = F.array(F.when(F.col("confidence") == "TENTATIVE", say("tentative")), F.when(F.col("n") < 30, say("short")), F.when(again, say("both_ways")))
     return found.withColumns({"headline": sentence(head), "detail": F.concat(sentence(F.col("strength")), what, tail), "caveats": F.filter(caveats, lambda c: c.isNotNull())}).drop("o_name", "p_name")
 
 

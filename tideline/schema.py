@@ -30,6 +30,7 @@ DEFAULT_TAGS = ("caffeine", "alcohol", "social contact", "stress", "ate well", "
 WEEKDAYS = ("Monday", "Tuesday", "Wednesday", "Thursday", "Friday", "Saturday", "Sunday")
 
 
+# Gates and levels that results must be computed with.
 @dataclass(frozen=True)
 class Thresholds:
     """Gates and levels of an analysis."""
@@ -55,6 +56,7 @@ class Thresholds:
 THRESHOLDS = Thresholds()
 
 
+# Defaults of the preferences.
 @dataclass(frozen=True)
 class Settings:
     """Preferences with their defaults."""

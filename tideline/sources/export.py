@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from tideline.functions.text import csv_cell
 
+# The header line, the sentence on the scale, and below the names of fields in a document.
 HEADER = "date,timestamp_utc,zone,mood,energy,tags,note"
 SCALE = "mood and energy are integers on a -3..+3 scale"
 
@@ -31,6 +32,7 @@ def check_in_json(check_ins: DataFrame) -> DataFrame:
 
 
 def metric_struct() -> F.Column:
+    # Field and column.
     names = (("screenMinutes", "screen_minutes"), ("socialMediaMinutes", "social_media_minutes"), ("lateNightScreenMinutes", "late_night_screen_minutes"), ("unlockCount", "unlock_count"), ("sleepMinutes", "sleep_minutes"), ("sleepSource", "sleep_source"), ("steps", "steps"), ("exerciseMinutes", "exercise_minutes"), ("restingHeartRate", "resting_hr"), ("hrv", "hrv"))
     return F.struct(F.col("day").cast("string").alias("localDate"), *[F.col(c).alias(k) for k, c in names])
 
