@@ -13,6 +13,10 @@ from pyspark.sql.types import StructType
 
 from tideline.sources.scratch import shared_dir
 
+#: Row groups of at most about 32 MB, and pages of one value if it is large: Parquet's writer looks at sizes after 100 rows
+#: only, and what reads a page or a row group holds it whole, so rows of megabytes would make both of hundreds of megabytes.
+PARQUET = {"parquet.block.size": 32 << 20, "parquet.block.size.row.check.min": 1, "parquet.page.size.row.check.min": 1}
+
 #: White space between words: space and the ASCII controls 9 to 13.
 SPACES = " \t\n\x0b\x0c\r"
 
@@ -42,7 +46,7 @@ class Scratch:
         return f"{self.root}/{name}"
 
     def save(self, df: DataFrame, name: str) -> DataFrame:
-        df.write.mode("overwrite").parquet(self.path(name))
+        df.write.mode("overwrite").options(**PARQUET).parquet(self.path(name))
         return self.spark.read.schema(df.schema).parquet(self.path(name))
 
     def drop(self, *names: str) -> None:
