@@ -3,8 +3,8 @@
     spark.dataSource.register(DiaryExport)
     spark.read.format("diary_export").option("table", "check_in").load("file:///exports")
 
-A file holds one document, or one a line; files are dealt to partitions by size, and each is parsed where it is read. The
-path may be any that ``pyarrow.fs`` opens (file, hdfs, s3, gs). ``table``: ``check_in``, ``daily_metric``, or
+A file holds one document, or one a line; files are dealt to partitions by size, and each is parsed where it is read, a
+document at a time. The path may be any that ``pyarrow.fs`` opens (file, hdfs, s3, gs). ``table``: ``check_in``, ``daily_metric``, or
 ``problems``, what could not be read: (document, position, error).
 
 Documents are known as file name and line number. Unknown fields are ignored, missing optional fields are null. A
@@ -16,10 +16,11 @@ read. ``mode`` ``FAILFAST`` raises at the first problem instead. Empty files and
 from __future__ import annotations
 
 import datetime as dt
+import io
 import json
 from collections.abc import Callable, Iterator
 from dataclasses import dataclass
-from typing import Any
+from typing import Any, BinaryIO
 
 import pyarrow as pa
 from pyspark.sql.datasource import DataSource, DataSourceReader, InputPartition
@@ -27,6 +28,8 @@ from pyspark.sql.types import StructType
 
 #: Bytes of files in a partition, about.
 PARTITION = 32 << 20
+#: Bytes that are read at once.
+BLOCK = 1 << 20
 SUFFIXES = (".json", ".jsonl", ".txt")
 TABLES = {
     "check_in": "document STRING, position INT, ts TIMESTAMP, zone_id STRING, day DATE, mood INT, energy INT, note STRING, tags ARRAY<STRING>",
@@ -116,14 +119,40 @@ def parsed(name: str, text: str, table: str) -> Iterator[tuple[tuple | None, tup
             yield None, (name, k, f"{LISTS[table][0]}: {e}")
 
 
-def documents(name: str, data: bytes) -> Iterator[tuple[str, str]]:
-    """(name, text) of the documents of a file: the whole, or each line where every one begins an object of its own."""
-    text = data.decode("utf-8", "replace").removeprefix("﻿")
-    lines = [(k, x) for k, x in enumerate(text.split("\n"), 1) if x.strip()]
-    if len(lines) > 1 and all(x.lstrip().startswith("{") and x.rstrip().endswith("}") for _, x in lines):
-        yield from ((f"{name}:{k}", x) for k, x in lines)
-    elif lines:
-        yield name, text
+BOM = "\ufeff"
+
+
+def _lines(stream: BinaryIO) -> Iterator[tuple[int, str]]:
+    """(number, text) of the lines that are not blank, one at a time."""
+    for k, raw in enumerate(stream, 1):
+        line = raw.decode("utf-8", "replace").removesuffix("\n")
+        line = line.removeprefix(BOM) if k == 1 else line
+        if line.strip():
+            yield k, line
+
+
+def _object_a_line(stream: BinaryIO) -> bool | None:
+    """Whether there are several lines and each begins and ends an object; None without any line."""
+    n = 0
+    for n, (_, x) in enumerate(_lines(stream), 1):  # noqa: B007
+        if not (x.lstrip().startswith("{") and x.rstrip().endswith("}")):
+            return False
+    return n > 1 if n else None
+
+
+def documents(name: str, opened: Callable[[], BinaryIO]) -> Iterator[tuple[str, str]]:
+    """(name, text) of the documents of a file: the whole, or each line where every one begins an object of its own.
+
+    The file is gone through twice, and no more of it is held than one document.
+    """
+    with opened() as stream:
+        by_line = _object_a_line(stream)
+    if by_line is not None:
+        with opened() as stream:
+            if by_line:
+                yield from ((f"{name}:{k}", x) for k, x in _lines(stream))
+            else:
+                yield name, stream.read().decode("utf-8", "replace").removeprefix(BOM)
 
 
 @dataclass
@@ -167,23 +196,27 @@ class _Reader(DataSourceReader):
         system, root = self._open()
         lists = list(LISTS) if self.table == "problems" else [self.table]
         for path in partition.paths:
-            with system.open_input_stream(path) as stream:
-                data = stream.read()
             name = path.removeprefix(root).lstrip("/") or path.rsplit("/", 1)[-1]
-            for document, text in documents(name, data):
-                rows, problems = [], []
-                for table in lists:
-                    for row, problem in parsed(document, text, table):
-                        if problem is None:
-                            rows.append(row)
-                        elif self.strict:
-                            raise ValueError(f"{problem[0]}, {problem[1]}: {problem[2]}")
-                        elif problem not in problems:
-                            problems.append(problem)
-                taken = problems if self.table == "problems" else rows
-                for at in range(0, len(taken), 4096):
-                    part = taken[at : at + 4096]
-                    yield pa.RecordBatch.from_arrays([pa.array([r[j] for r in part], f.type) for j, f in enumerate(self.target)], schema=self.target)
+            opened = lambda path=path: io.BufferedReader(system.open_input_stream(path), BLOCK)
+            for document, text in documents(name, opened):
+                taken, whole = [], set()
+                for row, problem in (x for table in lists for x in parsed(document, text, table)):
+                    if problem is not None and self.strict:
+                        raise ValueError(f"{problem[0]}, {problem[1]}: {problem[2]}")
+                    if self.table != "problems":
+                        taken += [] if row is None else [row]
+                    elif problem is not None and problem not in whole:
+                        taken.append(problem)
+                        if problem[1] is None:  # of the whole document, so each list has it
+                            whole.add(problem)
+                    if len(taken) == 4096:
+                        yield self._batch(taken)
+                        taken = []
+                if taken:
+                    yield self._batch(taken)
+
+    def _batch(self, rows: list[tuple]) -> pa.RecordBatch:
+        return pa.RecordBatch.from_arrays([pa.array([r[j] for r in rows], f.type) for j, f in enumerate(self.target)], schema=self.target)
 
 
 class DiaryExport(DataSource):
