@@ -122,6 +122,38 @@ def test_packing_cuts_every_id_once(odd, docs):
         assert sorted(sizes) == list(range(len(sizes))) and all(sizes[k] == 4096 for k in range(len(sizes) - 1)) and max(sizes.values()) <= 4096
 
 
+def test_packing_words_go_to_the_library_by_hundreds(monkeypatch):
+    """Different words, with punctuation behind them or without, take few calls, and have the library's ids, also when parts are forgotten."""
+    path = public_tokenizers.path("word_bpe_49k.json")
+    t = tokenizers.Tokenizer.from_file(path)
+    t.encode_special_tokens = True
+    calls = []
+
+    class Counted:
+        def __init__(self, library):
+            self.library = library
+
+        def __getattr__(self, name):
+            calls.append(name)
+            return getattr(self.library, name)
+
+    own = packing.Tokens(path)
+    for name in ("tokenizer", "model", "words"):
+        if hasattr(own, name):
+            setattr(own, name, Counted(getattr(own, name)))
+    rng = np.random.default_rng(4)
+    words = ["".join(x) for x in rng.choice(list("aeinorstzÉéßſ"), (4000, 7))]
+    texts = [" ".join(w + mark for w, mark in zip(words[k : k + 500], rng.choice(["", "", ",", ".", "***", "'"], 500), strict=True)) for k in range(0, 4000, 500)]
+    assert [x.tolist() for x in own.encode(texts)] == [t.encode(x, add_special_tokens=False).ids for x in texts]
+    assert len(calls) < 100
+    monkeypatch.setattr(packing, "CACHE", 100)
+    letters = list("aeZéÉİıµª'stl.,!?-$<>|/w0 \n\t\x0b\x1c\x85\u0338\u0300Σς中")
+    texts = [None, "", "  ", "<|endoftext|>, x<|startoftext|>", " it's, WE'LL! dogs' 's </w> a</w>,"] + ["".join(rng.choice(letters, n)) for n in rng.integers(1, 30, 3000)]
+    for k in range(0, len(texts), 300):
+        assert [x.tolist() for x in own.encode(texts[k : k + 300])] == [t.encode(x or "", add_special_tokens=False).ids for x in texts[k : k + 300]]
+    assert len(own.codes) < len({w for x in texts for w in (x or "").lower().encode().split()})
+
+
 def test_packing_with_another_tokenizer_and_odd_columns(docs):
     path = public_tokenizers.path("byte_bpe_50k.json")
     t = tokenizers.Tokenizer.from_file(path)

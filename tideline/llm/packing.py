@@ -12,8 +12,9 @@ ones are cut into sub-cells by a hash, and in each documents go by the whole num
 Tokenising: where the tokenizer's file has the rules ``SPLIT_RULES`` (white space
 parts, lower case, its own pattern of words), texts fall between white space
 into parts whose ids do not depend on each other, so each different part is
-encoded once per worker by the library and remembered. Texts go whole to the
-library for any other file.
+encoded once per task by the library and remembered: words of Latin letters by
+hundreds in one call, parted by the suffix that ends words in the vocabulary, other
+parts each for itself. Texts go whole to the library for any other file.
 
 Defined results: a null text counts as empty, and an empty text is the closing
 id alone; repeated rows are packed row by row, and rows equal in id and text are
@@ -25,13 +26,17 @@ further columns are ignored, whatever their names.
 from __future__ import annotations
 
 import json
+import string
 import unicodedata
 import zlib
 from array import array
+from collections import defaultdict
 from collections.abc import Iterator
+from itertools import islice
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
@@ -41,8 +46,13 @@ LENGTH, END = 4096, 2
 HASHED, DIMENSIONS, SEED = 512, 3, 11
 #: Bits of a dimension that the curve numbers, and those that tell cells apart, at least and at most.
 FINE, BITS, MOST_BITS = 10, 4, 6
-#: Parts that a worker remembers.
+#: Parts that a worker remembers, and those of one batch more.
 CACHE = 500_000
+#: Words that go to the library in one call; the time for each grows with more.
+CALL = 200
+#: Punctuation behind a letter, of ASCII or one of ``LATIN``, is apart from it. (U+0130 ends in a mark when in lower case.)
+MARKS = string.punctuation.encode()
+LATIN = frozenset(chr(c).encode() for c in range(0xC0, 0x180) if chr(c).isalpha() and c != 0x130)
 #: Rules of a tokenizer's file under which white space and the parts between it can be encoded apart (fixed values).
 SPLIT_RULES = {
     "normalizer": {"type": "Sequence", "normalizers": [{"type": "NFC"}, {"type": "Replace", "pattern": {"Regex": "\\s+"}, "content": " "}, {"type": "Lowercase"}]},
@@ -72,61 +82,109 @@ class Tokens:
 
         os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")
         os.environ.setdefault("RAYON_NUM_THREADS", "1")
-        from tokenizers import Tokenizer
+        from tokenizers import Tokenizer, pre_tokenizers
 
         self.tokenizer = Tokenizer.from_file(path)
         self.tokenizer.encode_special_tokens = True
-        self.model, self.letters = self.tokenizer.model, _byte_letters()
+        self.letters = _byte_letters()
         rules = json.loads(self.tokenizer.to_str())
-        self.split = all(rules[k] == v for k, v in SPLIT_RULES.items()) and self.tokenizer.get_vocab_size() <= 1 << 16
-        self.cache: dict[bytes, bytes] = {}
-
-    def _whole(self, part: bytes) -> bytes | None:
-        """Ids of a single lower-case word of Latin letters, which the vocabulary's rules leave whole; None for others."""
-        if not part.isalpha():  # that is, ASCII letters only
-            word = part.decode("utf-8", "replace")
-            if not word.isalpha() or max(word) > "\u017f" or "\u0130" in word or not unicodedata.is_normalized("NFC", word):
-                return None
-            part = word.lower().encode()
-        return array("H", [t.id for t in self.model.tokenize(part.decode("latin-1").translate(self.letters))]).tobytes()
-
-    def _learn(self, fresh: list[bytes]) -> None:
-        """White space parts words, and so does the step from a letter to punctuation."""
-        known, rest = self.cache, []
-        for p in fresh:
-            core = p.rstrip(b".,!?;:")
-            tail = p[len(core) :]
-            if core and tail and (97 <= core[-1] <= 122):
-                ids = known.get(core) or self._whole(core)
-                end = known.get(tail)
-                if ids is not None:
-                    known[core] = ids
-                    if end is None:
-                        end = known[tail] = array("H", self.tokenizer.encode(tail.decode(), add_special_tokens=False).ids).tobytes()
-                    known[p] = ids + end
-                    continue
-            ids = self._whole(p)
-            if ids is None:
-                rest.append(p)
+        self.split = all(rules[k] == v for k, v in SPLIT_RULES.items()) and self.tokenizer.get_vocab_size() <= 1 << 16 and self._marks_ends(rules["model"])
+        if self.split:
+            self.words = Tokenizer(self.tokenizer.model)  # takes words between spaces, in the vocabulary's letters
+            self.words.pre_tokenizer = pre_tokenizers.WhitespaceSplit()
+        self.forget()
+
+    def _marks_ends(self, model: dict) -> bool:
+        """Whether each word's last id, and no other, is one of a token with the suffix for ends; ``ends`` says which are."""
+        if model["type"] != "BPE" or model["dropout"] or model["end_of_word_suffix"] != "</w>":
+            return False
+        self.ends = np.zeros(1 << 16, bool)
+        self.ends[[i for token, i in model["vocab"].items() if token.endswith("</w>")]] = True
+        return all(c + suffix in model["vocab"] for c in self.letters.values() for suffix in ("", "</w>"))
+
+    def forget(self) -> None:
+        """Parts are numbered as they come; their ids lie in ``ids``, from ``begins`` on as many as ``counts`` says."""
+        self.codes: defaultdict[bytes, int] = defaultdict()
+        self.codes.default_factory = self.codes.__len__
+        self.ids, self.begins, self.counts = array("H"), array("q"), array("q")
+
+    def _word(self, part: bytes) -> str | None:
+        """A lower-case word of Latin letters, which the vocabulary's rules leave whole, in its letters; None for other parts."""
+        if part.isalpha():  # that is, ASCII letters only
+            return part.decode()
+        word = part.decode("utf-8", "replace")
+        if not word.isalpha() or max(word) > "\u017f" or "\u0130" in word or not unicodedata.is_normalized("NFC", word):
+            return None
+        return word.lower().encode().decode("latin-1").translate(self.letters)
+
+    def _learn(self, seen: int) -> None:
+        """Ids of the parts numbered from ``seen`` on. Words go to the library by hundreds, and are told apart by their last ids;
+        punctuation behind a letter is a part of its own, and its place that of a pair; other parts go one by one."""
+        known, words, rest, parts, pairs, halves = [], [], [], [], [], []
+        fresh = list(islice(reversed(self.codes), len(self.codes) - seen))[::-1]
+        for k, p in enumerate(fresh):  # grows with the halves of pairs, which are no pairs
+            core = p.rstrip(MARKS)
+            if core and len(core) < len(p) and (97 <= core[-1] <= 122 or core[-2:] in LATIN):
+                pairs.append(k)
+                for half in (core, p[len(core) :]):
+                    code = self.codes[half]
+                    halves.append(code)
+                    if code == seen + len(fresh):
+                        fresh.append(half)
+                continue
+            word = self._word(p)
+            if word is None:
+                rest.append(k)
+                parts.append(p)
             else:
-                known[p] = ids
-        for at in range(0, len(rest), 1000):
-            part = rest[at : at + 1000]
-            for p, e in zip(part, self.tokenizer.encode_batch_fast([p.decode("utf-8", "replace") for p in part], add_special_tokens=False), strict=True):
-                known[p] = array("H", e.ids).tobytes()
+                known.append(k)
+                words.append(word)
+        at = len(self.ids)
+        for k in range(0, len(words), CALL):
+            self.ids.extend(self.words.encode_batch_fast([" ".join(words[k : k + CALL])], add_special_tokens=False)[0].ids)
+        stops = np.flatnonzero(self.ends[np.array(self.ids[at:])]) + 1
+        counts, begins = np.zeros(len(fresh), np.int64), np.zeros(len(fresh), np.int64)
+        counts[known] = np.diff(stops, prepend=0)
+        begins[known] = at + stops - counts[known]
+        for k in range(0, len(parts), CALL):
+            found = self.tokenizer.encode_batch_fast([p.decode("utf-8", "replace") for p in parts[k : k + CALL]], add_special_tokens=False)
+            for j, e in zip(rest[k : k + CALL], found, strict=True):
+                begins[j], counts[j] = len(self.ids), len(e.ids)
+                self.ids.extend(e.ids)
+        self.begins.frombytes(begins.tobytes())
+        self.counts.frombytes(counts.tobytes())
+        both, stops = self._ids(np.array(halves, np.int64))
+        at = len(self.ids)
+        self.ids.frombytes(both.tobytes())
+        for k, begin, stop in zip(pairs, stops[:-1:2].tolist(), stops[2::2].tolist(), strict=True):
+            self.begins[seen + k], self.counts[seen + k] = at + begin, stop - begin
+
+    def _ids(self, codes: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Ids of parts end to end, and where each part begins, with the end of all."""
+        ids, begins, counts = np.frombuffer(self.ids, np.uint16), np.frombuffer(self.begins, np.int64), np.frombuffer(self.counts, np.int64)
+        stops = np.concatenate([[0], np.cumsum(counts[codes])])
+        out = np.empty(stops[-1], np.uint16)
+        for k in range(0, len(codes), 1 << 18):
+            part = codes[k : k + (1 << 18)]
+            shift = np.repeat(begins[part] - stops[k : k + len(part)], counts[part])
+            out[stops[k] : stops[k] + len(shift)] = ids[shift + np.arange(stops[k], stops[k] + len(shift))]
+        return out, stops
 
     def encode(self, texts: list[str | None]) -> list[np.ndarray]:
         """Ids of each text, as numbers of 16 bits where the rules allow parts, else of 32."""
         if not self.split:
             return [np.array(e.ids, np.uint32) for e in self.tokenizer.encode_batch([(t or "").encode("utf-8", "replace").decode() for t in texts], add_special_tokens=False)]
-        cut = [(t or "").encode("utf-8", "surrogatepass").lower().split() for t in texts]  # the vocabulary is of lower case
-        known = self.cache
-        fresh = list({p for parts in cut for p in parts if p not in known})
-        if len(known) + 2 * len(fresh) > CACHE:
-            known.clear()
-            fresh = list({p for parts in cut for p in parts})
-        self._learn(fresh)
-        return [np.frombuffer(b"".join(map(known.__getitem__, parts)), np.uint16) for parts in cut]
+        if len(self.codes) > CACHE:
+            self.forget()
+        seen = len(self.codes)
+        lower = pa.array([(t or "").encode("utf-8", "surrogatepass").lower() for t in texts], pa.large_binary())  # the vocabulary is of lower case
+        cut = pc.ascii_split_whitespace(lower.view(pa.large_string()))
+        parts = cut.flatten().view(pa.large_binary()).dictionary_encode()  # each different part of these texts is looked up once
+        different = np.fromiter(map(self.codes.__getitem__, parts.dictionary.to_numpy(zero_copy_only=False)), np.int64, len(parts.dictionary))
+        if len(self.codes) > seen:
+            self._learn(seen)
+        ids, stops = self._ids(different[parts.indices.to_numpy()])
+        return np.split(ids, stops[np.cumsum(pc.list_value_length(cut).to_numpy())][:-1]) if texts else []
 
 
 _tokens: dict[str, Tokens] = {}
@@ -211,7 +269,7 @@ def _cut(docs: DataFrame, path: str | None, length: int, end: int, sub_rows: int
                 raw = [x.tobytes() for x in ids]
                 yield {"doc_id": b["doc_id"][at:stop], "fine": curve_places(ids).tolist(), "n": [len(x) + 1 for x in ids], "spread": [zlib.crc32(x) for x in raw], "wide": [not own.split] * len(ids), "ids": raw}
                 at = stop
-        own.cache.clear()  # the worker process goes on to steps that need the memory
+        own.forget()  # the worker process goes on to steps that need the memory
 
     rows = scratch.save(map_rows(docs.select("doc_id", "text"), f"doc_id {kind}, fine long, n long, spread long, wide boolean, ids binary", encode), "ids")
     bits = min(MOST_BITS, max(BITS, -(-max(1, rows.count() // sub_rows).bit_length() // DIMENSIONS)))
